@@ -1,9 +1,11 @@
 """Bounded-space online best-fit packing of token sequences.
 
 A document becomes the ids of its text and an end mark; only longer ones than a sequence are cut. Pieces are dealt to
-shards by a hash of their identity and meet a packer in hash order. The packer holds a fixed number of open bins in
-a bitset keyed by free space: a piece goes to the fullest bin that takes it; where none does, a new bin opens, and if
-that is one too many the fullest open bin closes. Memory is the open bins, whatever the shard's size.
+shards of a fixed mean size by a hash of their identity, and meet their shard's packer longest first. The packer holds
+a fixed number of open bins in a bitset keyed by free space: a piece goes to the fullest bin that takes it; where none
+does, a new bin opens, and if that is one too many the fullest open bin closes. Memory is the open bins, whatever the
+shard's size. With half as many open bins as a shard has pieces, hardly a bin closes early, and what is lost is less
+than a sequence or two a shard.
 
 Null texts count as empty and give the end mark alone. Repeated rows are packed like any others.
 """
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 from vistrel.llm.common import bounded_batches, materialise
 
 #: Tokens of a sequence, the end mark, open bins of a shard, and pieces that a shard gets on average.
-SEQUENCE, END_ID, OPEN_BINS, SHARD_PIECES = 2048, 0, 256, 1 << 15
+SEQUENCE, END_ID, OPEN_BINS, SHARD_PIECES = 2048, 0, 1 << 14, 1 << 15
 #: Distinct words of which a task remembers the ids, and the longest such word.
 CACHE_WORDS, CACHE_CHARS = 400_000, 64
 
@@ -132,6 +134,6 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = SEQUENCE, open_bins:
     return (
         pieces.withColumn("shard", F.pmod(mixed, F.lit(shards)))
         .repartition(shards, "shard")
-        .sortWithinPartitions("shard", mixed, "doc_id", "piece")
+        .sortWithinPartitions("shard", F.desc("length"), "doc_id", "piece", "ids_crc32")
         .mapInArrow(_pack(size, open_bins), _PACKED)
     )
