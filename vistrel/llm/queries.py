@@ -6,10 +6,17 @@ import string
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from vistrel.llm.common import table
 from vistrel.llm.exact_dedup import exact_groups
+from vistrel.llm.labelled import held_out
 from vistrel.llm.packing import pack
+from vistrel.llm.quality import fit_quality, quality_score
+from vistrel.llm.toxicity import fit_toxicity, score_toxicity
+
+#: A document is toxic, or good enough, from this score on.
+TOXIC_FROM, GOOD_FROM = 0.7, 0.3
 
 
 def tokenizer_file(name: str) -> str:
@@ -18,6 +25,19 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = fit_toxicity(docs, table(spark, sf_dir, "labels"))
+    return score_toxicity(docs, model).select(
+        "doc_id",
+        held_out(F.col("doc_id"), 3, 1).alias("held_out"),
+        "score",
+        (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"),
+        "n_sentences",
+        "offending",
+    )
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
@@ -26,11 +46,21 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    score = quality_score(fit_quality(docs, table(spark, sf_dir, "labels")), spark)
+    return docs.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), score(F.col("text")).alias("score")).withColumn(
+        "predicted", (F.col("score") >= GOOD_FROM).cast("int")
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_toxicity,
         op2_best_fit_packing,
         op5_exact_dedup,
+        op10_quality,
     )
 }
 
