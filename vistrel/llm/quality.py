@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vistrel.llm.common import bounded_batches
+from vistrel.llm.common import bounded_batches, free_name
 from vistrel.llm.labelled import training_sample
 
 #: Buckets, dimensions and non-zeros of an index vector, tokens that a scan task gathers before it adds them up.
@@ -222,3 +222,14 @@ def quality_score(model: QualityModel, spark) -> callable:
         return udf(text)
 
     return score
+
+
+#: A document is good enough from this score on.
+GOOD_FROM = 0.3
+
+
+def drop_low_quality(docs: DataFrame, labels: DataFrame, good_from: float = GOOD_FROM) -> DataFrame:
+    """docs without those that the classifier rejects; all columns are kept."""
+    score = quality_score(fit_quality(docs, labels), docs.sparkSession)
+    name = free_name(docs, "_score")
+    return docs.withColumn(name, score(F.col("text"))).where(F.col(name) >= good_from).select(docs.columns)

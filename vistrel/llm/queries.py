@@ -9,14 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vistrel.llm.common import table
+from vistrel.llm.decontamination import contaminated
 from vistrel.llm.exact_dedup import exact_groups
 from vistrel.llm.labelled import held_out
+from vistrel.llm.near_dedup import near_components
 from vistrel.llm.packing import pack
-from vistrel.llm.quality import fit_quality, quality_score
+from vistrel.llm.quality import GOOD_FROM, fit_quality, quality_score
 from vistrel.llm.toxicity import fit_toxicity, score_toxicity
 
-#: A document is toxic, or good enough, from this score on.
-TOXIC_FROM, GOOD_FROM = 0.7, 0.3
+#: A document is toxic from this score on.
+TOXIC_FROM = 0.7
 
 
 def tokenizer_file(name: str) -> str:
@@ -46,6 +48,14 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_components(table(spark, sf_dir, "documents"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     score = quality_score(fit_quality(docs, table(spark, sf_dir, "labels")), spark)
@@ -60,6 +70,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_toxicity,
         op2_best_fit_packing,
         op5_exact_dedup,
+        op6_decontamination,
+        op9_near_dedup,
         op10_quality,
     )
 }
