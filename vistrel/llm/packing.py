@@ -12,8 +12,11 @@ Null texts count as empty and give the end mark alone. Repeated rows are packed
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from typing import ClassVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,34 +26,66 @@ from vistrel.llm.common import bounded_batches, materialise
 
 #: Tokens of a sequence, the end mark, open bins of a shard, and pieces that a shard gets on average.
 SEQUENCE, END_ID, OPEN_BINS, SHARD_PIECES = 2048, 0, 1 << 14, 1 << 15
-#: Distinct words of which a task remembers the ids, and the longest such word.
-CACHE_WORDS, CACHE_CHARS = 400_000, 64
+#: Distinct words of which a worker remembers the ids.
+CACHE_WORDS = 700_000
+
+#: Texts of these characters alone are split here; all others go to the tokenizer whole. Within them lower-casing is
+#: a character's own affair, nothing composes, and letters, numbers and white space are the ranges below.
+_PLAIN = re.compile("[\t\n\r -~\xa0-\u012f\u0131-\u017f\u2010-\u2027\u20ac]*")
+_LETTERS, _NUMBERS = "a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u017f", "0-9\xb2\xb3\xb9\xbc-\xbe"
+_WORD = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{_LETTERS}]+|[{_NUMBERS}]|[^\\s{_LETTERS}{_NUMBERS}]+")
+
+
+def _byte_letters() -> list[str]:
+    """The character that stands for each byte: itself where it prints, else the next free one from U+0100 on."""
+    prints = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = iter(range(0x100, 0x200))
+    return [chr(b) if b in prints else chr(next(rest)) for b in range(256)]
 
 
 class WordEncoder:
-    """Token ids of texts, word by word: this tokenizer drops white space and never joins across it."""
+    """Token ids of texts under a lower-casing BPE that drops white space, word by word with a memory of words.
+
+    The tokenizer's merges never cross a word, so the ids of a text are those of its words in a row. The tests
+    compare this with the tokenizer itself.
+    """
+
+    _shared: ClassVar[dict[str, WordEncoder]] = {}
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.known: dict[str, bytes] = {}
+        self.letters = _byte_letters()
+
+    @classmethod
+    def shared(cls, path: str) -> WordEncoder:
+        """One encoder for all tasks of a worker."""
+        if path not in cls._shared:
+            cls._shared[path] = cls(path)
+        return cls._shared[path]
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids of the whole text."""
-        words = text.split(" ")
-        if fresh := set(words).difference(self.known):
-            if len(self.known) + len(fresh) > CACHE_WORDS:
-                self.known = {}
-                fresh = set(words)
-            listed = list(fresh)
-            for word, enc in zip(listed, self.tokenizer.encode_batch(listed, add_special_tokens=False), strict=True):
-                self.known[word] = b"".join(i.to_bytes(4, "little") for i in enc.ids)
-        out = b"".join(map(self.known.__getitem__, words))
-        for word in fresh:
-            if len(word) > CACHE_CHARS:
-                del self.known[word]
-        return out
+        if not _PLAIN.fullmatch(text) or "<|" in text:
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        known = self.known
+        words = _WORD.findall(text.lower())
+        try:
+            return b"".join(map(known.__getitem__, words))
+        except KeyError:
+            if len(known) > CACHE_WORDS:
+                known.clear()
+            for word in set(words).difference(known):
+                known[word] = self._word(word)
+            return b"".join(map(known.__getitem__, words))
+
+    def _word(self, word: str) -> bytes:
+        if not word.isascii():
+            word = "".join(self.letters[b] for b in word.encode())
+        return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
 
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -58,7 +93,7 @@ _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 def _cut(path: str, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = WordEncoder(path), END_ID.to_bytes(4, "little")
+        encoder, end = WordEncoder.shared(path), END_ID.to_bytes(4, "little")
         for b in batches:
             rows = []
             for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
