@@ -15,6 +15,7 @@ from vistrel.llm.labelled import held_out
 from vistrel.llm.near_dedup import near_components
 from vistrel.llm.packing import pack
 from vistrel.llm.quality import GOOD_FROM, fit_quality, quality_score
+from vistrel.llm.secrets import scan_secrets
 from vistrel.llm.toxicity import fit_toxicity, score_toxicity
 
 #: A document is toxic from this score on.
@@ -52,6 +53,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(table(spark, sf_dir, "documents"))
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_components(table(spark, sf_dir, "documents"))
 
@@ -71,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_best_fit_packing,
         op5_exact_dedup,
         op6_decontamination,
+        op8_secrets,
         op9_near_dedup,
         op10_quality,
     )
