@@ -16,10 +16,15 @@ from vistrel.llm.near_dedup import near_components
 from vistrel.llm.packing import pack
 from vistrel.llm.quality import GOOD_FROM, fit_quality, quality_score
 from vistrel.llm.secrets import scan_secrets
+from vistrel.llm.substring_dedup import repeated_passages
+from vistrel.llm.surrogates import replace_personal_data
+from vistrel.llm.token_counts import token_counts
 from vistrel.llm.toxicity import fit_toxicity, score_toxicity
 
 #: A document is toxic from this score on.
 TOXIC_FROM = 0.7
+#: The key of the surrogates that the registered query makes; a deployment passes its own secret.
+SURROGATE_KEY = "registered query"
 
 
 def tokenizer_file(name: str) -> str:
@@ -45,6 +50,14 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op3_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replace_personal_data(table(spark, sf_dir, "documents"), SURROGATE_KEY)
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
@@ -53,6 +66,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
@@ -74,8 +91,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_toxicity,
         op2_best_fit_packing,
+        op3_surrogates,
+        op4_token_counts,
         op5_exact_dedup,
         op6_decontamination,
+        op7_substring_dedup,
         op8_secrets,
         op9_near_dedup,
         op10_quality,
