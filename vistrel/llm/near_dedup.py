@@ -6,10 +6,11 @@
    every other node is paired with it: as many pairs as members. Pairs are tested batch by batch of the signature and
    pruned once the posterior probability of the wanted similarity falls below the chosen miss probability; survivors are
    confirmed on the full sets of both texts. Links give first components.
-3. Buckets that still hold several components among the nodes that did not lead are searched for links across components:
-   blocks of the outlying nodes meet blocks of all nodes, and only pairs that survive the Bayesian test leave a
-   block. Pairs within a component are skipped, as a link there changes nothing. So every pair of nodes that shares a bucket is
-   either tested or already connected, without a cap on buckets and without writing out all pairs of one.
+3. Nodes that shared a bucket share its leader. Leaders whose followers lie in several components are searched for links
+   across components: blocks of the followers outside the leader's component meet blocks of all its followers, each with
+   its text. A block tests the pairs that lie in different components, likeliest first, confirms survivors on
+   the full sets, and joins components as it goes, so at most a link per follower leaves it. So every pair of nodes that
+   shares a bucket is either tested or already connected, without a cap on buckets and without writing out their pairs.
 4. Components of all links; each class member gets its node's component.
 
 Words are runs of anything but space and U+0009 to U+000D, with A-Z lower-cased. A text with fewer words than a shingle is one
@@ -39,9 +40,11 @@ BANDS, ROWS = 24, 5
 HASHES = BANDS * ROWS
 #: Hashes that are compared between two tests, and the miss probability at which a pair is given up.
 STEP, MISS = 24, 1e-5
-#: Outlying nodes and all nodes of a block in step 3.
+#: Outlying and all followers of a block in step 3.
 BLOCK_OUT, BLOCK_ALL = 256, 2048
-CACHE_WORDS, CACHE_SETS = 500_000, 128
+#: Ids up to which the side that picks rows is broadcast (8 bytes each); beyond it both sides are shuffled.
+BROADCAST_ROWS = 1_000_000
+CACHE_WORDS, CACHE_SETS, CACHE_BYTES = 500_000, 128, 64 << 20
 
 _rng = np.random.default_rng(9)
 _MULTIPLY = _rng.integers(0, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -170,35 +173,70 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
 
+def _only(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """The rows of df whose column is among ids, a written table's column of the same name."""
+    ids = ids.distinct()
+    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, column, "left_semi")
+
+
+def _ends(pairs: DataFrame, column: str) -> DataFrame:
+    return pairs.select(F.col("a").alias(column)).unionByName(pairs.select(F.col("b").alias(column)))
+
+
 def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are links on the full shingle sets."""
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = docs.join(ids, "doc_id", "left_semi")
+    """The pairs (a, b) of a written table that are links on the full shingle sets."""
+    texts = _only(docs, "doc_id", _ends(pairs, "doc_id"))
     joined = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
     return joined.select("a", "b", "ta", "tb").mapInArrow(_confirm, "a long, b long").distinct()
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks, sorted by (bucket, i, j): surviving pairs of an outlying node and a node of another component."""
-    key, held = None, []
-
-    def found() -> pa.RecordBatch:
-        t = pa.Table.from_batches(held)
-        out = t.column("outlying").to_numpy()
-        node, comp, sig = t.column("node").to_numpy(), t.column("comp").to_numpy(), _matrix(t.column("sig"))
-        o, m = np.flatnonzero(out), np.flatnonzero(~out)
-        pairs = [np.zeros((0, 2), np.int64)]
-        n, least = LEAST_MATCHES[0]
-        for part in np.array_split(o, max(1, len(o) * max(1, len(m)) // 100_000)):
-            near = (sig[part, None, :n] == sig[None, m, :n]).sum(2, dtype=np.int16) >= least
-            near &= comp[part, None] != comp[None, m]
-            x, y = np.nonzero(near)
-            x, y = part[x], m[y]
-            stay = survivors(sig[x], sig[y])
-            pairs.append(np.stack([np.minimum(node[x], node[y])[stay], np.maximum(node[x], node[y])[stay]], 1))
-        got = np.unique(np.concatenate(pairs), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], names=["a", "b"])
+def _block_links(t: pa.Table, shingler: Shingler) -> pa.RecordBatch:
+    """Links between components of one block; each joins two of them."""
+    out = t.column("outlying").to_numpy()
+    node, comp, sig = t.column("node").to_numpy(), t.column("comp").to_numpy(), _matrix(t.column("sig"))
+    texts = t.column("text")
+    o, m = np.flatnonzero(out), np.flatnonzero(~out)
+    found = [np.zeros((0, 2), np.int64)]
+    n, least = LEAST_MATCHES[0]
+    for part in np.array_split(o, max(1, len(o) * max(1, len(m)) // 100_000)):
+        near = (sig[part, None, :n] == sig[None, m, :n]).sum(2, dtype=np.int16) >= least
+        near &= comp[part, None] != comp[None, m]
+        x, y = np.nonzero(near)
+        x, y = part[x], m[y]
+        stay = survivors(sig[x], sig[y])
+        found.append(np.stack([x[stay], y[stay]], 1))
+    pairs = np.concatenate(found)
+    likely = np.concatenate([(sig[p[:, 0]] == sig[p[:, 1]]).sum(1) for p in np.array_split(pairs, len(pairs) // 10_000 + 1)])
+    above: dict[int, int] = {}
+    sets: dict[int, np.ndarray] = {}
+    held = 0
+
+    def root(c: int) -> int:
+        while (up := above.get(c, c)) != c:
+            above[c] = c = above.get(up, up)
+        return c
+
+    links = []
+    for x, y in pairs[np.argsort(-likely, kind="stable")]:
+        p, q = root(int(comp[x])), root(int(comp[y]))
+        if p == q:
+            continue
+        for r in (x, y):
+            if node[r] not in sets:
+                if held > CACHE_BYTES:
+                    sets, held = {k: v for k, v in sets.items() if k in (node[x], node[y])}, 0
+                sets[node[r]] = shingler(texts[int(r)].as_py())
+                held += sets[node[r]].nbytes
+        if linked(sets[node[x]], sets[node[y]]):
+            above[max(p, q)] = min(p, q)
+            links.append((node[x], node[y]))
+    got = np.array(links, np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], names=["a", "b"])
+
 
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Followers sorted by (leader, i, j): the links of each block."""
+    shingler, key, held = Shingler(), None, []
     for b in batches:
         keys = list(zip(*(b.column(k).to_pylist() for k in (0, 1, 2)), strict=True))
         at = 0
@@ -207,13 +245,13 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             while end < len(keys) and keys[end] == keys[at]:
                 end += 1
             if keys[at] != key and held:
-                yield found()
+                yield _block_links(pa.Table.from_batches(held), shingler)
                 held = []
             key = keys[at]
             held.append(b.slice(at, end - at))
             at = end
     if held:
-        yield found()
+        yield _block_links(pa.Table.from_batches(held), shingler)
 
 
 def near_components(docs: DataFrame) -> DataFrame:
@@ -236,35 +274,40 @@ def near_components(docs: DataFrame) -> DataFrame:
     led = members.join(leaders, "bucket")
     stars = led.where("node <> leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
 
-    def with_sigs(pairs: DataFrame) -> DataFrame:
-        a, b = sigs.select(F.col("node").alias("a"), F.col("sig").alias("sa")), sigs.select(F.col("node").alias("b"), F.col("sig").alias("sb"))
-        return pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb")
-
-    tested = materialise(with_sigs(stars).mapInArrow(_prune, "a long, b long"), "near-tested")
+    stars = materialise(stars, "near-stars")
+    ends = _only(sigs, "node", _ends(stars, "node"))
+    a, b = ends.select(F.col("node").alias("a"), F.col("sig").alias("sa")), ends.select(F.col("node").alias("b"), F.col("sig").alias("sb"))
+    tested = materialise(stars.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(_prune, "a long, b long"), "near-tested")
     links = materialise(_confirmed(tested, docs), "near-links")
     component = connected_components(links)
 
-    labelled = led.where("members > 2 and node <> leader").join(component, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("comp"), "leader")
+    followers = led.where("members > 2 and node <> leader").select("leader", "node").distinct()
     main = component.select(F.col("node").alias("leader"), F.col("component").alias("main"))
-    labelled = labelled.join(main, "leader", "left").withColumn("outlying", F.col("comp") != F.coalesce("main", "leader"))
+    labelled = (
+        followers.join(component, "node", "left")
+        .join(main, "leader", "left")
+        .select("leader", "node", F.coalesce("component", "node").alias("comp"), (F.coalesce("component", "node") != F.coalesce("main", "leader")).alias("outlying"))
+    )
     spread = (
-        labelled.groupBy("bucket")
+        labelled.groupBy("leader")
         .agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n_all"), F.count_if("outlying").alias("n_out"))
         .where("low <> high")
-        .select("bucket", F.ceil(F.col("n_out") / BLOCK_OUT).cast("int").alias("i_n"), F.ceil(F.col("n_all") / BLOCK_ALL).cast("int").alias("j_n"))
+        .select("leader", F.ceil(F.col("n_out") / BLOCK_OUT).cast("int").alias("i_n"), F.ceil(F.col("n_all") / BLOCK_ALL).cast("int").alias("j_n"))
     )
-    blocks = labelled.join(spread, "bucket").join(sigs, "node")
+    apart = materialise(labelled.join(spread, "leader"), "near-apart")
+    texts = _only(docs, "doc_id", apart.select(F.col("node").alias("doc_id"))).select(F.col("doc_id").alias("node"), "text")
+    blocks = apart.join(_only(sigs, "node", apart.select("node")), "node").join(texts, "node")
     place = F.abs(F.xxhash64("node") % 1_000_003)
     i, j = (place % F.col("i_n")).cast("int"), (place % F.col("j_n")).cast("int")
-    out_rows = blocks.where("outlying").select("bucket", i.alias("i"), F.explode(F.sequence(F.lit(0), F.col("j_n") - 1)).alias("j"), "node", "comp", "outlying", "sig")
-    all_rows = blocks.select("bucket", F.explode(F.sequence(F.lit(0), F.col("i_n") - 1)).alias("i"), j.alias("j"), "node", "comp", F.lit(False).alias("outlying"), "sig")
-    cross = out_rows.unionByName(all_rows).repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(_across, "a long, b long").distinct()
-    more = materialise(_confirmed(materialise(cross.join(tested, ["a", "b"], "left_anti"), "near-cross"), docs), "near-links")
+    out_rows = blocks.where("outlying").select("leader", i.alias("i"), F.explode(F.sequence(F.lit(0), F.col("j_n") - 1)).alias("j"), "node", "comp", "outlying", "sig", "text")
+    all_rows = blocks.select("leader", F.explode(F.sequence(F.lit(0), F.col("i_n") - 1)).alias("i"), j.alias("j"), "node", "comp", F.lit(False).alias("outlying"), "sig", "text")
+    cross = out_rows.unionByName(all_rows).repartition("leader", "i", "j").sortWithinPartitions("leader", "i", "j").mapInArrow(_across, "a long, b long")
+    more = materialise(cross.distinct(), "near-links")
     if not more.isEmpty():
         component = connected_components(component.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
 
     classes = nodes.join(component, "node", "left").select("set_key", F.coalesce("component", "node").alias("found"))
-    drop_tables(tested, members, leaders)
+    drop_tables(tested, stars, apart, members, leaders)
     return (
         scanned.select("doc_id", "n_shingles", "set_key")
         .join(classes, "set_key", "left")
