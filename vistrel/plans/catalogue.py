@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from vistrel.plans import experiments, identities, pools, retrievals, sampling
+from vistrel.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "experiments", "identities", "pools", "retrievals", "sampling"]
