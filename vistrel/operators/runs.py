@@ -177,3 +177,21 @@ def keep_rule(summary: DataFrame, least: float = 1.0) -> DataFrame:
 
 def noise_corrected(total: Column, noise: Column) -> Column:
     return F.sqrt(F.greatest(total * total - noise * noise, F.lit(0.0)))
+
+
+def fold_options(options: DataFrame) -> DataFrame:
+    """(flag, value) of options (pos, flag, value): of options with one flag the first stays."""
+    first = W.Window.partitionBy("flag").orderBy("pos")
+    return options.withColumn("_rn", F.row_number().over(first)).where("_rn = 1").select("flag", "value")
+
+
+def leave_one_out(domains: DataFrame) -> DataFrame:
+    """(target, sources): for each domain all the others in their order, a short list of names."""
+    other = domains.select(F.col("domain").alias("source"))
+    joined = domains.select(F.col("domain").alias("target")).crossJoin(other).where("target <> source")
+    return joined.groupBy("target").agg(F.array_sort(F.collect_list("source")).alias("sources"))
+
+
+def pick_columns(df: DataFrame, prefix: str = "", suffix: str = "") -> list[str]:
+    """Names of the columns with a prefix and a suffix."""
+    return [c for c in df.columns if c.startswith(prefix) and c.endswith(suffix)]

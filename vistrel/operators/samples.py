@@ -122,3 +122,25 @@ def anchor_partner(images: DataFrame, seed: int) -> DataFrame:
     order = W.Window.partitionBy("pid").orderBy(draw_key(seed, "image_idx"), "image_idx")
     ring = images.select("pid", "image_idx", F.lead("image_idx").over(order).alias("_next"), F.first("image_idx").over(order).alias("_first"))
     return ring.select("image_idx", F.coalesce("_next", "_first").alias("partner_idx")).where("image_idx <> partner_idx")
+
+
+def pseudo_pairs(pool: DataFrame, k: int, seed: int) -> DataFrame:
+    """k drawn images, each paired with itself: the second copy is to be augmented."""
+    return draw_k(pool, "image_idx", k, seed).select("pos", F.col("image_idx").alias("a_idx"), F.col("image_idx").alias("b_idx"))
+
+
+def unique_batches(identities: DataFrame, n_batches: int, size: int, seed: int) -> DataFrame:
+    """(batch, slot, domain, pid) with distinct identities in a batch; domains with fewer identities than slots give all they have."""
+    spark = identities.sparkSession
+    sizes = identities.select("domain").distinct().withColumn("d", F.row_number().over(W.Window.orderBy("domain")) - 1)
+    n_domains = sizes.count()
+    drawn = spark.range(n_batches).select(F.col("id").alias("batch"), pick(n_domains, f"{seed}:domain", "id").alias("d")).join(F.broadcast(sizes), "d")  # a row per domain
+    by = W.Window.partitionBy("batch").orderBy(draw_key(f"{seed}:slot", "batch", "pid"), "pid")
+    placed = drawn.join(identities.select("domain", "pid"), "domain").withColumn("slot", (F.row_number().over(by) - 1).cast("long"))
+    return placed.where(F.col("slot") < size).select("batch", "slot", "domain", "pid")
+
+
+def check_budget(pool: DataFrame, k: int) -> None:
+    """A budget that the pool cannot meet is an error."""
+    if (n := pool.limit(k).count()) < k:
+        raise ValueError(f"budget {k} exceeds the pool's {n} rows")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from vistrel.operators import runs, samples
 from vistrel.plans.registry import query
 from vistrel.sources.readers import task_plan
-from vistrel.sources.views import IMAGES, images
+from vistrel.sources.views import IMAGES, images, table
 
 
 
@@ -153,3 +153,32 @@ _PLAN = ["# first group", "train_a | python a.py --k 4", "train_b | python b.py"
 )
 def task_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return task_plan(spark.createDataFrame(list(enumerate(_PLAN)), "line_no long, value string"))
+
+
+@query(f"WITH {IMAGES}, f AS (SELECT image_idx, row_number() OVER (ORDER BY {_key('23', 'image_idx')}, image_idx) AS pos FROM images WHERE subset = 'train') SELECT pos, image_idx AS a_idx, image_idx AS b_idx FROM f WHERE pos <= 8")
+def pseudo_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return samples.pseudo_pairs(_slim(spark, sf_dir), 8, 23)
+
+
+@query(
+    f"""WITH {IMAGES}, ids AS (SELECT DISTINCT subset AS domain, pid FROM images),
+    sz AS (SELECT domain, row_number() OVER (ORDER BY domain) - 1 AS d FROM (SELECT DISTINCT domain FROM ids)),
+    b AS (SELECT range AS batch, {_number('29:domain', 'range')} % 3 AS d FROM range(50)),
+    s AS (SELECT batch, domain, pid, row_number() OVER (PARTITION BY batch ORDER BY {_key('29:slot', 'batch', 'pid')}, pid) - 1 AS slot FROM b JOIN sz USING (d) JOIN ids USING (domain))
+    SELECT batch, slot, domain, pid FROM s WHERE slot < 6"""
+)
+def batch_sampler_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = images(spark, sf_dir, feat=False).select(F.col("subset").alias("domain"), "pid").distinct()
+    return samples.unique_batches(ids, 50, 6, 29)
+
+
+@query("SELECT * FROM (VALUES ('--lr', '0.1'), ('--k', '4'), ('--seed', '1')) v(flag, value)")
+def option_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [(0, "--lr", "0.1"), (1, "--k", "4"), (2, "--lr", "0.01"), (3, "--seed", "1"), (4, "--k", "16")]
+    return runs.fold_options(spark.createDataFrame(rows, "pos int, flag string, value string"))
+
+
+@query("SELECT a.region AS target, list(b.region ORDER BY b.region) AS sources FROM (SELECT r_name AS region FROM region) a JOIN (SELECT r_name AS region FROM region) b ON a.region <> b.region GROUP BY a.region")
+def leave_one_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The region names stand for domains."""
+    return runs.leave_one_out(table(spark, sf_dir, "region").select(F.col("r_name").alias("domain")))
