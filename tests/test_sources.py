@@ -75,3 +75,31 @@ def test_sinks(spark, tmp_path):
     done = spark.createDataFrame([("A", 0), ("B", 1)], "name string, status int")
     assert [r["name"] for r in sinks.todo(old, done).collect()] == ["B"]
     assert sinks.markdown(b).splitlines()[-1] == "| 2 | 0.50 |"
+
+
+def test_splits_and_folders(spark, tmp_path):
+    from vistrel.operators.identity import load_split
+
+    rows = [(0, "train", "a"), (0, "query", "b"), (1, "train", "a"), (1, "gallery", "a")]
+    images = spark.createDataFrame(rows, "split int, subset string, path string")
+    assert load_split(images, 0).count() == 2
+    with pytest.raises(ValueError, match="split 1"):
+        load_split(images, 1)
+    for d in ("val_b", "val_a", "other"):
+        (tmp_path / d).mkdir()
+        (tmp_path / d / "x.json").write_text("{}")
+    assert [r["name"] for r in readers.folders(spark, str(tmp_path), "val_").collect()] == ["val_a", "val_b"]
+
+
+def test_task_plan_and_repeated_names(spark):
+    lines = ["a | x", "a | y", "@wait", "b | z"]
+    plan = readers.task_plan(spark.createDataFrame(list(enumerate(lines)), "line_no long, value string"))
+    assert [(r["group"], r["name"]) for r in plan.orderBy("line_no").collect()] == [(0, "a"), (0, "a"), (1, "b")]
+    assert [r["name"] for r in readers.repeated_names(plan).collect()] == ["a"]
+
+
+def test_option_lists(spark):
+    from pyspark.sql import functions as F
+
+    row = spark.createDataFrame([("1, 2,,3",)], "o string").select(readers.option_list(F.col("o"), "int").alias("i"), readers.option_list(F.col("o"), "double").alias("d")).first()
+    assert row["i"] == [1, 2, 3] and row["d"] == [1.0, 2.0, 3.0]

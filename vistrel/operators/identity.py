@@ -119,3 +119,12 @@ def within_identity_pairs(images: DataFrame) -> DataFrame:
     """Unordered image pairs of the identities that two cameras saw."""
     kept = images.join(eligible_identities(images).select("pid"), "pid", "left_semi").select("pid", "image_idx")
     return kept.withColumnRenamed("image_idx", "a_idx").join(kept.withColumnRenamed("image_idx", "b_idx"), "pid").where("a_idx < b_idx")
+
+
+def load_split(images: DataFrame, split: int) -> DataFrame:
+    """The cached images of one split (columns split, subset); a pool image that the evaluation uses too is an error."""
+    one = images.where(F.col("split") == split).cache()
+    if not leaks(one.where("subset = 'train'"), one.where("subset <> 'train'")).isEmpty():
+        one.unpersist()
+        raise ValueError(f"split {split} has images both in the pool and in the evaluation")
+    return one

@@ -155,3 +155,9 @@ def parse_urls(pages: DataFrame) -> DataFrame:
     path = F.regexp_extract(url, r"^[a-z]+://[^/]+(/[^?#]*)?", 1)
     last = F.regexp_extract(path, r"([^/]*)$", 1)
     return pages.select("page_id", F.regexp_extract(url, r"^([a-z]+)://", 1).alias("scheme"), F.regexp_extract(url, r"^[a-z]+://([^/?#]+)", 1).alias("host"), path.alias("path"), last.alias("last_part"), F.regexp_extract(last, r"(-?\d+)", 1).alias("number"))
+
+
+def folders(spark: SparkSession, root: str, prefix: str = "") -> DataFrame:
+    """(name) of the folders below root that start with a prefix and hold files, in their order."""
+    name = F.regexp_extract("path", r"([^/]+)/[^/]+$", 1)
+    return files(spark, root).select(name.alias("name")).where(F.col("name").startswith(prefix)).distinct().orderBy("name")
