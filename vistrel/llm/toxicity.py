@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,11 +27,11 @@ from vistrel.llm.labelled import training_sample
 
 #: Buckets of the hashed words; steps, step size and pull to zero of the training; sentence probability that offends.
 BUCKETS, STEPS, RATE, PULL, OFFENDS = 1 << 16, 160, 0.15, 2e-5, 0.5
-#: Longest document that is trained on; every document is scored, whatever its length.
-TRAINING_CHARS = 16_000
+#: Labelled documents that are trained on at most, and the longest of them; every document is scored, whatever its length.
+TRAINING_ROWS, TRAINING_CHARS = 9_000, 16_000
 #: Where a sentence starts: its log odds without words.
 BIAS = -5.0
-CACHE_WORDS = 400_000
+CACHE_WORDS = 100_000
 #: Besides itself a word has its beginnings of these lengths as features, so inflected forms share what is learnt.
 STEMS = (4, 5, 6)
 TOKEN = re.compile(r"\w+|[.!?\n]")
@@ -96,27 +97,35 @@ class ToxicityModel:
 def train_noisy_or(texts: list[str | None], labels: np.ndarray) -> ToxicityModel:
     if len(labels) == 0 or labels.min() == labels.max():
         return ToxicityModel(np.zeros(BUCKETS), BIAS, float(labels.mean()) if len(labels) else 0.0)
-    bags, words, sentence, document, n = Bags(), [], [], [], 0
-    for k, text in enumerate(texts):
+    bags, parts, sizes = Bags(), [], []
+    for text in texts:
         w, s, m = sentence_of(bags.ids(text))
-        words.append(w)
-        sentence.append(s + n)
-        document.append(np.full(m, k))
-        n += m
-    words, sentence, document = np.concatenate(words), np.concatenate(sentence), np.concatenate(document)
-    lists = [buckets_of(w) for w in bags.words]
-    owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-    used, feature = np.unique(np.concatenate([np.array(x) for x in lists] or [np.zeros(0, int)]), return_inverse=True)
+        parts.append(np.stack([w, s]).astype(np.int32))
+        sizes.append(m)
+    n = sum(sizes)
+    document = np.repeat(np.arange(len(sizes)), sizes)
+    shift = np.cumsum(sizes) - sizes
+    words = np.concatenate([p[0] for p in parts]).astype(np.int64)
+    sentence = np.concatenate([p[1] + k for p, k in zip(parts, shift, strict=True)])
+    flat, lengths = array("i"), array("i")
+    for word in bags.words:
+        keys = buckets_of(word)
+        flat.extend(keys)
+        lengths.append(len(keys))
+    n_words = len(bags.words)
+    del parts, bags
+    owner = np.repeat(np.arange(n_words), np.frombuffer(lengths, np.int32))
+    used, feature = np.unique(np.frombuffer(flat, np.int32), return_inverse=True)
     w, bias = np.zeros(len(used)), BIAS
     m, v, mb, vb = np.zeros(len(used)), np.zeros(len(used)), 0.0, 0.0
     for step in range(1, STEPS + 1):
-        z = bias + np.bincount(sentence, np.bincount(owner, w[feature], len(lists))[words], n)
+        z = bias + np.bincount(sentence, np.bincount(owner, w[feature], n_words)[words], n)
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         none = np.exp(np.bincount(document, np.log1p(-np.minimum(p, 1 - 1e-9)), len(labels)))
         some = np.maximum(1 - none, 1e-9)
         share = np.where(labels == 1, -none / some, 1.0) / len(labels)
         d = p * share[document]
-        g, gb = np.bincount(feature, np.bincount(words, d[sentence], len(lists))[owner], len(used)), d.sum()
+        g, gb = np.bincount(feature, np.bincount(words, d[sentence], n_words)[owner], len(used)), d.sum()
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         a, b = 1 - 0.9**step, 1 - 0.999**step
@@ -131,7 +140,7 @@ def train_noisy_or(texts: list[str | None], labels: np.ndarray) -> ToxicityModel
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 3, fold: int = 1) -> ToxicityModel:
     bounded_batches(docs.sparkSession)
-    rows = training_sample(docs, labels, "toxic", folds, fold).where(F.coalesce(F.length("text"), F.lit(0)) <= TRAINING_CHARS).toPandas()
+    rows = training_sample(docs, labels, "toxic", folds, fold, TRAINING_ROWS).where(F.coalesce(F.length("text"), F.lit(0)) <= TRAINING_CHARS).toPandas()
     rows = rows.sort_values("doc_id", kind="stable")
     return train_noisy_or(rows["text"].tolist(), rows["label"].to_numpy(float))
 
