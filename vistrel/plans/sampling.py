@@ -29,10 +29,12 @@ _ANNOTATED = f"""WITH {IMAGES}, t AS (SELECT * FROM images WHERE subset = 'train
                   FROM n LEFT JOIN o ON n.pos = o.pos AND o.rn = 1)"""
 
 
-@query(f"{_ANNOTATED} SELECT * FROM annotated")
+@query(f"{_ANNOTATED} SELECT pos, image_idx, pid, coalesce(partner_idx, -1) AS partner_idx, outcome FROM annotated")
 def annotate_random(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The operator's null for no partner is shown as -1, so that the column stays a whole number everywhere."""
     train = _slim(spark, sf_dir)
-    return samples.annotate(samples.draw_k(train.drop("pid"), "image_idx", 16, 3), train, 3)
+    annotated = samples.annotate(samples.draw_k(train.drop("pid"), "image_idx", 16, 3), train, 3)
+    return annotated.withColumn("partner_idx", F.coalesce("partner_idx", F.lit(-1).cast("long")))
 
 
 @query(f"{_ANNOTATED} SELECT count(*) AS k, count(*) FILTER (outcome = 'pair') AS n_pairs, count(*) FILTER (outcome = 'fail') AS n_fail, count(*) FILTER (outcome = 'dup') AS n_dup FROM annotated")
