@@ -44,7 +44,7 @@ STEP, MISS = 24, 1e-5
 BLOCK_OUT, BLOCK_ALL = 256, 2048
 #: Ids up to which the side that picks rows is broadcast (8 bytes each); beyond it both sides are shuffled.
 BROADCAST_ROWS = 1_000_000
-CACHE_WORDS, CACHE_SETS, CACHE_BYTES = 500_000, 128, 64 << 20
+CACHE_WORDS, CACHE_SETS, CACHE_BYTES = 150_000, 128, 32 << 20
 
 _rng = np.random.default_rng(9)
 _MULTIPLY = _rng.integers(0, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -130,7 +130,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             key.append(hashlib.md5(s.tobytes(), usedforsecurity=False).digest() if len(s) else None)
             fresh = len(s) and key[-1] not in seen
             if fresh:  # copies within a task need no second signature
-                if len(seen) > 200_000:
+                if len(seen) > 50_000:
                     seen.clear()
                 seen.add(key[-1])
             sig.append(signature(s).tobytes() if fresh else None)
