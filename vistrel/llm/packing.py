@@ -27,7 +27,7 @@ from vistrel.llm.common import bounded_batches, materialise
 #: Tokens of a sequence, the end mark, open bins of a shard, and pieces that a shard gets on average.
 SEQUENCE, END_ID, OPEN_BINS, SHARD_PIECES = 2048, 0, 1 << 14, 1 << 15
 #: Distinct words of which a worker remembers the ids.
-CACHE_WORDS = 700_000
+CACHE_WORDS = 300_000
 
 #: Texts of these characters alone are split here; all others go to the tokenizer whole. Within them lower-casing is
 #: a character's own affair, nothing composes, and letters, numbers and white space are the ranges below.
