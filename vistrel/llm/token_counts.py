@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from vistrel.llm.common import bounded_batches
 
 WORD_MARK, UNKNOWN = "▁", 10.0
-CACHE_STRETCHES, CACHE_CHARS = 700_000, 64
+CACHE_STRETCHES, CACHE_CHARS = 300_000, 64
 
 
 def unigram_vocabulary(path: str) -> list[tuple[str, float]]:
