@@ -29,7 +29,7 @@ from vistrel.llm.labelled import training_sample
 BUCKETS, DIMS, NONZERO, CHUNK_TOKENS = 1 << 14, 32, 4, 200_000
 #: Hidden units, passes, rows of a step and step size of the network.
 HIDDEN, EPOCHS, STEP_ROWS, RATE = 24, 40, 128, 3e-3
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 
 
