@@ -68,6 +68,18 @@ def test_near_sentences_link_and_far_ones_do_not(documents):
     assert len(a & b) / len(a | b) >= 0.8
 
 
+def test_near_pairs_behind_an_unlike_leader_of_their_bucket_link(documents):
+    """All sentences share 26 of 36 shingles, so loose buckets hold many of them and their leader is mostly unlike a pair."""
+    common = [f"c{k}" for k in range(30)]
+    rows = []
+    for k in range(150):
+        tail = [f"p{k}t{n}" for n in range(9)]
+        rows += [(2 * k, " ".join([*common, *tail, "one."])), (2 * k + 1, " ".join([*common, *tail, "two."]))]
+    got = repeated_passages(documents(rows, 4)).collect()
+    assert {r["doc_id"] for r in got} == set(range(300))
+    assert {(r["doc_id"], x["owner_doc_id"]) for r in got for x in r["removals"]} == {(2 * k + 1, 2 * k) for k in range(150)}
+
+
 def test_edges(documents, edge_rows):
     got = repeated_passages(documents(edge_rows), passage_words=MIN_WORDS).collect()
     assert {r["doc_id"] for r in got} == set(range(100, 160)) and {x["owner_doc_id"] for r in got for x in r["removals"]} == {100}

@@ -7,8 +7,11 @@ words: whatever surrounds a passage, the sentences inside it stay whole.
 2. Distinct sentences of a task are banded: BANDS bands of ROWS MinHash values, which miss a pair of similarity 0.8 with
    probability (1 - 0.8^2)^5 = 0.6 %. A bucket's least key leads, each other key is paired with it; copies share their
    key and cost a row per task. The pairs are verified by exact Jaccard on the shingle sets of both sentences.
-3. Components of the verified pairs make classes of keys; a class whose sentences lie in two or more documents repeats.
-4. Runs of repeating sentences in a document are passages (shorter sentences may stand between them, an unrepeated one of
+3. A bucket's further keys are searched for links as well: where they lie in several components, blocks of those outside the
+   leader's component meet blocks of all, and pairs of different components that can be similar by prefix filtering (which
+   loses none) are verified. At most a link a key leaves a block, so every pair of a bucket is tested or already connected.
+4. Components of all links make classes of keys; a class whose sentences lie in two or more documents repeats.
+5. Runs of repeating sentences in a document are passages (shorter sentences may stand between them, an unrepeated one of
    MIN_WORDS words or more ends a run); from PASSAGE_WORDS repeating words on they are reported. The smallest document id of
    a class owns it and keeps its sentences; a passage lists those that others own, which are its removals.
 
@@ -18,7 +21,9 @@ rows that repeat an id. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from vistrel.llm.common import bounded_batches, materialise
+from vistrel.llm.common import bounded_batches, drop_tables, materialise
 from vistrel.llm.components import connected_components
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -38,7 +43,9 @@ BANDS, ROWS = 5, 2
 MIN_WORDS, PASSAGE_WORDS = 8, 24
 #: Keys up to which those that pick sentences for verification are sent to each task (8 bytes each).
 BROADCAST_ROWS = 1_000_000
-CACHE_WORDS, CACHE_KEYS = 200_000, 100_000
+CACHE_WORDS, CACHE_KEYS, CACHE_SHINGLES = 200_000, 100_000, 200_000
+#: Outlying and all further keys of a block in step 3.
+BLOCK_OUT, BLOCK_ALL = 256, 2048
 _END = re.compile(r"(?<=[.!?])\s+|\n+")
 
 _rng = np.random.default_rng(7)
@@ -122,7 +129,7 @@ def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _leads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (bucket, key): each further key of a bucket with the bucket's first."""
+    """Rows sorted by (bucket, key): each further key of a bucket with the bucket and its first key."""
     bucket = lead = None
     for b in batches:
         if not b.num_rows:
@@ -135,7 +142,7 @@ def _leads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         leader = np.where(at >= 0, v[at], lead if lead is not None else 0)
         bucket, lead = k[-1], leader[-1]
         keep = leader != v
-        yield pa.RecordBatch.from_arrays([pa.array(leader[keep]), pa.array(v[keep])], names=["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(k[keep]), pa.array(leader[keep]), pa.array(v[keep])], names=["bucket", "a", "b"])
 
 
 def _picked_sentences(wanted: Broadcast | None):
@@ -166,23 +173,111 @@ def shingles(sentence: str) -> set[tuple[str, ...]]:
     return {tuple(words[k : k + SHINGLE]) for k in range(len(words) - SHINGLE + 1)}
 
 
+def _similar(p: set, q: set) -> bool:
+    shared = len(p & q)
+    return shared >= SIMILARITY * (len(p) + len(q) - shared)
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        keep = []
-        for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-            p, q = shingles(x), shingles(y)
-            shared = len(p & q)
-            keep.append(shared >= SIMILARITY * (len(p) + len(q) - shared))
+        keep = [_similar(shingles(x), shingles(y)) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
         yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
 
+def block_links(rows: list[tuple[int, int, bool, str]]) -> list[tuple[int, int]]:
+    """Links between components of one block of (key, component, outlying, sentence); each joins two of them."""
+    index: dict[int, list[int]] = defaultdict(list)
+    prefixes = []
+    for n, (_, _, outlying, text) in enumerate(rows):
+        # sets of similarity t share one of the least (1 - t) n + 1 values of each, in any common order
+        values = sorted(map(hash, shingles(text)))
+        prefixes.append(values[: len(values) - math.ceil(SIMILARITY * len(values) - 1e-9) + 1] if outlying else [])
+        if not outlying:
+            for v in values[: len(values) - math.ceil(SIMILARITY * len(values) - 1e-9) + 1]:
+                index[v].append(n)
+    above: dict[int, int] = {}
+    sets: dict[int, set] = {}
+    held = 0
+
+    def root(c: int) -> int:
+        while (up := above.get(c, c)) != c:
+            above[c] = c = above.get(up, up)
+        return c
+
+    links = []
+    for x, prefix in enumerate(prefixes):
+        for y in {y for v in prefix for y in index.get(v, ())}:
+            p, q = root(rows[x][1]), root(rows[y][1])
+            if p == q:
+                continue
+            for r in (x, y):
+                if r not in sets:
+                    if held > CACHE_SHINGLES:
+                        sets, held = {k: v for k, v in sets.items() if k in (x, y)}, 0
+                    sets[r] = shingles(rows[r][3])
+                    held += len(sets[r])
+            if _similar(sets[x], sets[y]):
+                above[max(p, q)] = min(p, q)
+                links.append((rows[x][0], rows[y][0]))
+    return links
+
+
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (bucket, i, j): the links of each block."""
+
+    def out(rows: list) -> pa.RecordBatch:
+        got = np.array(block_links(rows), np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], names=["a", "b"])
+
+    block, held = None, []
+    for b in batches:
+        for bucket, i, j, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if (bucket, i, j) != block and held:
+                yield out(held)
+                held = []
+            block = (bucket, i, j)
+            held.append(row)
+    if held:
+        yield out(held)
+
+
+def _links_across(led: DataFrame, component: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Links (a, b) between further keys of a bucket whose components differ; led has bucket, leader a, further key b."""
+    main = component.select(F.col("node").alias("a"), F.col("component").alias("main"))
+    shared = led.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    labelled = (
+        led.join(shared, "bucket")
+        .join(component.withColumnRenamed("node", "b"), "b", "left")
+        .join(main, "a", "left")
+        .select("bucket", F.col("b").alias("key"), F.coalesce("component", "b").alias("comp"), (F.coalesce("component", "b") != F.coalesce("main", "a")).alias("outlying"))
+    )
+    labelled = materialise(labelled, "unit-labelled")
+    spread = (
+        labelled.groupBy("bucket")
+        .agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n_all"), F.count_if("outlying").alias("n_out"))
+        .where("low <> high")
+        .select("bucket", F.ceil(F.col("n_out") / BLOCK_OUT).cast("int").alias("i_n"), F.ceil(F.col("n_all") / BLOCK_ALL).cast("int").alias("j_n"))
+    )
+    blocks = labelled.join(spread, "bucket").join(chosen, "key")
+    place = F.abs(F.xxhash64("key") % 1_000_003)
+    i, j = (place % F.col("i_n")).cast("int"), (place % F.col("j_n")).cast("int")
+    out_rows = blocks.where("outlying").select("bucket", i.alias("i"), F.explode(F.sequence(F.lit(0), F.col("j_n") - 1)).alias("j"), "key", "comp", "outlying", "sentence")
+    all_rows = blocks.select("bucket", F.explode(F.sequence(F.lit(0), F.col("i_n") - 1)).alias("i"), j.alias("j"), "key", "comp", F.lit(False).alias("outlying"), "sentence")
+    cross = out_rows.unionByName(all_rows).repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(_across, "a long, b long")
+    found = materialise(cross.distinct(), "unit-links")
+    drop_tables(labelled)
+    return found
+
+
 def repeated_passages(docs: DataFrame, passage_words: int = PASSAGE_WORDS) -> DataFrame:
     """A row per passage of docs (columns doc_id, text) that other documents share:
     doc_id, start, end (code points), words, removed, removals as (start, end, component, owner_doc_id)."""
     bounded_batches(docs.sparkSession)
     units = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_units, "doc_id long, n long, start long, end long, words long, key long"), "units")
     texts = docs.select("text")
-    near = materialise(texts.mapInArrow(_banded, "bucket long, key long").repartition("bucket").sortWithinPartitions("bucket", "key").mapInArrow(_leads, "a long, b long").distinct(), "unit-pairs")
+    banded = texts.mapInArrow(_banded, "bucket long, key long").repartition("bucket").sortWithinPartitions("bucket", "key")
+    led = materialise(banded.mapInArrow(_leads, "bucket long, a long, b long").distinct(), "unit-buckets")
+    near = materialise(led.select("a", "b").distinct(), "unit-pairs")
     wanted = near.select(F.col("a").alias("key")).unionByName(near.select(F.col("b").alias("key"))).distinct()
     sent = None
     if wanted.count() <= BROADCAST_ROWS:  # at most 8 MB, as a sorted array
@@ -193,6 +288,9 @@ def repeated_passages(docs: DataFrame, passage_words: int = PASSAGE_WORDS) -> Da
     paired = near.join(chosen.select(F.col("key").alias("a"), F.col("sentence").alias("sa")), "a").join(chosen.select(F.col("key").alias("b"), F.col("sentence").alias("sb")), "b")
     links = paired.select("a", "b", "sa", "sb").mapInArrow(_verify, "a long, b long")
     component = connected_components(links)
+    more = _links_across(led, component, chosen)
+    if not more.isEmpty():
+        component = connected_components(component.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
 
     keys = units.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
     classed = keys.join(component.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
