@@ -3,7 +3,7 @@ from __future__ import annotations
 import random
 
 from vistrel.llm.queries import QUERIES
-from vistrel.llm.substring_dedup import MIN_WORDS, repeated_passages, sentences, shingles
+from vistrel.llm.substring_dedup import MIN_WORDS, repeated_passages, sentences, shingles, units
 
 
 def prose(rng, n):
@@ -80,6 +80,45 @@ def test_near_pairs_behind_an_unlike_leader_of_their_bucket_link(documents):
     assert {(r["doc_id"], x["owner_doc_id"]) for r in got for x in r["removals"]} == {(2 * k + 1, 2 * k) for k in range(150)}
 
 
+def verse(rng, n):
+    return [" ".join(f"w{rng.randint(0, 5000)}" for _ in range(rng.randint(1, 7))) for _ in range(n)]
+
+
+def test_passages_of_short_lines_are_found_whatever_short_lines_surround_them(documents):
+    rng = random.Random(8)
+    shared = [verse(rng, 20) for _ in range(3)]
+    rows = [(k, "\n".join(verse(rng, rng.randint(1, 30)) + (shared[k % 3] if k % 2 else []) + verse(rng, rng.randint(1, 30)))) for k in range(40)]
+    got = repeated_passages(documents(rows)).collect()
+    assert {r["doc_id"] for r in got} == {k for k in range(40) if k % 2}
+    left = dict(rows)
+    for r in got:
+        assert r["words"] >= len(" ".join(shared[r["doc_id"] % 3]).split()) - MIN_WORDS
+        assert r["end"] - r["start"] <= len("\n".join(shared[r["doc_id"] % 3]))
+        for x in sorted(r["removals"], key=lambda x: -x["start"]):
+            left[r["doc_id"]] = left[r["doc_id"]][: x["start"]] + left[r["doc_id"]][x["end"] :]
+    everything = "\n".join(left.values())
+    assert all(line in everything for part in shared for line in part)
+    assert sum(map(len, left.values())) < sum(len(t) for _, t in rows) - 0.8 * 17 * sum(len(" ".join(p)) for p in shared) / 3
+
+
+def test_units_cover_every_run_of_short_sentences():
+    rng = random.Random(9)
+    for _ in range(300):
+        found = list(sentences("\n".join(verse(rng, rng.randint(0, 6)) + ["a long line of eight words or more here"] * rng.randint(0, 1) + verse(rng, rng.randint(0, 6)))))
+        covered, at = set(), []
+        for first, last, words in units(found):
+            assert len(words) >= MIN_WORDS and words == [w for s in found[first : last + 1] for w in s[2]]
+            assert first == last or all(len(s[2]) < MIN_WORDS for s in found[first : last + 1])
+            covered |= set(range(first, last + 1))
+            at.append((first, last))
+        assert len(at) == len(set(at))
+        short = 0
+        for n, s in enumerate([*found, (0, 0, [""] * MIN_WORDS)]):
+            if len(s[2]) >= MIN_WORDS:
+                assert short >= n or n - short == len(covered & set(range(short, n))) or sum(len(f[2]) for f in found[short:n]) < MIN_WORDS
+                short = n + 1
+
+
 def test_edges(documents, edge_rows):
     got = repeated_passages(documents(edge_rows), passage_words=MIN_WORDS).collect()
     assert {r["doc_id"] for r in got} == set(range(100, 160)) and {x["owner_doc_id"] for r in got for x in r["removals"]} == {100}

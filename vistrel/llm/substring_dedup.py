@@ -1,22 +1,27 @@
 """Substring deduplication by paragraph MinHash banding.
 
 Passages are inserted into lines as well as beside them, so the paragraphs that are compared are the sentences of at least MIN_WORDS
-words: whatever surrounds a passage, the sentences inside it stay whole.
+words: whatever surrounds a passage, the sentences inside it stay whole. Shorter neighbours are compared as units of at least MIN_WORDS
+words, one from each short sentence on, so verse, lists and wrapped lines are found wherever the first of them stands.
 
-1. A scan lists the sentences of every text with a key, the hash of the normalised words.
-2. Distinct sentences of a task are banded: BANDS bands of ROWS MinHash values, which miss a pair of similarity 0.8 with
+1. A scan lists the units of every text with a key, the hash of the normalised words.
+2. Distinct long sentences of a task are banded: BANDS bands of ROWS MinHash values, which miss a pair of similarity 0.8 with
    probability (1 - 0.8^2)^5 = 0.6 %. A bucket's least key leads, each other key is paired with it; copies share their
    key and cost a row per task. The pairs are verified by exact Jaccard on the shingle sets of both sentences.
 3. A bucket's further keys are searched for links as well: where they lie in several components, blocks of those outside the
    leader's component meet blocks of all, and pairs of different components that can be similar by prefix filtering (which
    loses none) are verified. At most a link a key leaves a block, so every pair of a bucket is tested or already connected.
 4. Components of all links make classes of keys; a class whose sentences lie in two or more documents repeats.
-5. Runs of repeating sentences in a document are passages (shorter sentences may stand between them, an unrepeated one of
-   MIN_WORDS words or more ends a run); from PASSAGE_WORDS repeating words on they are reported. The smallest document id of
-   a class owns it and keeps its sentences; a passage lists those that others own, which are its removals.
+   Units of short sentences have at most 14 words and are compared by their key alone: two of them are similar if they are equal,
+   or if of 13 or 14 words and unlike in a word at their edge, where the units beside them hold the rest.
+5. Runs of repeating units in a row are passages: an unrepeated sentence of MIN_WORDS words or more ends a run, as do shorter
+   ones of PASSAGE_WORDS words together. From PASSAGE_WORDS repeating words on, each counted once, they are reported. The
+   smallest document id of a class owns it and keeps its sentences; a passage lists what units that others own cover, which
+   are its removals. Owners get smaller from unit to unit, so what is removed is kept somewhere. A sentence-aligned passage
+   of 50 words counts PASSAGE_WORDS at least: short sentences without a unit lie between or beside ones that count.
 
 Words are runs of anything but white space, lower-cased. Null texts count as empty. Null ids count as one document, as do
-rows that repeat an id. An empty table gives an empty result.
+rows that repeat an id; passages are by row. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -39,7 +44,7 @@ from vistrel.llm.components import connected_components
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 5, 2
-#: Least words of a sentence that is compared, and of a passage that is reported.
+#: Least words of a unit that is compared, and of a passage that is reported.
 MIN_WORDS, PASSAGE_WORDS = 8, 24
 #: Keys up to which those that pick sentences for verification are sent to each task (8 bytes each).
 BROADCAST_ROWS = 1_000_000
@@ -72,18 +77,64 @@ def _key(words: list[str]) -> int:
     return xxhash.xxh3_64_intdigest(" ".join(words).encode("utf-8", "surrogatepass")) - 2**63
 
 
+def units(found: list[tuple[int, int, list[str]]]) -> Iterator[tuple[int, int, list[str]]]:
+    """First and last sentence and words of each unit: long sentences, and from each short one on as many of its short
+    neighbours as make MIN_WORDS words; the last ones of a run of short sentences are reached from its end."""
+    k = 0
+    while k < len(found):
+        if len(found[k][2]) >= MIN_WORDS:
+            yield k, k, found[k][2]
+            k += 1
+            continue
+        end = k
+        while end < len(found) and len(found[end][2]) < MIN_WORDS:
+            end += 1
+        upto, words = k, []
+        for at in range(k, end):
+            while len(words) < MIN_WORDS and upto < end:
+                words = words + found[upto][2]
+                upto += 1
+            if len(words) < MIN_WORDS:
+                if at > k and reached < end:  # a unit back from the end holds what is left
+                    while len(words) < MIN_WORDS:
+                        at -= 1
+                        words = found[at][2] + words
+                    yield at, end - 1, words
+                break
+            yield at, upto - 1, words
+            reached = upto
+            words = words[len(found[at][2]) :]
+        k = end
+
+
+def _weight(words: int) -> int:
+    """What an unrepeated sentence weighs against a run."""
+    return words if words < MIN_WORDS else PASSAGE_WORDS
+
+
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per unit: its place, the words of the text before it and up to its end, the weight of the same, its key."""
+    names = ["row", "doc_id", "start", "end", "low", "high", "light", "heavy", "key"]
     for b in batches:
-        ids, number, start, end, size, key = [], [], [], [], [], []
-        for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            for n, (s, e, words) in enumerate(sentences(text)):
+        columns = [[] for _ in names]
+        row, ids, start, end, low, high, light, heavy, key = columns
+        for r, i, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            found = list(sentences(text))
+            count, weight = [0], [0]
+            for _, _, words in found:
+                count.append(count[-1] + len(words))
+                weight.append(weight[-1] + _weight(len(words)))
+            for first, last, words in units(found):
+                row.append(r)
                 ids.append(i)
-                number.append(n)
-                start.append(s)
-                end.append(e)
-                size.append(len(words))
-                key.append(_key(words) if len(words) >= MIN_WORDS else None)
-        yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in (ids, number, start, end, size, key))], names=["doc_id", "n", "start", "end", "words", "key"])
+                start.append(found[first][0])
+                end.append(found[last][1])
+                low.append(count[first])
+                high.append(count[last + 1])
+                light.append(weight[first])
+                heavy.append(weight[last + 1])
+                key.append(_key(words))
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
 
 
 def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,7 +324,8 @@ def repeated_passages(docs: DataFrame, passage_words: int = PASSAGE_WORDS) -> Da
     """A row per passage of docs (columns doc_id, text) that other documents share:
     doc_id, start, end (code points), words, removed, removals as (start, end, component, owner_doc_id)."""
     bounded_batches(docs.sparkSession)
-    units = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_units, "doc_id long, n long, start long, end long, words long, key long"), "units")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    listed = materialise(rows.mapInArrow(_units, "row long, doc_id long, start long, end long, low long, high long, light long, heavy long, key long"), "units")
     texts = docs.select("text")
     banded = texts.mapInArrow(_banded, "bucket long, key long").repartition("bucket").sortWithinPartitions("bucket", "key")
     led = materialise(banded.mapInArrow(_leads, "bucket long, a long, b long").distinct(), "unit-buckets")
@@ -292,19 +344,24 @@ def repeated_passages(docs: DataFrame, passage_words: int = PASSAGE_WORDS) -> Da
     if not more.isEmpty():
         component = connected_components(component.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
 
-    keys = units.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+    keys = listed.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
     classed = keys.join(component.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    repeating = classed.groupBy("component").agg(F.min("low").alias("owner"), F.max("high").alias("last")).where("owner <> last").select("component", "owner")
+    repeating = classed.groupBy("component").agg(F.min("least").alias("owner"), F.max("most").alias("last")).where("owner <> last").select("component", "owner")
     marked = classed.select("key", "component").join(repeating, "component").select("key", "component", "owner")
-    found = units.join(marked, "key", "left")
-    by = W.Window.partitionBy("doc_id").orderBy("n", "start")
-    open_ = F.col("component").isNull() & (F.col("words") >= MIN_WORDS)
-    runs = found.withColumn("run", F.sum(open_.cast("int")).over(by)).where("component is not null")
-    listed = F.array_sort(F.collect_list(F.struct("start", "end", "component", F.col("owner").alias("owner_doc_id"))))
+    by = W.Window.partitionBy("row").orderBy("start", "end")
+    past = by.rowsBetween(W.Window.unboundedPreceding, -1)
+    others = ~F.col("owner").eqNullSafe(F.col("doc_id"))
+    found = listed.join(marked, "key").select(
+        "*",
+        F.greatest(F.col("high") - F.greatest("low", F.max("high").over(past)), F.lit(0)).alias("words"),
+        F.coalesce((F.col("light") - F.max("heavy").over(past) >= PASSAGE_WORDS).cast("int"), F.lit(0)).alias("apart"),
+        F.when(others, F.greatest("start", F.max(F.when(others, F.col("end"))).over(past))).alias("cut"),
+    )
+    removal = F.when(F.col("cut") < F.col("end"), F.struct(F.col("cut").alias("start"), "end", "component", F.col("owner").alias("owner_doc_id")))
     passages = (
-        runs.groupBy("doc_id", "run")
-        .agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("words"), listed.alias("sentences"))
+        found.withColumn("run", F.sum("apart").over(by))
+        .groupBy("row", "doc_id", "run")
+        .agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("words"), F.array_sort(F.collect_list(removal)).alias("removals"))
         .where(F.col("words") >= passage_words)
     )
-    removals = F.filter("sentences", lambda x: ~x["owner_doc_id"].eqNullSafe(F.col("doc_id")))
-    return passages.select("doc_id", "start", "end", "words", (F.size(removals) > 0).alias("removed"), removals.alias("removals"))
+    return passages.select("doc_id", "start", "end", "words", (F.size("removals") > 0).alias("removed"), "removals")
