@@ -57,6 +57,22 @@ def test_substitutions_are_tolerated(documents, bench):
     assert got == brute(rows, items)
 
 
+def test_items_at_every_place_and_with_substitutions_are_found(spark, documents):
+    rng = random.Random(4)
+    items = [(n, " ".join(f"i{n}x{k}" for k in range(n))) for n in (1, 2, 3, 5, 7, 9, 10, 11, 12, 14)]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    rows = []
+    for j, text in items:
+        for at in range(6):
+            part = text.split()
+            for n in range(at % 3 if j < 12 else 0):
+                part[rng.randrange(len(part))] = "changed"
+            rows.append((len(rows), " ".join([f"d{k}" for k in range(at)] + part + ["end"] * (at % 2))))
+    got = {(r["doc_id"], r["item_id"]): r["overlap"] for r in contaminated(documents(rows), table).collect()}
+    assert got == brute(rows, items)
+    assert len(got) > 40
+
+
 def test_edges(documents, edge_rows, bench):
     items, table = bench
     docs = documents([*edge_rows, (50, items[2][1])])

@@ -2,17 +2,22 @@
 
 Texts become lower-cased runs of letters and digits. A mask of ones and zeros lies over a window of tokens; the hash of the
 tokens under its ones ignores the others, so a substituted token under a zero does not hide the window. Every window
-of a benchmark item is hashed under every mask, and every STRIDE-th window of a document. A shared hash is a hit on a
+of a benchmark item and of a document is hashed under every mask. A shared hash is a hit on a
 diagonal, the difference of the two positions; along it the whole item is laid over the document, and the best
 segment of matches minus mismatches is the overlap. An item is in a document from MIN_OVERLAP on, or from MIN_SHARE of
-the item where that is less. Any run of SPAN + STRIDE - 1 common tokens has a hit.
+the item where that is less. Any run of SPAN common tokens has a hit.
 
-Benchmark items shorter than a window cannot be seeded and are not searched for. Null texts count as empty. A null doc_id groups with
+Items of fewer than SHORT tokens are seeded by runs of as many tokens as each segment of theirs that is an overlap must hold in a
+row, so none of their overlaps is missed; documents are hashed in runs of those lengths that such items have. Items
+without tokens are in no document. Null texts count as empty. A null doc_id groups with
 itself, like any other id; repeated rows give one result row. Items and documents may repeat: results are by id pair.
 """
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,8 +26,8 @@ from vistrel.llm.common import materialise
 #: Windows of ten tokens with six ones: each inner position is a zero in one of the masks.
 MASKS = ("1101100101", "1011010011", "1010111001")
 SPAN = len(MASKS[0])
-#: Distance of the windows that are hashed in a document.
-STRIDE = 3
+#: Tokens below which an item is seeded by plain runs.
+SHORT = 12
 #: Matches minus mismatches of a segment that is an overlap, or this share of the item's tokens.
 MIN_OVERLAP, MIN_SHARE = 12, 0.6
 #: Hash rows of the benchmark up to which its side is broadcast (each has 24 bytes); beyond it both sides are shuffled.
@@ -33,26 +38,33 @@ def _tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def _seeds(tokens: Column, stride: int) -> Column:
-    """One hash per window and mask: all windows of the first mask, then all of the second, and so on."""
-    last = F.size(tokens) - SPAN
-    starts = F.when(last >= 0, F.sequence(F.lit(0), last, F.lit(stride))).otherwise(F.array().cast("array<int>"))
+def _plain(tokens: int, min_overlap: int, min_share: float) -> str:
+    """The mask of a short item: ones, as many as any segment that is an overlap has matches in a row."""
+    need = max(1, math.ceil(min(min_overlap, tokens * min_share) - 1e-9))
+    missed = max(0, (tokens - need) // 2)
+    return "1" * min(tokens, math.ceil((need + missed) / (missed + 1)))
+
+
+def _seeds(tokens: Column, masks: tuple[str, ...]) -> Column:
+    """One hash per window and mask of one length: all windows of the first mask, then all of the second, and so on."""
+    last = F.size(tokens) - len(masks[0])
+    starts = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
 
-    def under(k: int, mask: str) -> Column:
-        return F.transform(starts, lambda i: F.xxhash64(F.lit(k), *(F.get(tokens, i + p) for p, bit in enumerate(mask) if bit == "1")))
+    def under(mask: str) -> Column:
+        return F.transform(starts, lambda i: F.xxhash64(*(F.get(tokens, i + p) for p, bit in enumerate(mask) if bit == "1")))
 
-    return F.flatten(F.array(*(under(k, mask) for k, mask in enumerate(MASKS))))
+    return F.flatten(F.array(*map(under, masks)))
 
 
-def _exploded(df: DataFrame, stride: int, place: str, *carried: str) -> DataFrame:
+def _exploded(df: DataFrame, masks: tuple[str, ...], place: str, *carried: str) -> DataFrame:
     """A row per window and mask; the tokens stay behind, as a copy in each row would grow with the text's square.
 
     A text without windows leaves a null seed, which no join matches; an inner explode would hash all windows a second
     time, in the filter that the optimizer infers from it.
     """
-    windows = F.floor((F.size("tokens") - SPAN) / stride).cast("int") + 1
-    return df.select(*carried, windows.alias("windows"), F.posexplode_outer(_seeds(F.col("tokens"), stride)).alias("k", "seed")).select(
-        *carried, "seed", (F.col("k") % F.col("windows") * stride).alias(place)
+    windows = F.size("tokens") - len(masks[0]) + 1
+    return df.select(*carried, windows.alias("windows"), F.posexplode_outer(_seeds(F.col("tokens"), masks)).alias("k", "seed")).select(
+        *carried, "seed", (F.col("k") % F.col("windows")).alias(place)
     )
 
 
@@ -73,14 +85,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_overlap: int = MIN_O
     def hashed(words: Column) -> Column:
         return F.transform(words, lambda w: F.xxhash64(w))
 
-    items = benchmark.select("item_id", hashed(_tokens(F.col("text"))).alias("tokens")).where(F.size("tokens") >= SPAN).distinct()
-    keys = _exploded(items, 1, "q", "item_id").distinct()
+    items = benchmark.select("item_id", hashed(_tokens(F.col("text"))).alias("tokens")).where(F.size("tokens") > 0).distinct()
+    sizes = sorted(r["n"] for r in items.where(F.size("tokens") < SHORT).select(F.size("tokens").alias("n")).distinct().collect())  # fewer than SHORT
+    plain: dict[str, list[int]] = {}
+    for n in sizes:
+        plain.setdefault(_plain(n, min_overlap, min_share), []).append(n)
+    seeded = [(MASKS, items.where(F.size("tokens") >= SHORT)), *(((mask,), items.where(F.size("tokens").isin(of))) for mask, of in plain.items())]
+    keys = reduce(DataFrame.unionByName, (_exploded(part, masks, "q", "item_id") for masks, part in seeded)).distinct()
     whole = items.withColumnRenamed("tokens", "item")
     if keys.count() <= BROADCAST_ROWS:
         keys, whole = F.broadcast(keys), F.broadcast(whole)
     trained = docs.select(F.col("doc_id").cast("long").alias("doc_id"), hashed(_tokens(F.col("text"))).alias("tokens"))
-    seeded = _exploded(trained, STRIDE, "p", "doc_id").join(keys, "seed")
-    hits = materialise(seeded.select("doc_id", "item_id", (F.col("p") - F.col("q")).alias("diagonal")).distinct(), "hits")
+    met = reduce(DataFrame.unionByName, (_exploded(trained, masks, "p", "doc_id").join(keys, "seed") for masks, _ in seeded))
+    hits = materialise(met.select("doc_id", "item_id", (F.col("p") - F.col("q")).alias("diagonal")).distinct(), "hits")
     low = F.greatest(F.col("diagonal"), F.lit(0))
     length = F.least(F.size("tokens"), F.col("diagonal") + F.size("item")) - low
     met = trained.join(hits, trained["doc_id"].eqNullSafe(hits["doc_id"])).drop(hits["doc_id"]).where(F.col("diagonal") < F.size("tokens"))
