@@ -101,3 +101,13 @@ def test_query(spark, sf_dir):
     made = {(k, *v) for (k, _), v in new.items()}
     assert len(made) == len(new) and not made & real
     assert not re.search("Python|Pandas|InArrow", got._jdf.queryExecution().toString())
+
+
+def test_more_one_word_names_than_four_syllables_have_are_kept_apart(spark):
+    from pyspark.sql import functions as F
+
+    name = F.concat(F.lit("open|N"), F.translate(F.lpad(F.col("id").cast("string"), 6, "0"), "0123456789", "abcdefghij"))
+    entities = spark.range(70_000).select(F.lit("name").alias("kind"), name.alias("norm"))
+    got = resolve(entities, "key")
+    assert got.count() == got.select("surrogate").distinct().count() == 70_000
+    assert got.join(entities.select(F.col("norm").alias("surrogate")), "surrogate").isEmpty()

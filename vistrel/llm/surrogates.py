@@ -98,8 +98,9 @@ def _card(stream: Column, norm: Column) -> Column:
     return F.concat(body, F.when(valid, check).otherwise(F.when(last == check, (last + 1) % 10).otherwise(last)).cast("string"))
 
 
-def _person(stream: Column, norm: Column) -> Column:
-    """A name of as many parts, in the script and with the ending of the gender."""
+def _person(stream: Column, norm: Column, attempt: Column) -> Column:
+    """A name of as many parts, in the script and with the ending of the gender; each attempt has a syllable more, so names do not run out."""
+    last = F.least(attempt, F.lit(28)) + 3  # a part has 64 digits of the stream
     gender, name = F.split_part(norm, F.lit("|"), F.lit(1)), F.split_part(norm, F.lit("|"), F.lit(2))
 
     def in_script(script: str) -> Column:
@@ -107,7 +108,7 @@ def _person(stream: Column, norm: Column) -> Column:
         ending = F.when(gender == "male", ENDINGS[script][0]).when(gender == "female", ENDINGS[script][1]).otherwise(ENDINGS[script][2])
 
         def part(i: Column) -> Column:
-            syllables = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.get(table, (_at(stream, i * 16 + k * 2 + 1, 2) % len(SYLLABLES[script])).cast("int"))), "")
+            syllables = F.array_join(F.transform(F.sequence(F.lit(0), last), lambda k: F.get(table, (_at(stream, i * 64 + k * 2 + 1, 2) % len(SYLLABLES[script])).cast("int"))), "")
             return F.initcap(F.concat(syllables, F.when(i == 0, ending).otherwise("")))
 
         return F.array_join(F.transform(F.sequence(F.lit(0), F.size(F.split(name, " ")) - 1), part), " ")
@@ -127,7 +128,7 @@ def surrogate(key: str, kind: Column, norm: Column, attempt: Column) -> Column:
         .when(kind == "ssn", _new_digits(s, norm, F.lit(0)))
         .when(kind == "phone", _new_digits(s, norm, F.greatest(F.length(norm) - 10, F.lit(0))))
         .when(kind == "card", _card(s, norm))
-        .otherwise(_person(s, norm))
+        .otherwise(_person(s, norm, attempt))
     )
 
 
