@@ -83,6 +83,21 @@ def test_edges(documents, edge_rows, bench):
     assert contaminated(docs, table.limit(0)).count() == 0
 
 
+def test_rows_are_judged_by_their_own_text(documents, bench):
+    items, table = bench
+    rows = [(None, "a clean text without an id"), (None, "x " + items[1][1]), (7, "clean"), (7, items[1][1] + " y"), (8, "clean too")]
+    docs = documents(rows)
+    assert sorted(str(r["doc_id"]) for r in contaminated(docs, table).collect()) == ["7", "None"]
+    assert sorted((str(r["doc_id"]), r["text"]) for r in drop_contaminated(docs, table).collect()) == [("7", "clean"), ("8", "clean too"), ("None", rows[0][1])]
+
+
+def test_a_common_item_in_very_many_places_of_one_text(documents, bench):
+    items, table = bench
+    text = " ".join([items[0][1]] * 400)
+    got = contaminated(documents([(1, text), (2, items[0][1])]), table).collect()
+    assert {(r["doc_id"], r["item_id"], r["overlap"], r["matched"], r["token_start"]) for r in got} == {(1, 0, 16, 16, 0), (2, 0, 16, 16, 0)}
+
+
 def test_query_finds_every_verbatim_item(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").toPandas()
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").toPandas()

@@ -9,8 +9,8 @@ the item where that is less. Any run of SPAN common tokens has a hit.
 
 Items of fewer than SHORT tokens are seeded by runs of as many tokens as each segment of theirs that is an overlap must hold in a
 row, so none of their overlaps is missed; documents are hashed in runs of those lengths that such items have. Items
-without tokens are in no document. Null texts count as empty. A null doc_id groups with
-itself, like any other id; repeated rows give one result row. Items and documents may repeat: results are by id pair.
+without tokens are in no document. Null texts count as empty. A null doc_id groups with itself, like any other id; repeated rows give
+one result row. Items and ids may repeat, with other texts too: each text is judged by itself, results are by id pair.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ SPAN = len(MASKS[0])
 SHORT = 12
 #: Matches minus mismatches of a segment that is an overlap, or this share of the item's tokens.
 MIN_OVERLAP, MIN_SHARE = 12, 0.6
-#: Hash rows of the benchmark up to which its side is broadcast (each has 24 bytes); beyond it both sides are shuffled.
+#: Hash rows of the benchmark up to which its side is broadcast (each has 28 bytes); beyond it both sides are shuffled.
 BROADCAST_ROWS = 1_000_000
 
 
@@ -57,15 +57,16 @@ def _seeds(tokens: Column, masks: tuple[str, ...]) -> Column:
 
 
 def _exploded(df: DataFrame, masks: tuple[str, ...], place: str, *carried: str) -> DataFrame:
-    """A row per window and mask; the tokens stay behind, as a copy in each row would grow with the text's square.
+    """A row per window and mask with the columns ``carried``.
 
-    A text without windows leaves a null seed, which no join matches; an inner explode would hash all windows a second
+    The seeds are a column of their own before they are exploded, so the explosion and a broadcast join behind it compile
+    into one loop, in which a carried array is a reference; only rows that meet a seed are ever written. A text
+    without windows leaves a null seed, which no join matches; an inner explode would hash all windows a second
     time, in the filter that the optimizer infers from it.
     """
     windows = F.size("tokens") - len(masks[0]) + 1
-    return df.select(*carried, windows.alias("windows"), F.posexplode_outer(_seeds(F.col("tokens"), masks)).alias("k", "seed")).select(
-        *carried, "seed", (F.col("k") % F.col("windows")).alias(place)
-    )
+    seeded = df.select("*", windows.alias("windows"), _seeds(F.col("tokens"), masks).alias("seeds"))
+    return seeded.select(*carried, "windows", F.posexplode_outer("seeds").alias("k", "seed")).select(*carried, "seed", (F.col("k") % F.col("windows")).alias(place))
 
 
 def _best_segment(same: Column) -> Column:
@@ -79,40 +80,58 @@ def _best_segment(same: Column) -> Column:
     return F.aggregate(same, zero, step, lambda s: s["best"])
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, min_overlap: int = MIN_OVERLAP, min_share: float = MIN_SHARE) -> DataFrame:
-    """(doc_id, item_id, overlap, matched, item_tokens, token_start) for each item that a document holds."""
+def _hits(docs: DataFrame, benchmark: DataFrame, min_overlap: int, min_share: float) -> DataFrame:
+    """(doc_id, text_hash, diagonal, part, item_id, item): each diagonal of a text with a hit, the text's tokens (hashed) that the
+    item lies over there, and the item's.
+
+    Where the seeds of the benchmark can be broadcast, a hit takes its part of the text along from the scan: no text is
+    shuffled or read again, however many hits there are.
+    """
 
     def hashed(words: Column) -> Column:
         return F.transform(words, lambda w: F.xxhash64(w))
 
     items = benchmark.select("item_id", hashed(_tokens(F.col("text"))).alias("tokens")).where(F.size("tokens") > 0).distinct()
-    sizes = sorted(r["n"] for r in items.where(F.size("tokens") < SHORT).select(F.size("tokens").alias("n")).distinct().collect())  # fewer than SHORT
+    items = items.select("item_id", "tokens", F.xxhash64("item_id", "tokens").alias("item_key"), F.size("tokens").alias("size"))
+    sizes = sorted(r["size"] for r in items.where(F.col("size") < SHORT).select("size").distinct().collect())  # fewer than SHORT
     plain: dict[str, list[int]] = {}
     for n in sizes:
         plain.setdefault(_plain(n, min_overlap, min_share), []).append(n)
-    seeded = [(MASKS, items.where(F.size("tokens") >= SHORT)), *(((mask,), items.where(F.size("tokens").isin(of))) for mask, of in plain.items())]
-    keys = reduce(DataFrame.unionByName, (_exploded(part, masks, "q", "item_id") for masks, part in seeded)).distinct()
-    whole = items.withColumnRenamed("tokens", "item")
+    seeded = [(MASKS, items.where(F.col("size") >= SHORT)), *(((mask,), items.where(F.col("size").isin(of))) for mask, of in plain.items())]
+    keys = reduce(DataFrame.unionByName, (_exploded(part, masks, "q", "item_key", "size") for masks, part in seeded)).where("seed is not null").distinct()
+    whole = items.select("item_key", "item_id", F.col("tokens").alias("item"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), hashed(_tokens(F.col("text"))).alias("tokens"))
+
+    diagonal = F.col("p") - F.col("q")
+    by = ("doc_id", "text_hash", "item_key", "diagonal")
+    part = F.slice("tokens", F.greatest(F.col("diagonal"), F.lit(0)) + 1, F.col("size") + F.least(F.col("diagonal"), F.lit(0)))
+
+    def met(side: DataFrame, *carried: str) -> DataFrame:
+        each = (_exploded(texts, masks, "p", "doc_id", "text_hash", *carried).join(side, "seed") for masks, _ in seeded)
+        return reduce(DataFrame.unionByName, (e.select("doc_id", "text_hash", "item_key", "size", diagonal.alias("diagonal"), *carried) for e in each))
+
     if keys.count() <= BROADCAST_ROWS:
-        keys, whole = F.broadcast(keys), F.broadcast(whole)
-    trained = docs.select(F.col("doc_id").cast("long").alias("doc_id"), hashed(_tokens(F.col("text"))).alias("tokens"))
-    met = reduce(DataFrame.unionByName, (_exploded(trained, masks, "p", "doc_id").join(keys, "seed") for masks, _ in seeded))
-    hits = materialise(met.select("doc_id", "item_id", (F.col("p") - F.col("q")).alias("diagonal")).distinct(), "hits")
-    low = F.greatest(F.col("diagonal"), F.lit(0))
-    length = F.least(F.size("tokens"), F.col("diagonal") + F.size("item")) - low
-    met = trained.join(hits, trained["doc_id"].eqNullSafe(hits["doc_id"])).drop(hits["doc_id"]).where(F.col("diagonal") < F.size("tokens"))
-    laid = met.join(whole, "item_id").select(
-        "doc_id",
-        "item_id",
-        low.alias("token_start"),
-        F.size("item").alias("item_tokens"),
-        F.zip_with(F.slice("tokens", low + 1, length), F.slice("item", low - F.col("diagonal") + 1, length), lambda a, b: a == b).alias("same"),
-    )
-    scored = laid.select("doc_id", "item_id", "token_start", "item_tokens", _best_segment(F.col("same")).alias("overlap"), F.size(F.filter("same", lambda s: s)).alias("matched"))
-    need = F.least(F.lit(float(min_overlap)), F.col("item_tokens") * min_share)
+        hits = met(F.broadcast(keys), "tokens").select(*by, part.alias("part")).groupBy(*by).agg(F.first("part").alias("part"))
+        return hits.join(F.broadcast(whole), "item_key")
+    found = materialise(met(keys).distinct(), "hits")
+    again = texts.join(found, (texts["text_hash"] == found["text_hash"]) & texts["doc_id"].eqNullSafe(found["doc_id"])).drop(found["doc_id"]).drop(found["text_hash"])
+    return again.select(*by, part.alias("part")).join(whole, "item_key")
+
+
+def contaminated_rows(docs: DataFrame, benchmark: DataFrame, min_overlap: int = MIN_OVERLAP, min_share: float = MIN_SHARE) -> DataFrame:
+    """(doc_id, text_hash, item_id, overlap, matched, item_tokens, token_start) for each item that a row's text holds."""
+    hits = _hits(docs, benchmark, min_overlap, min_share)
+    same = F.zip_with("part", F.slice("item", F.greatest(-F.col("diagonal"), F.lit(0)) + 1, F.size("part")), lambda a, b: a == b)
+    laid = hits.select("doc_id", "text_hash", "item_id", F.greatest(F.col("diagonal"), F.lit(0)).alias("token_start"), F.size("item").alias("item_tokens"), same.alias("same"))
+    scored = laid.select(*laid.columns[:-1], _best_segment(F.col("same")).alias("overlap"), F.size(F.filter("same", lambda s: s)).alias("matched"))
+    return scored.where(F.col("overlap") >= F.least(F.lit(float(min_overlap)), F.col("item_tokens") * min_share))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, min_overlap: int = MIN_OVERLAP, min_share: float = MIN_SHARE) -> DataFrame:
+    """(doc_id, item_id, overlap, matched, item_tokens, token_start) for each item that a document holds."""
     best = F.max(F.struct("overlap", "matched", "item_tokens", (-F.col("token_start")).alias("back")))
     return (
-        scored.where(F.col("overlap") >= need)
+        contaminated_rows(docs, benchmark, min_overlap, min_share)
         .groupBy("doc_id", "item_id")
         .agg(best.alias("b"))
         .select("doc_id", "item_id", *(F.col(f"b.{c}").cast("long").alias(c) for c in ("overlap", "matched", "item_tokens")), (-F.col("b.back")).cast("long").alias("token_start"))
@@ -120,6 +139,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_overlap: int = MIN_O
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without those that hold a benchmark item; all columns are kept. Rows without an id cannot be named and stay."""
-    gone = contaminated(docs, benchmark).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """docs without the rows whose text holds a benchmark item; all columns are kept. Rows are told apart by id and text, so rows without an
+    id or with another's are judged by themselves."""
+    gone = contaminated_rows(docs, benchmark).select(F.col("doc_id").alias("_id"), "text_hash").distinct()
+    same = docs["doc_id"].cast("long").eqNullSafe(gone["_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == gone["text_hash"])
+    return docs.join(gone, same, "left_anti").select(docs.columns)
