@@ -29,7 +29,7 @@ def test_types_formats_and_coreference(documents):
     for e in row[1]["entities"]:
         found[e["kind"]].append((TEXT[e["start"] : e["end"]], e["surrogate"]))
     assert {k: [a for a, _ in v] for k, v in found.items()} == {
-        "name": ["Mr. Smith", "MRS JONES", "Mr. Smith", "Госпожа Иванова", "κυρία Παππά"],
+        "name": ["Smith", "JONES", "Smith", "Иванова", "Παππά"],
         "phone": ["+49 30 1234567", "(030) 555-1234"],
         "ssn": ["123-45-6789"],
         "card": ["4111 1111 1111 1111", "4111111111111111"],
@@ -43,9 +43,9 @@ def test_types_formats_and_coreference(documents):
     for kind in ("phone", "ssn", "card"):
         assert all(shape(a) == shape(b) for a, b in found[kind])
     names = found["name"]
-    assert names[0][1] == names[2][1] and names[0][1].startswith("Mr. ") and names[0][1].endswith("nor")
+    assert names[0][1] == names[2][1] and names[0][1].endswith("nor")
     assert names[1][1].isupper() and names[1][1].endswith("LIA")
-    assert re.fullmatch("Госпожа [А-Я][а-я]+лина", names[3][1]) and re.fullmatch("κυρία [Α-Ω][α-ως]+λια", names[4][1])
+    assert re.fullmatch("[А-Я][а-я]+лина", names[3][1]) and re.fullmatch("[Α-Ω][α-ως]+λια", names[4][1])
     cards = [re.sub(r"\D", "", b) for _, b in found["card"]]
     assert cards[0] == cards[1] and luhn(cards[0]) == 0
     assert found["email"][0][1].lower() == found["email"][1][1].lower() and found["email"][0][1].endswith(".example.net")
@@ -68,12 +68,12 @@ def test_colliding_surrogates_are_resolved(spark, monkeypatch):
     """With two digits' space, many of sixty entities meet at first, also real ones; in the end none does."""
     from pyspark.sql import functions as F
 
-    def narrow(key, kind, norm, attempt):
+    def narrow(key, kind, norm, gender, attempt):
         return F.lpad((F.abs(F.xxhash64(norm, attempt)) % 300).cast("string"), 3, "0")
 
     monkeypatch.setattr(surrogates, "surrogate", narrow)
-    entities = spark.createDataFrame([("ssn", f"{k:03d}") for k in range(60)], "kind string, norm string")
-    rows = resolve(entities, "key", rounds=60).collect()
+    entities = spark.createDataFrame([("ssn", f"{k:03d}", "open") for k in range(60)], "kind string, norm string, gender string")
+    rows = resolve(entities, "key").collect()
     made = [r["surrogate"] for r in rows]
     assert len(rows) == len(set(made)) == 60 and not set(made) & {f"{k:03d}" for k in range(60)}
 
@@ -106,8 +106,57 @@ def test_query(spark, sf_dir):
 def test_more_one_word_names_than_four_syllables_have_are_kept_apart(spark):
     from pyspark.sql import functions as F
 
-    name = F.concat(F.lit("open|N"), F.translate(F.lpad(F.col("id").cast("string"), 6, "0"), "0123456789", "abcdefghij"))
-    entities = spark.range(70_000).select(F.lit("name").alias("kind"), name.alias("norm"))
+    name = F.concat(F.lit("N"), F.translate(F.lpad(F.col("id").cast("string"), 6, "0"), "0123456789", "abcdefghij"))
+    entities = spark.range(70_000).select(F.lit("name").alias("kind"), name.alias("norm"), F.lit("open").alias("gender"))
     got = resolve(entities, "key")
     assert got.count() == got.select("surrogate").distinct().count() == 70_000
     assert got.join(entities.select(F.col("norm").alias("surrogate")), "surrogate").isEmpty()
+
+
+SHOWN = [
+    ("Mr. John Smith called. Dr. John Smith, or Smith, is John. Prof. Smith too.", "person"),
+    ("Ring +353 1 234 5678 or +49 30 123456, then +1 415 555 1234, (415) 555-1234 and 415-555-1234; +33 1 23 45 67 89.", "phone"),
+    ("Write to jo.ann_7@corp.example, JO.ANN_7@CORP.EXAMPLE and bob@corp.example; \x01 and \x02 stay.", "email"),
+]
+
+
+def test_one_person_number_or_address_however_it_is_written(documents):
+    rows = [(k, t) for k, (t, _) in enumerate(SHOWN)]
+    got = by_doc(replace_personal_data(documents(rows), "key"))
+    pairs = {k: [(t[e["start"] : e["end"]], e["surrogate"]) for e in got[k]["entities"]] for k, t in rows}
+    people = pairs[0]
+    assert [a for a, _ in people] == ["John", "Smith", "John", "Smith", "Smith", "John", "Smith"]
+    john, smith = people[0][1], people[1][1]
+    assert john != smith and [b for _, b in people] == [john, smith, john, smith, smith, john, smith]
+    assert got[0]["text"] == SHOWN[0][0].replace("John", john).replace("Smith", smith)
+    phones = dict(pairs[1])
+    assert list(phones) == ["+353 1 234 5678", "+49 30 123456", "+1 415 555 1234", "(415) 555-1234", "415-555-1234", "+33 1 23 45 67 89"]
+    for raw, new in phones.items():
+        assert re.sub(r"\d", "9", raw) == re.sub(r"\d", "9", new) and raw != new
+        if raw[0] == "+":
+            assert raw.split()[0] == new.split()[0]
+    national = {re.sub(r"\D", "", phones[p])[-10:] for p in list(phones)[2:5]}
+    assert len(national) == 1
+    mails = pairs[2]
+    assert mails[0][1] == mails[1][1].lower() and mails[1][1].isupper() and mails[0][1].split("@")[1] == mails[2][1].split("@")[1]
+    assert re.fullmatch(r"[a-z]{2}\.[a-z]{3}_\d@[a-p]{8}\.example\.net", mails[0][1]) and re.fullmatch(r"[a-z]{3}@[a-p]{8}\.example\.net", mails[2][1])
+    assert got[2]["text"].endswith("; \x01 and \x02 stay.")
+
+
+def test_a_full_format_grows(spark):
+    """More numbers than their length has: all of three digits and those between them."""
+    entities = spark.range(1000).selectExpr("'ssn' AS kind", "lpad(id, 3, '0') AS norm", "'open' AS gender")
+    rows = resolve(entities, "key").collect()
+    made = [r["surrogate"] for r in rows]
+    assert len(set(made)) == 1000 and not set(made) & {f"{k:03d}" for k in range(1000)}
+
+
+def test_a_text_of_very_many_entities(documents):
+    text = " ".join(f"u{k}@mail.example.com Mr. Na{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10 % 10]}{'uvwxyz'[k // 100 % 6]}" for k in range(6000))
+    row = replace_personal_data(documents([(1, text)]), "key").first()
+    assert row["n_entities"] == 12_000 and [text[e["start"] : e["end"]] for e in row["entities"][:2]] == ["u0@mail.example.com", "Naaku"]
+    rebuilt, at = [], 0
+    for e in row["entities"]:
+        rebuilt += [text[at : e["start"]], e["surrogate"]]
+        at = e["end"]
+    assert row["text"] == "".join(rebuilt) + text[at:]

@@ -2,34 +2,37 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Parts a text around its matches. A text's own U+0001 counts as U+0002, which no pattern here matches either.
-MARK = "\x01"
 
+def texts_and_matches(text: Column, pattern: str) -> tuple[Column, Column]:
+    """The matches of a pattern that matches no empty string, and the texts around them, one more than matches."""
+    return F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+
+
+def running(values: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """Running totals of an array under an associative ``combine``.
 
-def unmarked(text: Column) -> Column:
-    return F.translate(F.coalesce(text, F.lit("")), MARK, "\x02")
+    Each pass combines every element with the one a power of two before it, so an array of n takes log2(n) linear passes;
+    appending to a growing array would copy it n times.
+    """
+    steps = F.when(F.size(values) > 1, F.transform(F.sequence(F.lit(0), F.floor(F.log2(F.size(values) - 0.5)).cast("int")), lambda k: F.pow(F.lit(2), k).cast("int")))
+    none = F.array().cast("array<int>")
 
+    def one_pass(held: Column, step: Column) -> Column:
+        return F.transform(held, lambda x, i: F.when(i >= step, combine(F.get(held, i - step), x)).otherwise(x))
 
-def pieces(text: Column, pattern: str, *groups: int) -> Column:
-    """The text between matches and, after each, the match and the wanted groups: [pre, match, group.., pre, match, ..., rest]."""
-    return F.split(F.regexp_replace(text, F.lit(pattern), F.lit(MARK + MARK.join(f"${g}" for g in (0, *groups)) + MARK)), MARK, -1)
+    return F.aggregate(F.coalesce(steps, none), values, one_pass)
 
 
-def spans(parts: Column, groups: int = 0) -> Column:
-    """array<struct<start int, end int, match string, last string>> of pieces(): code points, end exclusive."""
-    width = groups + 2
-    empty = F.array().cast("array<struct<start:int,end:int,match:string,last:string>>")
+def totals(lengths: Column) -> Column:
+    return running(lengths, lambda a, b: a + b)
 
-    def step(s: Column, k: Column) -> Column:
-        start = s["at"] + F.length(F.get(parts, k * width))
-        match = F.get(parts, k * width + 1)
-        end = start + F.length(match)
-        span = F.struct(start.alias("start"), end.alias("end"), match.alias("match"), F.get(parts, k * width + 1 + groups).alias("last"))
-        return F.struct(end.alias("at"), F.concat(s["found"], F.array(span)).alias("found"))
 
-    n = F.floor(F.size(parts) / width).cast("int")
-    walk = F.aggregate(F.sequence(F.lit(0), n - 1), F.struct(F.lit(0).alias("at"), empty.alias("found")), step, lambda s: s["found"])
-    return F.when(n > 0, walk).otherwise(empty)
+def spans(found: Column, around: Column) -> Column:
+    """array<struct<start int, end int, match string>> of texts_and_matches(): code points, end exclusive."""
+    ends = totals(F.transform(found, lambda m, i: F.length(F.get(around, i)) + F.length(m)))
+    return F.zip_with(found, ends, lambda m, e: F.struct((e - F.length(m)).alias("start"), e.alias("end"), m.alias("match")))
