@@ -1,12 +1,19 @@
 from __future__ import annotations
 
 import hashlib
+import math
+import random
 import re
+import string
+from collections import defaultdict
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from vistrel.llm.queries import QUERIES
+from vistrel.llm import secrets
 from vistrel.llm.secrets import p_random, scan_secrets
 
 PATTERNS = {
@@ -65,7 +72,7 @@ def test_random_strings_are_added_and_ordinary_ones_are_not(spark, documents):
 
 def test_battery(spark):
     good, bad = "kf83hs92lq0zmx71bvn4td65", "abcabcabcabcabcabcabc123"
-    p = {r["s"]: r["p"] for r in spark.createDataFrame([(good,), (bad,)], "s string").select("s", p_random(__import__("pyspark.sql.functions", fromlist=["col"]).col("s")).alias("p")).collect()}
+    p = {r["s"]: r["p"] for r in spark.createDataFrame([(good,), (bad,)], "s string").select("s", p_random(F.col("s")).alias("p")).collect()}
     assert p[good] > 0.1 and p[bad] < 0.01
 
 
@@ -74,3 +81,97 @@ def test_battery(spark):
 def test_any_text(spark, texts):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     agree(scan_secrets(df).collect(), dict(enumerate(texts)))
+
+
+def tail(z):
+    return math.erfc(z / math.sqrt(2)) / 2
+
+
+def p_brute(token):
+    """The battery in plain Python, with the normal tail from the error function and binomials from integers."""
+    body = token.rstrip("=")
+    alphabet = next(a for p, a in secrets.ENCODINGS if not p or re.search(p, body))
+    n, a = len(body), len(alphabet)
+    if n < secrets.LEAST_EXPECTED * a:
+        groups = [*map(set, secrets.CELLS), set(alphabet).difference(*secrets.CELLS)]
+        cells = [(len(g & set(alphabet)), sum(c in g for c in body)) for g in groups]
+        cells[3] = (cells[3][0], n - sum(seen for _, seen in cells[:3]))
+        cells = [c for c in cells if c[0]]
+    else:
+        cells = [(1, body.count(c)) for c in alphabet]
+    chi, df = sum((seen - n * size / a) ** 2 / (n * size / a) for size, seen in cells), len(cells) - 1
+    uniform = tail(((chi / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df)))
+    v = [max(alphabet.find(c), 0) for c in body]
+    changes = sum((x >= a / 2) != (y >= a / 2) for x, y in zip(v, v[1:]))
+    runs = min(1.0, 2 * sum(math.comb(n - 1, k) for k in range(min(changes, n - 1 - changes) + 1)) / 2 ** (n - 1))
+    m = sum(v) / n
+    around = sum((x - m) ** 2 for x in v)
+    lag = sum((x - m) * (y - m) for x, y in zip(v, v[1:]))
+    serial = min(1.0, 2 * tail(abs((lag / around + 1 / n) * n * math.sqrt(n - 1) / (n - 2)))) if around else 0.0
+    half = -(math.log(max(uniform, secrets.FLOOR)) + math.log(min(1.0, 2 * min(max(runs, 1e-30), max(serial, secrets.FLOOR)))))
+    return math.exp(-half) * (1 + half)
+
+
+def some_strings(rng, n):
+    out = []
+    for _ in range(n):
+        alphabet = rng.choice([string.hexdigits[:16], "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", string.ascii_lowercase + string.digits, string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/", string.ascii_letters + string.digits + "-_"])
+        size = rng.choice([20, 24, 32, 40, 64, 200])
+        out.append("".join(rng.choices(alphabet, k=size)))
+    words = "get set user handle transaction commit profile version final report table index of the and value".split()
+    for _ in range(n):
+        parts = rng.choices(words, k=rng.randint(4, 6))
+        out.append(rng.choice(["_".join(parts), "".join(map(str.capitalize, parts)), "-".join(parts)]) + str(rng.randint(1, 2026)))
+    return [s for s in out if len(s) >= 20 and re.search("[A-Za-z]", s) and re.search("[0-9]", s)]
+
+
+def test_p_values_are_those_of_the_plain_battery(spark):
+    texts = some_strings(random.Random(3), 300)
+    rows = spark.createDataFrame([(t,) for t in texts], "s string").select("s", p_random(F.col("s")).alias("p")).collect()
+    for r in rows:
+        assert r["p"] == pytest.approx(p_brute(r["s"]), rel=0.02, abs=2e-7)
+
+
+def test_random_strings_of_any_length_seldom_get_a_small_p_value():
+    """The share of random strings below a level is about that level, down to where the cut falls."""
+    rng = random.Random(4)
+    for alphabet in (string.hexdigits[:16], string.ascii_lowercase + string.digits, string.ascii_letters + string.digits):
+        for size in (20, 28, 40, 100):
+            p = [p_brute("".join(rng.choices(alphabet, k=size))) for _ in range(4000)]
+            for level in (0.1, 0.01, 0.001):
+                assert sum(x <= level for x in p) <= 1.5 * level * len(p) + 6, (len(alphabet), size, level)
+
+
+def test_cut_and_spans_are_those_of_plain_benjamini_hochberg(documents):
+    rng = random.Random(5)
+    texts = [t for t in some_strings(rng, 150) if not re.fullmatch("[0-9a-f]{24,}", t)]  # those are base spans
+    rng.shuffle(texts)
+    rows = [(k, f"see {t} and token={t[:8]} end") for k, t in enumerate(texts)]
+    binned = defaultdict(list)
+    edge = [min(math.floor(-math.log10(max(p_brute(t), 1e-30)) * secrets.BINS), secrets.LAST_BIN) for t in texts]
+    for t, b in zip(texts, edge, strict=True):
+        binned[math.floor(2 * math.log2(len(t)))].append(b)
+    cut = {}
+    for stratum, bins in binned.items():
+        passed = [b for b in set(bins) if 10 ** (-b / secrets.BINS) <= secrets.FALSE_SHARE * sum(x >= b for x in bins) / len(bins)]
+        cut[stratum] = min(passed, default=secrets.LAST_BIN + 1)
+    expected = {k: f"random:4:{4 + len(t)}" if b < cut[math.floor(2 * math.log2(len(t)))] else "" for k, (t, b) in enumerate(zip(texts, edge, strict=True))}
+    got = {r["doc_id"]: r["spans"] for r in scan_secrets(documents(rows)).collect()}
+    differ = [k for k in got if ",".join(s for s in got[k].split(",") if s.startswith("random")) != expected[k]]
+    assert not differ
+    named = [k for k, t in enumerate(texts) if re.search("user|handle|transaction|commit|profile|version|report|table|index|value", t, re.I)]
+    assert sum(expected[k] == "" for k in named) >= 0.9 * len(named)
+    assert sum(expected[k] != "" for k in set(got).difference(named)) >= 0.9 * (len(got) - len(named))
+
+
+def test_identifiers_of_a_small_table_are_not_random(documents):
+    names = ["commitTransactionHandlerImpl42", "getUserProfileSettingsV2", "http2ServerConnectionManager", "parseJsonDocumentVersion3", "abstractFactoryBeanProvider7"]
+    got = scan_secrets(documents(list(enumerate(names)))).collect()
+    assert {r["spans"] for r in got} == {""}
+
+
+def test_a_text_of_very_many_matches(documents):
+    text = " ".join(f"{k:024x}" for k in range(20_000))
+    row = scan_secrets(documents([(1, text)])).first()
+    assert row["n_hex"] == 20_000 and row["n_random"] == 0
+    agree([row], {1: text})

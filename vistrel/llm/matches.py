@@ -33,6 +33,9 @@ def totals(lengths: Column) -> Column:
 
 
 def spans(found: Column, around: Column) -> Column:
-    """array<struct<start int, end int, match string>> of texts_and_matches(): code points, end exclusive."""
-    ends = totals(F.transform(found, lambda m, i: F.length(F.get(around, i)) + F.length(m)))
+    """array<struct<start int, end int, match string>> of texts_and_matches(): code points, end exclusive.
+
+    Both arrays stand outside the lambdas, where they are computed once; inside, an inlined one would be computed per element.
+    """
+    ends = totals(F.zip_with(found, F.slice(around, 1, F.size(found)), lambda m, t: F.length(t) + F.length(m)))
     return F.zip_with(found, ends, lambda m, e: F.struct((e - F.length(m)).alias("start"), e.alias("end"), m.alias("match")))

@@ -10,7 +10,8 @@ become numbers of that alphabet, and three tests ask whether it could be uniform
   binomial and its two-sided p-value is exact; strings too long for a sum use the normal limit.
 * the lag-one serial correlation with its mean and variance under random order.
 
-Chi-squared and serial correlation have approximate tails, so their p-values count as FLOOR at least. Fisher's rule combines the three.
+Chi-squared and serial correlation have approximate tails, so their p-values count as FLOOR at least. Runs and serial correlation depend
+on each other, so twice the lesser of their p-values counts; Fisher's rule combines it with that of chi-squared.
 Ordinary identifiers fail; within each length class, where the tests have similar power, Benjamini-Hochberg over all
 candidates of the table chooses below which p-value they are cleared, so the share of random strings among the cleared
 ones stays under FALSE_SHARE. What is not cleared is reported as `random`, unless a base span covers it. P-values are
@@ -75,7 +76,7 @@ def _bound(name: str, value: Column, use) -> Column:
 
 
 def p_random(token: Column) -> Column:
-    """Fisher's combination of the three tests for a string of letters, digits and token characters."""
+    """Combined p-value of the three tests for a string of letters, digits and token characters."""
     body = F.regexp_replace(token, "=+$", "")
     alphabet = F.coalesce(*(F.when(body.rlike(p), F.lit(a)) if p else F.lit(a) for p, a in ENCODINGS))
     return _bound("text", F.struct(body.alias("body"), alphabet.alias("alphabet")), lambda t: _tests(t["body"], t["alphabet"]))
@@ -138,7 +139,8 @@ def _tests(body: Column, alphabet: Column) -> Column:
     def combined(v: Column) -> Column:
         changes = _total(F.zip_with(F.slice(v, 1, F.size(v) - 1), F.slice(v, 2, F.size(v)), lambda x, y: F.when((x >= a / 2) != (y >= a / 2), 1.0).otherwise(0.0)))
         each = (F.greatest(p_uniform(body, alphabet), F.lit(FLOOR)), F.greatest(p_runs(changes, n), F.lit(1e-30)), F.greatest(p_serial(v, n), F.lit(FLOOR)))
-        return _bound("half", -(F.log(each[0]) + F.log(each[1]) + F.log(each[2])), lambda half: F.exp(-half) * (1 + half + half * half / 2))
+        order = F.least(F.lit(1.0), 2 * F.least(each[1], each[2]))
+        return _bound("half", -(F.log(each[0]) + F.log(order)), lambda half: F.exp(-half) * (1 + half))
 
     return _bound("values", values, combined)
 
@@ -181,9 +183,9 @@ def candidates(docs: DataFrame) -> DataFrame:
         )
     )
     ordered = based.select("doc_id", "base", F.when(F.size("free") > 0, events).otherwise(F.array().cast("array<struct<start:int,free:int,end:int,match:string>>")).alias("events"))
-    reached = ordered.select("*", running(F.transform("events", lambda e: F.when(e["free"] == 0, e["end"]).otherwise(0)), lambda a, b: F.greatest(a, b)).alias("reach"))
-    open_ones = F.filter("events", lambda e, i: (e["free"] == 1) & (F.get("reach", i) < e["end"]))
-    return reached.select("doc_id", "base", F.transform(open_ones, tested).alias("tested"))
+    reach = running(F.transform("events", lambda e: F.when(e["free"] == 0, e["end"]).otherwise(0)), lambda a, b: F.greatest(a, b))
+    open_ones = F.filter(F.zip_with("events", reach, lambda e, r: F.when((e["free"] == 1) & (r < e["end"]), e)), lambda e: e.isNotNull())
+    return ordered.select("doc_id", "base", F.transform(open_ones, tested).alias("tested"))
 
 
 def cleared_from(tested: DataFrame) -> dict[int, int]:

@@ -89,7 +89,8 @@ def _words(text: Column, names: Column) -> Column:
         known = (F.size(names) > FEW_NAMES) | F.array_contains(names, F.initcap(w))
         return _segment(w, F.when(known, F.lit("word")), F.initcap(w))
 
-    return F.concat(F.flatten(F.transform(found, lambda w, i: F.array(_segment(F.get(around, i)), word(w)))), F.array(_segment(F.get(around, F.size(found)))))
+    each = F.zip_with(found, F.slice(around, 1, F.size(found)), lambda w, t: F.array(_segment(t), word(w)))
+    return F.concat(F.flatten(each), F.array(_segment(F.element_at(around, -1))))
 
 
 def _stream(key: str, kind: Column, norm: Column, attempt: Column) -> Column:
@@ -212,11 +213,10 @@ def replace_personal_data(docs: DataFrame, key: str) -> DataFrame:
     names = F.array_distinct(F.transform(F.filter(F.flatten("found"), lambda s: s["kind"] == "name"), lambda s: s["norm"]))
     named = matched.select("doc_id", "found", "around", names.alias("names"))
 
-    def between(k: Column) -> Column:
-        piece = F.get("around", k)
-        return F.when(F.size("names") > 0, _words(piece, F.col("names"))).otherwise(F.array(_segment(piece)))
+    def between(text: Column) -> Column:
+        return F.when(F.size("names") > 0, _words(text, F.col("names"))).otherwise(F.array(_segment(text)))
 
-    every = F.concat(F.flatten(F.transform("found", lambda f, k: F.concat(between(k), f))), between(F.size("found")))
+    every = F.concat(F.flatten(F.zip_with("found", F.slice("around", 1, F.size("found")), lambda f, t: F.concat(between(t), f))), between(F.element_at("around", -1)))
     held = materialise(named.select(F.monotonically_increasing_id().alias("row"), "doc_id", every.alias("segments")), "personal")
     flat = held.select("row", F.posexplode("segments").alias("at", "s")).where("s.kind is not null").select("row", "at", "s.t", "s.kind", "s.norm", "s.gender")
     shown = flat.where("kind <> 'word'")
