@@ -119,6 +119,38 @@ def test_units_cover_every_run_of_short_sentences():
                 short = n + 1
 
 
+def test_passages_of_a_script_without_spaces_are_found(documents):
+    rng = random.Random(10)
+
+    def line(n):
+        return "".join(chr(rng.randint(0x4E00, 0x6E00)) for _ in range(n)) + "\u3002"
+
+    shared = "".join(line(12) for _ in range(5))
+    near = shared[:3] + "\u7000" + shared[4:]
+    rows = [(1, line(30) + shared + line(20)), (2, shared), (3, line(40) + near), (4, "".join(line(15) for _ in range(8)))]
+    got = repeated_passages(documents(rows)).collect()
+    assert {r["doc_id"] for r in got} == {1, 2, 3}
+    assert all(dict(rows)[r["doc_id"]][r["start"] : r["end"]][-30:] == shared[-30:] for r in got)
+
+
+def test_recall_of_near_sentences_among_templated_strangers(documents):
+    """Units of two alike sentences against brute force, where all strangers share a template (mutual similarity 0.7)."""
+    rng = random.Random(11)
+    common = [f"c{k}" for k in range(28)]
+    rows, sets = [], []
+    for k in range(400):
+        tail = [f"t{rng.randint(0, 10**6)}" for _ in range(6)]
+        for n in range(2 if k % 2 else 1):
+            words = [*common, *tail[: 6 - n], *([f"v{rng.randint(0, 10**6)}"] * n)]
+            rows.append((len(rows), " ".join(words) + "."))
+            sets.append(shingles(" ".join(words)))
+    planted = {(i, i + 1) for i in range(len(rows) - 1) if len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1]) >= 0.8}
+    assert len(planted) > 150
+    got = {r["doc_id"] for r in repeated_passages(documents(rows, 4)).collect()}
+    assert sum(a in got and b in got for a, b in planted) >= 0.98 * len(planted)
+    assert got <= {i for pair in planted for i in pair}
+
+
 def test_edges(documents, edge_rows):
     got = repeated_passages(documents(edge_rows), passage_words=MIN_WORDS).collect()
     assert {r["doc_id"] for r in got} == set(range(100, 160)) and {x["owner_doc_id"] for r in got for x in r["removals"]} == {100}

@@ -1,7 +1,8 @@
 """Bounded-space online best-fit packing of token sequences.
 
 A document becomes the ids of its text and an end mark; only longer ones than a sequence are cut. Pieces are dealt to
-shards of a fixed mean size by a hash of their identity, and meet their shard's packer longest first. The packer holds
+shards of a fixed mean size by a hash of their identity and their row's number, so repeated rows spread like any others, and meet their
+shard's packer longest first. The packer holds
 a fixed number of open bins in a bitset keyed by free space: a piece goes to the fullest bin that takes it; where none
 does, a new bin opens, and if that is one too many the fullest open bin closes. Memory is the open bins, whatever the
 shard's size. With half as many open bins as a shard has pieces, hardly a bin closes early, and what is lost is less
@@ -19,6 +20,7 @@ from collections.abc import Iterator
 from typing import ClassVar
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -88,23 +90,25 @@ class WordEncoder:
         return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
 
 
-_PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+_PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, row long"
 
 
 def _cut(path: str, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = WordEncoder.shared(path), END_ID.to_bytes(4, "little")
+        row = TaskContext.get().partitionId() << 34
         for b in batches:
             rows = []
             for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                row += 1
                 ids = encoder.encode(text or "") + end
                 for n, at in enumerate(range(0, len(ids), 4 * size)):
                     part = ids[at : at + 4 * size]
-                    rows.append((i, n, at // 4, len(part) // 4, zlib.crc32(part)))
+                    rows.append((i, n, at // 4, len(part) // 4, zlib.crc32(part), row))
             if rows:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)],
-                    names=["doc_id", "piece", "start", "length", "ids_crc32"],
+                    [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()), strict=True)],
+                    names=["doc_id", "piece", "start", "length", "ids_crc32", "row"],
                 )
 
     return run
@@ -141,7 +145,7 @@ class BestFit:
         return number
 
 
-_PACKED = f"{_PIECES}, sequence_id long, offset long"
+_PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 
 def _pack(size: int, open_bins: int):
@@ -149,7 +153,7 @@ def _pack(size: int, open_bins: int):
         packer, last = BestFit(size, open_bins), None
         for b in batches:
             sequence, offset = [], []
-            for shard, length in zip(b.column(5).to_pylist(), b.column(3).to_pylist(), strict=True):
+            for shard, length in zip(b.column(6).to_pylist(), b.column(3).to_pylist(), strict=True):
                 if shard != last:  # several shards may share a task
                     packer, last = BestFit(size, open_bins), shard
                 number, at = packer.place(length)
@@ -165,10 +169,10 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = SEQUENCE, open_bins:
     bounded_batches(docs.sparkSession)
     pieces = materialise(docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(_cut(tokenizer_path, size), _PIECES), "pieces")
     shards = max(1, round(pieces.count() / shard_pieces))
-    mixed = F.xxhash64("doc_id", "piece", "ids_crc32")
+    mixed = F.xxhash64("doc_id", "piece", "ids_crc32", "row")
     return (
         pieces.withColumn("shard", F.pmod(mixed, F.lit(shards)))
         .repartition(shards, "shard")
-        .sortWithinPartitions("shard", F.desc("length"), "doc_id", "piece", "ids_crc32")
+        .sortWithinPartitions("shard", F.desc("length"), "doc_id", "piece", "ids_crc32", "row")
         .mapInArrow(_pack(size, open_bins), _PACKED)
     )

@@ -20,7 +20,8 @@ words, one from each short sentence on, so verse, lists and wrapped lines are fo
    are its removals. Owners get smaller from unit to unit, so what is removed is kept somewhere. A sentence-aligned passage
    of 50 words counts PASSAGE_WORDS at least: short sentences without a unit lie between or beside ones that count.
 
-Words are runs of anything but white space, lower-cased. Null texts count as empty. Null ids count as one document, as do
+Words are runs of anything but white space, lower-cased; in scripts that put no space between words each character is one, and their full
+stops end sentences. Null texts count as empty. Null ids count as one document, as do
 rows that repeat an id; passages are by row. An empty table gives an empty result.
 """
 
@@ -52,6 +53,9 @@ CACHE_WORDS, CACHE_KEYS, CACHE_SHINGLES = 200_000, 100_000, 200_000
 #: Outlying and all further keys of a block in step 3.
 BLOCK_OUT, BLOCK_ALL = 256, 2048
 _END = re.compile(r"(?<=[.!?])\s+|\n+")
+#: Characters of scripts without spaces between words (Thai to Khmer, kana, Han), and sentence ends where such stand.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+_WIDE_END = re.compile(r"(?<=[.!?])\s+|\n+|(?<=[\u3002\uff01\uff1f])\s*(?=\S)")
 
 _rng = np.random.default_rng(7)
 _MULTIPLY = _rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -65,11 +69,13 @@ def sentences(text: str | None) -> Iterator[tuple[int, int, list[str]]]:
     lower = text.lower()
     if len(lower) != len(text):  # a few letters grow; places are those of the text
         lower = "".join(c if len(c.lower()) > 1 else c.lower() for c in text)
-    for gap in _END.finditer(text):
-        if words := lower[at : gap.start()].split():
+    unspaced = not text.isascii() and _UNSPACED.search(text)
+    split = (lambda s: _UNSPACED.sub(r" \g<0> ", s).split()) if unspaced else str.split
+    for gap in (_WIDE_END if unspaced else _END).finditer(text):
+        if words := split(lower[at : gap.start()]):
             yield at, gap.start(), words
         at = gap.end()
-    if words := lower[at:].split():
+    if words := split(lower[at:]):
         yield at, len(text), words
 
 

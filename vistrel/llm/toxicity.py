@@ -27,8 +27,8 @@ from vistrel.llm.labelled import training_sample
 
 #: Buckets of the hashed words; steps, step size and pull to zero of the training; sentence probability that offends.
 BUCKETS, STEPS, RATE, PULL, OFFENDS = 1 << 16, 160, 0.15, 2e-5, 0.5
-#: Labelled documents that are trained on at most, and the longest of them; every document is scored, whatever its length.
-TRAINING_ROWS, TRAINING_CHARS = 9_000, 16_000
+#: Labelled documents that are trained on at most, with their whole texts.
+TRAINING_ROWS = 9_000
 #: Where a sentence starts: its log odds without words.
 BIAS = -5.0
 CACHE_WORDS = 100_000
@@ -140,7 +140,7 @@ def train_noisy_or(texts: list[str | None], labels: np.ndarray) -> ToxicityModel
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 3, fold: int = 1) -> ToxicityModel:
     bounded_batches(docs.sparkSession)
-    rows = training_sample(docs, labels, "toxic", folds, fold, TRAINING_ROWS).where(F.coalesce(F.length("text"), F.lit(0)) <= TRAINING_CHARS).toPandas()
+    rows = training_sample(docs, labels, "toxic", folds, fold, TRAINING_ROWS).toPandas()
     rows = rows.sort_values("doc_id", kind="stable")
     return train_noisy_or(rows["text"].tolist(), rows["label"].to_numpy(float))
 
