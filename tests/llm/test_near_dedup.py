@@ -5,8 +5,10 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 
 from vistrel.llm import near_dedup
+from vistrel.llm.common import materialise
 from vistrel.llm.components import connected_components
 from vistrel.llm.near_dedup import LEAST_MATCHES, drop_near_copies, near_components
 from vistrel.llm.queries import QUERIES
@@ -69,8 +71,11 @@ def group(rng, n, words, edits):
     return out
 
 
-def test_group_of_near_copies_below_and_above_the_threshold(documents, monkeypatch):
-    """Many members that only some others link to, and blocks so small that the search across components is split."""
+@pytest.mark.parametrize("pairs_per_row", [0, 1, 1000])
+def test_group_of_near_copies_below_and_above_the_threshold(documents, monkeypatch, pairs_per_row):
+    """Many members that only some others link to, and blocks so small that the search across components is split.
+    Survivors are all confirmed within blocks with texts, or some, or none."""
+    monkeypatch.setattr(near_dedup, "PAIRS_PER_ROW", pairs_per_row)
     monkeypatch.setattr(near_dedup, "BLOCK_OUT", 16)
     monkeypatch.setattr(near_dedup, "BLOCK_ALL", 32)
     rng = random.Random(4)
@@ -80,6 +85,31 @@ def test_group_of_near_copies_below_and_above_the_threshold(documents, monkeypat
     agree(near_components(documents(rows, 4)), rows)
 
 
+def test_unlinked_followers_of_a_leader_are_searched_without_their_texts(spark, documents, monkeypatch):
+    """Documents that share a long boilerplate and little else: blocks carry signatures, and pairs are found behind the leader."""
+    rng = random.Random(7)
+    boiler = " ".join(f"b{k}" for k in range(100))
+    texts = []
+    for k in range(400):
+        own = [f"o{rng.randint(0, 10**6)}" for _ in range(60)]
+        texts.append(boiler + " " + " ".join(own))
+        if k % 40 == 0:
+            own[0] = "changed"
+            texts.append(boiler + " " + " ".join(own))
+    rows = list(enumerate(texts, 1))
+    written = []
+    monkeypatch.setattr(near_dedup, "materialise", lambda df, label: (written.append((label, df.columns)), materialise(df, label))[1])
+    agree(near_components(documents(rows, 4)), rows)
+    assert "near-dense" not in [label for label, _ in written]
+    assert all("text" not in columns for _, columns in written)
+
+
+def test_a_copy_without_an_id_before_one_with_an_id(documents):
+    rows = [(None, "a b c d e f g h"), (3, "a b c d e f g h"), (4, "a b c d e f g h"), (5, "a b c d e f g h i j k l m n o p q r s t u v w")]
+    rows.append((6, rows[-1][1] + " x"))
+    agree(near_components(documents(rows, 1)), [r for r in rows if r[0] is not None])
+
+
 def test_pruning_gives_up_little():
     """Signatures of pairs right at the threshold pass the test almost surely; those far below seldom."""
     rng = np.random.default_rng(1)

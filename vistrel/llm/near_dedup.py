@@ -7,10 +7,12 @@
    pruned once the posterior probability of the wanted similarity falls below the chosen miss probability; survivors are
    confirmed on the full sets of both texts. Links give first components.
 3. Nodes that shared a bucket share its leader. Leaders whose followers lie in several components are searched for links
-   across components: blocks of the followers outside the leader's component meet blocks of all its followers, each with
-   its text. A block tests the pairs that lie in different components, likeliest first, confirms survivors on
-   the full sets, and joins components as it goes, so at most a link per follower leaves it. So every pair of nodes that
-   shares a bucket is either tested or already connected, without a cap on buckets and without writing out their pairs.
+   across components: blocks of the followers outside the leader's component meet blocks of all its followers, with their
+   signatures alone. A block tests the pairs that lie in different components; survivors are confirmed on the full sets.
+   A block with more survivors than PAIRS_PER_ROW a row, as groups just below the threshold give, writes none of
+   them: its rows come again with their texts, survivors are confirmed within it, likeliest first, and components joined as it goes, so at
+   most a link per follower leaves it. So every pair of nodes that shares a bucket is either tested or already connected,
+   without a cap on buckets and without writing out their pairs; texts are copied for dense blocks only.
 4. Components of all links; each class member gets its node's component.
 
 Words are runs of anything but space and U+0009 to U+000D, with A-Z lower-cased. A text with fewer words than a shingle is one
@@ -23,6 +25,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +43,8 @@ BANDS, ROWS = 24, 5
 HASHES = BANDS * ROWS
 #: Hashes that are compared between two tests, and the miss probability at which a pair is given up.
 STEP, MISS = 24, 1e-5
-#: Outlying and all followers of a block in step 3.
-BLOCK_OUT, BLOCK_ALL = 256, 2048
+#: Outlying and all followers of a block in step 3, and pairs a row up to which its survivors are written.
+BLOCK_OUT, BLOCK_ALL, PAIRS_PER_ROW = 256, 1024, 4
 #: Ids up to which the side that picks rows is broadcast (8 bytes each); beyond it both sides are shuffled.
 BROADCAST_ROWS = 1_000_000
 CACHE_WORDS, CACHE_SETS, CACHE_BYTES = 150_000, 128, 32 << 20
@@ -124,11 +127,11 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     shingler, seen = Shingler(), set()
     for b in batches:
         count, key, sig = [], [], []
-        for text in b.column(1).to_pylist():
+        for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             s = shingler(text)
             count.append(len(s))
             key.append(hashlib.md5(s.tobytes(), usedforsecurity=False).digest() if len(s) else None)
-            fresh = len(s) and key[-1] not in seen
+            fresh = len(s) and key[-1] not in seen and i is not None
             if fresh:  # copies within a task need no second signature
                 if len(seen) > 50_000:
                     seen.clear()
@@ -190,11 +193,10 @@ def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return joined.select("a", "b", "ta", "tb").mapInArrow(_confirm, "a long, b long").distinct()
 
 
-def _block_links(t: pa.Table, shingler: Shingler) -> pa.RecordBatch:
-    """Links between components of one block; each joins two of them."""
+def _block_pairs(t: pa.Table) -> np.ndarray:
+    """Places of the pairs of one block that lie in different components and are not given up."""
     out = t.column("outlying").to_numpy()
-    node, comp, sig = t.column("node").to_numpy(), t.column("comp").to_numpy(), _matrix(t.column("sig"))
-    texts = t.column("text")
+    comp, sig = t.column("comp").to_numpy(), _matrix(t.column("sig"))
     o, m = np.flatnonzero(out), np.flatnonzero(~out)
     found = [np.zeros((0, 2), np.int64)]
     n, least = LEAST_MATCHES[0]
@@ -205,7 +207,28 @@ def _block_links(t: pa.Table, shingler: Shingler) -> pa.RecordBatch:
         x, y = part[x], m[y]
         stay = survivors(sig[x], sig[y])
         found.append(np.stack([x[stay], y[stay]], 1))
-    pairs = np.concatenate(found)
+    return np.concatenate(found)
+
+
+def _block_search(t: pa.Table, pairs_per_row: int) -> pa.RecordBatch:
+    """The survivors of one block, or its place alone where they are too many."""
+    pairs, node = _block_pairs(t), t.column("node").to_numpy()
+    if len(pairs) > pairs_per_row * t.num_rows:
+        leader, i, j = (t.column(k)[0].as_py() for k in ("leader", "i", "j"))
+        return pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([leader], pa.int64()), pa.array([i], pa.int32()), pa.array([j], pa.int32())], names=_SEARCHED)
+    ends = np.sort(node[pairs], axis=1)
+    none = pa.nulls(len(pairs))
+    return pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1]), none.cast(pa.int64()), none.cast(pa.int32()), none.cast(pa.int32())], names=_SEARCHED)
+
+
+_SEARCHED = ["a", "b", "leader", "i", "j"]
+
+
+def _block_links(t: pa.Table, shingler: Shingler) -> pa.RecordBatch:
+    """Links between components of one block with texts; each joins two of them."""
+    node, comp, sig = t.column("node").to_numpy(), t.column("comp").to_numpy(), _matrix(t.column("sig"))
+    texts = t.column("text")
+    pairs = _block_pairs(t)
     likely = np.concatenate([(sig[p[:, 0]] == sig[p[:, 1]]).sum(1) for p in np.array_split(pairs, len(pairs) // 10_000 + 1)])
     above: dict[int, int] = {}
     sets: dict[int, np.ndarray] = {}
@@ -234,24 +257,60 @@ def _block_links(t: pa.Table, shingler: Shingler) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], names=["a", "b"])
 
 
+def _by_block(search):
+    """Rows sorted by (leader, i, j): what ``search`` gives for each block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+        for b in batches:
+            keys = list(zip(*(b.column(k).to_pylist() for k in (0, 1, 2)), strict=True))
+            at = 0
+            while at < len(keys):
+                end = at
+                while end < len(keys) and keys[end] == keys[at]:
+                    end += 1
+                if keys[at] != key and held:
+                    yield search(pa.Table.from_batches(held))
+                    held = []
+                key = keys[at]
+                held.append(b.slice(at, end - at))
+                at = end
+        if held:
+            yield search(pa.Table.from_batches(held))
+
+    return run
+
+
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Followers sorted by (leader, i, j): the links of each block."""
-    shingler, key, held = Shingler(), None, []
-    for b in batches:
-        keys = list(zip(*(b.column(k).to_pylist() for k in (0, 1, 2)), strict=True))
-        at = 0
-        while at < len(keys):
-            end = at
-            while end < len(keys) and keys[end] == keys[at]:
-                end += 1
-            if keys[at] != key and held:
-                yield _block_links(pa.Table.from_batches(held), shingler)
-                held = []
-            key = keys[at]
-            held.append(b.slice(at, end - at))
-            at = end
-    if held:
-        yield _block_links(pa.Table.from_batches(held), shingler)
+    """The links of each block with texts."""
+    shingler = Shingler()
+    yield from _by_block(lambda t: _block_links(t, shingler))(batches)
+
+
+def _links_across(apart: DataFrame, sigs: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (a, b) across the components of each leader's followers: apart has leader, node, comp, outlying, i_n, j_n."""
+    signed = apart.join(_only(sigs, "node", apart.select("node")), "node")
+    place = F.abs(F.xxhash64("node") % 1_000_003)
+    i, j = (place % F.col("i_n")).cast("int"), (place % F.col("j_n")).cast("int")
+    carried = ["node", "comp", "sig"]
+    out_rows = signed.where("outlying").select("leader", i.alias("i"), F.explode(F.sequence(F.lit(0), F.col("j_n") - 1)).alias("j"), *carried, "outlying")
+    all_rows = signed.select("leader", F.explode(F.sequence(F.lit(0), F.col("i_n") - 1)).alias("i"), j.alias("j"), *carried, F.lit(False).alias("outlying"))
+    blocks = out_rows.unionByName(all_rows)
+
+    def dealt(df: DataFrame) -> DataFrame:
+        return df.repartition("leader", "i", "j").sortWithinPartitions("leader", "i", "j")
+
+    searched = materialise(dealt(blocks).mapInArrow(_by_block(partial(_block_search, pairs_per_row=PAIRS_PER_ROW)), "a long, b long, leader long, i int, j int"), "near-searched")
+    pairs = materialise(searched.where("a is not null").select("a", "b").distinct(), "near-pairs")
+    dense = searched.where("leader is not null").select("leader", "i", "j")
+    few = _confirmed(pairs, docs)
+    n = dense.count()
+    if not n:
+        return few
+    again = blocks.join(F.broadcast(dense) if n <= BROADCAST_ROWS else dense, ["leader", "i", "j"], "left_semi")
+    texts = _only(docs, "doc_id", materialise(again.select(F.col("node").alias("doc_id")).distinct(), "near-dense"))
+    many = dealt(again.join(texts.select(F.col("doc_id").alias("node"), "text"), "node").select("leader", "i", "j", *carried, "outlying", "text")).mapInArrow(_across, "a long, b long")
+    return few.unionByName(many)
 
 
 def near_components(docs: DataFrame) -> DataFrame:
@@ -295,14 +354,7 @@ def near_components(docs: DataFrame) -> DataFrame:
         .select("leader", F.ceil(F.col("n_out") / BLOCK_OUT).cast("int").alias("i_n"), F.ceil(F.col("n_all") / BLOCK_ALL).cast("int").alias("j_n"))
     )
     apart = materialise(labelled.join(spread, "leader"), "near-apart")
-    texts = _only(docs, "doc_id", apart.select(F.col("node").alias("doc_id"))).select(F.col("doc_id").alias("node"), "text")
-    blocks = apart.join(_only(sigs, "node", apart.select("node")), "node").join(texts, "node")
-    place = F.abs(F.xxhash64("node") % 1_000_003)
-    i, j = (place % F.col("i_n")).cast("int"), (place % F.col("j_n")).cast("int")
-    out_rows = blocks.where("outlying").select("leader", i.alias("i"), F.explode(F.sequence(F.lit(0), F.col("j_n") - 1)).alias("j"), "node", "comp", "outlying", "sig", "text")
-    all_rows = blocks.select("leader", F.explode(F.sequence(F.lit(0), F.col("i_n") - 1)).alias("i"), j.alias("j"), "node", "comp", F.lit(False).alias("outlying"), "sig", "text")
-    cross = out_rows.unionByName(all_rows).repartition("leader", "i", "j").sortWithinPartitions("leader", "i", "j").mapInArrow(_across, "a long, b long")
-    more = materialise(cross.distinct(), "near-links")
+    more = materialise(_links_across(apart, sigs, docs).distinct(), "near-links")
     if not more.isEmpty():
         component = connected_components(component.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
 
