@@ -2,8 +2,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pytest
+from pyspark.sql import functions as F
 
-from vistrel.operators import blocks, metric, retrieval, runs
+from vistrel.functions.vector import flip_merge
+from vistrel.operators import blocks, metric, retrieval, runs, samples
 
 
 def vectors(spark, n, d=8, seed=1):
@@ -77,3 +80,55 @@ def test_incomplete_splits_are_refused(spark):
     assert not summary.first()["complete"] and summary.first()["std"] is None
     with pytest.raises(PySparkException):
         runs.require_complete(summary).collect()
+
+
+def test_padding_carries_no_weight(spark):
+    rng = np.random.default_rng(1)
+    x, y = rng.normal(size=(5, 4)), rng.normal(size=(3, 4))
+    padded = metric.transport_distance(np.vstack([x, np.ones((2, 4))]), y, x_pad=np.array([False] * 5 + [True] * 2))
+    assert padded == metric.transport_distance(x, y)
+    assert metric.transport_distance(x, y, y_pad=np.ones(3, bool)) == 0.0
+    rows = [(0, 1, x.tolist(), y.tolist(), [False] * 5), (1, 0, x.tolist(), y.tolist(), [False] * 4 + [True])]
+    pairs = spark.createDataFrame(rows, "pair_id long, label long, xs array<array<double>>, ys array<array<double>>, x_pad array<boolean>")
+    got = {r["pair_id"]: r["distance"] for r in metric.alignment(pairs).collect()}
+    assert abs(got[0] - metric.transport_distance(x, y)) < 1e-12 and abs(got[1] - metric.transport_distance(x[:4], y)) < 1e-12
+
+
+def test_a_split_with_one_noise_value_has_no_mean_spread(spark):
+    rows = [("a", 4, s, c, v, v) for s in (0, 1) for c, v in (("random", 1.0), ("random", 3.0), ("first", 2.0), ("noise", 5.0))] + [("a", 4, 0, "noise", 7.0, 7.0)]
+    got = runs.sensitivity_summary(spark.createDataFrame(rows, "domain string, k long, split long, condition string, mAP double, rank1 double")).first()
+    assert got["noise_std"] != got["noise_std"] and (got["rand_r1_mean"], got["oracle_r1"], got["splits"]) == (2.0, 3.0, 2)
+
+
+def test_columns_are_centred_by_themselves(spark):
+    rows = [("a", 0, 1.0, 1.0), ("a", 0, 2.0, 9.0), ("a", 0, None, 100.0), ("a", 1, 5.0, 2.0), ("a", 1, 7.0, 8.0), ("a", 1, float("nan"), -50.0), ("b", 0, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "domain string, split long, x double, y double")
+    frame = pd.DataFrame(rows[:-1], columns=["d", "s", "x", "y"])
+    frame["x"] -= frame.groupby("s")["x"].transform("mean")
+    frame["y"] -= frame.groupby("s")["y"].transform("mean")
+    both = frame.dropna()
+    rho = both["x"].rank().corr(both["y"].rank())
+    got = runs.spearman(df, "x", "y", ("split",), "domain").collect()
+    assert [(r["domain"], r["n"]) for r in got] == [("a", 6)] and abs(got[0]["rho"] - rho) < 1e-6
+
+
+def test_small_helpers(spark):
+    df = spark.createDataFrame([(3.0, 4.0)], "total double, noise double")
+    assert df.select(runs.noise_corrected(F.col("noise"), F.col("total")).alias("v")).first()["v"] == 7.0**0.5
+    assert df.select(runs.noise_corrected(F.col("total"), F.col("noise")).alias("v")).first()["v"] == 0.0
+    assert runs.pick_columns(spark.createDataFrame([(1, 2, 3)], "p_a int, p_b_x int, q int"), "p_", "") == ["p_a", "p_b_x"]
+    samples.check_budget(df, 1)
+    with pytest.raises(ValueError, match="budget 2"):
+        samples.check_budget(df, 2)
+    merged = spark.createDataFrame([([3.0, 0.0], [0.0, 4.0])], "a array<double>, b array<double>").select(flip_merge(F.col("a"), F.col("b")).alias("m")).first()["m"]
+    assert np.allclose(merged, [0.6, 0.8])
+
+
+def test_stage_decision_needs_both_runs(spark):
+    from pyspark.errors import PySparkException
+
+    scores = spark.createDataFrame([("old", 50.0), ("new", 50.0), ("small", 40.0)], "run string, score double")
+    row = runs.stage_decision(scores, "old", "new", "full", "small").first()
+    assert (row["chosen"], row["gain"], row["full_gain"]) == ("new", 0.0, None)
+    with pytest.raises(PySparkException, match="needed"):
+        runs.stage_decision(scores, "old", "other", "full", "small").collect()

@@ -18,7 +18,7 @@ def people(spark):
     centres = rng.normal(size=(300, 32))
     x = np.repeat(centres, 4, axis=0) + 0.05 * rng.normal(size=(1200, 32))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    frame = pd.DataFrame({"image_idx": np.arange(1200), "pid": np.arange(1200) // 4, "camid": (np.arange(1200) % 4).astype("int32"), "path": [f"img{i}" for i in range(1200)], "feat": x.tolist()})
+    frame = pd.DataFrame({"image_idx": np.arange(1200), "pid": np.arange(1200) // 4, "camid": (np.arange(1200) % 4).astype("int32"), "path": [f"img{i}" for i in range(1200)], "feat": x.tolist(), "style": x[:, :8].tolist()})
     return spark.createDataFrame(frame).withColumn("domain", F.lit("synthetic")).cache()
 
 
@@ -70,14 +70,14 @@ def test_kcenter_against_its_definition(people):
     pool = selectors.Pool(frame, True)
     rows = selectors.SELECTORS["kcenter"](pool, 5, SEED)
     for n in range(1, 5):
-        gap = 1 - pool.sim[rows[:n]].max(0)
+        gap = 1 - pool.sims(rows[:n]).max(0)
         gap[rows[:n]] = -1
         assert gap[rows[n]] == gap.max()
 
 
 def test_exhausted_pool_is_filled():
     """All images of one person in one camera: every later pick is a probable duplicate, and still the budget is met."""
-    frame = pd.DataFrame({"image_idx": range(6), "camid": 0, "feat": [np.eye(4)[0]] * 6})
+    frame = pd.DataFrame({"image_idx": range(6), "camid": 0, "feat": [np.eye(4)[0]] * 6, "style": [np.eye(4)[0]] * 6})
     for name, rule in selectors.SELECTORS.items():
         assert sorted(rule(selectors.Pool(frame, True), 6, 1)) == list(range(6)), name
 
@@ -89,3 +89,79 @@ def test_failed_person_is_not_retried(spark):
     assert got == {1: "fail", 2: "dup", 3: "pair"}
     got = {r["pos"]: r["outcome"] for r in samples.annotate(anchors, images, 0, cross_camera=False).collect()}
     assert got == {1: "pair", 2: "dup", 3: "pair"}
+
+
+def whole_matrix(frame, has_cameras=True):
+    """What a pool holds, from the matrix of all similarities."""
+    x = np.stack(frame["feat"].to_list())
+    sim = np.round(x @ x.T, 6)
+    far = sim.copy()
+    np.fill_diagonal(far, -np.inf)
+    near = -np.sort(-far, axis=1)[:, :20]
+    cams = frame["camid"].to_numpy()
+    if has_cameras:
+        far[cams[:, None] == cams[None]] = -np.inf
+    best = far.argmax(1)
+    mutual = np.isfinite(far.max(1)) & (best[best] == np.arange(len(x)))
+    tau = np.quantile(sim[np.triu_indices(len(x), 1)], 0.99)
+    return sim, 1 / np.maximum(1 - near, 1e-4).mean(1), tau, np.where(mutual, best, -1)
+
+
+def test_pool_by_blocks_is_the_whole_matrix(people, monkeypatch):
+    frame = people.drop("pid").toPandas().sort_values("image_idx", ignore_index=True)
+    monkeypatch.setattr(selectors.Pool, "BLOCK", 97)
+    pool = selectors.Pool(frame, True)
+    sim, typical, tau, partner = whole_matrix(frame)
+    assert np.allclose(pool.typical, typical) and abs(pool.tau - tau) < 2e-6 and (pool.partner == partner).all()
+    assert np.allclose(pool.sims([3, 5]), sim[[3, 5]])
+
+
+def test_greedy_rules_against_plain_versions(people):
+    """dedup, pairable, facility and hard_negative written out anew over the whole matrix."""
+    frame = people.drop("pid").toPandas().sort_values("image_idx", ignore_index=True)
+    pool = selectors.Pool(frame, True)
+    sim, _, _, partner = whole_matrix(frame)
+
+    def twin(i, j):
+        return i == j or sim[i, j] > pool.tau or partner[j] == i
+
+    def greedy(order):
+        out = []
+        for i in order:
+            if len(out) < K and not any(twin(i, j) for j in out):
+                out.append(i)
+        return out
+
+    drawn = pool.drawn(SEED)
+    assert selectors.SELECTORS["dedup"](pool, K, SEED) == greedy(drawn)
+    assert selectors.SELECTORS["pairable"](pool, K, SEED) == greedy(sorted(drawn, key=lambda i: -pool.pairable[i]))
+    out, gain_of = [], np.clip(sim, 0, None)
+    while len(out) < K:
+        cover = gain_of[out].max(0) if out else np.zeros(len(sim))
+        gain = [-1 if any(twin(i, j) for j in out) else np.maximum(gain_of[i] - cover, 0).sum() for i in range(len(sim))]
+        out.append(int(np.argmax(gain)))
+    assert selectors.SELECTORS["facility"](pool, K, SEED) == out
+
+
+def test_facility_covers_drawn_rows_by_drawn_candidates(people):
+    frame = people.drop("pid").toPandas().sort_values("image_idx", ignore_index=True)
+    pool = selectors.Pool(frame, True)
+    evaluated, candidates = set(pool.drawn(f"{SEED}:eval")[:200]), set(pool.drawn(f"{SEED}:cand")[:300])
+    assert set(selectors._facility(pool, K, SEED, n_eval=200, n_cand=300)) <= candidates and len(evaluated) == 200
+    few = selectors._facility(pool, K, SEED, n_eval=200, n_cand=5)
+    assert len(set(few)) == K and len(set(few) & set(pool.drawn(f"{SEED}:cand")[:5])) >= 4
+
+
+def test_style_is_needed_and_used(people):
+    with pytest.raises(ValueError, match="style"):
+        selectors.select(people.drop("pid", "style"), ["domain"], ["style_cover"], K, SEED)
+    by_camera = people.drop("pid").withColumn("style", F.array((F.col("camid") * 10.0), (F.col("image_idx") / 1e6)))
+    got = selectors.select(by_camera, ["domain"], ["style_cover"], 4, SEED).toPandas()
+    assert (got["image_idx"] % 4).nunique() == 4
+
+
+def test_rest_follows_the_picks(spark):
+    pool = spark.createDataFrame([(0, k) for k in range(5)] + [(1, k) for k in range(3)], "batch long, image_idx long")
+    picked = spark.createDataFrame([(0, "a", 1, 3), (0, "a", 2, 1), (1, "a", 1, 2)], "batch long, selector string, pos long, image_idx long")
+    got = samples.with_rest(pool, picked, ["batch"]).orderBy("batch", "pos").collect()
+    assert [(r["batch"], r["image_idx"], r["chosen"]) for r in got] == [(0, 3, True), (0, 1, True), (0, 0, False), (0, 2, False), (0, 4, False), (1, 2, True), (1, 0, False), (1, 1, False)]

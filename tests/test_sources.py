@@ -98,6 +98,43 @@ def test_task_plan_and_repeated_names(spark):
     assert [r["name"] for r in readers.repeated_names(plan).collect()] == ["a"]
 
 
+def test_task_plan_numbers_groups_with_tasks_and_refuses_bad_lines(spark):
+    from pyspark.errors import PySparkException
+
+    def plan(*lines):
+        return readers.task_plan(spark.createDataFrame(list(enumerate(lines)), "line_no long, value string"))
+
+    got = plan("@wait", "a | x", "@wait", "# none", "@wait", "b.2-c | y | z")
+    assert [tuple(r) for r in got.orderBy("line_no").collect()] == [(1, 0, "a", "x"), (5, 1, "b.2-c", "y | z")]
+    for bad, why in (("no bar here", "expected"), ("bad name! | x", "bad task name"), ("| x", "bad task name")):
+        with pytest.raises(PySparkException, match=why):
+            plan("a | x", bad).collect()
+
+
+def test_combined_subsets_number_identities_anew(spark):
+    a, b = (spark.createDataFrame(rows, "pid long, image_idx long") for rows in ([(7, 1), (90_000, 2)], [(7, 3), (12, 4)]))
+    got = readers.combine_all(a, b)
+    assert got.columns == ["pid", "image_idx"] and {tuple(r) for r in got.collect()} == {(0, 1), (2, 2), (0, 3), (1, 4)}
+
+
+def test_equal_names_in_two_folders(spark, tmp_path):
+    for d in ("x", "y"):
+        (tmp_path / d).mkdir()
+        (tmp_path / d / "f.bin").write_bytes(d.encode())
+    m = spark.createDataFrame([(f"{d}/f.bin", hashlib.sha256(b"x").hexdigest()) for d in ("x", "y")], "name string, sha256 string")
+    assert {r["name"]: r["ok"] for r in readers.verify_hashes(spark, str(tmp_path), m).collect()} == {"x/f.bin": True, "y/f.bin": False}
+
+
+def test_json_vectors_and_long_tables(spark, tmp_path):
+    df = spark.createDataFrame([(1, [0.5, 1.5]), (2, None)], "k long, v array<double>")
+    sinks.to_json(df, str(tmp_path / "j"), single=True)
+    assert {(r["k"], tuple(r["v"] or ())) for r in spark.read.json(str(tmp_path / "j")).collect()} == {(1, (0.5, 1.5)), (2, ())}
+    sinks.to_vectors(df, str(tmp_path / "p"))
+    assert {(r["k"], tuple(r["v"] or ())) for r in spark.read.parquet(str(tmp_path / "p")).collect()} == {(1, (0.5, 1.5)), (2, ())}
+    with pytest.raises(ValueError, match="more than 1 rows"):
+        sinks.markdown(df.select("k"), most=1)
+
+
 def test_option_lists(spark):
     from pyspark.sql import functions as F
 

@@ -12,6 +12,8 @@ from vistrel.operators.blocks import DIGITS, block_scan, matrix, nearest
 
 #: Neighbours that typicality looks at, least distance that counts, and the quantile of the duplicate threshold.
 NEIGHBOURS, LEAST_DISTANCE, DUP_QUANTILE = 20, 1e-4, 0.99
+#: Selected images whose properties are computed at most; a selection is an annotation budget.
+MOST_SELECTED = 1000
 
 
 def pool_statistics(pool: DataFrame, has_cameras: bool = True) -> DataFrame:
@@ -66,10 +68,13 @@ def selection_properties(pool: DataFrame, selected: DataFrame, statistics: DataF
         F.round(F.avg("pairability"), DIGITS).alias("pairability"),
         F.round(vector_std_mean(F.col("feat"), dims), DIGITS).alias("style_spread"),
     )
-    a = s.select(F.lit(1).alias("one"), F.col("image_idx").alias("a_idx"), F.col("feat").alias("fa"))
-    b = s.select(F.lit(1).alias("one"), F.col("image_idx").alias("b_idx"), F.col("feat").alias("fb"))
-    pairs = a.join(b, "one").where("a_idx < b_idx").agg(F.round(1 - F.avg(dot(F.col("fa"), F.col("fb"))), DIGITS).alias("diversity"), F.round(F.max(dot(F.col("fa"), F.col("fb"))), DIGITS).alias("max_sim"))
-    return single.withColumn("one", F.lit(1)).join(pairs.withColumn("one", F.lit(1)), "one").drop("one")
+    if selected.limit(MOST_SELECTED + 1).count() > MOST_SELECTED:
+        raise ValueError(f"more than {MOST_SELECTED} selected images")
+    every = F.array_sort(F.collect_list(F.struct("image_idx", "feat")))  # MOST_SELECTED vectors
+    one = s.agg(every.alias("v")).select("v", F.explode(F.sequence(F.lit(0), F.greatest(F.size("v") - 1, F.lit(0)))).alias("i"))
+    sims = one.select(F.explode(F.transform(F.slice("v", F.col("i") + 2, F.size("v")), lambda x: dot(F.get("v", F.col("i"))["feat"], x["feat"]))).alias("sim"))
+    pairs = sims.agg(F.round(1 - F.avg("sim"), DIGITS).alias("diversity"), F.round(F.max("sim"), DIGITS).alias("max_sim"))
+    return single.withColumn("one", F.lit(1)).join(pairs.withColumn("one", F.lit(1)), "one").drop("one")  # one row each
 
 
 def group_cosine(vectors: DataFrame, group: str) -> DataFrame:

@@ -57,13 +57,15 @@ def selector_summary(runs: DataFrame, baseline: str = "random") -> DataFrame:
 
 
 def sensitivity_summary(runs: DataFrame) -> DataFrame:
-    """Random draws, first, noise and zero conditions side by side; noise needs two values in a split."""
-    of = lambda c: F.when(F.col("condition") == c, F.col("mAP"))
+    """Random draws, first, noise and zero conditions side by side. A split with fewer than two noise values has no spread, and
+    makes the mean of spreads NaN, as a mean over numbers that are not there."""
+    of = lambda c, v="mAP": F.when(F.col("condition") == c, F.col(v))
     per_split = runs.groupBy("domain", "k", "split").agg(
         F.avg(of("random")).alias("rand_mean"), F.stddev_pop(of("random")).alias("rand_std"), F.min(of("random")).alias("rand_min"), F.max(of("random")).alias("oracle"),
-        F.avg(of("first")).alias("first"), F.when(F.count(of("noise")) > 1, F.stddev_pop(of("noise"))).alias("noise_std"), F.avg(of("zero")).alias("zero_mAP"),
+        F.avg(of("random", "rank1")).alias("rand_r1_mean"), F.max(of("random", "rank1")).alias("oracle_r1"), F.avg(of("first")).alias("first"),
+        F.when(F.count(of("noise")) > 1, F.stddev_pop(of("noise"))).otherwise(float("nan")).alias("noise_std"), F.avg(of("zero")).alias("zero_mAP"),
     )
-    names = ("rand_mean", "rand_std", "rand_min", "oracle", "first", "noise_std", "zero_mAP")
+    names = ("rand_mean", "rand_std", "rand_min", "oracle", "rand_r1_mean", "oracle_r1", "first", "noise_std", "zero_mAP")
     per = per_split.groupBy("domain", "k").agg(F.count("*").alias("splits"), *(F.avg(c).alias(c) for c in names))
     return per.select("domain", "k", "splits", *(r(F.col(c)).alias(c) for c in names), r(F.col("oracle") - F.col("rand_mean")).alias("gap_mean"), r(F.col("oracle") - F.col("rand_min")).alias("gap_min"))
 
@@ -133,14 +135,17 @@ def average_rank(column: str, *by: str) -> Column:
     return F.rank().over(order) + (F.count("*").over(W.Window.partitionBy(*by, column)) - 1) / 2
 
 
-def spearman(runs: DataFrame, x: str, y: str, within: tuple[str, ...], *by: str) -> DataFrame:
-    """Rank correlation after both columns are centred within groups; null for three finite rows or fewer."""
-    finite = runs.where(F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(F.col(x).cast("double")) & ~F.isnan(F.col(y).cast("double")))
+def spearman(runs: DataFrame, x: str, y: str, within: tuple[str, ...], *by: str, least: int = 5) -> DataFrame:
+    """Rank correlation of the rows that are finite in both columns, after each column is centred within groups over its own finite
+    values; null for three such rows or fewer. Groups of under ``least`` rows are left out; n counts all rows of a group."""
+    known = runs.select(*by, *within, *(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(n) for c, n in ((x, "x"), (y, "y"))))
     group = W.Window.partitionBy(*by, *within)
-    centred = finite.select(*by, *((r(F.col(c) - F.avg(c).over(group), 9)).alias(n) for c, n in ((x, "x"), (y, "y"))))
-    ranked = centred.select(*by, average_rank("x", *by).alias("rx"), average_rank("y", *by).alias("ry"))
-    out = pearson(ranked, "rx", "ry", *by)
-    return out.select(*by, F.when(F.col("n") > 3, F.col("r")).alias("rho"), "n")
+    centred = known.select(*by, *(r(F.col(c) - F.avg(c).over(group), 9).alias(c) for c in ("x", "y")))
+    both = centred.where("x is not null and y is not null")
+    ranked = both.select(*by, average_rank("x", *by).alias("rx"), average_rank("y", *by).alias("ry"))
+    rho = pearson(ranked, "rx", "ry", *by).select(*by, F.when(F.col("n") > 3, F.col("r")).alias("rho"))
+    counts = runs.groupBy(*by).agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    return counts.join(rho, list(by), "left").select(*by, "rho", "n")
 
 
 def rate_selection(runs: DataFrame, base: str = "zero") -> DataFrame:
@@ -180,9 +185,50 @@ def noise_corrected(total: Column, noise: Column) -> Column:
 
 
 def fold_options(options: DataFrame) -> DataFrame:
-    """(flag, value) of options (pos, flag, value): of options with one flag the first stays."""
-    first = W.Window.partitionBy("flag").orderBy("pos")
-    return options.withColumn("_rn", F.row_number().over(first)).where("_rn = 1").select("flag", "value")
+    """(pos, option) of options (pos, option), a list that someone wrote: one with any flag of an earlier kept option is dropped, whole."""
+    flags = F.array_distinct(F.regexp_extract_all("option", F.lit(r"(--\w+)"), F.lit(1)))
+    rows = options.agg(F.array_sort(F.collect_list(F.struct("pos", "option", flags.alias("flags")))).alias("rows"))
+    none = F.struct(F.array().cast("array<string>").alias("seen"), F.array().cast("array<int>").alias("kept"))
+
+    def step(s: Column, o: Column) -> Column:
+        free = ~F.arrays_overlap(s["seen"], o["flags"])
+        return F.when(free, F.struct(F.concat(s["seen"], o["flags"]).alias("seen"), F.concat(s["kept"], F.array(o["pos"].cast("int"))).alias("kept"))).otherwise(s)
+
+    kept = F.aggregate("rows", none, step, lambda s: s["kept"])
+    return rows.select(F.explode(F.filter("rows", lambda o: F.array_contains(kept, o["pos"].cast("int")))).alias("o")).select("o.pos", "o.option")
+
+
+def grid_rows(runs: DataFrame, questions: DataFrame, by: list[str]) -> DataFrame:
+    """Evaluation rows with the accuracy and AUC of their questions (by.., accuracy, auc); NaN where no questions were asked."""
+    nan = F.lit(float("nan"))
+    joined = runs.join(questions.select(*by, "accuracy", "auc"), by, "left")
+    return joined.select(*runs.columns, F.coalesce("accuracy", nan).alias("llm_acc"), F.coalesce("auc", nan).alias("llm_auc"))
+
+
+def banked(rows: DataFrame, conditions: tuple[str, ...]) -> DataFrame:
+    """The rows whose prompts are kept: the first split and the largest k under the named conditions."""
+    most = rows.agg(F.max("k").alias("_most"))  # one row
+    return rows.join(F.broadcast(most), F.col("k") == F.col("_most")).where((F.col("split") == 0) & F.col("condition").isin(*conditions)).drop("_most")
+
+
+def first_available(*named: tuple[str, Column]) -> Column:
+    """struct<origin, value> of the first value that is there; origin `none` without any."""
+    none = F.struct(F.lit("none").alias("origin"), F.lit(None).cast("double").alias("value"))
+    return F.coalesce(*(F.when(c.isNotNull(), F.struct(F.lit(n).alias("origin"), c.cast("double").alias("value"))) for n, c in named), none)
+
+
+def stage_decision(scores: DataFrame, old: str, new: str, full: str, small: str) -> DataFrame:
+    """One row of scores (run, score): whether the new loss is at least as good as the old one, by how much, and what full training gains
+    over the small one (null where either is missing). A missing old or new score is an error."""
+    of = lambda n: F.max(F.when(F.col("run") == n, F.col("score")))
+    one = scores.agg(of(old).alias("a"), of(new).alias("b"), of(full).alias("f"), of(small).alias("s"))
+    chosen = F.when(F.col("a").isNull() | F.col("b").isNull(), F.raise_error(F.lit(f"both {old} and {new} are needed")).cast("string")).when(F.col("b") >= F.col("a"), new).otherwise(old)
+    return one.select(chosen.alias("chosen"), r(F.col("b") - F.col("a")).alias("gain"), r(F.col("f") - F.col("s")).alias("full_gain"))
+
+
+def source_folds(domains: DataFrame) -> DataFrame:
+    """(val, sources): each source domain is the validation of a fold that trains on the others, named in their order and joined by commas."""
+    return leave_one_out(domains).select(F.col("target").alias("val"), F.array_join("sources", ",").alias("sources"))
 
 
 def leave_one_out(domains: DataFrame) -> DataFrame:

@@ -65,16 +65,14 @@ def images_per_identity(images: DataFrame, k: int, seed: int) -> DataFrame:
 
 
 def balanced_pairs(images: DataFrame, seed: int, most: int = 128) -> DataFrame:
-    """(a_idx, b_idx, label): equally many same-identity and other pairs of a batch, at most ``most`` of each."""
-    a = images.select(F.lit(1).alias("one"), F.col("image_idx").alias("a_idx"), F.col("pid").alias("pa"))
-    b = images.select(F.lit(1).alias("one"), F.col("image_idx").alias("b_idx"), F.col("pid").alias("pb"))
-    pairs = a.join(b, "one").where("a_idx < b_idx").select("a_idx", "b_idx", (F.col("pa") == F.col("pb")).cast("long").alias("label"))
-    by = W.Window.partitionBy("label").orderBy(draw_key(seed, "a_idx", "b_idx"), "a_idx", "b_idx")
+    """(batch, a_idx, b_idx, label): of each batch equally many same-identity and other pairs, at most ``most`` of each."""
+    a = images.select("batch", F.col("image_idx").alias("a_idx"), F.col("pid").alias("pa"))
+    b = images.select("batch", F.col("image_idx").alias("b_idx"), F.col("pid").alias("pb"))
+    pairs = a.join(b, "batch").where("a_idx < b_idx").select("batch", "a_idx", "b_idx", (F.col("pa") == F.col("pb")).cast("long").alias("label"))
+    by = W.Window.partitionBy("batch", "label").orderBy(draw_key(seed, "a_idx", "b_idx"), "a_idx", "b_idx")
     drawn = pairs.withColumn("_rn", F.row_number().over(by)).where(F.col("_rn") <= most)
-    even = F.when(F.min("label").over(W.Window.partitionBy()) == F.max("label").over(W.Window.partitionBy()), 0).otherwise(
-        F.least(F.max(F.when(F.col("label") == 0, F.col("_rn"))).over(W.Window.partitionBy()), F.max(F.when(F.col("label") == 1, F.col("_rn"))).over(W.Window.partitionBy()))
-    )
-    return drawn.withColumn("_even", even).where("_rn <= _even").select("a_idx", "b_idx", "label")
+    even = drawn.groupBy("batch").agg(F.least(F.count_if(F.col("label") == 0), F.count_if(F.col("label") == 1)).alias("_even"))
+    return drawn.join(even, "batch").where("_rn <= _even").select("batch", "a_idx", "b_idx", "label")
 
 
 def questions(images: DataFrame, n: int, seed: int) -> DataFrame:
@@ -144,3 +142,29 @@ def check_budget(pool: DataFrame, k: int) -> None:
     """A budget that the pool cannot meet is an error."""
     if (n := pool.limit(k).count()) < k:
         raise ValueError(f"budget {k} exceeds the pool's {n} rows")
+
+
+def repeat_labels(labels: DataFrame, times: int) -> DataFrame:
+    """Each row (i, label) ``times`` times in a row: (i, label) with new numbers."""
+    copies = F.posexplode(F.array_repeat(F.col("label"), times)).alias("_n", "label")
+    return labels.select("i", copies).select((F.col("i") * times + F.col("_n")).alias("i"), "label")
+
+
+def paired(rows: DataFrame, value: str) -> DataFrame:
+    """(pair, first, second) of the neighbouring rows (i, value) two and two."""
+    side = lambda n: F.max(F.when(F.col("i") % 2 == n, F.col(value)))
+    return rows.groupBy(F.floor(F.col("i") / 2).alias("pair")).agg(side(0).alias("first"), side(1).alias("second"))
+
+
+def evaluation_subset(pool: DataFrame, key: str, n: int, seed: int) -> DataFrame:
+    """The rows of n drawn keys, or all rows where there are no more."""
+    return pool.orderBy(draw_key(seed, key), key).limit(n)
+
+
+def with_rest(pools: DataFrame, picked: DataFrame, by: list[str]) -> DataFrame:
+    """(by.., selector, pos, image_idx, chosen): the picks of each pool in their order, then the pool's other images in the order of their numbers."""
+    names = picked.select(*by, "selector").distinct()
+    every = pools.select(*by, "image_idx").join(names, by)
+    joined = every.join(picked, [*by, "selector", "image_idx"], "left")
+    order = W.Window.partitionBy(*by, "selector").orderBy(F.col("pos").asc_nulls_last(), "image_idx")
+    return joined.select(*by, "selector", F.row_number().over(order).cast("long").alias("place"), "image_idx", F.col("pos").isNotNull().alias("chosen")).withColumnRenamed("place", "pos")

@@ -9,6 +9,7 @@ vistrel.operators.pool as plans, and the greedy pass then needs the pool's vecto
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable, Iterable
 
 import numpy as np
@@ -21,6 +22,10 @@ from vistrel.functions.draw import draw_key
 from vistrel.operators.pool import DUP_QUANTILE, LEAST_DISTANCE, NEIGHBOURS
 
 
+#: Rows that facility location covers at most, and rows that it may pick; drawn where the pool has more.
+EVALUATED, CANDIDATES = 4000, 8000
+
+
 def round_robin(pool: DataFrame, seed: int) -> DataFrame:
     """(pos, image_idx): one drawn image of each camera in turn, cameras in drawn order."""
     nth = F.row_number().over(W.Window.partitionBy("camid").orderBy(draw_key(seed, "image_idx"), "image_idx"))
@@ -29,38 +34,61 @@ def round_robin(pool: DataFrame, seed: int) -> DataFrame:
 
 
 class Pool:
-    """Vectors of one pool with what the greedy rules ask of them; rows are in the order of image_idx."""
+    """Vectors of one pool with what the greedy rules ask of them; rows are in the order of image_idx.
+
+    Similarities are computed by blocks of rows or a row at a time; the matrix of all is never held.
+    """
+
+    BLOCK = 1024
 
     def __init__(self, frame: pd.DataFrame, has_cameras: bool):
         frame = frame.sort_values("image_idx", ignore_index=True)
         self.idx = frame["image_idx"].to_numpy()
         self.cams = frame["camid"].to_numpy() if has_cameras else np.zeros(len(frame), int)
         self.has_cameras = has_cameras
-        self.x = np.stack(frame["feat"].to_list()).astype(float) if len(frame) else np.zeros((0, 1))
         self.n = len(frame)
-        sim = np.round(self.x @ self.x.T, 6)
-        self.sim = sim
-        others = sim[~np.eye(self.n, dtype=bool)].reshape(self.n, max(self.n - 1, 0))
-        dense = -np.sort(-others, axis=1)[:, :NEIGHBOURS]
-        self.typical = 1 / np.maximum(1 - dense, LEAST_DISTANCE).mean(1) if dense.size else np.ones(self.n)
-        pairs = sim[np.triu_indices(self.n, 1)]
-        self.tau = float(np.quantile(pairs, DUP_QUANTILE)) if len(pairs) else 1.0
-        far = sim.copy()
-        np.fill_diagonal(far, -np.inf)
-        if has_cameras:
-            far[self.cams[:, None] == self.cams[None, :]] = -np.inf
-        best = far.argmax(1) if self.n else np.zeros(0, int)
-        self.pairable = far.max(1) if self.n else np.zeros(0)
-        there = np.isfinite(self.pairable)
-        mutual = there & there[best] & (best[best] == np.arange(self.n))
+        self.x = np.stack(frame["feat"].to_list()).astype(float) if self.n else np.zeros((0, 1))
+        self.style = np.stack(frame["style"].to_list()).astype(float) if self.n and "style" in frame else None
+        self.typical, self.pairable, best = np.ones(self.n), np.full(self.n, -np.inf), np.zeros(self.n, int)
+        counts: dict[int, int] = {}
+        for at in range(0, self.n, self.BLOCK):
+            rows = np.arange(at, min(at + self.BLOCK, self.n))
+            sim = self.sims(rows)
+            later = sim[rows[:, None] < np.arange(self.n)[None]]
+            for value, n in zip(*np.unique(np.rint(later * 1e6).astype(np.int64), return_counts=True), strict=True):
+                counts[int(value)] = counts.get(int(value), 0) + int(n)
+            sim[np.arange(len(rows)), rows] = -np.inf
+            near = -np.sort(-sim, axis=1)[:, : min(NEIGHBOURS, self.n - 1)]
+            if near.shape[1]:
+                self.typical[rows] = 1 / np.maximum(1 - near, LEAST_DISTANCE).mean(1)
+            if has_cameras:
+                sim[self.cams[rows, None] == self.cams[None]] = -np.inf
+            best[rows], self.pairable[rows] = sim.argmax(1), sim.max(1)
+        self.tau = _quantile(counts, DUP_QUANTILE) if counts else 1.0
+        mutual = np.isfinite(self.pairable) & np.isfinite(self.pairable[best]) & (best[best] == np.arange(self.n))
         self.partner = np.where(mutual, best, -1)
 
+    def sims(self, rows: np.ndarray | list[int], others: np.ndarray | slice = slice(None)) -> np.ndarray:
+        return np.round(self.x[rows] @ self.x[others].T, 6)
+
+    def sim(self, i: int) -> np.ndarray:
+        return self.sims([i])[0]
+
     def drawn(self, seed: object, members: Iterable[int] | None = None) -> list[int]:
         """Rows in the order of a hash of seed and image."""
         rows = range(self.n) if members is None else members
         return sorted(rows, key=lambda i: (hashlib.md5(f"{seed}:{self.idx[i]}".encode(), usedforsecurity=False).hexdigest(), i))
 
 
+def _quantile(counts: dict[int, int], q: float) -> float:
+    """The interpolated quantile of values in millionths that occur so often."""
+    values = np.array(sorted(counts))
+    upto = np.cumsum([counts[int(v)] for v in values])
+    at = q * (upto[-1] - 1)
+    low, high = (values[np.searchsorted(upto, p, side="right")] / 1e6 for p in (math.floor(at), math.ceil(at)))
+    return float(low + (high - low) * (at - math.floor(at)))
+
+
 class Picks:
     """Chosen rows and which rows they rule out as probable copies of a person."""
 
@@ -74,7 +102,7 @@ class Picks:
 
     def take(self, i: int) -> None:
         self.rows.append(int(i))
-        self.barred |= self.pool.sim[i] > self.pool.tau
+        self.barred |= self.pool.sim(i) > self.pool.tau
         self.barred[i] = True
         if self.pool.partner[i] >= 0:
             self.barred[self.pool.partner[i]] = True
@@ -107,12 +135,12 @@ def _pairable(pool: Pool, k: int, seed: int) -> list[int]:
 
 def _kcenter(pool: Pool, k: int, seed: int) -> list[int]:
     rows = pool.drawn(seed)[:1]
-    gap = 1 - pool.sim[rows[0]] if rows else np.zeros(0)
+    gap = 1 - pool.sim(rows[0]) if rows else np.zeros(0)
     while 0 < len(rows) < min(k, pool.n):
         gap[rows] = -np.inf
         far = int(gap.argmax())
         rows.append(far)
-        gap = np.minimum(gap, 1 - pool.sim[far])
+        gap = np.minimum(gap, 1 - pool.sim(far))
     return rows
 
 
@@ -139,25 +167,29 @@ def _hard_negative(pool: Pool, k: int, seed: int) -> list[int]:
         picks.take(anchor)
         if picks.full:
             break
-        like = np.where(picks.barred | (pool.sim[anchor] > pool.tau), -np.inf, pool.sim[anchor])
+        sim = pool.sim(anchor)
+        like = np.where(picks.barred | (sim > pool.tau), -np.inf, sim)
         if np.isfinite(like.max()):
             picks.take(int(like.argmax()))
     return picks.fill(pool.drawn(f"{seed}:fill"))
 
 
-def _facility(pool: Pool, k: int, seed: int, bonus: float = 0.0) -> list[int]:
+def _facility(pool: Pool, k: int, seed: int, bonus: float = 0.0, n_eval: int = EVALUATED, n_cand: int = CANDIDATES) -> list[int]:
+    """Greedy cover of drawn evaluation rows by drawn candidates; smaller pools take part whole. Ties go to the lower image number."""
     picks = Picks(pool, k)
-    gain_of = np.clip(pool.sim, 0, None)
-    covered, seen = np.zeros(pool.n), set()
-    while not picks.full and not picks.barred.all():
-        gain = np.maximum(gain_of - covered, 0).sum(1)
-        score = gain / max(gain[~picks.barred].max(), 1e-9)
+    evaluated = np.sort(pool.drawn(f"{seed}:eval")[:n_eval]) if pool.n > n_eval else np.arange(pool.n)
+    candidates = np.sort(pool.drawn(f"{seed}:cand")[:n_cand]) if pool.n > n_cand else np.arange(pool.n)
+    gain_of = np.clip(pool.sims(candidates, evaluated), 0, None)
+    covered, seen = np.zeros(len(evaluated)), set()
+    while not picks.full and not picks.barred[candidates].all():
+        gain, barred = np.maximum(gain_of - covered, 0).sum(1), picks.barred[candidates]
+        score = gain / max(gain[~barred].max(), 1e-9)
         if bonus and pool.has_cameras:
-            score = score + bonus * np.array([c not in seen for c in pool.cams])
-        row = int(np.where(picks.barred, -np.inf, score).argmax())
-        picks.take(row)
-        seen.add(pool.cams[row])
-        covered = np.maximum(covered, gain_of[row])
+            score = score + bonus * np.array([c not in seen for c in pool.cams[candidates]])
+        at = int(np.where(barred, -np.inf, score).argmax())
+        picks.take(candidates[at])
+        seen.add(pool.cams[candidates[at]])
+        covered = np.maximum(covered, gain_of[at])
     return picks.fill(pool.drawn(f"{seed}:fill"))
 
 
@@ -189,9 +221,8 @@ def _typical(pool: Pool, k: int, seed: int) -> list[int]:
     return picks.fill(dense)
 
 
-def _style_cover(pool: Pool, k: int, seed: int, style: np.ndarray | None = None) -> list[int]:
-    picks = Picks(pool, k)
-    style = pool.x[:, :8] if style is None else style
+def _style_cover(pool: Pool, k: int, seed: int) -> list[int]:
+    picks, style = Picks(pool, k), pool.style
     if pool.n:
         label, centre = _clusters(style, picks.k, seed)
         gap = ((style - centre[label]) ** 2).sum(1)
@@ -221,9 +252,14 @@ def check_names(names: Iterable[str]) -> None:
 
 
 def select(pools: DataFrame, by: list[str], names: Iterable[str], k: int, seed: int, has_cameras: bool = True) -> DataFrame:
-    """(by.., selector, pos, image_idx): k images of each pool for each named selector. ``pools`` must not show identities."""
+    """(by.., selector, pos, image_idx): k images of each pool for each named selector. ``pools`` must not show identities.
+
+    style_cover clusters the column ``style``, the vector of an image's appearance statistics, and needs it.
+    """
     names = list(names)
     check_names(names)
+    if "style_cover" in names and "style" not in pools.columns:
+        raise ValueError("style_cover needs the column style")
     if "pid" in pools.columns:
         raise ValueError("selectors work without labels; drop pid from the pool")
     if "feat" not in pools.columns:
@@ -241,11 +277,12 @@ def select(pools: DataFrame, by: list[str], names: Iterable[str], k: int, seed:
             out.append(part)
         return pd.concat(out)[[*by, "selector", "pos", "image_idx"]]
 
-    return pools.select(*by, "image_idx", "camid", "feat").groupBy(*by).applyInPandas(run, schema)
+    return pools.select(*by, "image_idx", "camid", "feat", *(["style"] if "style_cover" in names else [])).groupBy(*by).applyInPandas(run, schema)
 
 
-def identity_means(images: DataFrame, dims: int) -> DataFrame:
-    """Unit mean vector of each identity, as a pool in which an image stands for an identity (image_idx = pid)."""
+def identity_means(images: DataFrame, dims: int, *by: str) -> DataFrame:
+    """Unit mean vector of each identity (in each group), as a pool in which an image stands for an identity (image_idx = pid)."""
     from vistrel.functions.vector import l2_normalise, vector_avg
 
-    return images.groupBy("pid").agg(vector_avg(l2_normalise(F.col("feat")), dims).alias("m")).select(F.col("pid").alias("image_idx"), F.lit(0).alias("camid"), l2_normalise(F.col("m")).alias("feat"))
+    means = images.groupBy(*by, "pid").agg(vector_avg(l2_normalise(F.col("feat")), dims).alias("m"))
+    return means.select(*by, F.col("pid").alias("image_idx"), F.lit(0).alias("camid"), l2_normalise(F.col("m")).alias("feat"))

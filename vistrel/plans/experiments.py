@@ -53,11 +53,12 @@ def selector_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""WITH {RUNS}, s AS (
         SELECT domain, k, split, avg(mAP) FILTER (condition = 'random') AS rand_mean, stddev_pop(mAP) FILTER (condition = 'random') AS rand_std, min(mAP) FILTER (condition = 'random') AS rand_min,
-               max(mAP) FILTER (condition = 'random') AS oracle, avg(mAP) FILTER (condition = 'first') AS first,
-               CASE WHEN count(mAP) FILTER (condition = 'noise') > 1 THEN stddev_pop(mAP) FILTER (condition = 'noise') END AS noise_std, avg(mAP) FILTER (condition = 'zero') AS zero_map
+               max(mAP) FILTER (condition = 'random') AS oracle, avg(rank1) FILTER (condition = 'random') AS rand_r1_mean, max(rank1) FILTER (condition = 'random') AS oracle_r1,
+               avg(mAP) FILTER (condition = 'first') AS first,
+               CASE WHEN count(mAP) FILTER (condition = 'noise') > 1 THEN stddev_pop(mAP) FILTER (condition = 'noise') ELSE CAST('nan' AS DOUBLE) END AS noise_std, avg(mAP) FILTER (condition = 'zero') AS zero_map
         FROM runs GROUP BY domain, k, split)
     SELECT domain, k, count(*) AS splits, round(avg(rand_mean), 6) AS rand_mean, round(avg(rand_std), 6) AS rand_std, round(avg(rand_min), 6) AS rand_min, round(avg(oracle), 6) AS oracle,
-           round(avg(first), 6) AS first, round(avg(noise_std), 6) AS noise_std, round(avg(zero_map), 6) AS "zero_mAP", round(avg(oracle) - avg(rand_mean), 6) AS gap_mean, round(avg(oracle) - avg(rand_min), 6) AS gap_min
+           round(avg(rand_r1_mean), 6) AS rand_r1_mean, round(avg(oracle_r1), 6) AS oracle_r1, round(avg(first), 6) AS first, round(avg(noise_std), 6) AS noise_std, round(avg(zero_map), 6) AS "zero_mAP", round(avg(oracle) - avg(rand_mean), 6) AS gap_mean, round(avg(oracle) - avg(rand_min), 6) AS gap_min
     FROM s GROUP BY domain, k"""
 )
 def sensitivity_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,7 +141,7 @@ def metric_corr(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""WITH {RUNS}, c AS (SELECT domain, round(n_pairs - avg(n_pairs) OVER w, 9) AS x, round(mAP - avg(mAP) OVER w, 9) AS y FROM runs WINDOW w AS (PARTITION BY domain, split, k)),
     q AS (SELECT domain, rank() OVER (PARTITION BY domain ORDER BY x) + (count(*) OVER (PARTITION BY domain, x) - 1) / 2 AS rx, rank() OVER (PARTITION BY domain ORDER BY y) + (count(*) OVER (PARTITION BY domain, y) - 1) / 2 AS ry FROM c)
-    SELECT domain, CASE WHEN count(*) > 3 THEN round(corr(rx, ry), 6) END AS rho, count(*) AS n FROM q GROUP BY domain"""
+    SELECT domain, CASE WHEN count(*) > 3 THEN round(corr(rx, ry), 6) END AS rho, count(*) AS n FROM q GROUP BY domain HAVING count(*) >= 5"""
 )
 def metric_spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.spearman(run_rows(spark, sf_dir), "n_pairs", "mAP", ("split", "k"), "domain")
@@ -247,3 +248,39 @@ def option_keep(spark: SparkSession, sf_dir: str) -> DataFrame:
     ref = per.where("condition = 'first'").select("domain", "k", F.col("m").alias("f"))
     deltas = per.join(ref, ["domain", "k"]).select("domain", "k", "condition", F.round(F.col("m") - F.col("f"), 6).alias("delta"))
     return runs.keep_rule(deltas)
+
+
+@query(
+    f"""WITH {RUNS}, m AS (SELECT domain, split, k, condition, CASE WHEN max(rank1) > 20 THEN max(rank1) / 100 END AS accuracy FROM runs GROUP BY domain, split, k, condition)
+    SELECT runs.domain, runs.split, runs.k, runs.condition, runs.draw, round(mAP, 6) AS mAP, coalesce(accuracy, -1) AS accuracy FROM runs JOIN m ON runs.domain = m.domain AND runs.split = m.split AND runs.k = m.k AND runs.condition = m.condition
+    WHERE runs.split = 0 AND runs.k = (SELECT max(k) FROM runs) AND runs.condition IN ('true', 'shuffle')"""
+)
+def prompt_bank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grid rows with made-up question metrics, of those whose prompts are kept; a missing metric is shown as -1."""
+    rows, by = run_rows(spark, sf_dir), ["domain", "split", "k", "condition"]
+    asked = rows.groupBy(*by).agg((F.max("rank1") / 100).alias("accuracy")).where("accuracy > 0.2").withColumn("auc", F.col("accuracy"))
+    kept = runs.banked(runs.grid_rows(rows, asked, by), ("true", "shuffle"))
+    return kept.select(*by, "draw", F.round("mAP", 6).alias("mAP"), F.nanvl("llm_acc", F.lit(-1.0)).alias("accuracy"))
+
+
+_MEANS = "s AS (SELECT condition AS run, avg(mAP) AS score FROM runs GROUP BY condition)"
+
+
+@query(
+    f"""WITH {RUNS}, {_MEANS}, o AS (SELECT max(score) FILTER (run = 'first') AS a, max(score) FILTER (run = 'true') AS b, max(score) FILTER (run = 'own') AS f, max(score) FILTER (run = 'random') AS s FROM s)
+    SELECT CASE WHEN b >= a THEN 'true' ELSE 'first' END AS chosen, round(b - a, 6) AS gain, round(f - s, 6) AS full_gain FROM o"""
+)
+def stage_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = run_rows(spark, sf_dir).groupBy(F.col("condition").alias("run")).agg(F.avg("mAP").alias("score"))
+    return runs.stage_decision(scores, "first", "true", "own", "random")
+
+
+@query(
+    f"""WITH {RUNS}, w AS (SELECT domain, split, max(mAP) FILTER (condition = 'own' AND draw = 0) AS own, max(mAP) FILTER (condition = 'first' AND draw = 1) AS first FROM runs GROUP BY domain, split)
+    SELECT domain, split, CASE WHEN own IS NOT NULL THEN 'base' WHEN first IS NOT NULL THEN 'fixed' ELSE 'none' END AS origin, round(coalesce(own, first), 6) AS value FROM w"""
+)
+def first_available(spark: SparkSession, sf_dir: str) -> DataFrame:
+    of = lambda c, d: F.max(F.when((F.col("condition") == c) & (F.col("draw") == d), F.col("mAP")))
+    wide = run_rows(spark, sf_dir).groupBy("domain", "split").agg(of("own", 0).alias("own"), of("first", 1).alias("first"))
+    got = wide.select("domain", "split", runs.first_available(("base", F.col("own")), ("fixed", F.col("first"))).alias("v"))
+    return got.select("domain", "split", "v.origin", F.round("v.value", 6).alias("value"))

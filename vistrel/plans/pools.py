@@ -121,7 +121,7 @@ BUDGET, SEED = 12, 3
 
 def _selector(name: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        pools = _pool(spark, sf_dir).withColumn("domain", F.lit("embeddings"))
+        pools = _pool(spark, sf_dir).withColumn("domain", F.lit("embeddings")).withColumn("style", F.slice("feat", 1, 8))
         return selectors.select(pools, ["domain"], [name], BUDGET, SEED)
 
     run.__name__ = f"select_{name}"
@@ -135,6 +135,8 @@ for _name in selectors.SELECTORS:
 
 @query()
 def select_in_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Identities chosen by their mean vectors within a training batch."""
-    batch = images(spark, sf_dir, "train").where("image_idx < 320")
-    return selectors.select(selectors.identity_means(batch, 64).withColumn("batch", F.lit(0)), ["batch"], ["kcenter", "facility"], 4, SEED, has_cameras=False)
+    """Identities chosen by their mean vectors within each training batch, and then the batch's others in their order."""
+    batched = images(spark, sf_dir, "train").withColumn("batch", F.floor(F.col("image_idx") / 320))
+    means = selectors.identity_means(batched, 64, "batch")
+    picked = selectors.select(means, ["batch"], ["kcenter", "facility"], 4, SEED, has_cameras=False)
+    return samples.with_rest(means, picked, ["batch"])

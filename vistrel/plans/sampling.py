@@ -65,14 +65,33 @@ def images_per_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {IMAGES}, b AS (SELECT * FROM images WHERE subset = 'train' AND image_idx < 320),
-    p AS (SELECT x.image_idx AS a_idx, y.image_idx AS b_idx, CAST(x.pid = y.pid AS BIGINT) AS label FROM b x JOIN b y ON x.image_idx < y.image_idx),
-    d AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {_key('9', 'a_idx', 'b_idx')}, a_idx, b_idx) AS rn FROM p),
-    m AS (SELECT least(128, count(*) FILTER (label = 0), count(*) FILTER (label = 1)) AS n FROM p)
-    SELECT a_idx, b_idx, label FROM d, m WHERE rn <= n"""
+    f"""WITH {IMAGES}, b AS (SELECT *, image_idx // 320 AS batch FROM images WHERE subset = 'train'),
+    p AS (SELECT x.batch, x.image_idx AS a_idx, y.image_idx AS b_idx, CAST(x.pid = y.pid AS BIGINT) AS label FROM b x JOIN b y ON x.batch = y.batch AND x.image_idx < y.image_idx),
+    d AS (SELECT *, row_number() OVER (PARTITION BY batch, label ORDER BY {_key('9', 'a_idx', 'b_idx')}, a_idx, b_idx) AS rn FROM p),
+    m AS (SELECT batch, least(128, count(*) FILTER (label = 0), count(*) FILTER (label = 1)) AS n FROM p GROUP BY batch)
+    SELECT d.batch, a_idx, b_idx, label FROM d JOIN m ON d.batch = m.batch WHERE rn <= n"""
 )
 def balanced_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return samples.balanced_pairs(_slim(spark, sf_dir).where("image_idx < 320"), 9)
+    return samples.balanced_pairs(_slim(spark, sf_dir).withColumn("batch", F.floor(F.col("image_idx") / 320)), 9)
+
+
+@query(
+    f"""WITH {IMAGES}, t AS (SELECT pid, row_number() OVER (ORDER BY pid) - 1 AS i FROM (SELECT DISTINCT pid FROM images)),
+    r AS (SELECT i * 2 + n.range AS i, pid AS label FROM t, range(2) n)
+    SELECT i // 2 AS pair, max(label) FILTER (i % 2 = 0) AS first, max(label) FILTER (i % 2 = 1) AS second FROM r GROUP BY i // 2"""
+)
+def repeated_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every identity's label twice in a row, read again as pairs."""
+    from vistrel.operators.identity import dense_relabel
+
+    numbered = dense_relabel(images(spark, sf_dir, feat=False)).select(F.col("label").alias("i"), F.col("pid").alias("label"))
+    return samples.paired(samples.repeat_labels(numbered, 2), "label")
+
+
+@query(f"WITH {IMAGES}, t AS (SELECT image_idx, pid, row_number() OVER (ORDER BY {_key('17', 'image_idx')}, image_idx) AS rn FROM images WHERE subset = 'gallery') SELECT image_idx, pid FROM t WHERE rn <= 64")
+def evaluation_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sampling operator itself: 64 drawn gallery images."""
+    return samples.evaluation_subset(images(spark, sf_dir, "gallery", feat=False), "image_idx", 64, 17).select("image_idx", "pid")
 
 
 def _number(seed: str, *columns: str) -> str:
@@ -174,10 +193,17 @@ def batch_sampler_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
     return samples.unique_batches(ids, 50, 6, 29)
 
 
-@query("SELECT * FROM (VALUES ('--lr', '0.1'), ('--k', '4'), ('--seed', '1')) v(flag, value)")
+@query("SELECT * FROM (VALUES (0, '--lr 0.1 --warmup 5'), (1, '--k 4'), (3, '--seed 1'), (5, 'no flag')) v(pos, option)")
 def option_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(0, "--lr", "0.1"), (1, "--k", "4"), (2, "--lr", "0.01"), (3, "--seed", "1"), (4, "--k", "16")]
-    return runs.fold_options(spark.createDataFrame(rows, "pos int, flag string, value string"))
+    """The third option shares a flag with the first, the fifth with the second; the dropped third blocks nothing."""
+    rows = [(0, "--lr 0.1 --warmup 5"), (1, "--k 4"), (2, "--warmup 9 --seed 2"), (3, "--seed 1"), (4, "--dim 8 --k 16"), (5, "no flag")]
+    return runs.fold_options(spark.createDataFrame(rows, "pos int, option string"))
+
+
+@query("SELECT a.region AS val, string_agg(b.region, ',' ORDER BY b.region) AS sources FROM (SELECT r_name AS region FROM region) a JOIN (SELECT r_name AS region FROM region) b ON a.region <> b.region GROUP BY a.region")
+def source_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The region names stand for source domains."""
+    return runs.source_folds(table(spark, sf_dir, "region").select(F.col("r_name").alias("domain")))
 
 
 @query("SELECT a.region AS target, list(b.region ORDER BY b.region) AS sources FROM (SELECT r_name AS region FROM region) a JOIN (SELECT r_name AS region FROM region) b ON a.region <> b.region GROUP BY a.region")

@@ -71,6 +71,15 @@ def combine_subsets(*subsets: DataFrame) -> DataFrame:
     return out
 
 
+def combine_all(*subsets: DataFrame) -> DataFrame:
+    """combine_subsets with identities numbered anew from 0, in the order of their old numbers over all subsets."""
+    from vistrel.operators.identity import dense_relabel
+
+    union = combine_subsets(*subsets)
+    labels = dense_relabel(union)
+    return union.join(labels, "pid").select(*(F.col("label").alias("pid") if c == "pid" else F.col(c) for c in union.columns))
+
+
 def split_manifest(spark: SparkSession, path: str) -> DataFrame:
     """(split, subset, pos, path, pid, camid) of a JSON array of {train, query, gallery}, each a list of [path, pid, camid]."""
     raw = spark.read.text(path, wholetext=True)
@@ -119,12 +128,23 @@ def curve(log: DataFrame, metric: str) -> DataFrame:
 
 
 def task_plan(lines: DataFrame) -> DataFrame:
-    """(line_no, group, name, command) of lines (line_no, value) `name | command`; `@wait` starts a group, # a comment."""
+    """(line_no, group, name, command) of lines (line_no, value) `name | command`; `@wait` starts a group, # a comment.
+
+    Groups without a task get no number. A line without `|` and a name with other characters than letters, digits, `_`, `.` and
+    `-` are errors.
+    """
     text = F.trim("value")
     kept = lines.select("line_no", text.alias("t")).where((F.col("t") != "") & ~F.col("t").startswith("#"))
     barrier = F.sum((F.col("t") == "@wait").cast("long")).over(W.Window.orderBy("line_no"))
-    parted = kept.select("line_no", barrier.alias("group"), "t").where("t <> '@wait'")
-    return parted.select("line_no", "group", F.trim(F.split_part("t", F.lit("|"), F.lit(1))).alias("name"), F.trim(F.regexp_replace("t", r"^[^|]*\|?", "")).alias("command"))
+    parted = kept.select("line_no", barrier.alias("_after"), "t").where("t <> '@wait'")
+    numbered = parted.select("line_no", (F.dense_rank().over(W.Window.orderBy("_after")) - 1).cast("long").alias("group"), "t")
+    name, place = F.trim(F.split_part("t", F.lit("|"), F.lit(1))), F.concat(F.lit("line "), F.col("line_no"), F.lit(": "))
+    checked = (
+        F.when(~F.contains("t", F.lit("|")), F.raise_error(F.concat(place, F.lit("expected '<name> | <command>' or '@wait'"))).cast("string"))
+        .when(~name.rlike("^[A-Za-z0-9_.-]+$"), F.raise_error(F.concat(place, F.lit("bad task name "), name)).cast("string"))
+        .otherwise(name)
+    )
+    return numbered.select("line_no", "group", checked.alias("name"), F.trim(F.regexp_replace("t", r"^[^|]*\|", "")).alias("command"))
 
 
 def repeated_names(plan: DataFrame) -> DataFrame:
@@ -132,8 +152,10 @@ def repeated_names(plan: DataFrame) -> DataFrame:
 
 
 def verify_hashes(spark: SparkSession, root: str, manifest: DataFrame) -> DataFrame:
-    """(name, sha256, actual, ok) of a manifest (name, sha256) against the files below root."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(base_name(F.col("path")).alias("name"), F.sha2("content", 256).alias("actual"))
+    """(name, sha256, actual, ok) of a manifest (name, sha256) against the files below root; a name is the path from root on."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    at = F.instr(F.col("path"), f"{root.rstrip('/').split('://')[-1]}/") + len(root.rstrip("/").split("://")[-1]) + 1
+    found = found.select(F.col("path").substr(at, F.length("path")).alias("name"), F.sha2("content", 256).alias("actual"))
     return manifest.join(found, "name", "left").select("name", "sha256", "actual", F.coalesce(F.col("sha256") == F.col("actual"), F.lit(False)).alias("ok"))
 
 
