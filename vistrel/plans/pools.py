@@ -119,14 +119,58 @@ def camera_round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
 BUDGET, SEED = 12, 3
 
 
+_DRAW = "md5(concat_ws(':', '3', CAST(image_idx AS VARCHAR)))"
+#: The orders in which the folding selectors offer images.
+_OFFERED = {
+    "dedup": f"ORDER BY {_DRAW}, image_idx",
+    "pairable": f"ORDER BY pairability DESC NULLS LAST, {_DRAW}, image_idx",
+    "camera_balanced": f"ORDER BY nth, md5(concat_ws(':', '3', 'cam', CAST(camid AS VARCHAR))), image_idx",
+}
+
+
+def _folded(name: str) -> str:
+    """Images in their order are taken unless one taken before is a probable copy; the order's others fill what is left."""
+    return f"""{_SIM.replace("WITH ", "WITH RECURSIVE ", 1)}, tau AS (SELECT quantile_cont(sim, 0.99) AS tau FROM s WHERE a_idx < b_idx),
+    twin AS (
+        SELECT a_idx, b_idx FROM s, tau WHERE sim > tau
+        UNION SELECT a.image_idx, b.image_idx FROM stats a JOIN stats b ON a.best_idx = b.image_idx AND b.best_idx = a.image_idx),
+    barring AS (SELECT b_idx AS image_idx, list(a_idx) AS by_idx FROM twin GROUP BY b_idx),
+    drawn AS (SELECT image_idx, camid, row_number() OVER (PARTITION BY camid ORDER BY {_DRAW}, image_idx) AS nth FROM t),
+    offered AS (
+        SELECT row_number() OVER ({_OFFERED[name]}) AS pos, image_idx, coalesce(by_idx, []) AS by_idx
+        FROM drawn LEFT JOIN barring USING (image_idx) LEFT JOIN stats USING (image_idx)),
+    fold AS (
+        SELECT CAST(0 AS BIGINT) AS pos, CAST([] AS BIGINT[]) AS taken
+        UNION ALL
+        SELECT o.pos, CASE WHEN len(taken) >= {BUDGET} OR list_has_any(taken, by_idx) THEN taken ELSE list_append(taken, image_idx) END FROM fold JOIN offered o ON o.pos = fold.pos + 1),
+    taken AS (SELECT unnest(taken) AS image_idx, generate_subscripts(taken, 1) AS nth FROM fold WHERE pos = (SELECT max(pos) FROM fold)),
+    every AS (SELECT o.image_idx, row_number() OVER (ORDER BY nth NULLS LAST, o.pos) AS pos FROM offered o LEFT JOIN taken USING (image_idx))
+    SELECT 'embeddings' AS domain, '{name}' AS selector, pos, image_idx FROM every WHERE pos <= {BUDGET}"""
+
+
+_KCENTER = f"""{_SIM.replace("WITH ", "WITH RECURSIVE ", 1)},
+    placed AS (SELECT image_idx, row_number() OVER (ORDER BY image_idx) AS i, row_number() OVER (ORDER BY {_DRAW}, image_idx) AS draw FROM t),
+    gaps AS (SELECT a.i, list(1 - coalesce(sim, 1) ORDER BY b.i) AS gap FROM placed a JOIN placed b ON true LEFT JOIN s ON s.a_idx = a.image_idx AND s.b_idx = b.image_idx GROUP BY a.i),
+    pick AS (
+        SELECT CAST(1 AS BIGINT) AS pos, p.i AS i, [p.i] AS taken, gap FROM placed p JOIN gaps USING (i) WHERE draw = 1
+        UNION ALL
+        SELECT pos + 1, far, list_append(taken, far), list_transform(range(1, len(pick.gap) + 1), lambda x: least(pick.gap[x], g.gap[x]))
+        FROM (SELECT *, list_position(left_, list_max(left_)) AS far FROM (
+            SELECT *, list_transform(range(1, len(gap) + 1), lambda x: CASE WHEN list_contains(taken, x) THEN -1 ELSE gap[x] END) AS left_ FROM pick WHERE pos < {BUDGET})) pick
+        JOIN gaps g ON g.i = far)
+    SELECT 'embeddings' AS domain, 'kcenter' AS selector, pos, image_idx FROM pick JOIN placed USING (i)"""
+
+_SELECTOR_SQL = {name: _folded(name) for name in _OFFERED} | {"kcenter": _KCENTER}
+
+
 def _selector(name: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         pools = _pool(spark, sf_dir).withColumn("domain", F.lit("embeddings")).withColumn("style", F.slice("feat", 1, 8))
         return selectors.select(pools, ["domain"], [name], BUDGET, SEED)
 
     run.__name__ = f"select_{name}"
-    run.__doc__ = f"The greedy selector {name}: order-dependent, tested by its invariants."
-    query()(run)
+    run.__doc__ = f"The greedy selector {name}; those without SQL are tested by plain versions or invariants."
+    query(_SELECTOR_SQL.get(name))(run)
 
 
 for _name in selectors.SELECTORS:
