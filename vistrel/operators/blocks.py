@@ -24,9 +24,17 @@ def matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_list()).astype(np.float64)
 
 
-def block_scan(left: DataFrame, right: DataFrame, fn: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, block_rows: int = BLOCK_ROWS, key: str = "image_idx") -> DataFrame:
-    """fn over each pair of a left and a right block; both sides have the column ``key``."""
-    n_left, n_right = (max(1, -(-df.count() // block_rows)) for df in (left, right))
+def block_scan(
+    left: DataFrame, right: DataFrame, fn: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, block_rows: int = BLOCK_ROWS, key: str = "image_idx", by: tuple[str, ...] = ()
+) -> DataFrame:
+    """fn over each pair of a left and a right block; both sides have the column ``key``. With ``by`` only rows that agree in these
+    columns meet, which the result begins with."""
+
+    def blocks(df: DataFrame) -> int:
+        largest = df.groupBy(*by).count().agg(F.max("count")).first()[0]
+        return max(1, -(-(largest or 0) // block_rows))
+
+    n_left, n_right = blocks(left), blocks(right)
 
     def dealt(df: DataFrame, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
         fresh = df.toDF(*df.columns)  # both sides may come from one table, whose columns would then be ambiguous
@@ -37,9 +45,13 @@ def block_scan(left: DataFrame, right: DataFrame, fn: Callable[[pd.DataFrame, pd
     def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         if not len(x) or not len(y):
             return pd.DataFrame()
-        return fn(x.sort_values(key, ignore_index=True), y.sort_values(key, ignore_index=True))
+        out = fn(x.sort_values(key, ignore_index=True), y.sort_values(key, ignore_index=True))
+        for n, c in enumerate(by):
+            out.insert(n, c, x[c].iloc[0])
+        return out
 
-    return a.groupBy("_i", "_j").cogroup(b.groupBy("_i", "_j")).applyInPandas(run, schema)
+    kinds = dict(left.dtypes)
+    return a.groupBy(*by, "_i", "_j").cogroup(b.groupBy(*by, "_i", "_j")).applyInPandas(run, ", ".join([*(f"{c} {kinds[c]}" for c in by), schema]))
 
 
 def nearest(left: DataFrame, right: DataFrame, k: int, differs: str | None = None, same_set: bool = False, similarity: bool = False) -> DataFrame:
