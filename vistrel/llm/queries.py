@@ -115,4 +115,33 @@ ORACLES: dict[str, str] = {
                sha256(t) AS text_sha256
         FROM lowered
     """,
+    # every shingle of every text meets every other; components by reachability
+    "op9_near_dedup": f"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        words AS (SELECT doc_id, len(w) AS m, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM w),
+        fives AS (SELECT doc_id, m, p, concat_ws(' ', word, lead(word, 1) OVER o, lead(word, 2) OVER o, lead(word, 3) OVER o, lead(word, 4) OVER o) AS shingle FROM words WINDOW o AS (PARTITION BY doc_id ORDER BY p)),
+        flat AS (SELECT DISTINCT doc_id, shingle FROM fives WHERE p = 1 OR p <= m - 4),
+        sized AS (SELECT doc_id, count(shingle) AS n FROM documents LEFT JOIN flat USING (doc_id) GROUP BY doc_id),
+        shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM flat a JOIN flat b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+        links AS (SELECT a, b FROM shared JOIN sized x ON x.doc_id = a JOIN sized y ON y.doc_id = b WHERE 100 * shared.n >= 85 * (x.n + y.n - shared.n)),
+        both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+        reach AS (SELECT doc_id, doc_id AS other FROM sized UNION SELECT reach.doc_id, b FROM reach JOIN both_ways ON reach.other = a),
+        least AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+        SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM sized JOIN least USING (doc_id)
+    """,
+    # every diagonal of every text and item on which enough tokens match, without seeds
+    "op6_decontamination": """
+        WITH dt AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS t FROM documents),
+        it AS (SELECT DISTINCT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS t FROM benchmark),
+        d AS (SELECT doc_id, unnest(t) AS token, generate_subscripts(t, 1) AS p FROM dt),
+        i AS (SELECT item_id, len(t) AS n, unnest(t) AS token, generate_subscripts(t, 1) AS q FROM it),
+        met AS (SELECT doc_id, item_id, n, p - q AS diagonal, q FROM d JOIN i USING (token)),
+        rich AS (SELECT doc_id, item_id, n, diagonal, list(q ORDER BY q) AS qs FROM met GROUP BY ALL HAVING count(*) >= least(12, 0.6 * n)),
+        placed AS (SELECT doc_id, item_id, n, diagonal, len(qs) AS matched, unnest(qs) AS q, generate_subscripts(qs, 1) AS j FROM rich),
+        ends AS (SELECT *, 2 * j - q + 1 + max(q - 2 * j) OVER (PARTITION BY doc_id, item_id, diagonal ORDER BY j) AS best FROM placed),
+        laid AS (SELECT doc_id, item_id, n, diagonal, matched, max(best) AS overlap FROM ends GROUP BY ALL),
+        ranked AS (SELECT *, greatest(diagonal, 0) AS token_start, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY overlap DESC, matched DESC, n DESC, greatest(diagonal, 0)) AS rn FROM laid WHERE overlap >= least(12, 0.6 * n))
+        SELECT doc_id, item_id, CAST(overlap AS BIGINT) AS overlap, CAST(matched AS BIGINT) AS matched, CAST(n AS BIGINT) AS item_tokens, CAST(token_start AS BIGINT) AS token_start FROM ranked WHERE rn = 1
+    """,
 }
