@@ -74,3 +74,22 @@ def test_common_prefix(a, b, n):
     b = a[:n] + b
     k = common_prefix(a, b)
     assert a[:k] == b[:k] and (k in (len(a), len(b)) or a[k] != b[k])
+
+
+def test_hot_texts_are_merged_in_two_levels(documents, edge_rows):
+    """Segments of a batch each, so the hot text has an owner in many; two copies make a text hot."""
+    rows = [*edge_rows, *((1000 + k, "Hot Text" if k % 3 else f"text {k % 50}") for k in range(600))]
+    docs = documents(rows, 30)
+    got = exact_groups(docs, segment_bytes=1, trie_bytes=1 << 20, hot_copies=2).collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute(rows)
+    kept = drop_exact_copies(docs, segment_bytes=1, hot_copies=2)
+    assert kept.columns == docs.columns
+    assert sorted(((r["doc_id"], lowered(r["text"])) for r in kept.collect()), key=str) == sorted({(keep, lowered(t)) for (_, t), (_, keep, *_) in zip(rows, sorted_like(rows), strict=True)}, key=str)
+
+
+def sorted_like(rows):
+    """brute() in the order of the rows."""
+    largest = {}
+    for i, t in rows:
+        largest[lowered(t)] = max((x for x in (largest.get(lowered(t)), i) if x is not None), default=None)
+    return [(i, largest[lowered(t)]) for i, t in rows]
