@@ -29,3 +29,32 @@ def test_run_is_the_stages_in_a_row(spark, sf_dir):
     pieces = corpus_pipeline.run(spark, sf_dir)
     assert pieces.count() > 0 and corpus_pipeline.ORACLE_SQL is None
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality classifier", "exact dedup", "MinHash near-dedup", "benchmark decontamination", "best-fit packing"]
+
+
+def test_stages_on_edge_rows_and_an_empty_table(spark, sf_dir, documents, edge_rows):
+    item = spark.read.parquet(f"{sf_dir}/benchmark.parquet").where("text is not null").first()["text"]
+    rows = [*edge_rows, (None, f"no id, but {item}"), (900, f"{item} and an id")]
+    docs = documents(rows)
+    stages = dict(corpus_pipeline.STAGES)
+    texts = lambda df: sorted((str(r["doc_id"]), r["text"] or "") for r in df.collect())
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, docs, sf_dir)
+        assert kept.columns == docs.columns, name
+        assert set(texts(kept)) <= set(texts(docs)), name
+        assert stage(spark, docs.limit(0), sf_dir).count() == 0, name
+    unique = texts(stages["exact dedup"](spark, docs, sf_dir))
+    assert sorted(lowered(t) for _, t in unique) == sorted({lowered(t) for _, t in rows})
+    assert not any(item in t for _, t in texts(stages["benchmark decontamination"](spark, docs, sf_dir)))
+    near = texts(stages["MinHash near-dedup"](spark, docs, sf_dir))
+    assert sum(t == edge_rows[-1][1] for _, t in near) == 1 and sum(i == "None" for i, _ in near) == 3
+    packed = stages["best-fit packing"](spark, docs, sf_dir).collect()
+    assert sum(r["piece"] == 0 for r in packed) == len(rows)
+    assert stages["best-fit packing"](spark, docs.limit(0), sf_dir).count() == 0
+
+
+def test_run_on_edge_rows(spark, sf_dir, documents, edge_rows, tmp_path):
+    documents(edge_rows).write.parquet(str(tmp_path / "documents.parquet"))
+    for t in ("labels", "benchmark"):
+        spark.read.parquet(f"{sf_dir}/{t}.parquet").write.parquet(str(tmp_path / f"{t}.parquet"))
+    pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r["doc_id"] for r in pieces} <= {i for i, _ in edge_rows}
