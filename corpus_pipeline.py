@@ -1,6 +1,8 @@
 """The corpus pipeline: each stage is one of the operators, written as Parquet and read again by the next.
 
 Stages take (spark, docs, sf_dir). All but the last return the columns of documents; what a stage decides is carried out.
+Extra columns stay, whatever their names; an empty table gives an empty result. Null and empty texts, rows without an id and
+repeated rows are defined for each stage below.
 """
 
 from __future__ import annotations
@@ -17,22 +19,27 @@ from vistrel.llm.queries import tokenizer_file
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows whose text scores as good; a null text scores as an empty one, repeated rows alike, rows without an id as others."""
     return drop_low_quality(docs, table(spark, sf_dir, "labels"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each text, that of the largest id; null and empty texts are one text, a missing id loses to all others."""
     return drop_exact_copies(docs)
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest id, of each component; texts without words and rows without an id are not linked and stay."""
     return drop_near_copies(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows whose text holds no benchmark item, each judged by its own text; texts without words hold none."""
     return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row's pieces; a null or empty text is the end mark alone."""
     return pack(docs, tokenizer_file("word_bpe_49k.json"))
 
 
