@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from vistrel.session import fresh_folder, remove_folder
+
 #: Rows and bytes of an Arrow batch; long texts make row limits alone unsafe.
 BATCH_ROWS, BATCH_BYTES = 500, 4 << 20
 
@@ -22,23 +20,11 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own on a local master."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="vistrel-shared-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back; cuts the lineage and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    path = fresh_folder(spark, label)
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -46,16 +32,7 @@ def drop_tables(*tables: DataFrame) -> None:
     """Delete tables of materialise() that nothing reads any more."""
     for df in tables:
         for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            _remove(df.sparkSession, folder)
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # the session may be gone at exit; the cluster's own cleaning then applies
-        pass
+            remove_folder(df.sparkSession, folder)
 
 
 def free_name(df: DataFrame, wanted: str) -> str:
