@@ -135,6 +135,14 @@ def test_greedy_rules_against_plain_versions(people):
     drawn = pool.drawn(SEED)
     assert selectors.SELECTORS["dedup"](pool, K, SEED) == greedy(drawn)
     assert selectors.SELECTORS["pairable"](pool, K, SEED) == greedy(sorted(drawn, key=lambda i: -pool.pairable[i]))
+    out = []
+    for anchor in drawn:
+        if len(out) < K and not any(twin(anchor, j) for j in out):
+            out.append(anchor)
+            alike = [i for i in range(len(sim)) if sim[anchor, i] <= pool.tau and not any(twin(i, j) for j in out)]
+            if len(out) < K and alike:
+                out.append(max(alike, key=lambda i: (sim[anchor, i], -i)))
+    assert selectors.SELECTORS["hard_negative"](pool, K, SEED) == out
     out, gain_of = [], np.clip(sim, 0, None)
     while len(out) < K:
         cover = gain_of[out].max(0) if out else np.zeros(len(sim))
