@@ -86,3 +86,11 @@ def test_bounded_space_best_fit():
             if fill[number] == 100:
                 del opened[number]
             assert packer.open == len(opened) <= open_bins
+
+
+def test_repeated_rows_spread_over_shards(documents):
+    got = pack(documents([(None, "")] * 3000, 4), PATH, shard_pieces=100).collect()
+    sizes = defaultdict(int)
+    for r in got:
+        sizes[r["sequence_id"] >> 40] += 1
+    assert len(got) == 3000 and len(sizes) == 30 and max(sizes.values()) < 160

@@ -3,6 +3,8 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 
+import regex
+
 from vistrel.llm import surrogates
 from vistrel.llm.queries import QUERIES
 from vistrel.llm.surrogates import replace_personal_data, resolve
@@ -143,6 +145,34 @@ def test_one_person_number_or_address_however_it_is_written(documents):
     assert got[2]["text"].endswith("; \x01 and \x02 stay.")
 
 
+def expected_entities(text):
+    """Kind, start and end of what plain Python detects."""
+    pattern = regex.compile(surrogates.ANY.replace("(?iu:", "(?i:"))
+    found, names = [], set()
+    for m in pattern.finditer(text):
+        raw = m.group()
+        kind = next((k for k, p in surrogates.KINDS if regex.fullmatch(p.replace("(?iu:", "(?i:"), raw)), "name")
+        if kind != "name":
+            found.append((kind, m.start(), m.end()))
+            continue
+        at = m.start() + raw.index(" ") + 1
+        for part in raw[raw.index(" ") + 1 :].split(" "):
+            found.append(("name", at, at + len(part)))
+            names.add(part.lower())
+            at += len(part) + 1
+    edges = [0, *(x for m in pattern.finditer(text) for x in m.span()), len(text)]
+    for a, b in zip(edges[::2], edges[1::2], strict=True):
+        found += [("name", a + w.start(), a + w.end()) for w in regex.finditer(surrogates.WORD, text[a:b]) if w.group().lower() in names]
+    return sorted(found, key=lambda e: e[1])
+
+
+def test_detection_is_that_of_plain_python(spark, sf_dir):
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    got = {r["doc_id"]: sorted(((e["kind"], e["start"], e["end"]) for e in r["entities"]), key=lambda e: e[1]) for r in QUERIES["op3_surrogates"](spark, sf_dir).collect()}
+    expected = {i: found for i, t in texts.items() if (found := expected_entities(t))}
+    assert got == expected and len(expected) > 10
+
+
 def test_a_full_format_grows(spark):
     """More numbers than their length has: all of three digits and those between them."""
     entities = spark.range(1000).selectExpr("'ssn' AS kind", "lpad(id, 3, '0') AS norm", "'open' AS gender")
