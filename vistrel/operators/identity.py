@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
@@ -71,13 +71,24 @@ def camera_pair_images(images: DataFrame, min_ids: int, per_id: int, seed: int)
     return slots(a, "cam_a", 0).unionByName(slots(b, "cam_b", 1)).where(F.col("slot") < per_id)
 
 
+def numbered(df: DataFrame, name: str, part: Column, *order: str) -> DataFrame:
+    """df with the place from 0 of each row in an order. ``part`` rises with the order: each part numbers its own rows, and only the
+    parts' counts are added up in one place."""
+    spread = df.withColumn("_part", part)
+    before = W.Window.orderBy("_part").rowsBetween(W.Window.unboundedPreceding, -1)
+    offsets = spread.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    rank = F.row_number().over(W.Window.partitionBy("_part").orderBy(*order))
+    return spread.withColumn("_rn", rank).join(offsets, "_part").select(*df.columns, (F.col("_before") + F.col("_rn") - 1).cast("long").alias(name))
+
+
+def by_thousands(column: str) -> Column:
+    """Parts of 4096 neighbouring numbers."""
+    return F.floor(F.col(column) / 4096)
+
+
 def dense_relabel(images: DataFrame) -> DataFrame:
-    """Distinct identities with labels 0..n-1 in their order. Each range partition numbers its own; only its count travels."""
-    ids = images.select("pid").distinct()
-    spread = ids.select("pid", F.floor(F.col("pid") / 4096).alias("_part"))
-    offsets = spread.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(W.Window.orderBy("_part").rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    rank = F.row_number().over(W.Window.partitionBy("_part").orderBy("pid"))
-    return spread.withColumn("_rn", rank).join(offsets, "_part").select("pid", (F.col("_before") + F.col("_rn") - 1).cast("long").alias("label"))
+    """Distinct identities with labels 0..n-1 in their order."""
+    return numbered(images.select("pid").distinct(), "label", by_thousands("pid"), "pid")
 
 
 def pid_offsets(domains: DataFrame) -> DataFrame:
@@ -90,7 +101,7 @@ def pid_offsets(domains: DataFrame) -> DataFrame:
 def first_seen_ids(images: DataFrame) -> DataFrame:
     """(pid, first_idx, seen_id): identities numbered in the order in which they first occur."""
     first = images.groupBy("pid").agg(F.min("image_idx").alias("first_idx"))
-    return first.withColumn("seen_id", (F.row_number().over(W.Window.orderBy("first_idx")) - 1).cast("long"))
+    return numbered(first, "seen_id", by_thousands("first_idx"), "first_idx")
 
 
 def reference_check(actual: DataFrame, reference: DataFrame, by: str, measures: tuple[str, ...]) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from vistrel.functions.draw import coin, draw_key, pick
-from vistrel.operators.identity import eligible_identities
+from vistrel.operators.identity import by_thousands, eligible_identities, numbered
 
 
 def draw_k(df: DataFrame, key: str, k: int, seed: int) -> DataFrame:
@@ -78,16 +78,16 @@ def balanced_pairs(images: DataFrame, seed: int, most: int = 128) -> DataFrame:
 def questions(images: DataFrame, n: int, seed: int) -> DataFrame:
     """(q_idx, img_a, img_b, truth): a coin chooses between a drawn same-identity pair and two drawn images, which may coincide."""
     spark = images.sparkSession
-    numbered = images.select("image_idx", "pid", (F.row_number().over(W.Window.orderBy("image_idx")) - 1).alias("i"))
+    listed = numbered(images.select("image_idx", "pid"), "i", by_thousands("image_idx"), "image_idx")
     by = W.Window.partitionBy("pid").orderBy("image_idx")
     nth = images.select("pid", "image_idx", (F.floor((F.row_number().over(by) - 1) / 2)).alias("_pair"), ((F.row_number().over(by) - 1) % 2).alias("_side"))
     couples = nth.groupBy("pid", "_pair").agg(F.max(F.when(F.col("_side") == 0, F.col("image_idx"))).alias("img_a"), F.max(F.when(F.col("_side") == 1, F.col("image_idx"))).alias("img_b")).where("img_b is not null")
-    couples = couples.select("img_a", "img_b", (F.row_number().over(W.Window.orderBy("img_a", "img_b")) - 1).alias("i"))
+    couples = numbered(couples.select("img_a", "img_b"), "i", by_thousands("img_a"), "img_a", "img_b")
     n_images, n_couples = images.count(), couples.count()
     asked = spark.range(n).select(F.col("id").alias("q_idx"), coin(f"{seed}:coin", "id").alias("same"))
     same = asked.where("same = 1").withColumn("i", pick(n_couples, f"{seed}:pair", "q_idx")).join(couples, "i").select("q_idx", "img_a", "img_b", F.lit(1).cast("long").alias("truth"))
-    a = numbered.select(F.col("i").alias("ia"), F.col("image_idx").alias("img_a"), F.col("pid").alias("pa"))
-    b = numbered.select(F.col("i").alias("ib"), F.col("image_idx").alias("img_b"), F.col("pid").alias("pb"))
+    a = listed.select(F.col("i").alias("ia"), F.col("image_idx").alias("img_a"), F.col("pid").alias("pa"))
+    b = listed.select(F.col("i").alias("ib"), F.col("image_idx").alias("img_b"), F.col("pid").alias("pb"))
     free = asked.where("same = 0").withColumn("ia", pick(n_images, f"{seed}:a", "q_idx")).withColumn("ib", pick(n_images, f"{seed}:b", "q_idx"))
     free = free.join(a, "ia").join(b, "ib").select("q_idx", "img_a", "img_b", (F.col("pa") == F.col("pb")).cast("long").alias("truth"))
     return same.unionByName(free)
@@ -107,12 +107,12 @@ def answers(asked: DataFrame, seed: int) -> DataFrame:
 def batches(identities: DataFrame, n_batches: int, size: int, seed: int) -> DataFrame:
     """(batch, slot, domain, pid): each batch draws a domain, then identities of it with replacement."""
     spark = identities.sparkSession
-    numbered = identities.select("domain", "pid", (F.row_number().over(W.Window.partitionBy("domain").orderBy("pid")) - 1).alias("i"))
+    listed = identities.select("domain", "pid", (F.row_number().over(W.Window.partitionBy("domain").orderBy("pid")) - 1).alias("i"))
     sizes = identities.groupBy("domain").agg(F.count("*").alias("n")).withColumn("d", F.row_number().over(W.Window.orderBy("domain")) - 1)
     n_domains = sizes.count()
     drawn = spark.range(n_batches).select(F.col("id").alias("batch"), pick(n_domains, f"{seed}:domain", "id").alias("d")).join(F.broadcast(sizes), "d")  # a row per domain
     slots = drawn.withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(size - 1).cast("long"))))
-    return slots.withColumn("i", pick(F.col("n"), f"{seed}:slot", "batch", "slot")).join(numbered, ["domain", "i"]).select("batch", "slot", "domain", "pid")
+    return slots.withColumn("i", pick(F.col("n"), f"{seed}:slot", "batch", "slot")).join(listed, ["domain", "i"]).select("batch", "slot", "domain", "pid")
 
 
 def anchor_partner(images: DataFrame, seed: int) -> DataFrame:

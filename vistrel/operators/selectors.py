@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from vistrel.functions.draw import draw_key
+from vistrel.operators.identity import numbered
 from vistrel.operators.pool import DUP_QUANTILE, LEAST_DISTANCE, NEIGHBOURS
 
 
@@ -30,7 +31,7 @@ def round_robin(pool: DataFrame, seed: int) -> DataFrame:
     """(pos, image_idx): one drawn image of each camera in turn, cameras in drawn order."""
     nth = F.row_number().over(W.Window.partitionBy("camid").orderBy(draw_key(seed, "image_idx"), "image_idx"))
     placed = pool.select("image_idx", nth.alias("_nth"), draw_key(seed, F.lit("cam"), F.col("camid")).alias("_cam"))
-    return placed.select(F.row_number().over(W.Window.orderBy("_nth", "_cam")).cast("long").alias("pos"), "image_idx")
+    return numbered(placed, "pos", F.col("_nth"), "_nth", "_cam").select((F.col("pos") + 1).alias("pos"), "image_idx")
 
 
 class Pool:
