@@ -12,6 +12,7 @@ from vistrel.llm.common import table
 from vistrel.llm.decontamination import contaminated
 from vistrel.llm.exact_dedup import exact_groups
 from vistrel.llm.labelled import held_out
+from vistrel.llm.merkle import fold, manifest, row_digest
 from vistrel.llm.near_dedup import near_components
 from vistrel.llm.packing import pack
 from vistrel.llm.quality import GOOD_FROM, fit_quality, quality_score
@@ -86,6 +87,56 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
+    lowered = row_digest(F.translate("text", string.ascii_uppercase, string.ascii_lowercase))
+    found = docs.withColumn("found_leaf", F.when(tampered, lowered).otherwise(row_digest()))
+    folded = fold(manifest(found, ("doc_id", "found_leaf")), "found_leaf", "folded_root")
+    proof = F.sha2(F.lower(F.hex("proof")).cast("binary"), 256)
+    return folded.select("doc_id", "leaf", "subroot", "root", proof.alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def _manifest_sql(levels: int = 7) -> str:
+    """The manifest as levels of nodes, for sources of at most 16 ** levels rows and as many sources."""
+
+    def level(k: int, tree: str, by: str) -> str:
+        """Level k's nodes with their siblings, and level k + 1's nodes; a tree of one node stays as it is."""
+        run = f"(PARTITION BY {by} i // 16 ORDER BY i ROWS BETWEEN"
+        nodes = f"{by} i // 16 AS i, CASE WHEN any_value(n) = 1 THEN any_value(h) ELSE sha256(string_agg(h, '' ORDER BY i)) END AS h, (any_value(n) + 15) // 16 AS n"
+        return f"""{tree}w{k} AS (SELECT *, coalesce(string_agg(h, '') OVER {run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS lo,
+                   coalesce(string_agg(h, '') OVER {run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS hi FROM {tree}{k}),
+        {tree}{k + 1} AS (SELECT {nodes} FROM {tree}{k} GROUP BY {by} i // 16)"""
+
+    def item(v: str) -> str:
+        return f"coalesce(CAST(strlen(CAST({v} AS VARCHAR)) AS VARCHAR) || ':' || CAST({v} AS VARCHAR), '-')"
+
+    def climb(k: int, tree: str, at: str, on: str) -> str:
+        """The value and the siblings after one more level."""
+        below = f"{tree}p{k - 1}" if k else {"s": "first", "r": "half"}[tree]
+        return f"""{tree}p{k} AS (SELECT p.* EXCLUDE (v, sib), sib || lo || hi AS sib, CASE WHEN w.n > 1 THEN sha256(lo || v || hi) ELSE v END AS v
+                   FROM {below} p JOIN {tree}w{k} w ON {on} w.i = p.{at} // {16**k})"""
+
+    lowered = f"translate(text, '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
+    leaf, forged = (f"sha256({' || '.join(item(c) for c in ('doc_id', 'source', 'lang', 'n_chars', text))})" for text in ("text", lowered))
+    steps = [
+        f"d AS (SELECT doc_id, coalesce('s' || source, '') AS t, {leaf} AS h, {forged} AS lowered, crc FROM documents JOIN crcs USING (doc_id))",
+        "first AS (SELECT doc_id, t, h AS leaf, row_number() OVER (PARTITION BY t ORDER BY doc_id, h) - 1 AS place, CASE WHEN crc % 5 = 0 THEN lowered ELSE h END AS v, '' AS sib FROM d)",
+        "s0 AS (SELECT t, place AS i, leaf AS h, count(*) OVER (PARTITION BY t) AS n FROM first)",
+        *(level(k, "s", "t,") for k in range(levels)),
+        f"r0 AS (SELECT t, row_number() OVER (ORDER BY encode(t)) - 1 AS i, h, count(*) OVER () AS n FROM s{levels})",
+        *(level(k, "r", "") for k in range(levels)),
+        *(climb(k, "s", "place", "w.t = p.t AND") for k in range(levels)),
+        f"half AS (SELECT p.*, r0.i AS source_place, r0.h AS subroot FROM sp{levels - 1} p JOIN r0 USING (t))",
+        *(climb(k, "r", "source_place", "") for k in range(levels)),
+    ]
+    # crc32 of the ids as text: bit by bit, as a table of the ids' bytes is short
+    crc = """crcs AS (SELECT DISTINCT doc_id, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, len(CAST(doc_id AS VARCHAR)) + 1), lambda k: ascii(CAST(doc_id AS VARCHAR)[k])::BIGINT)),
+        lambda c, b: list_reduce(list_prepend(xor(c, b), [0::BIGINT, 1, 2, 3, 4, 5, 6, 7]), lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384::BIGINT) ELSE x // 2 END)), 4294967295::BIGINT) AS crc FROM documents)"""
+    return f"""WITH {crc}, {", ".join(steps)}
+        SELECT doc_id, leaf, subroot, (SELECT h FROM r{levels}) AS root, sha256(sib) AS proof_sha256, v AS folded_root, v = (SELECT h FROM r{levels}) AS verified FROM rp{levels - 1}"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -99,6 +150,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_secrets,
         op9_near_dedup,
         op10_quality,
+        op13_manifest,
     )
 }
 
@@ -144,4 +196,5 @@ ORACLES: dict[str, str] = {
         ranked AS (SELECT *, greatest(diagonal, 0) AS token_start, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY overlap DESC, matched DESC, n DESC, greatest(diagonal, 0)) AS rn FROM laid WHERE overlap >= least(12, 0.6 * n))
         SELECT doc_id, item_id, CAST(overlap AS BIGINT) AS overlap, CAST(matched AS BIGINT) AS matched, CAST(n AS BIGINT) AS item_tokens, CAST(token_start AS BIGINT) AS token_start FROM ranked WHERE rn = 1
     """,
+    "op13_manifest": _manifest_sql(),
 }
