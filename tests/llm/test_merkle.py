@@ -82,8 +82,7 @@ def test_plain(spark, monkeypatch, sizes):
 
 def test_blocks_and_rounds(spark, monkeypatch):
     """Trees over several blocks, whose nodes meet in more than one round."""
-    monkeypatch.setattr(merkle, "FIRST_ROUND", 2)
-    monkeypatch.setattr(merkle, "LATER_ROUNDS", 1)
+    monkeypatch.setattr(merkle, "ROUND_LEVELS", 1)
     monkeypatch.setattr(merkle, "BROADCAST_ROWS", 1)
     rows = made(9000, lambda k: "hot" if k % 3 else None)
     random.Random(1).shuffle(rows)

@@ -4,8 +4,8 @@ Rows get their place within their source from a range partitioning of narrow row
 source with a third of all rows are dealt out like any others. The trees are reduced as a sparse forest: a fragment holds
 nodes that wait for siblings, keyed by tree, level and index, and closes a run of siblings as soon as it is whole, which it knows
 because the number of leaves tells each run's length. Merging fragments is associative and commutative, in whatever order.
-Scan tasks fold their rows first. A tree reduction merges what waits, by common ancestors at level 6, 10, 14 and so on,
-so no fragment holds more than the edges of the scan tasks under one ancestor; the root comes out as a row, not at the driver.
+Scan tasks fold their rows first. A tree reduction merges what waits, by common ancestors at level 3, 6, 9 and so on,
+so no group has more than 4096 nodes; the root comes out as a row, not at the driver.
 
 Proofs are made in blocks of 16**3 leaves: a block computes its own lower levels and gets the rest of the path as one row.
 
@@ -30,8 +30,8 @@ from vistrel.llm.common import bounded_batches, materialise
 ARITY, BLOCK_LEVELS = 16, 3
 #: Rows that a range partition is meant to hold, and rows of a table of offsets or source paths that is broadcast at most (some hundred bytes each).
 PART_ROWS, BROADCAST_ROWS = 200_000, 100_000
-#: Levels of the ancestor under which the first round merges fragments, and levels that each later round adds.
-FIRST_ROUND, LATER_ROUNDS = 6, 4
+#: Levels that each round closes: fragments meet at their common ancestors, so a group holds at most 16 ** 3 nodes in any order of the rows.
+ROUND_LEVELS = 3
 #: Columns of a row that its leaf covers, in order.
 LEAF_COLUMNS = ("doc_id", "source", "lang", "n_chars", "text")
 
@@ -145,11 +145,11 @@ def _merge_waiting(frame: pd.DataFrame) -> pd.DataFrame:
 def _tree_reduce(leaves: DataFrame) -> DataFrame:
     """Nodes (tree, leaves, level, index, digest) from block level up, and roots, of leaves (tree, leaves, index, digest)."""
     part = materialise(leaves.mapInArrow(_fold_scan, _NODES), "merkle-fragments")
-    nodes, level = part.where("made"), FIRST_ROUND
+    nodes, level = part.where("made"), ROUND_LEVELS
     while not (waiting := part.where("open")).isEmpty():
         ancestor = F.shiftright(F.call_function("shiftleft", F.col("index"), 4 * F.col("level")), 4 * level)  # a node's first leaf, in runs of 16 ** level
         part = materialise(waiting.withColumn("ancestor", ancestor).groupBy("tree", "ancestor").applyInPandas(_merge_waiting, _NODES), "merkle-fragments")
-        nodes, level = nodes.unionByName(part.where("made")), level + LATER_ROUNDS
+        nodes, level = nodes.unionByName(part.where("made")), level + ROUND_LEVELS
     return nodes.select("tree", "leaves", "level", "index", "digest")
 
 

@@ -15,6 +15,7 @@ from vistrel.llm.labelled import held_out
 from vistrel.llm.merkle import fold, manifest, row_digest
 from vistrel.llm.near_dedup import near_components
 from vistrel.llm.packing import pack
+from vistrel.llm.pivot_search import top_k
 from vistrel.llm.quality import GOOD_FROM, fit_quality, quality_score
 from vistrel.llm.secrets import scan_secrets
 from vistrel.llm.substring_dedup import repeated_passages
@@ -87,6 +88,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_pivot_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64.0)
+
+
 def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     tampered = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
@@ -150,6 +155,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_secrets,
         op9_near_dedup,
         op10_quality,
+        op12_pivot_search,
         op13_manifest,
     )
 }
@@ -196,5 +202,13 @@ ORACLES: dict[str, str] = {
         ranked AS (SELECT *, greatest(diagonal, 0) AS token_start, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY overlap DESC, matched DESC, n DESC, greatest(diagonal, 0)) AS rn FROM laid WHERE overlap >= least(12, 0.6 * n))
         SELECT doc_id, item_id, CAST(overlap AS BIGINT) AS overlap, CAST(matched AS BIGINT) AS matched, CAST(n AS BIGINT) AS item_tokens, CAST(token_start AS BIGINT) AS token_start FROM ranked WHERE rn = 1
     """,
+    "op12_pivot_search": """
+        WITH v AS (
+            SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS f FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(CAST(x AS DOUBLE)))) = 0),
+        scored AS (SELECT q.row, q.vec_id AS query_id, x.vec_id, CAST(list_dot_product(q.f, x.f) AS BIGINT) AS score FROM v q JOIN v x ON q.vec_id % 20 = 0 AND q.row <> x.row),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id) AS rank FROM scored)
+        SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 20
+    """,
     "op13_manifest": _manifest_sql(),
 }
