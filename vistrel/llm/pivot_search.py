@@ -33,8 +33,8 @@ from vistrel.llm.common import bounded_batches, materialise
 
 #: Pivots, drawn from a sample of at most so many rows (which choose pivots only and change no result).
 PIVOTS, SAMPLE_ROWS = 32, 4096
-#: Rows of a block, queries that meet a block in one task, and summaries of blocks that a query row meets at a time.
-BLOCK_ROWS, QUERY_ROWS, SUMMARY_ROWS = 2048, 1024, 4096
+#: Rows of a block, queries that meet a block in one task, and queries and summaries of blocks that meet at a time.
+BLOCK_ROWS, QUERY_ROWS, ASKING_ROWS, SUMMARY_ROWS = 2048, 1024, 256, 4096
 #: Candidates evaluated between two looks at the bound, and squared lengths up to which products of doubles are exact.
 STEP, ORDINARY = 256, 2.0**50
 #: The cell of vectors too long for that; they are compared in whole numbers and without bounds.
@@ -194,7 +194,7 @@ def top_k(vectors: DataFrame, asks: Column, k: int, scale: float = 1.0, id: str
     queries = materialise(table.where("asks").join(beaten, "row", "left"), "pivot-queries")
     summaries = first.where("row is null").select("cell", "part", "lo", "hi", "norm")
 
-    parts = max(1, -(-queries.count() // SUMMARY_ROWS))
+    parts = max(1, -(-queries.count() // ASKING_ROWS))
     chunks = max(1, -(-summaries.count() // SUMMARY_ROWS))
 
     def reached(some: pd.DataFrame, blocks: pd.DataFrame) -> pd.DataFrame:

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vistrel.llm.collocations import collocations
 from vistrel.llm.common import table
 from vistrel.llm.decontamination import contaminated
 from vistrel.llm.exact_dedup import exact_groups
@@ -88,6 +89,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"), top=2000)
+
+
 def op12_pivot_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64.0)
 
@@ -155,6 +160,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_secrets,
         op9_near_dedup,
         op10_quality,
+        op11_collocations,
         op12_pivot_search,
         op13_manifest,
     )
@@ -202,6 +208,28 @@ ORACLES: dict[str, str] = {
         ranked AS (SELECT *, greatest(diagonal, 0) AS token_start, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY overlap DESC, matched DESC, n DESC, greatest(diagonal, 0)) AS rn FROM laid WHERE overlap >= least(12, 0.6 * n))
         SELECT doc_id, item_id, CAST(overlap AS BIGINT) AS overlap, CAST(matched AS BIGINT) AS matched, CAST(n AS BIGINT) AS item_tokens, CAST(token_start AS BIGINT) AS token_start FROM ranked WHERE rn = 1
     """,
+    "op11_collocations": f"""
+        WITH split AS (SELECT row_number() OVER () AS d, coalesce(lang, 'und') AS lang, regexp_split_to_array(translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}'), '[.,;:!?\\x0A-\\x0D]') AS p FROM documents),
+        pieces AS (SELECT d, lang, generate_subscripts(p, 1) AS k, unnest(p) AS piece FROM split),
+        lists AS (SELECT d, lang, k, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces),
+        words AS (SELECT d, lang, k, unnest(w) AS a, generate_subscripts(w, 1) AS j FROM lists),
+        runs AS (SELECT lang, a, lead(a, 1) OVER o AS b, lead(a, 2) OVER o AS c, lead(a, 3) OVER o AS e FROM words WINDOW o AS (PARTITION BY d, k ORDER BY j)),
+        f AS (SELECT lang, phrase, count(*) AS f FROM (
+            SELECT lang, a AS phrase FROM runs UNION ALL SELECT lang, a || ' ' || b FROM runs UNION ALL SELECT lang, a || ' ' || b || ' ' || c FROM runs
+            UNION ALL SELECT lang, a || ' ' || b || ' ' || c || ' ' || e FROM runs) WHERE phrase IS NOT NULL GROUP BY ALL),
+        kept AS (SELECT lang, phrase, string_split(phrase, ' ') AS w, f AS a FROM f WHERE f >= 30 AND contains(phrase, ' ')),
+        cuts AS (SELECT lang, phrase, w, a, unnest(range(1, len(w))) AS k FROM kept),
+        scored AS (SELECT cuts.lang, cuts.phrase, a, x.f AS l, y.f AS r, (2000000 * CAST(a AS HUGEINT)) // (x.f + y.f) AS score, k FROM cuts
+            JOIN f x ON x.lang = cuts.lang AND x.phrase = array_to_string(w[1:k], ' ') JOIN f y ON y.lang = cuts.lang AND y.phrase = array_to_string(w[k + 1:], ' ')),
+        least AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+        sizes AS (SELECT lang, w, a, unnest(range(2, len(w))) AS size FROM kept),
+        places AS (SELECT lang, w, a, size, unnest(range(1, len(w) - size + 2)) AS place FROM sizes),
+        inside AS (SELECT lang, array_to_string(list_slice(w, place, place + size - 1), ' ') AS phrase, max(a) AS most FROM places GROUP BY ALL),
+        free AS (SELECT least.* FROM least LEFT JOIN inside USING (lang, phrase) WHERE most IS NULL OR 100 * most < 80 * a),
+        totals AS (SELECT lang, count(*) AS n FROM words GROUP BY lang),
+        ranked AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, CAST(score AS BIGINT) AS score FROM free)
+        SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+    """,
     "op12_pivot_search": """
         WITH v AS (
             SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS f FROM embeddings
