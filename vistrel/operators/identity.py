@@ -81,6 +81,15 @@ def numbered(df: DataFrame, name: str, part: Column, *order: str) -> DataFrame:
     return spread.withColumn("_rn", rank).join(offsets, "_part").select(*df.columns, (F.col("_before") + F.col("_rn") - 1).cast("long").alias(name))
 
 
+def numbered_within(df: DataFrame, name: str, by: str, part: Column, *order: str) -> DataFrame:
+    """The same within each value of ``by``: a large group is numbered by parts, too."""
+    spread = df.withColumn("_part", part)
+    before = W.Window.partitionBy(by).orderBy("_part").rowsBetween(W.Window.unboundedPreceding, -1)
+    offsets = spread.groupBy(by, "_part").agg(F.count("*").alias("_n")).select(by, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    rank = F.row_number().over(W.Window.partitionBy(by, "_part").orderBy(*order))
+    return spread.withColumn("_rn", rank).join(offsets, [by, "_part"]).select(*df.columns, (F.col("_before") + F.col("_rn") - 1).cast("long").alias(name))
+
+
 def by_thousands(column: str) -> Column:
     """Parts of 4096 neighbouring numbers."""
     return F.floor(F.col(column) / 4096)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from vistrel.functions.draw import coin, draw_key, pick
-from vistrel.operators.identity import by_thousands, eligible_identities, numbered
+from vistrel.functions.permute import permuted, round_numbers
+from vistrel.operators.identity import by_thousands, eligible_identities, numbered, numbered_within
 
 
 def draw_k(df: DataFrame, key: str, k: int, seed: int) -> DataFrame:
@@ -65,14 +66,35 @@ def images_per_identity(images: DataFrame, k: int, seed: int) -> DataFrame:
 
 
 def balanced_pairs(images: DataFrame, seed: int, most: int = 128) -> DataFrame:
-    """(batch, a_idx, b_idx, label): of each batch equally many same-identity and other pairs, at most ``most`` of each."""
-    a = images.select("batch", F.col("image_idx").alias("a_idx"), F.col("pid").alias("pa"))
-    b = images.select("batch", F.col("image_idx").alias("b_idx"), F.col("pid").alias("pb"))
-    pairs = a.join(b, "batch").where("a_idx < b_idx").select("batch", "a_idx", "b_idx", (F.col("pa") == F.col("pb")).cast("long").alias("label"))
-    by = W.Window.partitionBy("batch", "label").orderBy(draw_key(seed, "a_idx", "b_idx"), "a_idx", "b_idx")
-    drawn = pairs.withColumn("_rn", F.row_number().over(by)).where(F.col("_rn") <= most)
-    even = drawn.groupBy("batch").agg(F.least(F.count_if(F.col("label") == 0), F.count_if(F.col("label") == 1)).alias("_even"))
-    return drawn.join(even, "batch").where("_rn <= _even").select("batch", "a_idx", "b_idx", "label")
+    """(batch, a_idx, b_idx, label): of each batch equally many same-identity and other pairs, at most ``most`` of each.
+
+    Pairs are numbered, not formed: images stand by identity, so identity by identity the numbers of its own pairs and of its pairs with
+    earlier identities follow from counts. The drawn numbers are turned back into places, and only these are looked up.
+    """
+    placed = images.select("batch", "image_idx", "pid", (F.row_number().over(W.Window.partitionBy("batch").orderBy("pid", "image_idx")) - 1).alias("_p"))
+    own, across = F.col("c") * (F.col("c") - 1) / 2, F.col("c") * F.col("start")
+    earlier = W.Window.partitionBy("batch").orderBy("start").rowsBetween(W.Window.unboundedPreceding, -1)
+    so_far = lambda n: F.coalesce(F.sum(n).over(earlier), F.lit(0)).cast("long")
+    people = placed.groupBy("batch", "pid").agg(F.count("*").alias("c"), F.min("_p").cast("long").alias("start"))
+    people = people.select("batch", "c", "start", own.cast("long").alias("own"), across.alias("across"), so_far(own).alias("s0"), so_far(across).alias("d0"))
+    listed = people.groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("start", "c", "s0", "d0"))).alias("people"), F.sum("own").alias("same"), F.sum("across").alias("other"))
+    numbers = {k: round_numbers(f"{seed}:{k}", "batch") for k in ("same", "other")}
+    drawn = listed.where("same > 0 and other > 0").select("*", *(n.alias(f"_{k}") for k, n in numbers.items()))
+    drawn = drawn.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.least("same", "other", F.lit(most).cast("long")) - 1)))
+    drawn = drawn.select("batch", "people", *(permuted(F.col("i"), F.col(k), F.col(f"_{k}")).alias(k) for k in numbers))
+
+    def person(first: str, number: str) -> Column:
+        """The last identity whose numbers begin at or before the drawn one."""
+        return F.element_at(F.filter("people", lambda q: q[first] <= F.col(number)), -1)
+
+    found = drawn.select("batch", "same", "other", person("s0", "same").alias("x"), person("d0", "other").alias("y"))
+    t, u = F.col("same") - F.col("x.s0"), F.col("other") - F.col("y.d0")
+    later = F.floor((1 + F.sqrt(1 + 8 * t)) / 2)
+    same = found.select("batch", (F.col("x.start") + t - later * (later - 1) / 2).cast("long").alias("p"), (F.col("x.start") + later).cast("long").alias("q"), F.lit(1).cast("long").alias("label"))
+    other = found.select("batch", (u % F.col("y.start")).alias("p"), (F.col("y.start") + F.floor(u / F.col("y.start"))).cast("long").alias("q"), F.lit(0).cast("long").alias("label"))
+    image = lambda at, name: placed.select("batch", F.col("_p").cast("long").alias(at), F.col("image_idx").alias(name))
+    both = same.unionByName(other).join(image("p", "_a"), ["batch", "p"]).join(image("q", "_b"), ["batch", "q"])
+    return both.select("batch", F.least("_a", "_b").alias("a_idx"), F.greatest("_a", "_b").alias("b_idx"), "label")
 
 
 def questions(images: DataFrame, n: int, seed: int) -> DataFrame:
@@ -95,24 +117,31 @@ def questions(images: DataFrame, n: int, seed: int) -> DataFrame:
 
 def answers(asked: DataFrame, seed: int) -> DataFrame:
     """The questions with the answers that are shown under each transform: true, shuffled, flipped, all yes, all no."""
-    own = W.Window.orderBy("q_idx")
-    mixed = W.Window.orderBy(draw_key(seed, "q_idx"), "q_idx")
-    placed = asked.select("*", F.row_number().over(own).alias("_p"))
-    other = asked.select(F.row_number().over(mixed).alias("_p"), F.col("truth").alias("shuffle"))
+    placed = numbered(asked, "_p", by_thousands("q_idx"), "q_idx")
+    mixed = asked.withColumn("_key", draw_key(seed, "q_idx"))
+    other = numbered(mixed, "_p", F.substring("_key", 1, 3), "_key", "q_idx").select("_p", F.col("truth").alias("shuffle"))
     return placed.join(other, "_p").select(
         "q_idx", "truth", "shuffle", (1 - F.col("truth")).alias("flip"), F.lit(1).cast("long").alias("all_yes"), F.lit(0).cast("long").alias("all_no")
     )
 
 
-def batches(identities: DataFrame, n_batches: int, size: int, seed: int) -> DataFrame:
-    """(batch, slot, domain, pid): each batch draws a domain, then identities of it with replacement."""
+def batches(identities: DataFrame, n_batches: int, size: int, seed: int, unique: bool = False, mixed: bool = False) -> DataFrame:
+    """(batch, slot, domain, pid): each batch draws a domain, then ``size`` identities of it.
+
+    They are drawn with replacement; where ``unique``, without, unless the domain has fewer than ``size``. ``mixed`` batches draw from all
+    domains together. A slot computes its identity's number, so only batches x slots rows are written, however many identities there are.
+    """
     spark = identities.sparkSession
-    listed = identities.select("domain", "pid", (F.row_number().over(W.Window.partitionBy("domain").orderBy("pid")) - 1).alias("i"))
-    sizes = identities.groupBy("domain").agg(F.count("*").alias("n")).withColumn("d", F.row_number().over(W.Window.orderBy("domain")) - 1)
-    n_domains = sizes.count()
-    drawn = spark.range(n_batches).select(F.col("id").alias("batch"), pick(n_domains, f"{seed}:domain", "id").alias("d")).join(F.broadcast(sizes), "d")  # a row per domain
-    slots = drawn.withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(size - 1).cast("long"))))
-    return slots.withColumn("i", pick(F.col("n"), f"{seed}:slot", "batch", "slot")).join(listed, ["domain", "i"]).select("batch", "slot", "domain", "pid")
+    pools = identities.select((F.lit("all") if mixed else F.col("domain")).alias("_pool"), "domain", "pid")
+    listed = numbered_within(pools, "i", "_pool", by_thousands("pid"), "pid", "domain")
+    sizes = pools.groupBy("_pool").agg(F.count("*").alias("n")).withColumn("d", F.row_number().over(W.Window.orderBy("_pool")) - 1)
+    n_pools = sizes.count()
+    drawn = spark.range(n_batches).select(F.col("id").alias("batch"), pick(n_pools, f"{seed}:domain", "id").alias("d")).join(F.broadcast(sizes), "d")  # a row per domain
+    slots = drawn.withColumn("_numbers", round_numbers(f"{seed}:order", "batch")).withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(size - 1).cast("long"))))
+    i = pick(F.col("n"), f"{seed}:slot", "batch", "slot")
+    if unique:
+        i = F.when(F.col("n") >= size, permuted(F.col("slot"), F.col("n"), F.col("_numbers"))).otherwise(i)
+    return slots.withColumn("i", i).join(listed, ["_pool", "i"]).select("batch", "slot", "domain", "pid")
 
 
 def anchor_partner(images: DataFrame, seed: int) -> DataFrame:
@@ -127,17 +156,6 @@ def pseudo_pairs(pool: DataFrame, k: int, seed: int) -> DataFrame:
     return draw_k(pool, "image_idx", k, seed).select("pos", F.col("image_idx").alias("a_idx"), F.col("image_idx").alias("b_idx"))
 
 
-def unique_batches(identities: DataFrame, n_batches: int, size: int, seed: int) -> DataFrame:
-    """(batch, slot, domain, pid) with distinct identities in a batch; domains with fewer identities than slots give all they have."""
-    spark = identities.sparkSession
-    sizes = identities.select("domain").distinct().withColumn("d", F.row_number().over(W.Window.orderBy("domain")) - 1)
-    n_domains = sizes.count()
-    drawn = spark.range(n_batches).select(F.col("id").alias("batch"), pick(n_domains, f"{seed}:domain", "id").alias("d")).join(F.broadcast(sizes), "d")  # a row per domain
-    by = W.Window.partitionBy("batch").orderBy(draw_key(f"{seed}:slot", "batch", "pid"), "pid")
-    placed = drawn.join(identities.select("domain", "pid"), "domain").withColumn("slot", (F.row_number().over(by) - 1).cast("long"))
-    return placed.where(F.col("slot") < size).select("batch", "slot", "domain", "pid")
-
-
 def check_budget(pool: DataFrame, k: int) -> None:
     """A budget that the pool cannot meet is an error."""
     if (n := pool.limit(k).count()) < k:

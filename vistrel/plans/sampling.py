@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vistrel.functions import permute
 from vistrel.operators import runs, samples
 from vistrel.plans.registry import query
 from vistrel.sources.readers import task_plan
@@ -64,12 +65,24 @@ def images_per_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return samples.images_per_identity(_slim(spark, sf_dir), 4, 5)
 
 
+def _permuted(place: str, n: str, seed: str, *columns: str) -> str:
+    """Where the keyed permutation of 0..n-1 takes a place."""
+    numbers = f"list_transform(range(0, {permute.ROUNDS}), lambda k: CAST(('0x' || substr(md5(concat_ws(':', '{seed}', {', '.join(f'CAST({c} AS VARCHAR)' for c in columns)}, CAST(k AS VARCHAR))), 1, 8)) AS BIGINT))"
+    partner = f"((r % {n} - x) % {n} + {n}) % {n}"
+    swap = f"(((greatest(x, {partner}) % 2147483648) * {permute.MULTIPLIER} + r) % 4294967296) // 65536 % 2 = 1"
+    return f"list_reduce(list_prepend(CAST({place} AS BIGINT), {numbers}), lambda x, r: CASE WHEN {swap} THEN {partner} ELSE x END)"
+
+
 @query(
-    f"""WITH {IMAGES}, b AS (SELECT *, image_idx // 320 AS batch FROM images WHERE subset = 'train'),
-    p AS (SELECT x.batch, x.image_idx AS a_idx, y.image_idx AS b_idx, CAST(x.pid = y.pid AS BIGINT) AS label FROM b x JOIN b y ON x.batch = y.batch AND x.image_idx < y.image_idx),
-    d AS (SELECT *, row_number() OVER (PARTITION BY batch, label ORDER BY {_key('9', 'a_idx', 'b_idx')}, a_idx, b_idx) AS rn FROM p),
-    m AS (SELECT batch, least(128, count(*) FILTER (label = 0), count(*) FILTER (label = 1)) AS n FROM p GROUP BY batch)
-    SELECT d.batch, a_idx, b_idx, label FROM d JOIN m ON d.batch = m.batch WHERE rn <= n"""
+    f"""WITH {IMAGES}, b AS (SELECT image_idx // 320 AS batch, image_idx, pid, row_number() OVER (PARTITION BY image_idx // 320 ORDER BY pid, image_idx) - 1 AS p FROM images WHERE subset = 'train'),
+    pairs AS (SELECT x.batch, x.image_idx AS a, y.image_idx AS b, x.p, y.p AS q, CAST(x.pid = y.pid AS BIGINT) AS label, min(y.p) OVER (PARTITION BY y.batch, y.pid) AS start, y.pid FROM b x JOIN b y ON x.batch = y.batch AND x.p < y.p),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY batch, label ORDER BY pid, q, p) - 1 AS number, count(*) OVER (PARTITION BY batch, label) AS n FROM pairs),
+    counts AS (SELECT batch, count(*) FILTER (label = 1) AS same, count(*) FILTER (label = 0) AS other FROM pairs GROUP BY batch),
+    drawn AS (SELECT batch, same, other, unnest(range(0, least(same, other, 128))) AS i FROM counts),
+    numbers AS (
+        SELECT batch, CAST(1 AS BIGINT) AS label, {_permuted("i", "same", "9:same", "batch")} AS number FROM drawn
+        UNION ALL SELECT batch, 0, {_permuted("i", "other", "9:other", "batch")} FROM drawn)
+    SELECT batch, least(a, b) AS a_idx, greatest(a, b) AS b_idx, label FROM numbers JOIN placed USING (batch, label, number)"""
 )
 def balanced_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return samples.balanced_pairs(_slim(spark, sf_dir).withColumn("batch", F.floor(F.col("image_idx") / 320)), 9)
@@ -181,16 +194,36 @@ def pseudo_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return samples.pseudo_pairs(_slim(spark, sf_dir), 8, 23)
 
 
-@query(
-    f"""WITH {IMAGES}, ids AS (SELECT DISTINCT subset AS domain, pid FROM images),
-    sz AS (SELECT domain, row_number() OVER (ORDER BY domain) - 1 AS d FROM (SELECT DISTINCT domain FROM ids)),
-    b AS (SELECT range AS batch, {_number('29:domain', 'range')} % 3 AS d FROM range(50)),
-    s AS (SELECT batch, domain, pid, row_number() OVER (PARTITION BY batch ORDER BY {_key('29:slot', 'batch', 'pid')}, pid) - 1 AS slot FROM b JOIN sz USING (d) JOIN ids USING (domain))
-    SELECT batch, slot, domain, pid FROM s WHERE slot < 6"""
-)
+def _unique(size: int, seed: int, pool: str) -> str:
+    """Batches without repeats where the pool has enough identities, otherwise with."""
+    return f"""WITH {IMAGES}, ids AS (SELECT DISTINCT {pool} AS pool, subset AS domain, pid FROM images),
+    n AS (SELECT *, row_number() OVER (PARTITION BY pool ORDER BY pid, domain) - 1 AS i FROM ids),
+    sz AS (SELECT pool, count(*) AS n, row_number() OVER (ORDER BY pool) - 1 AS d, count(*) OVER () AS pools FROM ids GROUP BY pool),
+    b AS (SELECT range AS batch, {_number(f"{seed}:domain", "range")} AS d FROM range(50)),
+    s AS (SELECT batch, slot.range AS slot, pool, CASE WHEN n >= {size} THEN {_permuted("slot.range", "n", f"{seed}:order", "batch")} ELSE {_number(f"{seed}:slot", "batch", "slot.range")} % n END AS i
+          FROM b JOIN sz ON b.d % sz.pools = sz.d, range({size}) slot)
+    SELECT batch, slot, domain, pid FROM s JOIN n USING (pool, i)"""
+
+
+def _identities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return images(spark, sf_dir, feat=False).select(F.col("subset").alias("domain"), "pid").distinct()
+
+
+@query(_unique(6, 29, "subset"))
 def batch_sampler_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = images(spark, sf_dir, feat=False).select(F.col("subset").alias("domain"), "pid").distinct()
-    return samples.unique_batches(ids, 50, 6, 29)
+    return samples.batches(_identities(spark, sf_dir), 50, 6, 29, unique=True)
+
+
+@query(_unique(64, 31, "subset"))
+def batch_sampler_short(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches larger than a domain stay full: they repeat identities."""
+    return samples.batches(_identities(spark, sf_dir), 50, 64, 31, unique=True)
+
+
+@query(_unique(16, 37, "'all'"))
+def batch_sampler_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches from all domains together."""
+    return samples.batches(_identities(spark, sf_dir), 50, 16, 37, unique=True, mixed=True)
 
 
 @query("SELECT * FROM (VALUES (0, '--lr 0.1 --warmup 5'), (1, '--k 4'), (3, '--seed 1'), (5, 'no flag')) v(pos, option)")
