@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from vistrel.operators import samples, selectors
+from vistrel.operators import clusters, samples, selectors
 
 K, SEED = 12, 3
 
@@ -65,21 +67,48 @@ def test_labels_are_hidden(people):
         selectors.check_names(["dedup", "nonsense"])
 
 
-def test_kcenter_against_its_definition(people):
-    frame = people.drop("pid").toPandas()
-    pool = selectors.Pool(frame, True)
-    rows = selectors.SELECTORS["kcenter"](pool, 5, SEED)
-    for n in range(1, 5):
-        gap = 1 - pool.sims(rows[:n]).max(0)
-        gap[rows[:n]] = -1
-        assert gap[rows[n]] == gap.max()
-
-
-def test_exhausted_pool_is_filled():
-    """All images of one person in one camera: every later pick is a probable duplicate, and still the budget is met."""
-    frame = pd.DataFrame({"image_idx": range(6), "camid": 0, "feat": [np.eye(4)[0]] * 6, "style": [np.eye(4)[0]] * 6})
-    for name, rule in selectors.SELECTORS.items():
-        assert sorted(rule(selectors.Pool(frame, True), 6, 1)) == list(range(6)), name
+def test_kcenter_against_its_definition(people, picked):
+    frame = people.drop("pid").toPandas().sort_values("image_idx", ignore_index=True)
+    x = np.stack(frame["feat"].to_list())
+    rows = picked[picked["selector"] == "kcenter"].sort_values("pos")["image_idx"].to_list()
+    for n in range(1, K):
+        near = np.round(x @ x[rows[:n]].T, 6).max(1)
+        near[rows[:n]] = 2
+        assert near[rows[n]] == near.min()
+
+
+def test_exhausted_pool_is_filled(spark):
+    """All images of one person in one camera: every later pick is a probable duplicate, and still the budget is met. Pools of one row, and
+    budgets beyond the pool, too."""
+    one = [float(x) for x in np.eye(4)[0]]
+    rows = [("a", k, 0, one, one) for k in range(6)] + [("b", 9, 1, one, one)]
+    pools = spark.createDataFrame(rows, "domain string, image_idx long, camid int, feat array<double>, style array<double>")
+    got = selectors.select(pools, ["domain"], selectors.SELECTORS, 8, 1).toPandas()
+    for name in selectors.SELECTORS:
+        own = got[got["selector"] == name]
+        assert sorted(own[own["domain"] == "a"]["image_idx"]) == list(range(6)), name
+        assert own[own["domain"] == "b"]["image_idx"].to_list() == [9], name
+
+
+def test_several_pools_in_lots(spark, people, picked, monkeypatch):
+    """Pools that go on together, or one after another, each give what they give alone."""
+    monkeypatch.setattr(selectors, "LOT", 1)
+    both = people.drop("pid").unionByName(people.drop("pid").where("image_idx < 200").withColumn("domain", F.lit("small")))
+    names = ["dedup", "hard_negative", "facility_camera"]
+    got = selectors.select(both, ["domain"], names, K, SEED).toPandas()
+    for name in names:
+        alone = picked[picked["selector"] == name].sort_values("pos")["image_idx"].to_list()
+        assert got[(got["selector"] == name) & (got["domain"] == "synthetic")].sort_values("pos")["image_idx"].to_list() == alone
+        assert len(got[(got["selector"] == name) & (got["domain"] == "small")]) == K
+
+
+def test_bounded_pools_as_groups(people, picked):
+    names = [n for n in selectors.SELECTORS if n not in ("typical", "style_cover")]
+    got = selectors.select_within(people.drop("pid"), ["domain"], names, K, SEED).toPandas()
+    for name in names:
+        assert got[got["selector"] == name].sort_values("pos")["image_idx"].to_list() == picked[picked["selector"] == name].sort_values("pos")["image_idx"].to_list(), name
+    with pytest.raises(ValueError, match="typical"):
+        selectors.select_within(people.drop("pid"), ["domain"], ["typical"], K, SEED)
 
 
 def test_failed_person_is_not_retried(spark):
@@ -107,23 +136,28 @@ def whole_matrix(frame, has_cameras=True):
     return sim, 1 / np.maximum(1 - near, 1e-4).mean(1), tau, np.where(mutual, best, -1)
 
 
-def test_pool_by_blocks_is_the_whole_matrix(people, monkeypatch):
+def test_pool_by_blocks_is_the_whole_matrix(people):
     frame = people.drop("pid").toPandas().sort_values("image_idx", ignore_index=True)
-    monkeypatch.setattr(selectors.Pool, "BLOCK", 97)
-    pool = selectors.Pool(frame, True)
-    sim, typical, tau, partner = whole_matrix(frame)
-    assert np.allclose(pool.typical, typical) and abs(pool.tau - tau) < 2e-6 and (pool.partner == partner).all()
-    assert np.allclose(pool.sims([3, 5]), sim[[3, 5]])
+    table, tau = selectors.local_table(frame, True, SEED, block=97)
+    _, typical, whole, partner = whole_matrix(frame)
+    assert np.allclose(-table["_sparse"], typical, atol=1e-5) and abs(tau / selectors.UNIT - whole) < 2e-6
+    assert (table["_partner"].fillna(-1).to_numpy() == partner).all()
 
 
-def test_greedy_rules_against_plain_versions(people):
+def drawn(seed, n):
+    return sorted(range(n), key=lambda i: (hashlib.md5(f"{seed}:{i}".encode()).hexdigest(), i))
+
+
+def test_greedy_rules_against_plain_versions(people, picked):
     """dedup, pairable, facility and hard_negative written out anew over the whole matrix."""
     frame = people.drop("pid").toPandas().sort_values("image_idx", ignore_index=True)
-    pool = selectors.Pool(frame, True)
-    sim, _, _, partner = whole_matrix(frame)
+    sim, _, tau, partner = whole_matrix(frame)
+    got = {name: rows.sort_values("pos")["image_idx"].to_list() for name, rows in picked.groupby("selector")}
+    cams = frame["camid"].to_numpy()
+    far = np.where(cams[:, None] == cams[None], -np.inf, sim).max(1)
 
     def twin(i, j):
-        return i == j or sim[i, j] > pool.tau or partner[j] == i
+        return i == j or sim[i, j] > tau or partner[j] == i
 
     def greedy(order):
         out = []
@@ -132,32 +166,87 @@ def test_greedy_rules_against_plain_versions(people):
                 out.append(i)
         return out
 
-    drawn = pool.drawn(SEED)
-    assert selectors.SELECTORS["dedup"](pool, K, SEED) == greedy(drawn)
-    assert selectors.SELECTORS["pairable"](pool, K, SEED) == greedy(sorted(drawn, key=lambda i: -pool.pairable[i]))
+    order = drawn(SEED, len(sim))
+    assert got["dedup"] == greedy(order)
+    assert got["pairable"] == greedy(sorted(order, key=lambda i: -far[i]))
     out = []
-    for anchor in drawn:
+    for anchor in order:
         if len(out) < K and not any(twin(anchor, j) for j in out):
             out.append(anchor)
-            alike = [i for i in range(len(sim)) if sim[anchor, i] <= pool.tau and not any(twin(i, j) for j in out)]
+            alike = [i for i in range(len(sim)) if sim[anchor, i] <= tau and not any(twin(i, j) for j in out)]
             if len(out) < K and alike:
                 out.append(max(alike, key=lambda i: (sim[anchor, i], -i)))
-    assert selectors.SELECTORS["hard_negative"](pool, K, SEED) == out
+    assert got["hard_negative"] == out
     out, gain_of = [], np.clip(sim, 0, None)
     while len(out) < K:
         cover = gain_of[out].max(0) if out else np.zeros(len(sim))
         gain = [-1 if any(twin(i, j) for j in out) else np.maximum(gain_of[i] - cover, 0).sum() for i in range(len(sim))]
-        out.append(int(np.argmax(gain)))
-    assert selectors.SELECTORS["facility"](pool, K, SEED) == out
+        out.append(int(np.argmax(np.round(gain, 6))))
+    assert got["facility"] == out
 
 
 def test_facility_covers_drawn_rows_by_drawn_candidates(people):
-    frame = people.drop("pid").toPandas().sort_values("image_idx", ignore_index=True)
-    pool = selectors.Pool(frame, True)
-    evaluated, candidates = set(pool.drawn(f"{SEED}:eval")[:200]), set(pool.drawn(f"{SEED}:cand")[:300])
-    assert set(selectors._facility(pool, K, SEED, n_eval=200, n_cand=300)) <= candidates and len(evaluated) == 200
-    few = selectors._facility(pool, K, SEED, n_eval=200, n_cand=5)
-    assert len(set(few)) == K and len(set(few) & set(pool.drawn(f"{SEED}:cand")[:5])) >= 4
+    pools = people.drop("pid")
+    candidates = set(drawn(f"{SEED}:cand", 1200)[:300])
+    got = selectors.select(pools, ["domain"], ["facility"], K, SEED, n_eval=200, n_cand=300).toPandas()
+    assert set(got["image_idx"]) <= candidates
+    few = selectors.select(pools, ["domain"], ["facility"], K, SEED, n_eval=200, n_cand=5).toPandas()
+    assert len(set(few["image_idx"])) == K and len(set(few["image_idx"]) & set(drawn(f"{SEED}:cand", 1200)[:5])) >= 4
+
+
+def plain_kmeans(x, k, seed):
+    """The same draws, one row after another."""
+    def u(*key):
+        return int(hashlib.md5(":".join(map(str, key)).encode()).hexdigest()[:8], 16) / 2**32
+
+    def gaps(centres):
+        return ((x[:, None] - centres[None]) ** 2).sum(2)
+
+    best = None
+    for start in range(clusters.STARTS):
+        centres = x[drawn(f"{seed}:{start}", len(x))[:1]]
+        for stage in range(clusters.SEED_ROUNDS):
+            near = gaps(centres).min(1)
+            if near.sum() > 0:
+                p = clusters.OVERSAMPLING * k * near / near.sum()
+                centres = np.vstack([centres, x[[i for i in range(len(x)) if u(f"{seed}:{start}:{stage}", i) < p[i]]]])
+        weight = np.bincount(gaps(centres).argmin(1), minlength=len(centres)).astype(float)
+        rng, chosen = np.random.default_rng(seed + start), []
+        for _ in range(min(k, len(centres))):
+            p = weight * (((centres[:, None] - centres[chosen][None]) ** 2).sum(2).min(1) if chosen else 1.0)
+            chosen.append(int(np.searchsorted(np.cumsum(p), rng.random() * p.sum(), side="right")))
+        c = centres[chosen]
+        for _ in range(clusters.ROUNDS):
+            d = gaps(c)
+            cost, label = d.min(1).sum(), d.argmin(1)
+            moved = np.array([x[label == j].mean(0) if (label == j).any() else c[j] for j in range(len(c))])
+            if np.abs(moved - c).max() <= 1e-8:
+                break
+            c = moved
+        if best is None or cost < best[0] - 1e-9:
+            best = (cost, c)
+    return best
+
+
+def test_kmeans_against_a_plain_version(spark):
+    rng = np.random.default_rng(2)
+    x = np.repeat(rng.normal(size=(8, 3)) * 4, 60, axis=0) + rng.normal(size=(480, 3))
+    points = spark.createDataFrame([("p", i, v.tolist()) for i, v in enumerate(x)] + [("q", i, v.tolist()) for i, v in enumerate(x[:50])], "domain string, image_idx long, x array<double>")
+    for parts in (1, 5):
+        got = clusters.kmeans(points.repartition(parts), ["domain"], 8, 7).toPandas()
+        for pool, own in (("p", x), ("q", x[:50])):
+            rows = got[got["domain"] == pool].sort_values("image_idx")
+            cost, centres = plain_kmeans(own, 8, 7)
+            d = ((own[:, None] - centres[None]) ** 2).sum(2)
+            assert (rows["label"].to_numpy() == d.argmin(1)).all()
+            assert abs(rows["gap"].sum() - cost) < 1e-6 and np.allclose(rows["gap"], d.min(1), atol=1e-6)
+
+
+def test_kmeans_of_few_points(spark):
+    points = spark.createDataFrame([("p", k, [1.0, 2.0]) for k in range(5)] + [("q", 0, [0.0, 0.0])], "domain string, image_idx long, x array<double>")
+    got = clusters.kmeans(points, ["domain"], 3, 1).toPandas()
+    assert len(got) == 6 and (got["gap"] == 0).all() and got["label"].between(0, 2).all()
+    assert clusters.kmeans(points.where("false"), ["domain"], 3, 1).count() == 0
 
 
 def test_style_is_needed_and_used(people):

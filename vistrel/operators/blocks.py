@@ -54,12 +54,13 @@ def block_scan(
     return a.groupBy(*by, "_i", "_j").cogroup(b.groupBy(*by, "_i", "_j")).applyInPandas(run, ", ".join([*(f"{c} {kinds[c]}" for c in by), schema]))
 
 
-def nearest(left: DataFrame, right: DataFrame, k: int, differs: str | None = None, same_set: bool = False, similarity: bool = False) -> DataFrame:
-    """(a_idx, b_idx, value, rn): the k right rows of least cosine distance, or greatest similarity, for each left row.
+def nearest(left: DataFrame, right: DataFrame, k: int, differs: str | None = None, same_set: bool = False, similarity: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by.., a_idx, b_idx, value, rn): the k right rows of least cosine distance, or greatest similarity, for each left row.
 
-    ``differs`` names a column that must differ; ``same_set`` leaves out a row itself. Ties go to the smaller index.
+    ``differs`` names a column that must differ; ``same_set`` leaves out a row itself. Ties go to the smaller index. With ``by`` only
+    rows that agree in these columns are neighbours.
     """
-    columns = ["image_idx", "feat", *([differs] if differs else [])]
+    columns = [*by, "image_idx", "feat", *([differs] if differs else [])]
 
     def block(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         d = np.round(matrix(x["feat"]) @ matrix(y["feat"]).T, DIGITS)
@@ -73,7 +74,7 @@ def nearest(left: DataFrame, right: DataFrame, k: int, differs: str | None = Non
         out = pd.DataFrame({"a_idx": x["image_idx"].to_numpy()[rows], "b_idx": y["image_idx"].to_numpy()[near.ravel()], "value": np.take_along_axis(d, near, 1).ravel()})
         return out[np.isfinite(out["value"])]
 
-    part = block_scan(left.select(columns), right.select(columns), block, "a_idx long, b_idx long, value double")
-    best = W.Window.partitionBy("a_idx").orderBy("value", "b_idx")
+    part = block_scan(left.select(columns), right.select(columns), block, "a_idx long, b_idx long, value double", by=by)
+    best = W.Window.partitionBy(*by, "a_idx").orderBy("value", "b_idx")
     ranked = part.withColumn("rn", F.row_number().over(best)).where(F.col("rn") <= k)
     return ranked.withColumn("value", -F.col("value") if similarity else F.col("value"))

@@ -16,26 +16,26 @@ NEIGHBOURS, LEAST_DISTANCE, DUP_QUANTILE = 20, 1e-4, 0.99
 MOST_SELECTED = 1000
 
 
-def pool_statistics(pool: DataFrame, has_cameras: bool = True) -> DataFrame:
-    """(image_idx, nn_sim, typicality, pairability, best_idx) of each image.
+def pool_statistics(pool: DataFrame, has_cameras: bool = True, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by.., image_idx, nn_sim, typicality, pairability, best_idx) of each image (in its pool, the columns ``by``).
 
     nn_sim and typicality look at all other images, pairability and best_idx at those of other cameras only. An image
     without such a partner has nulls there.
     """
-    near = nearest(pool, pool, NEIGHBOURS, same_set=True, similarity=True)
-    dense = near.groupBy("a_idx").agg(
+    near = nearest(pool, pool, NEIGHBOURS, same_set=True, similarity=True, by=by)
+    dense = near.groupBy(*by, "a_idx").agg(
         F.max("value").alias("nn_sim"), F.round(1 / F.avg(F.greatest(1 - F.col("value"), F.lit(LEAST_DISTANCE))), DIGITS).alias("typicality")
     )
-    best = nearest(pool, pool, 1, differs="camid" if has_cameras else None, same_set=True, similarity=True)
-    best = best.select("a_idx", F.col("value").alias("pairability"), F.col("b_idx").alias("best_idx"))
-    return dense.join(best, "a_idx", "left").withColumnRenamed("a_idx", "image_idx")
+    best = nearest(pool, pool, 1, differs="camid" if has_cameras else None, same_set=True, similarity=True, by=by)
+    best = best.select(*by, "a_idx", F.col("value").alias("pairability"), F.col("b_idx").alias("best_idx"))
+    return dense.join(best, [*by, "a_idx"], "left").withColumnRenamed("a_idx", "image_idx")
 
 
-def mutual_partners(statistics: DataFrame) -> DataFrame:
-    """(image_idx, partner_idx): images that are each other's best match."""
-    back = statistics.select(F.col("image_idx").alias("partner_idx"), F.col("best_idx").alias("back"))
-    found = statistics.join(back, F.col("best_idx") == F.col("partner_idx"))
-    return found.where("back = image_idx").select("image_idx", "partner_idx")
+def mutual_partners(statistics: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by.., image_idx, partner_idx): images that are each other's best match."""
+    back = statistics.select(*by, F.col("image_idx").alias("best_idx"), F.col("best_idx").alias("back"))
+    found = statistics.join(back, [*by, "best_idx"])
+    return found.where("back = image_idx").select(*by, "image_idx", F.col("best_idx").alias("partner_idx"))
 
 
 #: Bins of a similarity from -1 to 1: the digits that similarities are rounded to, so a bin is a value.
@@ -49,13 +49,14 @@ def _histogram(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"value": value, "n": n})
 
 
-def dup_threshold(pool: DataFrame, quantile: float = DUP_QUANTILE) -> DataFrame:
-    """One row: the similarity below which the given share of all unordered pairs lies, interpolated linearly.
+def dup_threshold(pool: DataFrame, quantile: float = DUP_QUANTILE, by: tuple[str, ...] = (), digits: int = DIGITS) -> DataFrame:
+    """A row (for each pool): the similarity below which the given share of all unordered pairs lies, interpolated linearly.
 
     Exact for any pool: blocks count rounded similarities, of which there are at most two million.
     """
-    counts = block_scan(pool.select("image_idx", "feat"), pool.select("image_idx", "feat"), _histogram, "value long, n long").groupBy("value").agg(F.sum("n").alias("n"))
-    return counts.agg(F.round(F.percentile(F.col("value") / F.lit(float(_SCALE)), F.lit(quantile), F.col("n")), DIGITS).alias("dup_tau"))
+    side = pool.select(*by, "image_idx", "feat")
+    counts = block_scan(side, side, _histogram, "value long, n long", by=by).groupBy(*by, "value").agg(F.sum("n").alias("n"))
+    return counts.groupBy(*by).agg(F.round(F.percentile(F.col("value") / F.lit(float(_SCALE)), F.lit(quantile), F.col("n")), digits).alias("dup_tau"))
 
 
 def selection_properties(pool: DataFrame, selected: DataFrame, statistics: DataFrame) -> DataFrame:

@@ -1,16 +1,18 @@
-"""Budgeted, label-free selection of images from a pool.
+"""Budgeted, label-free selection of images from pools of any size.
 
-The simple rules are plans. The greedy ones keep state from pick to pick, which no window expresses; they run over one pool
-as a grouped function, whose input has no identities. A pool is one domain and split and its size is that of an annotation
-candidate list; the grid of (domain, split, k, draw) is what is distributed. Statistics of large pools come from
-vistrel.operators.pool as plans, and the greedy pass then needs the pool's vectors only.
+A rule (of nine) is written once, as a dialogue: it asks for the first rows by some order among those that nothing chosen rules out, takes
+some of the rows that come back and asks again. All pools and rules go on together, a Spark job a round: tasks get the rows
+chosen so far (pools x k vectors), compute the order of their own rows from them and send the first ones, of which each pool's
+first reach the driver. No state is kept in the tasks, so a lost executor costs its part of a round. Pools whose size is bounded, as training
+batches are, take the same rules as a grouped function (select_within).
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Generator, Iterable, Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -19,222 +21,240 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from vistrel.functions.draw import draw_key
-from vistrel.operators.identity import numbered
-from vistrel.operators.pool import DUP_QUANTILE, LEAST_DISTANCE, NEIGHBOURS
-
+from vistrel.operators.blocks import DIGITS, matrix
+from vistrel.operators.clusters import kmeans
+from vistrel.operators.identity import numbered, numbered_within
+from vistrel.operators.pool import DUP_QUANTILE, LEAST_DISTANCE, NEIGHBOURS, dup_threshold, mutual_partners, pool_statistics
+from vistrel.session import written
 
 #: Rows that facility location covers at most, and rows that it may pick; drawn where the pool has more.
 EVALUATED, CANDIDATES = 4000, 8000
+#: Rows of an order that a rule looks at together, and pools that go on together.
+LOOK, LOT = 256, 32
+#: What a camera not seen yet adds to a normalised gain.
+CAMERA_BONUS = 0.5
+#: Similarities are whole multiples of one over this.
+UNIT = 10**DIGITS
 
 
 def round_robin(pool: DataFrame, seed: int) -> DataFrame:
     """(pos, image_idx): one drawn image of each camera in turn, cameras in drawn order."""
-    nth = F.row_number().over(W.Window.partitionBy("camid").orderBy(draw_key(seed, "image_idx"), "image_idx"))
-    placed = pool.select("image_idx", nth.alias("_nth"), draw_key(seed, F.lit("cam"), F.col("camid")).alias("_cam"))
-    return numbered(placed, "pos", F.col("_nth"), "_nth", "_cam").select((F.col("pos") + 1).alias("pos"), "image_idx")
+    placed = _turns(pool.select("image_idx", "camid"), "camid", seed)
+    return numbered(placed, "pos", F.col("_nth"), "_nth", "_turn").select((F.col("pos") + 1).alias("pos"), "image_idx")
 
 
-class Pool:
-    """Vectors of one pool with what the greedy rules ask of them; rows are in the order of image_idx.
+def _turns(rows: DataFrame, camera: str, seed: int) -> DataFrame:
+    """rows with ``_nth``, the drawn place within its camera, and ``_turn``, the draw of the camera; a camera is numbered by parts."""
+    drawn = rows.withColumn("_draw", draw_key(seed, "image_idx"))
+    placed = numbered_within(drawn, "_nth", camera, F.substring("_draw", 1, 3), "_draw", "image_idx")
+    return placed.withColumn("_nth", F.col("_nth") + 1).withColumn("_turn", draw_key(seed, F.lit("cam"), F.col("camid")))
 
-    Similarities are computed by blocks of rows or a row at a time; the matrix of all is never held.
-    """
 
-    BLOCK = 1024
-
-    def __init__(self, frame: pd.DataFrame, has_cameras: bool):
-        frame = frame.sort_values("image_idx", ignore_index=True)
-        self.idx = frame["image_idx"].to_numpy()
-        self.cams = frame["camid"].to_numpy() if has_cameras else np.zeros(len(frame), int)
-        self.has_cameras = has_cameras
-        self.n = len(frame)
-        self.x = np.stack(frame["feat"].to_list()).astype(float) if self.n else np.zeros((0, 1))
-        self.style = np.stack(frame["style"].to_list()).astype(float) if self.n and "style" in frame else None
-        self.typical, self.pairable, best = np.ones(self.n), np.full(self.n, -np.inf), np.zeros(self.n, int)
-        counts: dict[int, int] = {}
-        for at in range(0, self.n, self.BLOCK):
-            rows = np.arange(at, min(at + self.BLOCK, self.n))
-            sim = self.sims(rows)
-            later = sim[rows[:, None] < np.arange(self.n)[None]]
-            for value, n in zip(*np.unique(np.rint(later * 1e6).astype(np.int64), return_counts=True), strict=True):
-                counts[int(value)] = counts.get(int(value), 0) + int(n)
-            sim[np.arange(len(rows)), rows] = -np.inf
-            near = -np.sort(-sim, axis=1)[:, : min(NEIGHBOURS, self.n - 1)]
-            if near.shape[1]:
-                self.typical[rows] = 1 / np.maximum(1 - near, LEAST_DISTANCE).mean(1)
-            if has_cameras:
-                sim[self.cams[rows, None] == self.cams[None]] = -np.inf
-            best[rows], self.pairable[rows] = sim.argmax(1), sim.max(1)
-        self.tau = _quantile(counts, DUP_QUANTILE) if counts else 1.0
-        mutual = np.isfinite(self.pairable) & np.isfinite(self.pairable[best]) & (best[best] == np.arange(self.n))
-        self.partner = np.where(mutual, best, -1)
-
-    def sims(self, rows: np.ndarray | list[int], others: np.ndarray | slice = slice(None)) -> np.ndarray:
-        return np.round(self.x[rows] @ self.x[others].T, 6)
-
-    def sim(self, i: int) -> np.ndarray:
-        return self.sims([i])[0]
-
-    def drawn(self, seed: object, members: Iterable[int] | None = None) -> list[int]:
-        """Rows in the order of a hash of seed and image."""
-        rows = range(self.n) if members is None else members
-        return sorted(rows, key=lambda i: (hashlib.md5(f"{seed}:{self.idx[i]}".encode(), usedforsecurity=False).hexdigest(), i))
+def micro(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Rounded similarities in whole units."""
+    return np.rint(a @ b.T * UNIT).astype(np.int64)
 
 
-def _quantile(counts: dict[int, int], q: float) -> float:
-    """The interpolated quantile of values in millionths that occur so often."""
-    values = np.array(sorted(counts))
-    upto = np.cumsum([counts[int(v)] for v in values])
-    at = q * (upto[-1] - 1)
-    low, high = (values[np.searchsorted(upto, p, side="right")] / 1e6 for p in (math.floor(at), math.ceil(at)))
-    return float(low + (high - low) * (at - math.floor(at)))
+@dataclass
+class Row:
+    """A row that a rule has asked for. ``kind`` is 1 for a camera seen before, ``num`` its number in the order."""
+
+    image_idx: int
+    camid: int
+    partner: int
+    feat: np.ndarray
+    num: float
+    kind: int
+
+
+@dataclass
+class Ask:
+    """The first ``n`` rows by an order, ties by image number. ``skip``: "taken" rows only, or also "barred" ones."""
 
+    order: str
+    n: int = 1
+    num: str | None = None
+    text: str | None = None
+    skip: str = "barred"
+    cluster: tuple[str, int] | None = None
+    kinds: bool = False
 
-class Picks:
-    """Chosen rows and which rows they rule out as probable copies of a person."""
 
-    def __init__(self, pool: Pool, k: int):
-        self.pool, self.k, self.rows = pool, min(k, pool.n), []
-        self.barred = np.zeros(pool.n, bool)
+@dataclass
+class State:
+    """What a rule has chosen from a pool of ``size`` rows. ``tau``: similarity in units above which two rows are probable copies."""
+
+    k: int
+    size: int
+    tau: int
+    has_cameras: bool
+    evaluated: np.ndarray | None = None
+    rows: list[Row] = field(default_factory=list)
+    covered: np.ndarray | None = None
 
     @property
     def full(self) -> bool:
-        return len(self.rows) >= self.k
-
-    def take(self, i: int) -> None:
-        self.rows.append(int(i))
-        self.barred |= self.pool.sim(i) > self.pool.tau
-        self.barred[i] = True
-        if self.pool.partner[i] >= 0:
-            self.barred[self.pool.partner[i]] = True
-
-    def offer(self, order: Iterable[int]) -> None:
-        """Take from order what nothing chosen rules out, until full."""
-        for i in order:
-            if self.full:
-                return
-            if not self.barred[i]:
-                self.take(i)
-
-    def fill(self, order: Iterable[int]) -> list[int]:
-        """The budget's rows: what the rule gave, then the order's other rows, ruled out or not."""
-        order = list(order)
-        self.offer(order)
-        taken = set(self.rows)
-        self.rows += [i for i in order if i not in taken][: self.k - len(self.rows)]
-        return self.rows
-
-
-def _dedup(pool: Pool, k: int, seed: int) -> list[int]:
-    return Picks(pool, k).fill(pool.drawn(seed))
-
-
-def _pairable(pool: Pool, k: int, seed: int) -> list[int]:
-    place = {i: p for p, i in enumerate(pool.drawn(seed))}
-    return Picks(pool, k).fill(sorted(range(pool.n), key=lambda i: (-pool.pairable[i], place[i])))
-
-
-def _kcenter(pool: Pool, k: int, seed: int) -> list[int]:
-    rows = pool.drawn(seed)[:1]
-    gap = 1 - pool.sim(rows[0]) if rows else np.zeros(0)
-    while 0 < len(rows) < min(k, pool.n):
-        gap[rows] = -np.inf
-        far = int(gap.argmax())
-        rows.append(far)
-        gap = np.minimum(gap, 1 - pool.sim(far))
-    return rows
-
-
-def _camera_balanced(pool: Pool, k: int, seed: int) -> list[int]:
-    if not pool.has_cameras:
-        return _dedup(pool, k, seed)
-    turn = {c: hashlib.md5(f"{seed}:cam:{c}".encode(), usedforsecurity=False).hexdigest() for c in np.unique(pool.cams)}
-    nth: dict[int, int] = {}
-    keyed = []
-    for i in pool.drawn(seed):
-        c = pool.cams[i]
-        nth[c] = nth.get(c, 0) + 1
-        keyed.append((nth[c], turn[c], i))
-    return Picks(pool, k).fill(i for *_, i in sorted(keyed))
-
-
-def _hard_negative(pool: Pool, k: int, seed: int) -> list[int]:
-    picks = Picks(pool, k)
-    for anchor in pool.drawn(seed):
-        if picks.full:
-            break
-        if picks.barred[anchor]:
-            continue
-        picks.take(anchor)
-        if picks.full:
-            break
-        sim = pool.sim(anchor)
-        like = np.where(picks.barred | (sim > pool.tau), -np.inf, sim)
-        if np.isfinite(like.max()):
-            picks.take(int(like.argmax()))
-    return picks.fill(pool.drawn(f"{seed}:fill"))
-
-
-def _facility(pool: Pool, k: int, seed: int, bonus: float = 0.0, n_eval: int = EVALUATED, n_cand: int = CANDIDATES) -> list[int]:
-    """Greedy cover of drawn evaluation rows by drawn candidates; smaller pools take part whole. Ties go to the lower image number."""
-    picks = Picks(pool, k)
-    evaluated = np.sort(pool.drawn(f"{seed}:eval")[:n_eval]) if pool.n > n_eval else np.arange(pool.n)
-    candidates = np.sort(pool.drawn(f"{seed}:cand")[:n_cand]) if pool.n > n_cand else np.arange(pool.n)
-    gain_of = np.clip(pool.sims(candidates, evaluated), 0, None)
-    covered, seen = np.zeros(len(evaluated)), set()
-    while not picks.full and not picks.barred[candidates].all():
-        gain, barred = np.maximum(gain_of - covered, 0).sum(1), picks.barred[candidates]
-        score = gain / max(gain[~barred].max(), 1e-9)
-        if bonus and pool.has_cameras:
-            score = score + bonus * np.array([c not in seen for c in pool.cams[candidates]])
-        at = int(np.where(barred, -np.inf, score).argmax())
-        picks.take(candidates[at])
-        seen.add(pool.cams[candidates[at]])
-        covered = np.maximum(covered, gain_of[at])
-    return picks.fill(pool.drawn(f"{seed}:fill"))
-
-
-def _clusters(x: np.ndarray, k: int, seed: int, rounds: int = 25) -> tuple[np.ndarray, np.ndarray]:
-    """Lloyd's algorithm from a farthest-point start."""
-    rng = np.random.default_rng(seed)
-    centres = [x[rng.integers(len(x))]]
-    while len(centres) < k:
-        d = np.min([((x - c) ** 2).sum(1) for c in centres], axis=0)
-        centres.append(x[int(d.argmax())])
-    c = np.array(centres)
-    label = np.zeros(len(x), int)
-    for _ in range(rounds):
-        label = ((x[:, None, :] - c[None]) ** 2).sum(2).argmin(1)
-        moved = np.array([x[label == j].mean(0) if (label == j).any() else c[j] for j in range(k)])
-        if np.allclose(moved, c):
+        return len(self.rows) >= min(self.k, self.size)
+
+    @property
+    def taken(self) -> list[int]:
+        return [r.image_idx for r in self.rows]
+
+    def bars(self, row: Row) -> bool:
+        """Whether a chosen row rules it out as a probable copy of a person."""
+        if row.image_idx in self.taken or any(r.partner == row.image_idx for r in self.rows):
+            return True
+        return bool(self.rows) and int(micro(row.feat[None], np.stack([r.feat for r in self.rows])).max()) > self.tau
+
+    def take(self, row: Row) -> None:
+        self.rows.append(row)
+        if self.evaluated is not None:
+            new = np.clip(micro(row.feat[None], self.evaluated)[0], 0, None)
+            self.covered = new if self.covered is None else np.maximum(self.covered, new)
+
+
+@dataclass
+class Known:
+    """The part of a state that tasks need to answer."""
+
+    taken: np.ndarray
+    partners: np.ndarray
+    feats: np.ndarray | None
+    cameras: np.ndarray
+    tau: int
+    covered: np.ndarray | None
+
+    @staticmethod
+    def of(state: State, ask: Ask) -> Known:
+        feats = np.stack([r.feat for r in state.rows]) if state.rows else None
+        number = lambda values: np.array(list(values), np.int64)
+        covered = state.covered if ask.order == "cover" else None
+        return Known(number(state.taken), number(r.partner for r in state.rows if r.partner is not None), feats, number(r.camid for r in state.rows), state.tau, covered)
+
+
+def answer(rows: pd.DataFrame, x: np.ndarray, known: Known, ask: Ask, evaluated: np.ndarray | None) -> pd.DataFrame:
+    """The first rows of these that the rule asks for, with ``num``, ``text`` and ``kind``."""
+    idx = rows["image_idx"].to_numpy()
+    out = np.isin(idx, known.taken)
+    sims = None if known.feats is None else micro(x, known.feats)
+    if ask.skip == "barred" and sims is not None:
+        out |= np.isin(idx, known.partners) | (sims.max(1) > known.tau)
+    if ask.cluster:
+        out |= rows[ask.cluster[0]].to_numpy() != ask.cluster[1]
+    num, kind = np.zeros(len(idx)), np.zeros(len(idx), int)
+    if ask.order == "column" and ask.num:
+        num = rows[ask.num].to_numpy(float)
+    elif ask.order == "farthest":
+        num = sims.max(1).astype(float)
+    elif ask.order == "alike":
+        num = -sims[:, -1].astype(float)
+        out |= sims[:, -1] > known.tau
+    elif ask.order == "cover":
+        out |= ~rows["_candidate"].to_numpy(bool)
+        at = np.flatnonzero(~out)
+        gains = np.clip(micro(x[at], evaluated), 0, None)
+        num[at] = -(np.maximum(gains - known.covered, 0) if known.covered is not None else gains).sum(1)
+    if ask.kinds:
+        kind = np.isin(rows["camid"].to_numpy(), known.cameras).astype(int)
+    left = rows[~out].assign(num=num[~out], text=rows[ask.text][~out] if ask.text else "", kind=kind[~out])
+    return left.sort_values(["kind", "num", "text", "image_idx"]).groupby("kind").head(ask.n)[["image_idx", "camid", "_partner", "feat", "num", "text", "kind"]]
+
+
+#: A rule asks and is sent rows; it ends when its state is as it wants it.
+Rule = Callable[[State], Generator[Ask, list[Row], None]]
+
+
+def _offer(s: State, num: str | None = None, text: str | None = "_draw") -> Generator[Ask, list[Row], None]:
+    """Takes from an order what nothing chosen rules out, until full."""
+    while not s.full:
+        rows = yield Ask("column", LOOK, num, text)
+        for row in rows:
+            if not s.full and not s.bars(row):
+                s.take(row)
+        if len(rows) < LOOK:
+            return
+
+
+def _fill(s: State, num: str | None = None, text: str | None = "_draw") -> Generator[Ask, list[Row], None]:
+    """What the budget still lacks, by an order, ruled out or not."""
+    rows = None
+    while not s.full and rows != []:
+        rows = yield Ask("column", s.k - len(s.rows), num, text, skip="taken")
+        for row in rows:
+            s.take(row)
+
+
+def _dedup(s: State) -> Generator[Ask, list[Row], None]:
+    yield from _offer(s)
+    yield from _fill(s)
+
+
+def _pairable(s: State) -> Generator[Ask, list[Row], None]:
+    yield from _offer(s, "_pair")
+    yield from _fill(s, "_pair")
+
+
+def _camera_balanced(s: State) -> Generator[Ask, list[Row], None]:
+    if not s.has_cameras:
+        return (yield from _dedup(s))
+    yield from _offer(s, "_nth", "_turn")
+    yield from _fill(s, "_nth", "_turn")
+
+
+def _kcenter(s: State) -> Generator[Ask, list[Row], None]:
+    rows = None
+    while not s.full and rows != []:
+        rows = yield Ask("farthest", skip="taken") if s.rows else Ask("column", text="_draw")
+        for row in rows:
+            s.take(row)
+
+
+def _hard_negative(s: State) -> Generator[Ask, list[Row], None]:
+    """Drawn rows, each followed by the row most like it that is probably someone else."""
+    while not s.full:
+        if not (anchor := (yield Ask("column", text="_draw"))):
             break
-        c = moved
-    return label, c
+        s.take(anchor[0])
+        if not s.full:
+            for row in (yield Ask("alike")):
+                s.take(row)
+    yield from _fill(s, text="_fill")
+
+
+def _facility(bonus: float) -> Rule:
+    """Greedy cover of the evaluated rows. The best candidate of a camera already seen competes with the best of a new one, whose gain,
+    as a share of the greater of the two, is raised by the bonus."""
+
+    def rule(s: State) -> Generator[Ask, list[Row], None]:
+        while not s.full:
+            best = yield Ask("cover", kinds=bool(bonus) and s.has_cameras)
+            if not best:
+                break
+            most = max(1.0, *(-r.num for r in best))
+            s.take(min(best, key=lambda r: (r.num / most - (0 if r.kind else bonus), r.image_idx)))
+        yield from _fill(s, text="_fill")
 
+    return rule
 
-def _typical(pool: Pool, k: int, seed: int) -> list[int]:
-    picks = Picks(pool, k)
-    label, _ = _clusters(pool.x, picks.k, seed) if pool.n else (np.zeros(0, int), None)
-    dense = sorted(range(pool.n), key=lambda i: (-pool.typical[i], i))
-    for c in range(picks.k):
-        if (first := next((i for i in dense if label[i] == c and not picks.barred[i]), None)) is not None:
-            picks.take(first)
-    return picks.fill(dense)
 
+def _typical(s: State) -> Generator[Ask, list[Row], None]:
+    """The densest row of each cluster, and then the densest of all."""
+    for c in range(min(s.k, s.size)):
+        for row in (yield Ask("column", num="_sparse", cluster=("_cluster", c))):
+            s.take(row)
+    yield from _fill(s, "_sparse", None)
 
-def _style_cover(pool: Pool, k: int, seed: int) -> list[int]:
-    picks, style = Picks(pool, k), pool.style
-    if pool.n:
-        label, centre = _clusters(style, picks.k, seed)
-        gap = ((style - centre[label]) ** 2).sum(1)
-        for c in range(picks.k):
-            if (first := next((i for i in np.argsort(gap, kind="stable") if label[i] == c and not picks.barred[i]), None)) is not None:
-                picks.take(first)
-    return picks.fill(pool.drawn(seed))
 
+def _style_cover(s: State) -> Generator[Ask, list[Row], None]:
+    """The row nearest to the centre of each cluster of styles."""
+    for c in range(min(s.k, s.size)):
+        for row in (yield Ask("column", num="_look_gap", cluster=("_look", c))):
+            s.take(row)
+    yield from _fill(s)
 
-#: Selectors by name: rows of a pool for a budget and a seed.
-SELECTORS: dict[str, Callable[[Pool, int, int], list[int]]] = {
+
+#: Selectors by name.
+SELECTORS: dict[str, Rule] = {
     "dedup": _dedup,
     "pairable": _pairable,
     "typical": _typical,
@@ -242,9 +262,12 @@ SELECTORS: dict[str, Callable[[Pool, int, int], list[int]]] = {
     "camera_balanced": _camera_balanced,
     "style_cover": _style_cover,
     "hard_negative": _hard_negative,
-    "facility": _facility,
-    "facility_camera": lambda pool, k, seed: _facility(pool, k, seed, bonus=0.5),
+    "facility": _facility(0.0),
+    "facility_camera": _facility(CAMERA_BONUS),
 }
+#: Those that rule out probable copies, and so need the pool's statistics.
+_BARRING = set(SELECTORS) - {"kcenter"}
+_COVERING = {"facility", "facility_camera"}
 
 
 def check_names(names: Iterable[str]) -> None:
@@ -252,11 +275,7 @@ def check_names(names: Iterable[str]) -> None:
         raise ValueError(f"unknown selectors {', '.join(unknown)}; there are {', '.join(sorted(SELECTORS))}")
 
 
-def select(pools: DataFrame, by: list[str], names: Iterable[str], k: int, seed: int, has_cameras: bool = True) -> DataFrame:
-    """(by.., selector, pos, image_idx): k images of each pool for each named selector. ``pools`` must not show identities.
-
-    style_cover clusters the column ``style``, the vector of an image's appearance statistics, and needs it.
-    """
+def _checked(pools: DataFrame, names: Iterable[str]) -> list[str]:
     names = list(names)
     check_names(names)
     if "style_cover" in names and "style" not in pools.columns:
@@ -265,20 +284,199 @@ def select(pools: DataFrame, by: list[str], names: Iterable[str], k: int, seed:
         raise ValueError("selectors work without labels; drop pid from the pool")
     if "feat" not in pools.columns:
         raise ValueError("selectors need the column feat")
+    return names
+
+
+def _first_by(rows: DataFrame, by: list[str], key: str, n: int) -> DataFrame:
+    place = F.row_number().over(W.Window.partitionBy(*by).orderBy(draw_key(key, "image_idx"), "image_idx"))
+    return rows.withColumn("_place", place).where(F.col("_place") <= n).drop("_place")
+
+
+def _table(pools: DataFrame, by: list[str], names: list[str], k: int, seed: int, has_cameras: bool, most: int, n_cand: int) -> DataFrame:
+    """The pools' rows with the columns that the rules order by."""
+    rows = pools.select(*by, "image_idx", "camid", "feat", *(["style"] if "style_cover" in names else []))
+    drawn = rows.withColumn("_fill", draw_key(f"{seed}:fill", "image_idx"))
+    key = [*by, "image_idx"]
+    if "camera_balanced" in names:
+        camera = F.concat_ws("/", *(F.col(c).cast("string") for c in by), F.col("camid").cast("string"))
+        drawn = _turns(drawn.withColumn("_camera", camera), "_camera", seed).drop("_camera")
+    else:
+        drawn = drawn.withColumn("_draw", draw_key(seed, "image_idx"))
+    if _BARRING & set(names):
+        known = written(pool_statistics(rows, has_cameras, tuple(by)), "pool-statistics")
+        partner = mutual_partners(known, tuple(by)).withColumnRenamed("partner_idx", "_partner")
+        shown = known.select(*key, (-F.col("typicality")).alias("_sparse"), (-F.col("pairability")).alias("_pair"))
+        drawn = drawn.join(shown, key, "left").join(partner, key, "left")
+        drawn = drawn.fillna({"_pair": math.inf, "_sparse": -1.0})  # a pool of one row has no neighbours
+    else:
+        drawn = drawn.withColumn("_partner", F.lit(None).cast("long"))
+    if "typical" in names:
+        found = kmeans(rows.select(*key, F.col("feat").alias("x")), by, k, seed)
+        drawn = drawn.join(found.select(*key, F.col("label").alias("_cluster")), key)
+    if "style_cover" in names:
+        found = kmeans(rows.select(*key, F.col("style").alias("x")), by, k, seed)
+        drawn = drawn.join(found.select(*key, F.col("label").alias("_look"), F.round("gap", 9).alias("_look_gap")), key)
+    if _COVERING & set(names) and most > n_cand:
+        drawn = drawn.join(_first_by(rows.select(*key), by, f"{seed}:cand", n_cand).withColumn("_candidate", F.lit(True)), key, "left").fillna({"_candidate": False})
+    else:
+        drawn = drawn.withColumn("_candidate", F.lit(True))
+    return drawn.drop("style")
+
+
+def select(
+    pools: DataFrame, by: list[str], names: Iterable[str], k: int, seed: int, has_cameras: bool = True, n_eval: int = EVALUATED, n_cand: int = CANDIDATES
+) -> DataFrame:
+    """(by.., selector, pos, image_idx): k images of each pool for each named selector. ``pools`` must not show identities.
+
+    style_cover clusters the column ``style``, the vector of an image's appearance statistics, and needs it. The rounds run when
+    this is called; the result are pools x selectors x k rows.
+    """
+    spark = pools.sparkSession
+    names = _checked(pools, names)
+    sizes = {tuple(r[: len(by)]): r["n"] for r in pools.groupBy(*by).agg(F.count("*").alias("n")).collect()}  # a row for each pool
+    kinds = dict(pools.dtypes)
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in by), "selector string", "pos long", "image_idx long"])
+    keys, out = sorted(sizes, key=str), []
+    for at in range(0, len(keys), LOT):
+        some = keys[at : at + LOT]
+        part = pools if len(keys) <= LOT else pools.join(F.broadcast(spark.createDataFrame(some, ", ".join(f"{c} {kinds[c]}" for c in by))), by)
+        table = written(_table(part, by, names, k, seed, has_cameras, max(sizes[p] for p in some), n_cand), "pool")
+        states = _begun(table, by, names, k, seed, has_cameras, {p: sizes[p] for p in some}, n_eval)
+        _go_on(table, by, states)
+        out += [(*pool, name, n, row.image_idx) for (pool, name), s in states.items() for n, row in enumerate(s.rows, 1)]
+    return spark.createDataFrame(out, schema)
+
+
+def _begun(table: DataFrame, by: list[str], names: list[str], k: int, seed: int, has_cameras: bool, sizes: dict[tuple, int], n_eval: int) -> dict[tuple, State]:
+    at = len(by)
+    taus = {p: 0 for p in sizes}
+    if _BARRING & set(names):
+        taus |= {tuple(r[:at]): _units(r["dup_tau"]) for r in dup_threshold(table, by=tuple(by), digits=15).collect()}  # a row for each pool
+    evaluated: dict[tuple, list] = {p: [] for p in sizes}
+    if _COVERING & set(names):
+        for r in _first_by(table.select(*by, "image_idx", "feat"), by, f"{seed}:eval", n_eval).orderBy("image_idx").collect():  # n_eval rows a pool
+            evaluated[tuple(r[:at])].append(r["feat"])
+    return {(p, name): State(k, n, taus[p], has_cameras, np.array(evaluated[p]) if name in _COVERING else None) for p, n in sizes.items() for name in names}
+
+
+def _units(tau: float) -> int:
+    """A threshold that similarities in whole units can be held against."""
+    return math.floor(tau * UNIT + 1e-6)
+
+
+def _go_on(table: DataFrame, by: list[str], states: dict[tuple, State]) -> None:
+    """Asks and answers in rounds until every rule has ended."""
+    spark = table.sparkSession
+    evaluated = spark.sparkContext.broadcast({p: s.evaluated for (p, _), s in states.items() if s.evaluated is not None})
+    rules = {key: SELECTORS[key[1]](s) for key, s in states.items()}
+    asks = {key: ask for key, rule in rules.items() if (ask := next(rule, None))}
+    kinds = dict(table.dtypes)
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in by), "selector string, image_idx long, camid long, _partner long, feat array<double>, num double, text string, kind long"])
+    while asks:
+        sent: dict[tuple, list] = {}
+        for (pool, name), ask in asks.items():
+            sent.setdefault(pool, []).append((name, Known.of(states[pool, name], ask), ask))
+
+        def run(frames: Iterator[pd.DataFrame], sent: dict = sent) -> Iterator[pd.DataFrame]:
+            for f in frames:
+                for key, rows in f.groupby(by, sort=False, dropna=False):
+                    x = matrix(rows["feat"])
+                    for name, known, ask in sent.get(key, ()):
+                        found = answer(rows, x, known, ask, evaluated.value.get(key))
+                        if len(found):
+                            yield found.assign(selector=name, **{c: rows[c].iloc[0] for c in by})[[*by, "selector", "image_idx", "camid", "_partner", "feat", "num", "text", "kind"]]
+
+        first = W.Window.partitionBy(*by, "selector", "kind").orderBy("num", "text", "image_idx")
+        best = table.mapInPandas(run, schema).withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= max(a.n for a in asks.values()))
+        rows: dict[tuple, list] = {key: [] for key in asks}
+        for r in best.orderBy("_n").collect():  # LOOK rows at most for each pool and selector
+            rows[tuple(r[: len(by)]), r["selector"]].append(Row(r["image_idx"], r["camid"], r["_partner"], np.array(r["feat"]), r["num"], r["kind"]))
+        asks = _next(rules, asks, rows)
+    evaluated.unpersist()
+
+
+def _next(rules: dict, asks: dict[tuple, Ask], rows: dict[tuple, list[Row]]) -> dict[tuple, Ask]:
+    following = {}
+    for key, ask in asks.items():
+        try:
+            following[key] = rules[key].send([r for n, r in enumerate(rows[key]) if n < ask.n or ask.kinds])
+        except StopIteration:
+            pass
+    return following
+
+
+def local_table(frame: pd.DataFrame, has_cameras: bool, seed: int, block: int = 1024) -> tuple[pd.DataFrame, int]:
+    """The same columns for a pool of bounded size, but clusters, and its threshold; similarities are computed by blocks of rows."""
+    frame = frame.sort_values("image_idx", ignore_index=True)
+    x, n = matrix(frame["feat"]), len(frame)
+    cams = frame["camid"].to_numpy()
+    pair, sparse, best, counts = np.full(n, np.inf), np.full(n, -1.0), np.full(n, -1), {}
+    for at in range(0, n, block):
+        rows = np.arange(at, min(at + block, n))
+        sim = micro(x[rows], x)
+        for value, times in zip(*np.unique(sim[rows[:, None] < np.arange(n)[None]], return_counts=True), strict=True):
+            counts[int(value)] = counts.get(int(value), 0) + int(times)
+        sim = sim / UNIT
+        sim[np.arange(len(rows)), rows] = -np.inf
+        near = -np.sort(-sim, axis=1)[:, : min(NEIGHBOURS, n - 1)]
+        if near.shape[1]:
+            sparse[rows] = -np.round(1 / np.maximum(1 - near, LEAST_DISTANCE).mean(1), DIGITS)
+        if has_cameras:
+            sim[cams[rows, None] == cams[None]] = -np.inf
+        most = sim.max(1, initial=-np.inf)
+        found = np.isfinite(most)
+        best[rows[found]], pair[rows[found]] = sim.argmax(1)[found], -most[found]
+    mutual = (best >= 0) & (best[best] == np.arange(n))
+    idx = frame["image_idx"].to_numpy()
+
+    def md5(*of: object) -> str:
+        return hashlib.md5(":".join(map(str, of)).encode(), usedforsecurity=False).hexdigest()
+
+    out = frame.assign(_draw=[md5(seed, i) for i in idx], _fill=[md5(f"{seed}:fill", i) for i in idx], _turn=[md5(seed, "cam", c) for c in cams], _sparse=sparse, _pair=pair, _candidate=True)
+    out["_partner"] = pd.array([int(idx[b]) if m else None for b, m in zip(best, mutual, strict=True)], "Int64")
+    out["_nth"] = out.sort_values(["_draw", "image_idx"]).groupby("camid").cumcount() + 1
+    return out, _units(_quantile(counts, DUP_QUANTILE)) if counts else UNIT
+
+
+def _quantile(counts: dict[int, int], q: float) -> float:
+    """The interpolated quantile of values in units that occur so often."""
+    values = np.array(sorted(counts))
+    upto = np.cumsum([counts[int(v)] for v in values])
+    at = q * (upto[-1] - 1)
+    low, high = (values[np.searchsorted(upto, p, side="right")] for p in (math.floor(at), math.ceil(at)))
+    return float(low + (high - low) * (at - math.floor(at))) / UNIT
+
+
+def choose(frame: pd.DataFrame, names: Iterable[str], k: int, seed: int, has_cameras: bool = True) -> dict[str, list[int]]:
+    """Image numbers by selector from one pool of bounded size, all of whose rows are evaluated and may be picked; no clusters."""
+    rows, tau = local_table(frame, has_cameras, seed)
+    x, out = matrix(rows["feat"]), {}
+    for name in names:
+        s = State(k, len(rows), tau, has_cameras, x if name in _COVERING else None)
+        rule = SELECTORS[name](s)
+        ask = next(rule, None)
+        while ask:
+            found = answer(rows, x, Known.of(s, ask), ask, s.evaluated)
+            given = [Row(int(r.image_idx), int(r.camid), None if pd.isna(r.partner) else int(r.partner), np.asarray(r.feat, float), float(r.num), int(r.kind)) for r in found.rename(columns={"_partner": "partner"}).itertuples()]
+            ask = _next({0: rule}, {0: ask}, {0: given}).get(0)
+        out[name] = s.taken
+    return out
+
+
+def select_within(pools: DataFrame, by: list[str], names: Iterable[str], k: int, seed: int, has_cameras: bool = True) -> DataFrame:
+    """select() for many pools whose size is bounded, such as training batches: each is one group. For rules that need no clusters."""
+    names = _checked(pools, names)
+    if clustered := {"typical", "style_cover"} & set(names):
+        raise ValueError(f"{', '.join(sorted(clustered))} need select()")
     kinds = dict(pools.dtypes)
     schema = ", ".join([*(f"{c} {kinds[c]}" for c in by), "selector string", "pos long", "image_idx long"])
 
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        pool, out = Pool(frame, has_cameras), []
-        for name in names:
-            rows = SELECTORS[name](pool, k, seed)
-            part = pd.DataFrame({"selector": name, "pos": np.arange(1, len(rows) + 1), "image_idx": pool.idx[rows]})
-            for c, v in zip(by, key, strict=True):
-                part[c] = v
-            out.append(part)
-        return pd.concat(out)[[*by, "selector", "pos", "image_idx"]]
-
-    return pools.select(*by, "image_idx", "camid", "feat", *(["style"] if "style_cover" in names else [])).groupBy(*by).applyInPandas(run, schema)
+        picked = choose(frame, names, k, seed, has_cameras)
+        rows = [(*key, name, n, i) for name, ids in picked.items() for n, i in enumerate(ids, 1)]
+        return pd.DataFrame(rows, columns=[*by, "selector", "pos", "image_idx"])
+
+    return pools.select(*by, "image_idx", "camid", "feat").groupBy(*by).applyInPandas(run, schema)
 
 
 def identity_means(images: DataFrame, dims: int, *by: str) -> DataFrame:

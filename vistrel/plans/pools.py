@@ -160,16 +160,44 @@ _KCENTER = f"""{_SIM.replace("WITH ", "WITH RECURSIVE ", 1)},
         JOIN gaps g ON g.i = far)
     SELECT 'embeddings' AS domain, 'kcenter' AS selector, pos, image_idx FROM pick JOIN placed USING (i)"""
 
-_SELECTOR_SQL = {name: _folded(name) for name in _OFFERED} | {"kcenter": _KCENTER}
+
+
+def _stepwise(name: str) -> str:
+    """One row after another among those not ruled out; these pools have enough of them for the budget."""
+    order = {
+        "hard_negative": "CASE WHEN pick.pos % 2 = 0 THEN draw ELSE -coalesce(u[pick.i], 0) END",
+        "facility": "-gain",
+        "facility_camera": "-gain / most - CASE WHEN list_contains(cams, camid) THEN 0 ELSE 0.5 END",
+    }[name]
+    return f"""{_SIM.replace("WITH ", "WITH RECURSIVE ", 1)}, tau AS (SELECT quantile_cont(sim, 0.99) AS tau FROM s WHERE a_idx < b_idx),
+    placed AS (SELECT *, row_number() OVER (ORDER BY image_idx) AS i, row_number() OVER (ORDER BY {_DRAW}, image_idx) AS draw FROM t),
+    mates AS (SELECT a.image_idx, a.best_idx FROM stats a JOIN stats b ON a.best_idx = b.image_idx AND b.best_idx = a.image_idx),
+    grid AS (SELECT a.i, a.image_idx, b.i AS j, CAST(round(list_dot_product(a.feat, b.feat) * 1000000) AS BIGINT) AS u, a.i = b.i OR round(list_dot_product(a.feat, b.feat), 6) > tau OR b.image_idx = best_idx AS out
+             FROM placed a JOIN placed b ON true JOIN tau ON true LEFT JOIN mates ON mates.image_idx = a.image_idx),
+    wide AS (SELECT i, list(u ORDER BY j) AS u, list(greatest(u, 0) ORDER BY j) AS g, list(j) FILTER (out) AS rules_out FROM grid GROUP BY i),
+    every AS (SELECT placed.i, image_idx, camid, draw, u, g, rules_out FROM placed JOIN wide USING (i)),
+    pick AS (
+        SELECT CAST(0 AS BIGINT) AS pos, CAST(0 AS BIGINT) AS i, CAST(-1 AS BIGINT) AS image_idx, CAST([] AS BIGINT[]) AS barred, CAST([] AS INTEGER[]) AS cams, list_transform(range(0, (SELECT count(*) FROM t)), lambda x: CAST(0 AS BIGINT)) AS cover
+        UNION ALL
+        SELECT pos, i, image_idx, barred, cams, cover FROM (
+            SELECT pick.pos + 1 AS pos, c.i, c.image_idx, list_concat(barred, rules_out) AS barred, list_append(cams, camid) AS cams, list_transform(list_zip(cover, g), lambda z: greatest(z[1], z[2])) AS cover,
+                   row_number() OVER (ORDER BY {order}, c.i) AS rn
+            FROM pick JOIN (SELECT p.pos AS at, e.*, list_sum(list_transform(list_zip(e.g, p.cover), lambda z: greatest(z[1] - z[2], 0))) AS gain, max(list_sum(list_transform(list_zip(e.g, p.cover), lambda z: greatest(z[1] - z[2], 0)))) OVER (PARTITION BY p.pos) AS most
+                            FROM pick p JOIN every e ON NOT list_contains(p.barred, e.i)) c ON c.at = pick.pos
+            WHERE pick.pos < {BUDGET}) WHERE rn = 1)
+    SELECT 'embeddings' AS domain, '{name}' AS selector, pos, image_idx FROM pick WHERE pos > 0"""
+
+
+_SELECTOR_SQL = {name: _folded(name) for name in _OFFERED} | {"kcenter": _KCENTER} | {name: _stepwise(name) for name in ("hard_negative", "facility", "facility_camera")}
 
 
 def _selector(name: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        pools = _pool(spark, sf_dir).withColumn("domain", F.lit("embeddings")).withColumn("style", F.slice("feat", 1, 8))
+        pools = _pool(spark, sf_dir).withColumn("domain", F.lit("embeddings")).withColumn("style", F.col("feat"))
         return selectors.select(pools, ["domain"], [name], BUDGET, SEED)
 
     run.__name__ = f"select_{name}"
-    run.__doc__ = f"The greedy selector {name}; those without SQL are tested by plain versions or invariants."
+    run.__doc__ = f"The greedy selector {name}; typical and style_cover cluster and are tested against a plain version."
     query(_SELECTOR_SQL.get(name))(run)
 
 
@@ -182,5 +210,5 @@ def select_in_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Identities chosen by their mean vectors within each training batch, and then the batch's others in their order."""
     batched = images(spark, sf_dir, "train").withColumn("batch", F.floor(F.col("image_idx") / 320))
     means = selectors.identity_means(batched, 64, "batch")
-    picked = selectors.select(means, ["batch"], ["kcenter", "facility"], 4, SEED, has_cameras=False)
+    picked = selectors.select_within(means, ["batch"], ["kcenter", "facility"], 4, SEED, has_cameras=False)
     return samples.with_rest(means, picked, ["batch"])
