@@ -85,6 +85,7 @@ def test_small_parts(spark, monkeypatch):
     monkeypatch.setattr(c, "DICTIONARY_ROWS", 60)
     monkeypatch.setattr(c, "LEAST_CELLS", 1 << 16)
     monkeypatch.setattr(c, "MOST_CELLS", 1 << 16)
+    monkeypatch.setattr(c, "ADDED", 0.01)
     rows = invented(2, 24)
     assert got(spark, rows, least=12) == plain(rows, least=12)
     assert got(spark, rows, top=3, least=12) == plain(rows, top=3, least=12)

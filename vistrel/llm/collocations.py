@@ -1,8 +1,8 @@
 """Phrase collocation mining: exact counts of the phrases that a sketch cannot rule out, from Aho-Corasick scans.
 
 1. Scan tasks add hashes of words, then of two to four words all of which may be frequent, to a count-min sketch of two rows. A task sends
-   its non-empty cells in packed pieces; pieces of a shard of cells are added up in two steps (saturating, as only "at least
-   the threshold" matters) and leave a bit a cell. Counts of a sketch are upper bounds, so no frequent phrase is lost.
+   its non-empty cells in packed pieces; pieces of a shard of cells are added up, in two steps where there are many (saturating, as only
+   "at least the threshold" matters), and leave a bit a cell. Counts of a sketch are upper bounds, so no frequent phrase is lost.
 2. The phrases whose own cells and those of all their parts pass are the candidates; with their words they form the dictionary.
 3. The dictionary, in shards of bounded size, is compiled into Aho-Corasick automata, one for each language. Phrases are guarded by a space
    on either side, in texts whose words stand between single spaces and whose pieces are parted by a line feed, so matches are whole
@@ -17,6 +17,7 @@ A null language is ``und``, a null text empty; repeated rows count each. Other c
 
 from __future__ import annotations
 
+import math
 import re
 import string
 import uuid
@@ -25,8 +26,8 @@ from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
@@ -39,10 +40,10 @@ from vistrel.llm.common import bounded_batches, materialise
 LEAST, MOST_WORDS, INSIDE = 30, 4, 80
 #: Cells of a row of the sketch: at least and at most, and occurrences for each; cells that are added up together.
 LEAST_CELLS, MOST_CELLS, PER_CELL, SHARD_CELLS = 1 << 18, 1 << 26, 4, 1 << 16
-#: Counters stop here. Parts that a shard's pieces are first added up in, and hashes that a task collects before it sends them.
-FULL, SALTS, HELD = 255, 8, 4_000_000
-#: Bytes and phrases of a shard of the dictionary.
-DICTIONARY_BYTES, DICTIONARY_ROWS = 4 << 20, 150_000
+#: Counters stop here. Occurrences a cell that are added up in one place (beyond, in two steps), and hashes that a task collects before it sends them.
+FULL, ADDED, HELD = 255, 64, 4_000_000
+#: Bytes and phrases of a shard of the dictionary; 400 000 phrases take a task some 150 MB.
+DICTIONARY_BYTES, DICTIONARY_ROWS = 12 << 20, 400_000
 #: Bytes of text that are worked on together, and bytes of a word that its hash looks at.
 CHUNK, HASHED = 1 << 20, 1024
 
@@ -178,11 +179,11 @@ _PIECES = "row int, shard int, salt int, piece binary, lang string, n long"
 _PIECES_ARROW = pa.schema([("row", pa.int32()), ("shard", pa.int32()), ("salt", pa.int32()), ("piece", pa.binary()), ("lang", pa.string()), ("n", pa.int64())])
 
 
-def _sketch_task(cells: int, sizes: tuple[int, ...], sketches: list[Broadcast]):
+def _sketch_task(cells: int, salts: int, sizes: tuple[int, ...], sketches: list[Broadcast]):
     """Rows (lang, text) -> pieces of the sketch of phrases of ``sizes`` words, and for single words the number of all by language."""
 
     def send(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        salt = TaskContext.get().partitionId() % SALTS
+        salt = TaskContext.get().partitionId() % salts
         hashes = np.concatenate(held) if held else np.zeros(0, np.uint64)
         for row, at in enumerate(Sketch.places(hashes, cells)):
             at, n = np.unique(at, return_counts=True)
@@ -206,22 +207,26 @@ def _sketch_task(cells: int, sizes: tuple[int, ...], sketches: list[Broadcast]):
                 yield from send(held)
                 held, size = [], 0
         yield from send(held)
-        nulls = pa.nulls(len(totals))
-        yield pa.RecordBatch.from_arrays([*(nulls.cast(pa.int32()),) * 3, nulls.cast(pa.binary()), pa.array(list(totals), pa.string()), pa.array(list(totals.values()), pa.int64())], schema=_PIECES_ARROW)
+        numbers, none = pa.array([-1] * len(totals), pa.int32()), pa.nulls(len(totals)).cast(pa.binary())
+        shards = pa.array([zlib.crc32(lang.encode("utf-8", "surrogatepass")) % 1024 for lang in totals], pa.int32())
+        yield pa.RecordBatch.from_arrays([numbers, shards, pa.array([0] * len(totals), pa.int32()), none, pa.array(list(totals), pa.string()), pa.array(list(totals.values()), pa.int64())], schema=_PIECES_ARROW)
 
     return run
 
 
 def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pieces in the order of their keys -> one piece for each key."""
+    """Pieces in the order of their keys (row, shard, salt) -> one piece for each key; rows of totals pass."""
     key, counts = None, None
 
     def piece() -> pa.RecordBatch:
         at = np.flatnonzero(counts)
-        return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([_packed(at, counts[at])], pa.binary())], names=["row", "shard", "piece"])
+        return pa.RecordBatch.from_pylist([{"row": key[0], "shard": key[1], "salt": key[2], "piece": _packed(at, counts[at])}], schema=_PIECES_ARROW)
 
     for b in batches:
+        yield pa.RecordBatch.from_arrays(b.filter(pc.is_valid(b.column(4))).columns, schema=_PIECES_ARROW)
         for *k, packed in zip(*(b.column(n).to_pylist() for n in range(4)), strict=True):
+            if packed is None:
+                continue
             if k != key:
                 if key is not None:
                     yield piece()
@@ -233,30 +238,38 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _bits(least: int):
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        counts = np.zeros(SHARD_CELLS, np.uint32)
-        for packed in frame["piece"]:
-            at, n = _unpacked(packed)
-            counts[at] += n
-        bits = np.packbits(counts >= min(least, FULL), bitorder="little")
-        return pd.DataFrame({"row": frame["row"].iloc[:1], "shard": frame["shard"].iloc[:1], "bits": [bits.tobytes()]})
+    """Pieces -> a bit for each cell of theirs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bits = []
+            for packed in b.column(2).to_pylist():
+                counts = np.zeros(SHARD_CELLS, np.uint8)
+                at, n = _unpacked(packed)
+                counts[at] = n
+                bits.append(np.packbits(counts >= min(least, FULL), bitorder="little").tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(bits, pa.binary())], names=["row", "shard", "bits"])
 
     return run
 
 
 def _sketch(texts: DataFrame, expected: int, sizes: tuple[int, ...], sketches: list[Broadcast], least: int) -> tuple[Broadcast, DataFrame]:
-    """The sketch of the phrases of ``sizes`` words, for every task, and (lang, n) of all words where single ones are among them."""
+    """The sketch of the phrases of ``sizes`` words, of some ``expected`` words in all, for every task, and (lang, n) of all words where single ones are among them."""
     cells = LEAST_CELLS
     while cells < MOST_CELLS and cells * PER_CELL < expected:
         cells *= 2
-    sent = materialise(texts.mapInArrow(_sketch_task(cells, sizes, sketches), _PIECES), "phrase-pieces")
-    pieces = sent.where("piece is not null").select("row", "shard", "salt", "piece")
-    parts = pieces.repartition("row", "shard", "salt").sortWithinPartitions("row", "shard", "salt").mapInArrow(_added, "row int, shard int, piece binary")
-    found = parts.groupBy("row", "shard").applyInPandas(_bits(least), "row int, shard int, bits binary").toArrow()  # a bit a cell: at most 16 MB
+    salts = max(1, math.ceil(expected * len(sizes) / (cells * ADDED)))
+    keys = ["row", "shard", "salt"]
+    sent = texts.mapInArrow(_sketch_task(cells, salts, sizes, sketches), _PIECES)
+    added = materialise(sent.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_added, _PIECES), "phrase-pieces")
+    pieces = added.where("row >= 0")
+    if salts > 1:
+        pieces = pieces.withColumn("salt", F.lit(0)).repartition("row", "shard").sortWithinPartitions("row", "shard").mapInArrow(_added, _PIECES)
+    found = pieces.select("row", "shard", "piece").mapInArrow(_bits(least), "row int, shard int, bits binary").toArrow()  # a bit a cell: at most 16 MB
     bits = [np.zeros(cells // 8, np.uint8) for _ in range(2)]
     for row, shard, packed in zip(*(c.to_pylist() for c in found.columns), strict=True):
         bits[row][shard * SHARD_CELLS // 8 : (shard + 1) * SHARD_CELLS // 8] = np.frombuffer(packed, np.uint8)
-    totals = sent.where("lang is not null").groupBy("lang").agg(F.sum("n").alias("n"))
+    totals = added.where("row < 0").groupBy("lang").agg(F.sum("n").alias("n"))
     return texts.sparkSession.sparkContext.broadcast(Sketch(cells, bits)), totals
 
 
