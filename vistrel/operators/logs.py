@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from vistrel.operators.identity import by_thousands
 from vistrel.operators.runs import r
 
 
@@ -60,7 +61,18 @@ def end_means(log: DataFrame, n: int = 20) -> DataFrame:
 
 
 def running_ema(log: DataFrame, keep: float = 0.99) -> DataFrame:
-    """Last value of the exponential average; the first point starts it. The steps of a run are folded in order."""
-    ordered = log.groupBy("run").agg(F.transform(F.array_sort(F.collect_list(F.struct("step", "loss"))), lambda p: p["loss"]).alias("v"))
-    folded = F.aggregate(F.slice("v", 2, F.greatest(F.size("v") - 1, F.lit(1))), F.get("v", F.lit(0)), lambda s, x: s * keep + x * (1 - keep))
-    return ordered.select("run", r(F.when(F.size("v") > 1, folded).otherwise(F.get("v", F.lit(0)))).alias("ema"))
+    """Last value of the exponential average; the first point starts it.
+
+    A stretch of points maps the average before it to keep ** points times it, plus a sum of its own. Such maps follow each other by
+    products and sums, so a run is summed by parts of its steps, each weighed by the number of points after it.
+    """
+    placed = log.select("run", "step", "loss", by_thousands("step").alias("_part"))
+    own = W.Window.partitionBy("run", "_part")
+    back = F.row_number().over(own.orderBy(F.desc("step"), F.desc("loss"))) - 1
+    parts = placed.withColumn("_back", back).groupBy("run", "_part").agg(
+        F.count("*").alias("_n"), F.sum(F.col("loss") * (1 - keep) * F.pow(F.lit(keep), F.col("_back"))).alias("_sum"), F.min(F.struct("step", "loss")).alias("_first")
+    )
+    later = W.Window.partitionBy("run").orderBy(F.desc("_part")).rowsBetween(W.Window.unboundedPreceding, -1)  # a row for each part
+    weighed = parts.withColumn("_after", F.coalesce(F.sum("_n").over(later), F.lit(0)))
+    folded = weighed.groupBy("run").agg(F.sum(F.col("_sum") * F.pow(F.lit(keep), F.col("_after"))).alias("s"), F.sum("_n").alias("n"), F.min("_first").alias("first"))
+    return folded.select("run", r(F.col("s") + F.pow(F.lit(keep), F.col("n")) * F.col("first.loss")).alias("ema"))

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from vistrel.operators.ranks import value_ranks
+from vistrel.session import written
+
 DIGITS = 6
 
 
@@ -129,25 +132,32 @@ def pearson(runs: DataFrame, x: str, y: str, *by: str) -> DataFrame:
     return sums.select(*by, r(F.when(F.col("varied"), F.col("c") / F.when(F.col("varied"), F.col("sx") * F.col("sy")))).alias("r"), "n")
 
 
-def average_rank(column: str, *by: str) -> Column:
-    """Rank from 1 with ties at their mean rank."""
-    order = W.Window.partitionBy(*by).orderBy(column)
-    return F.rank().over(order) + (F.count("*").over(W.Window.partitionBy(*by, column)) - 1) / 2
-
-
 def spearman(runs: DataFrame, x: str, y: str, within: tuple[str, ...], *by: str, least: int = 5) -> DataFrame:
     """Rank correlation of the rows that are finite in both columns, after each column is centred within groups over its own finite
     values; null for three such rows or fewer. Groups of under ``least`` rows are left out; n counts all rows of a group."""
     known = runs.select(*by, *within, *(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(n) for c, n in ((x, "x"), (y, "y"))))
-    group = W.Window.partitionBy(*by, *within)
-    centred = known.select(*by, *(r(F.col(c) - F.avg(c).over(group), 9).alias(c) for c in ("x", "y")))
-    both = centred.where("x is not null and y is not null")
-    ranked = both.select(*by, average_rank("x", *by).alias("rx"), average_rank("y", *by).alias("ry"))
-    rho = pearson(ranked, "rx", "ry", *by).select(*by, F.when(F.col("n") > 3, F.col("r")).alias("rho"))
+    means = known.groupBy(*by, *within).agg(*(F.avg(c).alias(f"_{c}") for c in ("x", "y")))
+    centred = known.join(means, [*by, *within]).select(*by, *(r(F.col(c) - F.col(f"_{c}"), 9).alias(c) for c in ("x", "y")))
+    both = written(centred.where("x is not null and y is not null").groupBy(*by, "x", "y").agg(F.count("*").alias("n")), "centred")
+
+    def ranks(c: str) -> DataFrame:
+        return value_ranks(both.groupBy(*by, c).agg(F.sum("n").alias("_n")), list(by), c, "_n").select(*by, c, F.col("rank").alias(f"r{c}"))
+
+    ranked = both.join(ranks("x"), [*by, "x"]).join(ranks("y"), [*by, "y"])
+    rho = weighted_pearson(ranked, "rx", "ry", "n", *by).select(*by, F.when(F.col("n") > 3, F.col("r")).alias("rho"))
     counts = runs.groupBy(*by).agg(F.count("*").alias("n")).where(F.col("n") >= least)
     return counts.join(rho, list(by), "left").select(*by, "rho", "n")
 
 
+def weighted_pearson(rows: DataFrame, x: str, y: str, n: str, *by: str) -> DataFrame:
+    """Correlation in each group of rows that stand for ``n`` each; null where a column is constant. Sums are taken around the means."""
+    means = rows.groupBy(*by).agg(*((F.sum(F.col(c) * F.col(n)) / F.sum(n)).alias(f"_{c}") for c in (x, y)))
+    a, b = F.col(x) - F.col(f"_{x}"), F.col(y) - F.col(f"_{y}")
+    sums = rows.join(means, list(by)).groupBy(*by).agg(F.sum(a * b * F.col(n)).alias("c"), F.sum(a * a * F.col(n)).alias("sx"), F.sum(b * b * F.col(n)).alias("sy"), F.sum(n).alias("n"))
+    varied = (F.col("sx") > 0) & (F.col("sy") > 0)
+    return sums.select(*by, r(F.when(varied, F.col("c") / F.when(varied, F.sqrt("sx") * F.sqrt("sy")))).alias("r"), "n")
+
+
 def rate_selection(runs: DataFrame, base: str = "zero") -> DataFrame:
     """Per rate (seed column) and k: mean, mean gain over the domain's base condition, sample standard deviation."""
     ref = runs.where(F.col("condition") == base).groupBy("domain").agg(F.avg("mAP").alias("ref"))
