@@ -5,8 +5,9 @@ import json
 
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
-from vistrel.sources import readers, sinks
+from vistrel.sources import readers, sinks, versions
 
 
 def test_path_grammars(spark):
@@ -66,9 +67,6 @@ def test_sinks(spark, tmp_path):
     sinks.to_csv(sinks.union_rows(a, b), str(tmp_path / "c"))
     back = spark.read.option("header", True).csv(str(tmp_path / "c"))
     assert {tuple(r) for r in back.collect()} == {("1", "3 4", None), ("2", None, "0.5")}
-    assert sinks.write_once(a, str(tmp_path / "w")) and not sinks.write_once(a, str(tmp_path / "w"))
-    with pytest.raises(ValueError, match="other rows"):
-        sinks.write_once(a.union(a.selectExpr("k + 1", "ids")), str(tmp_path / "w"))
     old = spark.createDataFrame([("A", "1"), ("B", "2")], "name string, value string")
     new = spark.createDataFrame([("B", "3")], "name string, value string")
     assert {tuple(r) for r in sinks.upsert(old, new, "name").collect()} == {("A", "1"), ("B", "3")}
@@ -140,3 +138,50 @@ def test_option_lists(spark):
 
     row = spark.createDataFrame([("1, 2,,3",)], "o string").select(readers.option_list(F.col("o"), "int").alias("i"), readers.option_list(F.col("o"), "double").alias("d")).first()
     assert row["i"] == [1, 2, 3] and row["d"] == [1.0, 2.0, 3.0]
+
+
+def together(*jobs):
+    """What jobs return or raise that begin at the same time."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    def outcome(job):
+        try:
+            return job()
+        except Exception as e:  # to be looked at by the test
+            return e
+
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        return list(pool.map(outcome, jobs))
+
+
+def test_created_once(spark, tmp_path):
+    """Of writers of equal rows one writes and the others find theirs there; other rows are an error, also in the same moment."""
+    path = str(tmp_path / "t")
+    rows = spark.range(50).selectExpr("id", "cast(id % 7 as double) AS v", "array(id, null) AS a", "if(id = 3, null, 'x') AS s")
+    assert sorted(together(*[lambda: versions.create_once(rows, path)] * 4)) == [False, False, False, True]
+    assert versions.create_once(rows.repartition(5).orderBy("v"), path) is False
+    for other in (rows.where("id > 0"), rows.union(rows.limit(1)), rows.withColumn("v", F.col("v") + 1), rows.withColumnRenamed("v", "w"), rows.withColumn("s", F.lit("x"))):
+        with pytest.raises(ValueError, match="other rows"):
+            versions.create_once(other, path)
+    assert versions.read_table(spark, path).exceptAll(rows).isEmpty()
+    mixed = together(*[lambda k=k: versions.create_once(spark.range(k), str(tmp_path / "u")) for k in (3, 4)])
+    assert sum(m is True for m in mixed) == 1 and sum(isinstance(m, ValueError) for m in mixed) == 1
+    names = {f.name.split("-")[0] for f in (tmp_path / "t").iterdir() if not f.name.startswith(".")}
+    assert names == {"version", "rows"} and sum(f.name.startswith("rows-") for f in (tmp_path / "t").iterdir()) == 1  # losers leave nothing
+
+
+def test_upserts_at_once(spark, tmp_path):
+    """Changes that meet are all in the newest version; each version stays readable."""
+    path = str(tmp_path / "t")
+    table = lambda *rows: spark.createDataFrame(rows, "name string, value long")
+    assert versions.upsert_rows(table(("a", 1), ("b", 2)), path, "name") == 1
+    got = together(lambda: versions.upsert_rows(table(("b", 20)), path, "name"), lambda: versions.upsert_rows(table(("c", 30), (None, 5)), path, "name"), lambda: versions.upsert_rows(table(("d", 40)), path, "name"))
+    assert sorted(got) == [2, 3, 4]
+    assert {tuple(r) for r in versions.read_table(spark, path).collect()} == {("a", 1), ("b", 20), ("c", 30), ("d", 40), (None, 5)}
+    assert versions.upsert_rows(table((None, 6)), path, "name") == 5
+    assert {tuple(r) for r in versions.read_table(spark, path).where("name is null").collect()} == {(None, 6)}
+    assert {tuple(r) for r in versions.read_table(spark, path, 1).collect()} == {("a", 1), ("b", 2)}
+    with pytest.raises(ValueError, match="repeat"):
+        versions.upsert_rows(table(("a", 1), ("a", 2)), path, "name")
+    with pytest.raises(FileNotFoundError):
+        versions.read_table(spark, str(tmp_path / "none"))

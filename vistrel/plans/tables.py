@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vistrel.plans.registry import query
 from vistrel.session import fresh_folder
-from vistrel.sources import readers, sinks
+from vistrel.sources import readers, sinks, versions
 from vistrel.sources.views import IMAGES, RUNS, images, runs, table
 
 
@@ -61,7 +61,29 @@ def upserted_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers with their last order where they have one, over a table of all customers."""
     old = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("name"), F.lit(-1).cast("long").alias("value"))
     new = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("name")).agg(F.max("o_orderkey").alias("value"))
-    return sinks.upsert(old, new.join(old.select("name"), "name", "left_semi"), "name")
+    path = fresh_folder(spark, "upserts")
+    versions.create_once(old, path)
+    versions.upsert_rows(new.join(old.select("name"), "name", "left_semi"), path, "name")
+    return versions.read_table(spark, path)
+
+
+@query(
+    """WITH rows AS (SELECT c_nationkey AS nation, c_custkey AS name FROM customer)
+    SELECT CAST(1 AS BIGINT) AS version, count(*) AS n_rows, count(DISTINCT nation) AS n_nations, true AS created, false AS again, true AS refused FROM rows"""
+)
+def created_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All customers written as a table's first version; writing them again changes nothing, other rows are refused."""
+    rows = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation"), F.col("c_custkey").alias("name"))
+    path = fresh_folder(spark, "created")
+    made, again = versions.create_once(rows, path), versions.create_once(rows.orderBy("name"), path)
+    try:
+        versions.create_once(rows.withColumn("name", -F.col("name")), path)
+        refused = False
+    except ValueError:
+        refused = True
+    found = versions.current(spark, path)
+    read = versions.read_table(spark, path).agg(F.count("*").alias("n_rows"), F.countDistinct("nation").alias("n_nations"))
+    return read.select(F.lit(found[0]).cast("long").alias("version"), "n_rows", "n_nations", F.lit(made).alias("created"), F.lit(again).alias("again"), F.lit(refused).alias("refused"))
 
 
 @query(f"WITH {RUNS}, d AS (SELECT domain, split, min(draw) AS status FROM runs WHERE condition = 'own' AND k = 4 GROUP BY domain, split) SELECT DISTINCT domain || split AS name FROM runs WHERE domain || split NOT IN (SELECT domain || split FROM d WHERE status = 0)")

@@ -1,4 +1,4 @@
-"""Sinks: CSV with the reference's header rules, JSON, Parquet for vectors, exclusive and idempotent writes."""
+"""Sinks: CSV with its header rules, JSON, Parquet for vectors; tables with several writers are in versions.py."""
 
 from __future__ import annotations
 
@@ -32,19 +32,6 @@ def to_vectors(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
-def write_once(df: DataFrame, path: str) -> bool:
-    """Create path; if it is there with the same rows nothing happens, with other rows it is an error. True if it wrote."""
-    spark = df.sparkSession
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
-        df.write.mode("errorifexists").parquet(path)
-        return True
-    there = spark.read.parquet(path)
-    if there.columns != df.columns or not there.exceptAll(df).isEmpty() or not df.exceptAll(there).isEmpty():
-        raise ValueError(f"{path} has other rows")
-    return False
-
-
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """Old rows without the keys of the new ones, then the new ones."""
     return old.join(new.select(key), key, "left_anti").unionByName(new)
