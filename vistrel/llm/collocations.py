@@ -44,6 +44,8 @@ LEAST_CELLS, MOST_CELLS, PER_CELL, SHARD_CELLS = 1 << 18, 1 << 26, 4, 1 << 16
 FULL, ADDED, HELD = 255, 64, 4_000_000
 #: Bytes and phrases of a shard of the dictionary; 400 000 phrases take a task some 150 MB.
 DICTIONARY_BYTES, DICTIONARY_ROWS = 12 << 20, 400_000
+#: Words of the corpus for each list that candidates are dealt to by hash, and such lists at most.
+BUCKET_WORDS, MOST_BUCKETS = 200_000, 1 << 16
 #: Bytes of text that are worked on together, and bytes of a word that its hash looks at.
 CHUNK, HASHED = 1 << 20, 1024
 
@@ -273,15 +275,20 @@ def _sketch(texts: DataFrame, expected: int, sizes: tuple[int, ...], sketches: l
     return texts.sparkSession.sparkContext.broadcast(Sketch(cells, bits)), totals
 
 
-def _candidates(sketches: list[Broadcast], most: int):
-    """Rows (lang, text) -> the phrases of two words and more that no sketch rules out, each once in a while of a task."""
+_LISTS = "lang string, bucket int, phrases binary"
+_LISTS_ARROW = pa.schema([("lang", pa.string()), ("bucket", pa.int32()), ("phrases", pa.binary())])
+
+
+def _candidates(sketches: list[Broadcast], most: int, buckets: int):
+    """Rows (lang, text) -> the phrases of two words and more that no sketch rules out, as packed lists by a hash; each once in a while of a task."""
 
     def packed(held: dict[str, set[bytes]]) -> Iterator[pa.RecordBatch]:
         for lang, phrases in held.items():
-            listed = list(phrases)
-            for at in range(0, len(listed), 20_000):
-                part = listed[at : at + 20_000]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), pa.array(part, pa.binary()).cast(pa.string())], names=["lang", "phrase"])
+            lists: dict[int, list[bytes]] = {}
+            for p in sorted(phrases):
+                lists.setdefault(zlib.crc32(p) % buckets, []).append(p)
+            packs = [zstandard.compress(b"\n".join(listed), 1) for listed in lists.values()]
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(packs), pa.string()), pa.array(list(lists), pa.int32()), pa.array(packs, pa.binary())], schema=_LISTS_ARROW)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, set[bytes]] = {}
@@ -291,7 +298,7 @@ def _candidates(sketches: list[Broadcast], most: int):
                 if m > 1:
                     at = np.flatnonzero(may & words.own[: len(may)])
                     phrases.update(text[s:e] for s, e in zip(words.start[at].tolist(), words.end[at + m - 1].tolist(), strict=True))
-            if sum(map(len, held.values())) > 200_000:
+            if sum(map(len, held.values())) > 400_000:
                 yield from packed(held)
                 held = {}
         yield from packed(held)
@@ -299,6 +306,25 @@ def _candidates(sketches: list[Broadcast], most: int):
     return run
 
 
+def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lists in the order of their keys (lang, bucket) -> each phrase once."""
+    key, phrases = None, set()
+
+    def rows() -> Iterator[pa.RecordBatch]:
+        listed = list(phrases)
+        for at in range(0, len(listed), 20_000):
+            part = listed[at : at + 20_000]
+            yield pa.RecordBatch.from_arrays([pa.array([key[0]] * len(part), pa.string()), pa.array(part, pa.binary()).cast(pa.string())], names=["lang", "phrase"])
+
+    for b in batches:
+        for *k, packed in zip(*(b.column(n).to_pylist() for n in range(3)), strict=True):
+            if k != key:
+                yield from rows()
+                key, phrases = k, set()
+            phrases.update(zstandard.decompress(packed).split(b"\n"))
+    yield from rows()
+
+
 _compiled: dict[int, dict[str, tuple]] = {}
 
 
@@ -318,8 +344,13 @@ def _automata(dictionary: Broadcast) -> dict[str, tuple]:
     return _compiled[key]
 
 
+#: Phrases of a dictionary whose counts are sent together.
+COUNTED = 4096
+_COUNTS = "lang string, part int, counts binary"
+
+
 def _scan(dictionary: Broadcast):
-    """Rows (lang, text) -> (id, f): matches of each phrase of the dictionary, overlapping ones included."""
+    """Rows (lang, text) -> counts of the matches of the dictionary's phrases, overlapping ones included, by parts of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
@@ -332,10 +363,31 @@ def _scan(dictionary: Broadcast):
             own = ends - lengths[which] + 1 < limit
             counts[lang] = counts.get(lang, 0) + np.bincount(which[own], minlength=len(lengths))
         for lang, n in counts.items():
-            some = np.flatnonzero(n)
-            ids = _automata(dictionary)[lang][1][some]
-            for at in range(0, len(some), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at : at + 50_000]), pa.array(n[some[at : at + 50_000]], pa.int64())], names=["id", "f"])
+            parts = [(at // COUNTED, zstandard.compress(n[at : at + COUNTED].astype("<i8").tobytes(), 1)) for at in range(0, len(n), COUNTED) if n[at : at + COUNTED].any()]
+            if parts:
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(parts), pa.string()), pa.array([p[0] for p in parts], pa.int32()), pa.array([p[1] for p in parts], pa.binary())], names=["lang", "part", "counts"])
+
+    return run
+
+
+def _summed(dictionary: Broadcast):
+    """Counts in the order of their keys (lang, part) -> (id, f) of the phrases that occur."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, total = None, np.zeros(0, np.int64)
+
+        def rows() -> pa.RecordBatch:
+            ids = dictionary.value["phrases"][key[0]][1][key[1] * COUNTED :][: len(total)] if key else np.zeros(0, np.int64)
+            some = np.flatnonzero(total)
+            return pa.RecordBatch.from_arrays([pa.array(ids[some], pa.int64()), pa.array(total[some], pa.int64())], names=["id", "f"])
+
+        for b in batches:
+            for *k, packed in zip(*(b.column(n).to_pylist() for n in range(3)), strict=True):
+                if k != key:
+                    yield rows()
+                    key, total = k, 0
+                total = total + np.frombuffer(zstandard.decompress(packed), "<i8")
+        yield rows()
 
     return run
 
@@ -355,7 +407,7 @@ def _counted(texts: DataFrame, phrases: DataFrame) -> DataFrame:
             held = by.setdefault(lang, ([], []))
             held[0].append(phrase), held[1].append(i)
         sent = spark.sparkContext.broadcast({"key": uuid.uuid4().hex, "phrases": {k: (p, np.array(i)) for k, (p, i) in by.items()}})
-        part = texts.mapInArrow(_scan(sent), "id long, f long").groupBy("id").agg(F.sum("f").alias("f"))
+        part = texts.mapInArrow(_scan(sent), _COUNTS).repartition("lang", "part").sortWithinPartitions("lang", "part").mapInArrow(_summed(sent), "id long, f long")
         counts.append(materialise(part, "phrase-counts"))
         sent.unpersist()
     found = counts[0]
@@ -373,7 +425,9 @@ def phrase_frequencies(docs: DataFrame, least: int = LEAST, most_words: int = MO
     words, totals = _sketch(texts, int(size / 6), (1,), [], least)
     n = totals.agg(F.sum("n")).first()[0] or 0
     phrases, _ = _sketch(texts, n, tuple(range(2, most_words + 1)), [words], least)
-    found = materialise(texts.mapInArrow(_candidates([words, phrases], most_words), "lang string, phrase string").distinct(), "phrase-candidates")
+    buckets = min(MOST_BUCKETS, max(16, n // BUCKET_WORDS))
+    lists = texts.mapInArrow(_candidates([words, phrases], most_words, buckets), _LISTS).repartition("lang", "bucket").sortWithinPartitions("lang", "bucket")
+    found = materialise(lists.mapInArrow(_distinct, "lang string, phrase string"), "phrase-candidates")
     single = found.select("lang", F.explode(F.split("phrase", " ")).alias("phrase")).distinct()
     return _counted(texts, found.unionByName(single)), totals
 
