@@ -118,3 +118,129 @@ def test_temperature_calibrates():
 
 def test_features_of_nothing():
     assert not features(np.zeros(0, np.int32), np.zeros((4, 32), np.float32)).any()
+
+
+def sums_of(texts, buckets, dims, chunk=None):
+    """Context sums and counts by bucket, from the scan function over the texts in one task."""
+    import pandas as pd
+
+    from vistrel.llm import quality
+
+    before = quality.CHUNK_TOKENS
+    quality.CHUNK_TOKENS = chunk or before
+    try:
+        (out,) = quality._context_sums(buckets, dims)(iter([pd.DataFrame({"text": texts})]))
+    finally:
+        quality.CHUNK_TOKENS = before
+    return {r[0]: tuple(r[1:]) for r in out.itertuples(index=False, name=None)}
+
+
+def plain_sums(texts, buckets, dims):
+    """Random indexing word by word."""
+    from vistrel.llm import quality
+
+    index, out = quality.index_vectors(buckets, dims), {}
+    for text in texts:
+        ids = [zlib.crc32(w.encode()) % buckets for w in quality.TOKEN.findall(text or "")]
+        for k, w in enumerate(ids):
+            near = [ids[j] for j in (k - 2, k - 1, k + 1, k + 2) if 0 <= j < len(ids)]
+            n, total = out.get(w, (0, np.zeros(dims)))
+            out[w] = (n + 1, total + sum((index[j] for j in near), np.zeros(dims)))
+    return {w: (n, *(int(x) for x in total)) for w, (n, total) in out.items()}
+
+
+@pytest.mark.parametrize("chunk", [1, 2, 3, 7, 50, None])
+def test_random_indexing_against_word_by_word(chunk):
+    """Wherever long texts are cut, no word loses its context and no text gets another's."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 40, n)) for n in (0, 1, 2, 3, 4, 5, 49, 50, 51, 200)] + [None, "one two, three!"]
+    assert sums_of(texts, 64, 8, chunk) == plain_sums(texts, 64, 8)
+
+
+def test_a_text_longer_than_a_part():
+    text = " ".join(f"w{k % 977}x{k % 13}" for k in range(400_001))
+    assert sums_of([text], 256, 4) == sums_of([text], 256, 4, 10**9)
+
+
+def test_quality_scores_against_plain_scoring(spark, sf_dir, documents, edge_rows):
+    """Each text's features and network written out, from the same model."""
+    from vistrel.llm import quality
+
+    docs, labels = tables(spark, sf_dir)
+    model = fit_quality(docs, labels)
+    w1, b1, w2, b2 = model.layers
+
+    def plain(text):
+        v = [model.vectors[zlib.crc32(w.encode()) % quality.BUCKETS].astype(float) for w in quality.TOKEN.findall(text or "")]
+        x, d = np.zeros(2 * quality.DIMS + 3), quality.DIMS
+        if v:
+            x[:d] = sum(v) / len(v)
+            x[d : 2 * d] = np.sqrt(np.maximum(sum(a * a for a in v) / len(v) - x[:d] ** 2, 0))
+            x[2 * d : 2 * d + 2] = [sum(float(a @ b) for a, b in zip(v, v[s:], strict=False)) / (len(v) - s) if len(v) > s else 0 for s in (1, 2)]
+            x[2 * d + 2] = np.log1p(len(v)) / 10
+        z = np.tanh((x - model.centre) / model.scale @ w1 + b1) @ w2 + b2
+        return float((1 / (1 + np.exp(-z / model.temperature)))[0])
+
+    rows = edge_rows + [(900 + k, r["text"]) for k, r in enumerate(docs.limit(40).collect())]
+    df = documents(rows)
+    score = quality_score(model, spark)
+    for r in df.select("text", score(df["text"]).alias("s")).collect():
+        assert abs(r["s"] - plain(r["text"])) < 2e-4
+
+
+def test_noisy_or_against_plain_scoring(spark, sf_dir, documents, edge_rows):
+    """Each sentence's words added up one by one, from the same model."""
+    import re
+
+    from vistrel.llm import toxicity
+
+    docs, labels = tables(spark, sf_dir)
+    model = fit_toxicity(docs, labels)
+
+    def plain(text):
+        none = 1.0
+        for sentence in re.split(r"[.!?\n]", text or ""):
+            words = re.findall(r"\w+", sentence)
+            if words:
+                z = model.bias + sum(model.weights[b] for w in words for b in toxicity.buckets_of(w))
+                none *= 1 - min(1 / (1 + np.exp(-np.clip(z, -40, 40))), 1 - 1e-12)
+        return 1 - none
+
+    rows = edge_rows + [(900 + k, r["text"]) for k, r in enumerate(docs.limit(60).collect())]
+    df = documents(rows)
+    want = sorted((str(r["doc_id"]), round(plain(r["text"]), 7)) for r in df.collect())
+    got = sorted((str(r["doc_id"]), round(r["score"], 7)) for r in score_toxicity(df, model).collect())
+    assert [k for k, _ in got] == [k for k, _ in want] and np.allclose([v for _, v in got], [v for _, v in want], atol=1e-6)
+
+
+def test_training_follows_the_gradient_of_the_noisy_or(monkeypatch):
+    """After one step from zero, each weight moves against the numeric gradient of the documents' log loss."""
+    from vistrel.llm import toxicity
+
+    texts = ["bad thing here. fine day", "good day. nice thing", "all bad! bad words", "nice words here"]
+    labels = np.array([1.0, 0.0, 1.0, 0.0])
+    monkeypatch.setattr(toxicity, "STEPS", 1)
+    monkeypatch.setattr(toxicity, "PULL", 0.0)
+    model = train_noisy_or(texts, labels)
+
+    def loss(weights):
+        out = 0.0
+        for text, y in zip(texts, labels, strict=True):
+            none = 1.0
+            for sentence in text.replace("!", ".").split("."):
+                words = sentence.split()
+                if words:
+                    z = toxicity.BIAS + sum(weights.get(b, 0.0) for w in words for b in toxicity.buckets_of(w))
+                    none *= 1 - 1 / (1 + np.exp(-z))
+            out -= np.log(1 - none) if y else np.log(none)
+        return out / len(texts)
+
+    used = {b for t in texts for w in t.replace("!", " ").replace(".", " ").split() for b in toxicity.buckets_of(w)}
+    assert set(np.flatnonzero(model.weights)) <= used
+    moved = 0
+    for b in used:
+        slope = (loss({b: 1e-4}) - loss({b: -1e-4})) / 2e-4
+        if abs(slope) > 1e-6:
+            assert np.sign(model.weights[b]) == -np.sign(slope)
+            moved += 1
+    assert moved > 10

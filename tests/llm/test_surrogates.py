@@ -4,6 +4,7 @@ import re
 from collections import defaultdict
 
 import regex
+from pyspark.sql import functions as F
 
 from vistrel.llm import surrogates
 from vistrel.llm.queries import QUERIES
@@ -157,12 +158,15 @@ def expected_entities(text):
             continue
         at = m.start() + raw.index(" ") + 1
         for part in raw[raw.index(" ") + 1 :].split(" "):
-            found.append(("name", at, at + len(part)))
-            names.add(part.lower())
+            pieces = [(m.start(), m.group()) for m in regex.finditer(r"\p{L}+", part) if len(m.group()) > 1]
+            found += [("name", at + k, at + k + len(piece)) for k, piece in pieces]
+            names.update(piece.lower() for _, piece in pieces)
             at += len(part) + 1
     edges = [0, *(x for m in pattern.finditer(text) for x in m.span()), len(text)]
     for a, b in zip(edges[::2], edges[1::2], strict=True):
-        found += [("name", a + w.start(), a + w.end()) for w in regex.finditer(surrogates.WORD, text[a:b]) if w.group().lower() in names]
+        for word in regex.finditer(surrogates.WORD, text[a:b]):
+            pieces = [m for m in regex.finditer(r"\p{L}+", word.group()) if regex.match(r"\p{Lu}\p{L}", m.group()) and m.group().lower() in names]
+            found += [("name", a + word.start() + m.start(), a + word.start() + m.end()) for m in pieces]
     return sorted(found, key=lambda e: e[1])
 
 
@@ -190,3 +194,54 @@ def test_a_text_of_very_many_entities(documents):
         rebuilt += [text[at : e["start"]], e["surrogate"]]
         at = e["end"]
     assert row["text"] == "".join(rebuilt) + text[at:]
+
+
+def test_possessives_hyphens_and_apostrophes(documents):
+    """A possessive is no part of the name; hyphenated and apostrophe names keep their signs, single letters and case."""
+    texts = ["Mr Smith's car and Smith’s dog. Mr. Smith came.", "Dr. Müller-Lüdenscheidt met Frau Müller and MR. O'BRIEN; O'Brien left.", "Mr James' hat, Mrs D'Angelo-Smith. Smith-like, Smith-Jones", "Herr Jean-luc Picard", "Mr X said so"]
+    got = {r["doc_id"]: r for r in replace_personal_data(documents(list(enumerate(texts))), "k").collect()}
+    smith = re.fullmatch(r"Mr (\w+)'s car and (\w+)’s dog\. Mr\. (\w+) came\.", got[0]["text"]).groups()
+    assert len(set(smith)) == 1 and smith[0] != "Smith"
+    double, first, single, upper, lower = re.fullmatch(r"Dr\. (\w+)-(\w+) met Frau (\w+) and MR\. O'(\w+); O'(\w+) left\.", got[1]["text"]).groups()
+    assert double == single and first != double and upper.isupper() and upper.lower() == lower.lower() and lower.istitle()
+    third = re.fullmatch(r"Mr (\w+)' hat, Mrs D'(\w+)-(\w+)\. (\w+)-like, (\w+)-Jones", got[2]["text"]).groups()
+    assert third[2] == third[3] == third[4] == smith[0] and "James" not in third
+    assert re.fullmatch(r"Herr [A-Z][a-z]+-[a-z]+ [A-Z][a-z]+", got[3]["text"]) and got[3]["n_entities"] == 3
+    assert 4 not in got
+    for k, r in got.items():
+        assert all(texts[k][e["start"] : e["end"]].isalpha() for e in r["entities"])
+
+
+def plain_surrogate(key, kind, norm, gender, attempt):
+    """A surrogate's normal form, written out for names, numbers and addresses."""
+    import hashlib
+
+    stream = "".join(hashlib.sha256("\x1f".join((key, str(n), kind, norm, str(attempt))).encode()).hexdigest() for n in range(2))
+    at = lambda k, width: int(stream[k : k + width], 16)
+    if kind == "name":
+        script = "cyrillic" if regex.search(r"\p{Cyrillic}", norm) else "greek" if regex.search(r"\p{Greek}", norm) else "latin"
+        ending = surrogates.ENDINGS[script][{"male": 0, "female": 1}.get(gender, 2)]
+        syllables = surrogates.SYLLABLES[script]
+        name = "".join(syllables[at(2 * k, 2) % len(syllables)] for k in range(min(attempt, 58) + 4)) + ending
+        return name[0].upper() + name[1:].lower()
+    if kind == "ipv4":
+        return ".".join(str(at(k, 4) % 254 + 1) for k in (0, 4, 8, 12))
+    if kind in ("ssn", "phone"):
+        kept = len(re.match(surrogates.CODE, norm).group(1)) if kind == "phone" else 0
+        n = min(len(norm) + max(attempt - surrogates.GROW, 0), 30)
+        return "".join(norm[i] if i < kept else str(at(4 * i, 4) % 10) for i in range(n))
+    local, domain = norm.split("@")
+    drawn = lambda i: at(2 * (i % 60), 2)
+    spelt = "".join(chr(drawn(i) % 26 + 97) if "a" <= c <= "z" else str(drawn(i) % 10) if c.isdigit() else c for i, c in enumerate(local))
+    more = "".join(chr(drawn(i + len(local)) % 26 + 97) for i in range(1, attempt + 1))
+    label = hashlib.sha256("\x1f".join((key, "domain", domain)).encode()).hexdigest()[:8].translate(str.maketrans("0123456789", "ghijklmnop"))
+    return f"{spelt}{more}@{label}.example.net"
+
+
+def test_surrogates_are_those_of_plain_python(spark):
+    cases = [("name", "Smith", "male"), ("name", "Müller", "female"), ("name", "Иванов", "male"), ("name", "Παππά", "open"), ("ipv4", "10.0.0.1", "open"), ("ssn", "123456789", "open"), ("phone", "15551234567", "open"), ("phone", "442071234567", "open"), ("phone", "35312345678", "open"), ("email", "a.bc_7@example.org", "open"), ("email", "x@y.de", "open")]
+    rows = [(k, n, g, a) for k, n, g in cases for a in (0, 1, 3, 6) if k != "ipv4" or a < 4]
+    df = spark.createDataFrame(rows, "kind string, norm string, gender string, attempt int")
+    made = df.select("*", surrogates.surrogate("key", *(F.col(c) for c in ("kind", "norm", "gender", "attempt"))).alias("s")).collect()
+    for r in made:
+        assert r["s"] == plain_surrogate("key", r["kind"], r["norm"], r["gender"], r["attempt"]), r

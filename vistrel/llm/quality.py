@@ -66,7 +66,8 @@ def _context_sums(buckets: int, dims: int):
         gap = np.full(2, buckets, np.int32)
         held, n = [gap], 0
 
-        def add() -> None:
+        def add() -> np.ndarray:
+            """Adds up all tokens but the last two, which wait for what follows; returns these and their own context."""
             ids = np.concatenate(held)
             v = index[ids]
             near = v[:-4] + v[1:-3] + v[3:-1] + v[4:]
@@ -74,16 +75,18 @@ def _context_sums(buckets: int, dims: int):
             for k in range(dims):
                 total[:, k] += np.bincount(mid, near[:, k], buckets + 1)[:buckets]
             count[:] += np.bincount(mid, minlength=buckets + 1)[:buckets]
+            return ids[-4:]
 
         for frame in frames:
             for text in frame["text"]:
                 ids = tokens.ids(text)
-                for at in range(0, len(ids), CHUNK_TOKENS):  # a very long text goes in parts, two tokens of context lost at each cut
-                    held += [ids[at : at + CHUNK_TOKENS], gap]
-                    n += min(CHUNK_TOKENS, len(ids) - at)
+                for at in range(0, len(ids), CHUNK_TOKENS):  # a very long text goes in parts that continue each other
+                    held.append(ids[at : at + CHUNK_TOKENS])
+                    n += len(held[-1])
+                    if at + CHUNK_TOKENS >= len(ids):
+                        held.append(gap)
                     if n >= CHUNK_TOKENS:
-                        add()
-                        held, n = [gap], 0
+                        held, n = [add()], 0
         if n:
             add()
         seen = np.flatnonzero(count)

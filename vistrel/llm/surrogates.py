@@ -8,8 +8,9 @@ of address. An entity is its kind and normal form, so one entity gets the same s
 * phone numbers with their country code, which stays. Numbers in the two North American ways without a code have code 1;
 * other numbers as their digits; digits and separators stay in place, card numbers keep whether they pass the Luhn test, octets stay octets;
 * names part by part, so a person keeps the same parts after any title, with or without a given name, and where a document repeats
-  a part of a name it has shown after a title. Script, capitals and title stay; the ending follows the gender of the titles
-  that the part stands after, if they agree.
+  a part of a name it has shown after a title. The pieces of a hyphenated or apostrophe name are parts of their own, so the signs stay,
+  as do single letters and a possessive ending. Script, capitals and title stay; the ending follows the gender of the
+  titles that the part stands after, if they agree.
 
 Distinctness is checked, not hoped for: of entities that meet in a surrogate, and of those whose surrogate is another real entity, all but
 the least get the next surrogate of their sequence, until none meets another. Surrogates get longer from attempt to attempt
@@ -22,6 +23,8 @@ treated like any other. An empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,8 +38,10 @@ SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]*\d)"
 PHONE = r"\+(?=(?:[ .()-]{0,2}\d){7})\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<![\d(])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d-])\d{3}-\d{3}-\d{4}(?![\d-]*\d)"
 CARD = r"(?<![\d-])\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?![\d-]*\d)"
 MALE, FEMALE, OPEN = ("Mr", "Herr", "Monsieur", "Señor", "Sr", "господин", "κύριος"), ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "госпожа", "κυρία"), ("Dr", "Prof")
-NAME = rf"(?<!\p{{L}})(?iu:{'|'.join((*MALE, *FEMALE, *OPEN))})\.? \p{{Lu}}[\p{{L}}'’-]+(?: \p{{Lu}}[\p{{L}}'’-]+)?"
-WORD = r"(?<![\p{L}'’-])\p{Lu}[\p{L}'’-]+"
+JOINED = r"(?:-\p{L}+|['’](?![sS](?!\p{L}))\p{L}+)"
+PART = rf"\p{{Lu}}(?:\p{{L}}+{JOINED}*|{JOINED}+)"
+NAME = rf"(?<!\p{{L}})(?iu:{'|'.join((*MALE, *FEMALE, *OPEN))})\.? {PART}(?: {PART})?"
+WORD = rf"(?<![\p{{L}}'’-]){PART}"
 #: Calling codes; those with three digits are the rest.
 CODE = r"^(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 KINDS = (("email", EMAIL), ("ipv4", IPV4), ("ssn", SSN), ("phone", PHONE), ("card", CARD), ("name", NAME))
@@ -77,19 +82,25 @@ def _segments(raw: Column) -> Column:
     norm = F.when(kind == "email", F.lower(raw)).when(kind == "ipv4", raw).when(kind == "phone", phone).otherwise(_digits(raw))
     parts = F.split(F.regexp_replace(raw, r"^\S+ ", ""), " ")
     title = F.regexp_extract(raw, r"^(\S+ )", 1)
-    named = F.flatten(F.transform(parts, lambda p, i: F.array(_segment(F.when(i == 0, title).otherwise(" ")), _segment(p, F.lit("name"), F.initcap(p), _gender(raw)))))
+    named = F.flatten(F.transform(parts, lambda p, i: F.concat(F.array(_segment(F.when(i == 0, title).otherwise(" "))), _pieces(p, lambda x: _segment(x, F.when(F.length(x) > 1, "name"), F.initcap(x), _gender(raw))))))
     return F.when(kind == "name", named).otherwise(F.array(_segment(raw, kind, norm)))
 
 
+def _pieces(part: Column, made: Callable[[Column], Column]) -> Column:
+    """The pieces of a part of a name as segments, with the signs between them."""
+    found, around = F.regexp_extract_all(part, F.lit(r"\p{L}+"), F.lit(0)), F.split(part, r"\p{L}+", -1)
+    return F.flatten(F.zip_with(F.slice(around, 1, F.size(found)), found, lambda sign, x: F.array(_segment(sign), made(x))))
+
+
 def _words(text: Column, names: Column) -> Column:
     """A text between matches as segments, its capitalised words on their own: they may be parts of the document's names."""
     found, around = texts_and_matches(text, WORD)
 
     def word(w: Column) -> Column:
-        known = (F.size(names) > FEW_NAMES) | F.array_contains(names, F.initcap(w))
+        known = (F.length(w) > 1) & w.rlike(r"^\p{Lu}") & ((F.size(names) > FEW_NAMES) | F.array_contains(names, F.initcap(w)))
         return _segment(w, F.when(known, F.lit("word")), F.initcap(w))
 
-    each = F.zip_with(found, F.slice(around, 1, F.size(found)), lambda w, t: F.array(_segment(t), word(w)))
+    each = F.zip_with(found, F.slice(around, 1, F.size(found)), lambda w, t: F.concat(F.array(_segment(t)), _pieces(w, word)))
     return F.concat(F.flatten(each), F.array(_segment(F.element_at(around, -1))))
 
 
@@ -199,7 +210,8 @@ def _written(kind: Column, raw: Column, made: Column) -> Column:
     digits = F.when((kind == "phone") & ~raw.startswith("+"), made.substr(F.lit(2), F.length(made))).otherwise(made)
     placed = F.transform(F.split(raw, ""), lambda c, i: F.when(c.rlike(r"^\d$"), digits.substr(F.length(_digits(raw.substr(F.lit(1), i + 1))), F.lit(1))).otherwise(c))
     more = digits.substr(F.length(_digits(raw)) + 1, F.length(digits))
-    return F.when(kind.isin("email", "name"), F.when(F.upper(raw) == raw, F.upper(made)).otherwise(made)).when(kind == "ipv4", made).otherwise(F.concat(F.array_join(placed, ""), more))
+    lettered = F.when(F.upper(raw) == raw, F.upper(made)).when((kind == "name") & (F.lower(raw) == raw), F.lower(made)).otherwise(made)
+    return F.when(kind.isin("email", "name"), lettered).when(kind == "ipv4", made).otherwise(F.concat(F.array_join(placed, ""), more))
 
 
 def replace_personal_data(docs: DataFrame, key: str) -> DataFrame:
