@@ -173,6 +173,18 @@ def grid(*options: DataFrame) -> DataFrame:
     return out
 
 
+def option_grids(options: DataFrame) -> DataFrame:
+    """(plan, task): every plan's combinations of its options (plan, name, value), as name=value in the order of names. Plans may have
+    different options; each is a list that someone wrote."""
+    placed = options.distinct().select("plan", "name", F.dense_rank().over(W.Window.partitionBy("plan").orderBy("name")).alias("at"), F.concat_ws("=", "name", "value").alias("set"))
+    depth = placed.groupBy("plan").agg(F.max("at").alias("depth"))
+    out = placed.where("at = 1").select("plan", F.array("set").alias("task"))
+    for at in range(2, (depth.agg(F.max("depth")).first()[0] or 1) + 1):
+        further = placed.where(F.col("at") == at).select("plan", "set")
+        out = out.join(further, "plan", "left").select("plan", F.when(F.col("set").isNull(), F.col("task")).otherwise(F.concat("task", F.array("set"))).alias("task"))
+    return out
+
+
 def merge_options(saved: DataFrame, given: DataFrame) -> DataFrame:
     """(name, value, origin): a saved option overrides a given one."""
     joined = saved.withColumnRenamed("value", "saved").join(given.withColumnRenamed("value", "given"), "name", "full_outer")
@@ -194,10 +206,11 @@ def noise_corrected(total: Column, noise: Column) -> Column:
     return F.sqrt(F.greatest(total * total - noise * noise, F.lit(0.0)))
 
 
-def fold_options(options: DataFrame) -> DataFrame:
-    """(pos, option) of options (pos, option), a list that someone wrote: one with any flag of an earlier kept option is dropped, whole."""
+def fold_options(options: DataFrame, *by: str) -> DataFrame:
+    """(by.., pos, option) of options (by.., pos, option), a list that someone wrote for each ``by``: an option with any flag of an earlier kept one of
+    its list is dropped, whole."""
     flags = F.array_distinct(F.regexp_extract_all("option", F.lit(r"(--\w+)"), F.lit(1)))
-    rows = options.agg(F.array_sort(F.collect_list(F.struct("pos", "option", flags.alias("flags")))).alias("rows"))
+    rows = options.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("pos", "option", flags.alias("flags")))).alias("rows"))
     none = F.struct(F.array().cast("array<string>").alias("seen"), F.array().cast("array<int>").alias("kept"))
 
     def step(s: Column, o: Column) -> Column:
@@ -205,7 +218,7 @@ def fold_options(options: DataFrame) -> DataFrame:
         return F.when(free, F.struct(F.concat(s["seen"], o["flags"]).alias("seen"), F.concat(s["kept"], F.array(o["pos"].cast("int"))).alias("kept"))).otherwise(s)
 
     kept = F.aggregate("rows", none, step, lambda s: s["kept"])
-    return rows.select(F.explode(F.filter("rows", lambda o: F.array_contains(kept, o["pos"].cast("int")))).alias("o")).select("o.pos", "o.option")
+    return rows.select(*by, F.explode(F.filter("rows", lambda o: F.array_contains(kept, o["pos"].cast("int")))).alias("o")).select(*by, "o.pos", "o.option")
 
 
 def grid_rows(runs: DataFrame, questions: DataFrame, by: list[str]) -> DataFrame:

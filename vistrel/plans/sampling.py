@@ -9,7 +9,8 @@ from vistrel.functions import permute
 from vistrel.operators import runs, samples
 from vistrel.plans.registry import query
 from vistrel.sources.readers import task_plan
-from vistrel.sources.views import IMAGES, images, table
+from vistrel.sources.views import IMAGES, RUNS, images, table
+from vistrel.sources.views import runs as run_rows
 
 
 
@@ -160,33 +161,56 @@ def anchor_partner(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT d.domain, s.range AS split, m.method, k.k, e.range AS seed
-    FROM (VALUES ('a'), ('b'), ('c')) d(domain), range(10) s, (VALUES ('first'), ('random')) m(method), (VALUES (4), (16)) k(k), range(3) e"""
+    f"""WITH {RUNS}, d AS (SELECT DISTINCT domain FROM runs), s AS (SELECT DISTINCT split FROM runs), m AS (SELECT DISTINCT condition AS method FROM runs), k AS (SELECT DISTINCT k FROM runs), e AS (SELECT DISTINCT seed FROM runs)
+    SELECT domain, split, method, k, seed FROM d, s, m, k, e"""
 )
 def experiment_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = lambda values, schema: spark.createDataFrame([(v,) for v in values], schema)
-    return runs.grid(
-        rows("abc", "domain string"), spark.range(10).withColumnRenamed("id", "split"), rows(("first", "random"), "method string"), rows((4, 16), "k int"), spark.range(3).withColumnRenamed("id", "seed")
-    )
+    """All combinations of what the evaluation rows have of each option."""
+    rows = run_rows(spark, sf_dir).withColumnRenamed("condition", "method")
+    return runs.grid(*(rows.select(c).distinct() for c in ("domain", "split", "method", "k", "seed")))
 
 
 @query(
-    """WITH saved(name, value) AS (VALUES ('layers', '12'), ('dim', '64')), given(name, value) AS (VALUES ('layers', '6'), ('rate', '0.1'))
-    SELECT name, coalesce(s.value, g.value) AS value, CASE WHEN s.value IS NOT NULL THEN 'saved' ELSE 'given' END AS origin FROM saved s FULL JOIN given g USING (name)"""
+    """WITH o AS (SELECT DISTINCT o_orderstatus AS plan, 'priority' AS name, substr(o_orderpriority, 1, 1) AS value FROM orders
+        UNION SELECT DISTINCT o_orderstatus, 'year', CAST(year(o_orderdate) AS VARCHAR) FROM orders
+        UNION SELECT DISTINCT o_orderstatus, 'ship', CAST(o_orderkey % 3 AS VARCHAR) FROM orders WHERE o_orderstatus <> 'P'),
+    p AS (SELECT plan, value FROM o WHERE name = 'priority'), s AS (SELECT plan, value FROM o WHERE name = 'ship'), y AS (SELECT plan, value FROM o WHERE name = 'year')
+    SELECT p.plan, CASE WHEN s.value IS NULL THEN ['priority=' || p.value, 'year=' || y.value] ELSE ['priority=' || p.value, 'ship=' || s.value, 'year=' || y.value] END AS task
+    FROM p JOIN y USING (plan) LEFT JOIN s USING (plan)"""
 )
-def option_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = lambda rows: spark.createDataFrame(rows, "name string, value string")
-    return runs.merge_options(table([("layers", "12"), ("dim", "64")]), table([("layers", "6"), ("rate", "0.1")]))
+def option_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A grid for each order status, which stands for a plan, over the priorities and years of its orders; one plan has an option less."""
+    rows = table(spark, sf_dir, "orders")
+    option = lambda name, value, of: of.select(F.col("o_orderstatus").alias("plan"), F.lit(name).alias("name"), value.cast("string").alias("value"))
+    given = option("priority", F.substring("o_orderpriority", 1, 1), rows).unionByName(option("year", F.year("o_orderdate"), rows)).unionByName(option("ship", F.col("o_orderkey") % 3, rows.where("o_orderstatus <> 'P'")))
+    return runs.option_grids(given)
 
 
-_PLAN = ["# first group", "train_a | python a.py --k 4", "train_b | python b.py", "@wait", "", "evaluate | python c.py a|b"]
+@query(
+    """WITH saved AS (SELECT CAST(c_custkey AS VARCHAR) AS name, CAST(c_nationkey AS VARCHAR) AS value FROM customer WHERE c_custkey % 3 < 2),
+    given AS (SELECT CAST(o_custkey AS VARCHAR) AS name, CAST(count(*) AS VARCHAR) AS value FROM orders GROUP BY o_custkey)
+    SELECT name, coalesce(s.value, g.value) AS value, CASE WHEN s.value IS NOT NULL THEN 'saved' ELSE 'given' END AS origin FROM saved s FULL JOIN given g USING (name)"""
+)
+def option_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers stand for options: most have a saved value, their nation, those with orders a given one, their number."""
+    name = lambda c: F.col(c).cast("string").alias("name")
+    saved = table(spark, sf_dir, "customer").where("c_custkey % 3 < 2").select(name("c_custkey"), F.col("c_nationkey").cast("string").alias("value"))
+    given = table(spark, sf_dir, "orders").groupBy(name("o_custkey")).agg(F.count("*").cast("string").alias("value"))
+    return runs.merge_options(saved, given)
 
 
 @query(
-    """SELECT * FROM (VALUES (CAST(1 AS BIGINT), CAST(0 AS BIGINT), 'train_a', 'python a.py --k 4'), (2, 0, 'train_b', 'python b.py'), (5, 1, 'evaluate', 'python c.py a|b')) v(line_no, "group", name, command)"""
+    """WITH l AS (SELECT s_suppkey AS line_no, CASE WHEN s_suppkey % 5 = 0 THEN '@wait' WHEN s_suppkey % 7 = 1 THEN '# ' || s_name WHEN s_suppkey % 11 = 2 THEN '' ELSE 'task_' || s_suppkey || ' | run --nation ' || s_nationkey || '|x' END AS value FROM supplier),
+    w AS (SELECT line_no, value, count(*) FILTER (value = '@wait') OVER (ORDER BY line_no) AS waits FROM l),
+    t AS (SELECT * FROM w WHERE value LIKE 'task%')
+    SELECT line_no, dense_rank() OVER (ORDER BY waits) - 1 AS "group", trim(split_part(value, '|', 1)) AS name, trim(substr(value, strpos(value, '|') + 1)) AS command FROM t"""
 )
 def task_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return task_plan(spark.createDataFrame(list(enumerate(_PLAN)), "line_no long, value string"))
+    """Suppliers stand for the lines of a task plan, with waits, comments and blank lines among them."""
+    key = F.col("s_suppkey")
+    task = F.concat(F.lit("task_"), key, F.lit(" | run --nation "), F.col("s_nationkey"), F.lit("|x"))
+    value = F.when(key % 5 == 0, "@wait").when(key % 7 == 1, F.concat(F.lit("# "), F.col("s_name"))).when(key % 11 == 2, "").otherwise(task)
+    return task_plan(table(spark, sf_dir, "supplier").select(key.cast("long").alias("line_no"), value.alias("value")))
 
 
 @query(f"WITH {IMAGES}, f AS (SELECT image_idx, row_number() OVER (ORDER BY {_key('23', 'image_idx')}, image_idx) AS pos FROM images WHERE subset = 'train') SELECT pos, image_idx AS a_idx, image_idx AS b_idx FROM f WHERE pos <= 8")
@@ -226,11 +250,20 @@ def batch_sampler_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return samples.batches(_identities(spark, sf_dir), 50, 16, 37, unique=True, mixed=True)
 
 
-@query("SELECT * FROM (VALUES (0, '--lr 0.1 --warmup 5'), (1, '--k 4'), (3, '--seed 1'), (5, 'no flag')) v(pos, option)")
+@query(
+    """WITH RECURSIVE o AS (SELECT s_nationkey AS plan, s_suppkey AS pos, CASE WHEN s_suppkey % 9 = 0 THEN 'no flag' ELSE '--f' || s_suppkey % 13 || ' 1 --g' || s_suppkey % 8 || ' 2' END AS option FROM supplier),
+    r AS (SELECT *, regexp_extract_all(option, '(--\\w+)', 1) AS flags, row_number() OVER (PARTITION BY plan ORDER BY pos) AS n FROM o),
+    fold AS (
+        SELECT plan, n, pos, option, flags AS seen, true AS kept FROM r WHERE n = 1
+        UNION ALL
+        SELECT r.plan, r.n, r.pos, r.option, CASE WHEN list_has_any(seen, flags) THEN seen ELSE list_concat(seen, flags) END, NOT list_has_any(seen, flags) FROM fold JOIN r ON r.plan = fold.plan AND r.n = fold.n + 1)
+    SELECT plan, pos, option FROM fold WHERE kept"""
+)
 def option_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The third option shares a flag with the first, the fifth with the second; the dropped third blocks nothing."""
-    rows = [(0, "--lr 0.1 --warmup 5"), (1, "--k 4"), (2, "--warmup 9 --seed 2"), (3, "--seed 1"), (4, "--dim 8 --k 16"), (5, "no flag")]
-    return runs.fold_options(spark.createDataFrame(rows, "pos int, option string"))
+    """Suppliers stand for options, nations for the lists they are in."""
+    key = F.col("s_suppkey")
+    option = F.when(key % 9 == 0, "no flag").otherwise(F.concat(F.lit("--f"), key % 13, F.lit(" 1 --g"), key % 8, F.lit(" 2")))
+    return runs.fold_options(table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("plan"), key.alias("pos"), option.alias("option")), "plan")
 
 
 @query("SELECT a.region AS val, string_agg(b.region, ',' ORDER BY b.region) AS sources FROM (SELECT r_name AS region FROM region) a JOIN (SELECT r_name AS region FROM region) b ON a.region <> b.region GROUP BY a.region")
