@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from vistrel.functions.draw import draw_key
+from vistrel.session import written
 
 
 def subset_stats(images: DataFrame, *by: str) -> DataFrame:
@@ -141,6 +142,23 @@ def within_identity_pairs(images: DataFrame) -> DataFrame:
     return kept.withColumnRenamed("image_idx", "a_idx").join(kept.withColumnRenamed("image_idx", "b_idx"), "pid").where("a_idx < b_idx")
 
 
+def listed_groups(rows: DataFrame, *by: str) -> DataFrame:
+    """(by.., n) of each group, in the order of the keys."""
+    return rows.groupBy(*by).agg(F.count("*").alias("n")).orderBy(*by)
+
+
+def sorted_distinct(rows: DataFrame, column: str) -> DataFrame:
+    """(column, place) of the distinct values in their order, numbered by ranges."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = written(rows.select(column).distinct().repartitionByRange(parts, column).withColumn("_range", F.spark_partition_id()), "distinct")
+    return numbered(ranged, "place", F.col("_range"), column).select(column, "place")
+
+
+def path_lookup(images: DataFrame, places: DataFrame) -> DataFrame:
+    """images with the place of their path; a path that has none is left out."""
+    return images.join(places, "path")
+
+
 def load_split(images: DataFrame, split: int) -> DataFrame:
     """The cached images of one split (columns split, subset); a pool image that the evaluation uses too is an error."""
     one = images.where(F.col("split") == split).cache()

@@ -62,11 +62,11 @@ def dup_threshold(pool: DataFrame, quantile: float = DUP_QUANTILE, by: tuple[str
 def selection_properties(pool: DataFrame, selected: DataFrame, statistics: DataFrame) -> DataFrame:
     """One row about the selected images (column image_idx, some tens of rows): cameras, diversity, greatest similarity, mean typicality and pairability, style spread."""
     s = pool.join(selected.select("image_idx"), "image_idx")
-    dims = 8
+    dims = len(pool.select("feat").head()[0])
     single = s.join(statistics, "image_idx").agg(
         F.countDistinct("camid").alias("n_cams"),
         F.round(F.avg("typicality"), 5).alias("typicality"),
-        F.round(F.avg("pairability"), DIGITS).alias("pairability"),
+        F.round(F.avg("pairability"), 5).alias("pairability"),
         F.round(vector_std_mean(F.col("feat"), dims), DIGITS).alias("style_spread"),
     )
     if selected.limit(MOST_SELECTED + 1).count() > MOST_SELECTED:

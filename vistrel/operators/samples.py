@@ -162,6 +162,16 @@ def check_budget(pool: DataFrame, k: int) -> None:
         raise ValueError(f"budget {k} exceeds the pool's {n} rows")
 
 
+def budget_report(pool: DataFrame, drawn: DataFrame, budget: str) -> DataFrame:
+    """(budget, fits, n_distinct, valid) of the images drawn (budget, image_idx): whether the pool has enough, and whether as many
+    distinct images of the pool were drawn as were asked for."""
+    size = pool.count()
+    known = drawn.join(pool.select("image_idx", F.lit(True).alias("_known")), "image_idx", "left")
+    per = known.groupBy(budget).agg(F.count("*").alias("_n"), F.countDistinct("image_idx").alias("n_distinct"), F.count_if(F.col("_known")).alias("_in"))
+    exact = (F.col("_n") == F.col(budget)) & (F.col("n_distinct") == F.col(budget)) & (F.col("_in") == F.col(budget))
+    return per.select(budget, (F.lit(size) >= F.col(budget)).alias("fits"), "n_distinct", exact.alias("valid"))
+
+
 def repeat_labels(labels: DataFrame, times: int) -> DataFrame:
     """Each row (i, label) ``times`` times in a row: (i, label) with new numbers."""
     copies = F.posexplode(F.array_repeat(F.col("label"), times)).alias("_n", "label")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vistrel.plans import experiments, identities, pools, retrievals, sampling, tables
+from vistrel.plans import experiments, files, identities, pools, retrievals, sampling, tables
 from vistrel.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "experiments", "identities", "pools", "retrievals", "sampling", "tables"]
+__all__ = ["ORACLES", "QUERIES", "experiments", "files", "identities", "pools", "retrievals", "sampling", "tables"]

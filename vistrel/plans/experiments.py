@@ -221,11 +221,11 @@ def question_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {IMAGES}, m AS (SELECT subset, {', '.join(f'stddev_samp(feat[{k}]) AS s{k}, avg(feat[{k}]) AS m{k}' for k in range(1, 9))} FROM images GROUP BY subset)
-    SELECT subset, round(sqrt({' + '.join(f's{k} * s{k}' for k in range(1, 9))}) / sqrt({' + '.join(f'm{k} * m{k}' for k in range(1, 9))}), 6) AS spread FROM m"""
+    f"""WITH {IMAGES}, m AS (SELECT subset, {', '.join(f'stddev_samp(feat[{k}]) AS s{k}, avg(feat[{k}]) AS m{k}' for k in range(1, 65))} FROM images GROUP BY subset)
+    SELECT subset, round(sqrt({' + '.join(f's{k} * s{k}' for k in range(1, 65))}) / sqrt({' + '.join(f'm{k} * m{k}' for k in range(1, 65))}), 6) AS spread FROM m"""
 )
 def relative_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metric.relative_spread(images(spark, sf_dir), 8, "subset")
+    return metric.relative_spread(images(spark, sf_dir), 64, "subset")
 
 
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")

@@ -48,8 +48,8 @@ def nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""{_SIM}, sel AS (SELECT * FROM t ORDER BY image_idx LIMIT 16),
     pr AS (SELECT list_dot_product(a.feat, b.feat) AS c FROM sel a JOIN sel b ON a.image_idx < b.image_idx)
     SELECT (SELECT count(DISTINCT camid) FROM sel) AS n_cams, (SELECT round(avg(typicality), 5) FROM stats JOIN sel USING (image_idx)) AS typicality,
-           (SELECT round(avg(pairability), 6) FROM stats JOIN sel USING (image_idx)) AS pairability,
-           (SELECT round(({' + '.join(f'stddev_pop(feat[{k}])' for k in range(1, 9))}) / 8, 6) FROM sel) AS style_spread,
+           (SELECT round(avg(pairability), 5) FROM stats JOIN sel USING (image_idx)) AS pairability,
+           (SELECT round(({' + '.join(f'stddev_pop(feat[{k}])' for k in range(1, 65))}) / 64, 6) FROM sel) AS style_spread,
            (SELECT round(1 - avg(c), 6) FROM pr) AS diversity, (SELECT round(max(c), 6) FROM pr) AS max_sim"""
 )
 def selection_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,11 +67,13 @@ def group_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH {IMAGES}, t AS (SELECT * FROM images WHERE subset = 'train')
-    SELECT image_idx, round((feat[1] - avg(feat[1]) OVER ()) / (stddev_pop(feat[1]) OVER () + 1e-6), 6) AS z1, round((feat[8] - avg(feat[8]) OVER ()) / (stddev_pop(feat[8]) OVER () + 1e-6), 6) AS z8 FROM t"""
+    SELECT image_idx, round((feat[1] - avg(feat[1]) OVER ()) / (stddev_pop(feat[1]) OVER () + 1e-6), 6) AS z1, round((feat[64] - avg(feat[64]) OVER ()) / (stddev_pop(feat[64]) OVER () + 1e-6), 6) AS z64,
+        round({' + '.join(f'(feat[{k}] - avg(feat[{k}]) OVER ()) / (stddev_pop(feat[{k}]) OVER () + 1e-6)' for k in range(1, 65))}, 6) AS total FROM t"""
 )
 def style_zscore(spark: SparkSession, sf_dir: str) -> DataFrame:
-    z = pool.zscore(_pool(spark, sf_dir), "feat", 8)
-    return z.select("image_idx", F.round(F.get("feat", F.lit(0)), 6).alias("z1"), F.round(F.get("feat", F.lit(7)), 6).alias("z8"))
+    z = pool.zscore(_pool(spark, sf_dir), "feat", 64)
+    at = lambda k: F.round(F.get("feat", F.lit(k - 1)), 6).alias(f"z{k}")
+    return z.select("image_idx", at(1), at(64), F.round(F.aggregate("feat", F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
 
 
 @query(f"WITH {IMAGES}, f AS (SELECT image_idx, row_number() OVER (ORDER BY image_idx) AS pos FROM images WHERE subset = 'train') SELECT pos, image_idx FROM f WHERE pos <= 16")
