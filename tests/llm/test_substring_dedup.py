@@ -176,3 +176,33 @@ def test_query_finds_repeated_long_passages(spark):
     repeated = set().union(*(s for s in seen.values() if len(s) > 1))
     got = {r["doc_id"] for r in QUERIES["op7_substring_dedup"](spark, d).collect()}
     assert len(repeated & got) >= 0.9 * len(repeated)
+
+
+def test_pieces_of_long_sentences_make_up_the_text():
+    """Cuts depend on the words around them alone, and places are those of the text, also in scripts without spaces."""
+    rng = random.Random(3)
+    words = [f"w{rng.randrange(500)}" for _ in range(300)]
+    text = "  ".join(words).replace("w1", "W1")
+    found = list(sentences(text))
+    assert len(found) > 10 and [w for _, _, part in found for w in part] == words
+    assert all(text[a:b].lower().split() == part for a, b, part in found)
+    inner = {tuple(part) for _, _, part in found[1:-1]}
+    other = {tuple(part) for _, _, part in sentences(" ".join(["x"] * 60 + words + ["y"] * 60))}
+    assert inner <= other
+    wide = "，".join(["这是一个没有句号的很长的句子我们来看看它怎么被切开"] * 3)
+    assert all("".join(part) == wide[a:b] for a, b, part in sentences(wide)) and "".join(w for *_, part in sentences(wide) for w in part) == wide
+    assert [len(part) for *_, part in sentences("same " * 100)] == [100]  # nothing tells its places apart
+    assert [len(part) for *_, part in sentences(" ".join(words[:40]))] == [40]
+
+
+def test_passages_in_text_without_sentence_ends(documents):
+    """Forty documents of words alone, in pairs that share sixty words in a row; strangers beside them."""
+    rng = random.Random(11)
+    words = lambda n: [f"w{rng.randrange(4000)}" for _ in range(n)]
+    rows = []
+    for pair in range(20):
+        shared = words(60)
+        rows += [(2 * pair + side, " ".join(words(rng.randint(40, 200)) + shared + words(rng.randint(40, 200)))) for side in (0, 1)]
+    rows += [(100 + k, " ".join(words(250))) for k in range(20)]
+    got = {r["doc_id"] for r in repeated_passages(documents(rows)).collect()}
+    assert len(got & set(range(40))) >= 38 and not got & set(range(100, 120))

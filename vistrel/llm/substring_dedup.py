@@ -2,7 +2,9 @@
 
 Passages are inserted into lines as well as beside them, so the paragraphs that are compared are the sentences of at least MIN_WORDS
 words: whatever surrounds a passage, the sentences inside it stay whole. Shorter neighbours are compared as units of at least MIN_WORDS
-words, one from each short sentence on, so verse, lists and wrapped lines are found wherever the first of them stands.
+words, one from each short sentence on, so verse, lists and wrapped lines are found wherever the first of them stands. Stretches of more than
+LONG words without a sentence end are cut where their own words say so: after a pair of words whose hash is the least of the CUT_WINDOW
+before and after it. Equal passages are cut equally wherever they stand, but for the words at their edges.
 
 1. A scan lists the units of every text with a key, the hash of the normalised words.
 2. Distinct long sentences of a task are banded: BANDS bands of ROWS MinHash values, which miss a pair of similarity 0.8 with
@@ -29,6 +31,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -52,9 +55,13 @@ BROADCAST_ROWS = 1_000_000
 CACHE_WORDS, CACHE_KEYS, CACHE_SHINGLES = 200_000, 100_000, 200_000
 #: Outlying and all further keys of a block in step 3.
 BLOCK_OUT, BLOCK_ALL = 256, 2048
+#: Words of a sentence beyond which it is cut, and words on either side that decide on a cut. No shorter sentence holds a passage of 50 words.
+LONG, CUT_WINDOW = 40, 4
 _END = re.compile(r"(?<=[.!?])\s+|\n+")
 #: Characters of scripts without spaces between words (Thai to Khmer, kana, Han), and sentence ends where such stand.
 _UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+_TOKEN = re.compile(r"\S+")
+_WIDE_TOKEN = re.compile(f"{_UNSPACED.pattern}|[^\\s{_UNSPACED.pattern[1:-1]}]+")
 _WIDE_END = re.compile(r"(?<=[.!?])\s+|\n+|(?<=[\u3002\uff01\uff1f])\s*(?=\S)")
 
 _rng = np.random.default_rng(7)
@@ -63,20 +70,45 @@ _ADD = _rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
 _WEIGHTS = _rng.integers(0, 2**63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def cuts(words: list[str]) -> list[int]:
+    """Places before which a long sentence is cut, from 0 to the number of its words."""
+    h = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, len(words))
+    h = (h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(20)
+    n = len(h) - 2 * CUT_WINDOW
+    mid = h[CUT_WINDOW : CUT_WINDOW + n]
+    least = np.ones(max(n, 0), bool)
+    for k in range(2 * CUT_WINDOW + 1):
+        if k != CUT_WINDOW:
+            least &= mid < h[k : k + n] if k < CUT_WINDOW else mid <= h[k : k + n]
+    return [0, *(np.flatnonzero(least) + CUT_WINDOW + 1).tolist(), len(words)]
+
+
+def _pieces(lower: str, at: int, end: int, words: list[str], token: re.Pattern) -> Iterator[tuple[int, int, list[str]]]:
+    """A sentence, in pieces if it is long."""
+    if len(words) <= LONG:
+        yield at, end, words
+        return
+    places = [m.span() for m in token.finditer(lower, at, end)]
+    edges = cuts(words)
+    for a, b in zip(edges, edges[1:], strict=False):
+        yield (at if a == 0 else places[a][0]), (end if b == len(words) else places[b - 1][1]), words[a:b]
+
+
 def sentences(text: str | None) -> Iterator[tuple[int, int, list[str]]]:
-    """Start, end and lower-cased words of each sentence."""
+    """Start, end and lower-cased words of each sentence, of long ones of each piece."""
     text, at = text or "", 0
     lower = text.lower()
     if len(lower) != len(text):  # a few letters grow; places are those of the text
         lower = "".join(c if len(c.lower()) > 1 else c.lower() for c in text)
     unspaced = not text.isascii() and _UNSPACED.search(text)
     split = (lambda s: _UNSPACED.sub(r" \g<0> ", s).split()) if unspaced else str.split
+    token = _WIDE_TOKEN if unspaced else _TOKEN
     for gap in (_WIDE_END if unspaced else _END).finditer(text):
         if words := split(lower[at : gap.start()]):
-            yield at, gap.start(), words
+            yield from _pieces(lower, at, gap.start(), words, token)
         at = gap.end()
     if words := split(lower[at:]):
-        yield at, len(text), words
+        yield from _pieces(lower, at, len(text), words, token)
 
 
 def _key(words: list[str]) -> int:
