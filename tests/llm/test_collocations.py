@@ -136,6 +136,11 @@ def test_edges(spark):
     assert got(spark, rows) == plain(rows)
 
 
+def test_longer_phrases_are_refused(spark):
+    with pytest.raises(ValueError, match="2 to 4 words"):
+        got(spark, [("en", "a b")], most_words=5)
+
+
 def test_empty(spark):
     assert got(spark, []) == []
     assert got(spark, [("en", None), (None, "")]) == []

@@ -419,6 +419,8 @@ def _counted(texts: DataFrame, phrases: DataFrame) -> DataFrame:
 def phrase_frequencies(docs: DataFrame, least: int = LEAST, most_words: int = MOST_WORDS) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, f), exact, of at least all phrases of up to ``most_words`` words that occur ``least`` times in a language and of
     their words, and (lang, n) of all words."""
+    if not 2 <= most_words <= MOST_WORDS:
+        raise ValueError(f"phrases have 2 to {MOST_WORDS} words")
     bounded_batches(docs.sparkSession)
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     size = texts.agg(F.sum(F.octet_length("text").cast("double"))).first()[0] or 0
