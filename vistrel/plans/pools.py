@@ -207,7 +207,39 @@ for _name in selectors.SELECTORS:
     _selector(_name)
 
 
-@query()
+_IN_BATCH = f"""WITH RECURSIVE {IMAGES},
+    unit AS (SELECT image_idx // 320 AS batch, pid, list_transform(feat, lambda x: x / sqrt(list_dot_product(feat, feat))) AS v FROM images WHERE subset = 'train'),
+    mean AS (SELECT batch, pid, [{", ".join(f"avg(v[{k}])" for k in range(1, 65))}] AS m FROM unit GROUP BY batch, pid),
+    t AS (SELECT batch, pid, list_transform(m, lambda x: x / sqrt(list_dot_product(m, m))) AS feat, row_number() OVER (PARTITION BY batch ORDER BY pid) AS i,
+                 row_number() OVER (PARTITION BY batch ORDER BY md5(concat_ws(':', '{SEED}', CAST(pid AS VARCHAR))), pid) AS draw FROM mean),
+    s AS (SELECT a.batch, a.i, b.i AS j, CAST(round(list_dot_product(a.feat, b.feat) * 1000000) AS BIGINT) AS u FROM t a JOIN t b ON a.batch = b.batch),
+    tau AS (SELECT batch, quantile_cont(u, 0.99) AS tau FROM s WHERE i < j GROUP BY batch),
+    best AS (SELECT batch, i, j FROM (SELECT *, row_number() OVER (PARTITION BY batch, i ORDER BY u DESC, j) AS rn FROM s WHERE i <> j) WHERE rn = 1),
+    mates AS (SELECT a.batch, a.i, a.j FROM best a JOIN best b ON a.batch = b.batch AND a.j = b.i AND b.j = a.i),
+    wide AS (SELECT s.batch, s.i, list(u ORDER BY s.j) AS u, list(greatest(u, 0) ORDER BY s.j) AS g, list(s.j) FILTER (s.i = s.j OR u > tau OR s.j = mates.j) AS rules_out
+             FROM s JOIN tau ON tau.batch = s.batch LEFT JOIN mates ON mates.batch = s.batch AND mates.i = s.i GROUP BY s.batch, s.i),
+    every AS (SELECT t.batch, t.i, pid, draw, u, g, rules_out FROM t JOIN wide ON wide.batch = t.batch AND wide.i = t.i),
+    far AS (
+        SELECT batch, CAST(1 AS BIGINT) AS pos, i, pid, [i] AS taken, u AS near FROM every WHERE draw = 1
+        UNION ALL
+        SELECT batch, pos, i, pid, taken, near FROM (
+            SELECT f.batch, f.pos + 1 AS pos, e.i, e.pid, list_append(taken, e.i) AS taken, list_transform(list_zip(near, u), lambda z: greatest(z[1], z[2])) AS near,
+                   row_number() OVER (PARTITION BY f.batch ORDER BY near[e.i], e.i) AS rn
+            FROM far f JOIN every e ON e.batch = f.batch AND NOT list_contains(taken, e.i) WHERE f.pos < 4) WHERE rn = 1),
+    cover AS (
+        SELECT DISTINCT batch, CAST(0 AS BIGINT) AS pos, CAST(0 AS BIGINT) AS i, CAST(-1 AS BIGINT) AS pid, CAST([] AS BIGINT[]) AS barred, list_transform(u, lambda x: CAST(0 AS BIGINT)) AS covered FROM every
+        UNION ALL
+        SELECT batch, pos, i, pid, barred, covered FROM (
+            SELECT c.batch, c.pos + 1 AS pos, e.i, e.pid, list_concat(barred, rules_out) AS barred, list_transform(list_zip(covered, g), lambda z: greatest(z[1], z[2])) AS covered,
+                   row_number() OVER (PARTITION BY c.batch ORDER BY list_sum(list_transform(list_zip(g, covered), lambda z: greatest(z[1] - z[2], 0))) DESC, e.i) AS rn
+            FROM cover c JOIN every e ON e.batch = c.batch AND NOT list_contains(barred, e.i) WHERE c.pos < 4) WHERE rn = 1),
+    picked AS (SELECT batch, 'kcenter' AS selector, pos, pid FROM far UNION ALL SELECT batch, 'facility', pos, pid FROM cover WHERE pos > 0),
+    names AS (SELECT DISTINCT batch, selector FROM picked)
+    SELECT e.batch, n.selector, row_number() OVER (PARTITION BY e.batch, n.selector ORDER BY p.pos NULLS LAST, e.pid) AS pos, e.pid AS image_idx, p.pos IS NOT NULL AS chosen
+    FROM every e JOIN names n ON n.batch = e.batch LEFT JOIN picked p ON p.batch = e.batch AND p.selector = n.selector AND p.pid = e.pid"""
+
+
+@query(_IN_BATCH)
 def select_in_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Identities chosen by their mean vectors within each training batch, and then the batch's others in their order."""
     batched = images(spark, sf_dir, "train").withColumn("batch", F.floor(F.col("image_idx") / 320))
