@@ -22,13 +22,20 @@ def pool_statistics(pool: DataFrame, has_cameras: bool = True, by: tuple[str, ..
     nn_sim and typicality look at all other images, pairability and best_idx at those of other cameras only. An image
     without such a partner has nulls there.
     """
-    near = nearest(pool, pool, NEIGHBOURS, same_set=True, similarity=True, by=by)
-    dense = near.groupBy(*by, "a_idx").agg(
-        F.max("value").alias("nn_sim"), F.round(1 / F.avg(F.greatest(1 - F.col("value"), F.lit(LEAST_DISTANCE))), DIGITS).alias("typicality")
-    )
+    return typicality(pool, by).join(best_matches(pool, has_cameras, by), [*by, "image_idx"], "left")
+
+
+def typicality(pool: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by.., image_idx, nn_sim, typicality): the greatest similarity, and one over the mean distance of the nearest images."""
+    near = nearest(pool, pool, NEIGHBOURS, same_set=True, similarity=True, by=by).withColumnRenamed("a_idx", "image_idx")
+    mean = F.avg(F.greatest(1 - F.col("value"), F.lit(LEAST_DISTANCE)))
+    return near.groupBy(*by, "image_idx").agg(F.max("value").alias("nn_sim"), F.round(1 / mean, DIGITS).alias("typicality"))
+
+
+def best_matches(pool: DataFrame, has_cameras: bool = True, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by.., image_idx, pairability, best_idx): the most similar image, of another camera where there are cameras."""
     best = nearest(pool, pool, 1, differs="camid" if has_cameras else None, same_set=True, similarity=True, by=by)
-    best = best.select(*by, "a_idx", F.col("value").alias("pairability"), F.col("b_idx").alias("best_idx"))
-    return dense.join(best, [*by, "a_idx"], "left").withColumnRenamed("a_idx", "image_idx")
+    return best.select(*by, F.col("a_idx").alias("image_idx"), F.col("value").alias("pairability"), F.col("b_idx").alias("best_idx"))
 
 
 def mutual_partners(statistics: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:

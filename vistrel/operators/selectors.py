@@ -24,7 +24,7 @@ from vistrel.functions.draw import draw_key
 from vistrel.operators.blocks import DIGITS, matrix
 from vistrel.operators.clusters import kmeans
 from vistrel.operators.identity import numbered, numbered_within
-from vistrel.operators.pool import DUP_QUANTILE, LEAST_DISTANCE, NEIGHBOURS, dup_threshold, mutual_partners, pool_statistics
+from vistrel.operators.pool import DUP_QUANTILE, LEAST_DISTANCE, NEIGHBOURS, best_matches, dup_threshold, mutual_partners, typicality
 from vistrel.session import written
 
 #: Rows that facility location covers at most, and rows that it may pick; drawn where the pool has more.
@@ -303,14 +303,13 @@ def _table(pools: DataFrame, by: list[str], names: list[str], k: int, seed: int,
     else:
         drawn = drawn.withColumn("_draw", draw_key(seed, "image_idx"))
     if _BARRING & set(names):
-        known = written(pool_statistics(rows, has_cameras, tuple(by)), "pool-statistics")
+        known = written(best_matches(rows, has_cameras, tuple(by)), "pool-matches")
         partner = mutual_partners(known, tuple(by)).withColumnRenamed("partner_idx", "_partner")
-        shown = known.select(*key, (-F.col("typicality")).alias("_sparse"), (-F.col("pairability")).alias("_pair"))
-        drawn = drawn.join(shown, key, "left").join(partner, key, "left")
-        drawn = drawn.fillna({"_pair": math.inf, "_sparse": -1.0})  # a pool of one row has no neighbours
+        drawn = drawn.join(known.select(*key, (-F.col("pairability")).alias("_pair")), key, "left").join(partner, key, "left").fillna({"_pair": math.inf})
     else:
         drawn = drawn.withColumn("_partner", F.lit(None).cast("long"))
     if "typical" in names:
+        drawn = drawn.join(typicality(rows, tuple(by)).select(*key, (-F.col("typicality")).alias("_sparse")), key, "left").fillna({"_sparse": -1.0})  # a pool of one row has no neighbours
         found = kmeans(rows.select(*key, F.col("feat").alias("x")), by, k, seed)
         drawn = drawn.join(found.select(*key, F.col("label").alias("_cluster")), key)
     if "style_cover" in names:
@@ -389,7 +388,7 @@ def _go_on(table: DataFrame, by: list[str], states: dict[tuple, State]) -> None:
         first = W.Window.partitionBy(*by, "selector", "kind").orderBy("num", "text", "image_idx")
         best = table.mapInPandas(run, schema).withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= max(a.n for a in asks.values()))
         rows: dict[tuple, list] = {key: [] for key in asks}
-        for r in best.orderBy("_n").collect():  # LOOK rows at most for each pool and selector
+        for r in sorted(best.collect(), key=lambda r: r["_n"]):  # LOOK rows at most for each pool and selector
             rows[tuple(r[: len(by)]), r["selector"]].append(Row(r["image_idx"], r["camid"], r["_partner"], np.array(r["feat"]), r["num"], r["kind"]))
         asks = _next(rules, asks, rows)
     evaluated.unpersist()

@@ -152,7 +152,8 @@ def repeated_names(plan: DataFrame) -> DataFrame:
 
 
 def verify_hashes(spark: SparkSession, root: str, manifest: DataFrame) -> DataFrame:
-    """(name, sha256, actual, ok) of a manifest (name, sha256) against the files below root; a name is the path from root on."""
+    """(name, sha256, actual, ok) of a manifest (name, sha256) against the files below root; a name is the path from root on. A file is one
+    cell of a row, so none may have more than 2 GB."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     at = F.instr(F.col("path"), f"{root.rstrip('/').split('://')[-1]}/") + len(root.rstrip("/").split("://")[-1]) + 1
     found = found.select(F.col("path").substr(at, F.length("path")).alias("name"), F.sha2("content", 256).alias("actual"))
