@@ -56,6 +56,19 @@ def test_clusters_in_many_blocks(spark, monkeypatch):
     assert got(spark, vectors, block_rows=40, pivots=8) == plain(vectors, 20)
 
 
+def test_chunks_meet_in_any_partition(spark, monkeypatch):
+    """Shuffles keep all their partitions, as large ones do."""
+    monkeypatch.setattr(pivot_search, "ASKING_ROWS", 7)
+    monkeypatch.setattr(pivot_search, "SUMMARY_ROWS", 5)
+    rng = np.random.default_rng(5)
+    vectors = [(k, rng.normal(size=6).tolist()) for k in range(400)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert got(spark, vectors, block_rows=20, pivots=8) == plain(vectors, 20)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_bounds_hold_and_prune():
     rng = np.random.default_rng(1)
     for spread in (1.0, 1e3, 1e6):

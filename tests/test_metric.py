@@ -35,6 +35,20 @@ def test_small_blocks_agree_with_one(spark):
     pd.testing.assert_frame_equal(one.sort_values(order, ignore_index=True), many.sort_values(order, ignore_index=True))
 
 
+@pytest.fixture
+def uncoalesced(spark):
+    """Shuffles keep all their partitions, as large ones do."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_blocks_meet_in_any_partition(spark, uncoalesced):
+    _, df = vectors(spark, 60)
+    met = blocks.block_scan(df, df, lambda x, y: pd.DataFrame({"pairs": [len(x) * len(y)]}), "pairs long", block_rows=7)
+    assert met.agg(F.sum("pairs")).first()[0] == 60 * 60
+
+
 def test_average_precision_by_hand(spark):
     frame, df = vectors(spark, 80)
     got = retrieval.per_query(df.where("image_idx < 20"), df.where("image_idx >= 20")).toPandas().set_index("q_idx")

@@ -219,7 +219,8 @@ def top_k(vectors: DataFrame, asks: Column, k: int, scale: float = 1.0, id: str
         return pd.concat(out)
 
     def dealt(df: DataFrame, own: str, n_own: int, other: str, n_other: int, *key: str) -> DataFrame:
-        return df.withColumn(own, F.pmod(F.xxhash64(*key), F.lit(n_own))).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))))
+        # numbers have one type on both sides: a long and an int of one value hash to different partitions
+        return df.withColumn(own, F.pmod(F.xxhash64(*key), F.lit(n_own)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))))
 
     asking = dealt(queries.select("row", "d", "norm", "least", "cell", "part"), "_q", parts, "_b", chunks, "row")
     blocks = dealt(summaries, "_b", chunks, "_q", parts, "cell", "part")
