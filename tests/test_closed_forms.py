@@ -108,3 +108,19 @@ def test_running_average_over_parts(spark):
     df = spark.createDataFrame(rows, "run string, step long, loss double").repartition(6)
     got = {r["run"]: r["ema"] for r in logs.running_ema(df, 0.999).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want)
+
+
+def test_folds_of_long_lists_look_at_sets_of_flags(spark):
+    """Positions past 32 bits, options without flags, repeated flags and sets in other orders, against a plain fold."""
+    from vistrel.operators.runs import fold_options
+
+    options = [(n % 3, 2**40 + n, "plain" if n % 9 == 0 else f"--f{n % 13} 1 --g{n % 8} 2" if n % 2 else f"--g{n % 8} 2 --f{n % 5} --f{n % 5}") for n in range(600)]
+    expected = []
+    seen = {k: set() for k in range(3)}
+    for plan, pos, option in options:
+        flags = {w for w in option.split() if w.startswith("--")}
+        if not flags & seen[plan]:
+            seen[plan] |= flags
+            expected.append((plan, pos, option))
+    got = fold_options(spark.createDataFrame(options, "plan long, pos long, option string"), "plan")
+    assert sorted(map(tuple, got.collect())) == sorted(expected)

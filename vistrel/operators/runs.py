@@ -208,17 +208,22 @@ def noise_corrected(total: Column, noise: Column) -> Column:
 
 def fold_options(options: DataFrame, *by: str) -> DataFrame:
     """(by.., pos, option) of options (by.., pos, option), a list that someone wrote for each ``by``: an option with any flag of an earlier kept one of
-    its list is dropped, whole."""
-    flags = F.array_distinct(F.regexp_extract_all("option", F.lit(r"(--\w+)"), F.lit(1)))
-    rows = options.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("pos", "option", flags.alias("flags")))).alias("rows"))
-    none = F.struct(F.array().cast("array<string>").alias("seen"), F.array().cast("array<int>").alias("kept"))
+    its list is dropped, whole.
+
+    Options without flags stay. Of those with the same flags only the first can stay, so the fold runs over distinct sets of flags.
+    """
+    flags = F.array_sort(F.array_distinct(F.regexp_extract_all("option", F.lit(r"(--\w+)"), F.lit(1))))
+    rows = options.select(*by, "pos", "option", flags.alias("flags"))
+    firsts = rows.where(F.size("flags") > 0).groupBy(*by, "flags").agg(F.min(F.struct("pos", "option")).alias("first"))
+    lists = firsts.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("first", "flags"))).alias("sets"))
+    none = F.struct(F.array().cast("array<string>").alias("seen"), F.array().cast(lists.select(F.transform("sets", lambda s: s["first"]).alias("v")).schema["v"].dataType).alias("kept"))
 
     def step(s: Column, o: Column) -> Column:
         free = ~F.arrays_overlap(s["seen"], o["flags"])
-        return F.when(free, F.struct(F.concat(s["seen"], o["flags"]).alias("seen"), F.concat(s["kept"], F.array(o["pos"].cast("int"))).alias("kept"))).otherwise(s)
+        return F.when(free, F.struct(F.concat(s["seen"], o["flags"]).alias("seen"), F.concat(s["kept"], F.array(o["first"])).alias("kept"))).otherwise(s)
 
-    kept = F.aggregate("rows", none, step, lambda s: s["kept"])
-    return rows.select(*by, F.explode(F.filter("rows", lambda o: F.array_contains(kept, o["pos"].cast("int")))).alias("o")).select(*by, "o.pos", "o.option")
+    kept = lists.select(*by, F.explode(F.aggregate("sets", none, step, lambda s: s["kept"])).alias("o")).select(*by, "o.pos", "o.option")
+    return rows.where(F.size("flags") == 0).select(*by, "pos", "option").unionByName(kept)
 
 
 def grid_rows(runs: DataFrame, questions: DataFrame, by: list[str]) -> DataFrame:
