@@ -171,3 +171,21 @@ def test_plans_of_many_pairs_together(spark, monkeypatch):
     got = {r["pair_id"]: r["distance"] for r in metric.alignment(df).collect()}
     assert got.pop(99) == 0
     assert all(abs(got[k] - plain_transport(x, y)) < 1e-9 for k, (x, y) in enumerate(sets)) and len(got) == len(sets)
+
+
+def test_large_plans_are_never_held(spark, monkeypatch):
+    """Plans of more cells than are held go by rows, with the same costs."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=(90, 6)), rng.normal(size=(70, 6))
+    df = spark.createDataFrame([(k, 1, x[: 90 - k].tolist(), y.tolist()) for k in range(5)] + [(9, 1, [], y.tolist())], "pair_id long, label long, xs array<array<double>>, ys array<array<double>>")
+    monkeypatch.setattr(metric, "CELLS_TOGETHER", 500)
+    got = {r["pair_id"]: r["distance"] for r in metric.alignment(df).collect()}
+    assert got.pop(9) == 0 and all(abs(got[k] - plain_transport(x[: 90 - k], y)) < 1e-9 for k in range(5))
+    monkeypatch.undo()
+    wide = rng.normal(size=(2000, 8))
+    tracemalloc.start()
+    metric.transport_cost_by_rows(wide, wide[:1500], iterations=2)
+    assert tracemalloc.get_traced_memory()[1] < 60_000_000  # a plan of these has 24 MB, and several were held
+    tracemalloc.stop()
