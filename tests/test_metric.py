@@ -49,6 +49,21 @@ def test_blocks_meet_in_any_partition(spark, uncoalesced):
     assert met.agg(F.sum("pairs")).first()[0] == 60 * 60
 
 
+def test_copies_of_a_side_do_not_grow_with_it(spark, monkeypatch):
+    """Blocks grow with the side, tiles do not, and a block leaves a left row's best only."""
+    monkeypatch.setattr(blocks, "BLOCK_ROWS", 4)
+    monkeypatch.setattr(blocks, "TILE_ROWS", 4)
+    frame, df = vectors(spark, 300)
+    met = blocks.block_scan(df, df, lambda x, y: pd.DataFrame({"left": [len(x)], "right": [len(y)], "tiles": [1]}), "left long, right long, tiles long", fold=lambda f: f.assign(right=f["right"].sum(), tiles=len(f))[:1]).toPandas()
+    assert (met["left"] * met["right"]).sum() == 300 * 300 and met["left"].max() <= 4
+    assert met["left"].sum() <= 300 * blocks.GRID and met["tiles"].max() > 4
+    x = np.stack(frame["feat"])
+    sims = np.round(x @ x.T, 6)
+    np.fill_diagonal(sims, -np.inf)
+    near = blocks.nearest(df, df, 3, same_set=True, similarity=True).toPandas().sort_values(["a_idx", "rn"])
+    assert (near["b_idx"].to_numpy().reshape(300, 3) == np.argsort(-sims, axis=1, kind="stable")[:, :3]).all()
+
+
 def test_average_precision_by_hand(spark):
     frame, df = vectors(spark, 80)
     got = retrieval.per_query(df.where("image_idx < 20"), df.where("image_idx >= 20")).toPandas().set_index("q_idx")

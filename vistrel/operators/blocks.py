@@ -1,7 +1,8 @@
 """Block scans: every row of one side meets every row of the other, as matrix products of bounded blocks.
 
-A plain join would write each pair; here a block pair is one product, and only what the caller's function makes of it
-leaves the block. Block sizes bound memory, the grid spreads the work evenly, and no side is broadcast.
+A plain join would write each pair; here a block pair is a grid of products of bounded tiles, and only what the caller's function
+makes of them leaves the block. A side is copied once for each block of the other, so blocks grow with the side: copies are GRID
+at most until blocks have MOST_ROWS. Tiles and blocks bound memory, the grid spreads the work evenly, and no side is broadcast.
 """
 
 from __future__ import annotations
@@ -14,8 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-#: Rows of a block on either side.
-BLOCK_ROWS = 2048
+#: Rows of a tile on either side, and of a block at least and at most; blocks that a side is cut into before they grow.
+TILE_ROWS, BLOCK_ROWS, MOST_ROWS, GRID = 2048, 2048, 32768, 8
 #: Digits that distances and similarities are rounded to before they are ordered.
 DIGITS = 6
 
@@ -25,14 +26,22 @@ def matrix(column: pd.Series) -> np.ndarray:
 
 
 def block_scan(
-    left: DataFrame, right: DataFrame, fn: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, block_rows: int = BLOCK_ROWS, key: str = "image_idx", by: tuple[str, ...] = ()
+    left: DataFrame,
+    right: DataFrame,
+    fn: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame],
+    schema: str,
+    block_rows: int | None = None,
+    key: str = "image_idx",
+    by: tuple[str, ...] = (),
+    fold: Callable[[pd.DataFrame], pd.DataFrame] | None = None,
 ) -> DataFrame:
-    """fn over each pair of a left and a right block; both sides have the column ``key``. With ``by`` only rows that agree in these
-    columns meet, which the result begins with."""
+    """fn over each pair of a left and a right tile; both sides have the column ``key``. With ``by`` only rows that agree in these
+    columns meet, which the result begins with. ``fold`` makes one result of those of a left tile within a block."""
 
     def blocks(df: DataFrame) -> int:
-        largest = df.groupBy(*by).count().agg(F.max("count")).first()[0]
-        return max(1, -(-(largest or 0) // block_rows))
+        largest = df.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+        rows = block_rows or min(MOST_ROWS, max(BLOCK_ROWS, -(-largest // GRID)))
+        return max(1, -(-largest // rows))
 
     n_left, n_right = blocks(left), blocks(right)
 
@@ -46,7 +55,13 @@ def block_scan(
     def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         if not len(x) or not len(y):
             return pd.DataFrame()
-        out = fn(x.sort_values(key, ignore_index=True), y.sort_values(key, ignore_index=True))
+        x, y = x.sort_values(key, ignore_index=True), y.sort_values(key, ignore_index=True)
+        parts = []
+        for i in range(0, len(x), TILE_ROWS):
+            tile = x[i : i + TILE_ROWS].reset_index(drop=True)
+            found = [fn(tile, y[j : j + TILE_ROWS].reset_index(drop=True)) for j in range(0, len(y), TILE_ROWS)]
+            parts.append(fold(pd.concat(found, ignore_index=True)) if fold and len(found) > 1 else pd.concat(found, ignore_index=True))
+        out = pd.concat(parts, ignore_index=True)
         for n, c in enumerate(by):
             out.insert(n, c, x[c].iloc[0])
         return out
@@ -75,7 +90,10 @@ def nearest(left: DataFrame, right: DataFrame, k: int, differs: str | None = Non
         out = pd.DataFrame({"a_idx": x["image_idx"].to_numpy()[rows], "b_idx": y["image_idx"].to_numpy()[near.ravel()], "value": np.take_along_axis(d, near, 1).ravel()})
         return out[np.isfinite(out["value"])]
 
-    part = block_scan(left.select(columns), right.select(columns), block, "a_idx long, b_idx long, value double", by=by)
+    def least(found: pd.DataFrame) -> pd.DataFrame:
+        return found.sort_values(["a_idx", "value", "b_idx"]).groupby("a_idx").head(k)
+
+    part = block_scan(left.select(columns), right.select(columns), block, "a_idx long, b_idx long, value double", by=by, fold=least)
     best = W.Window.partitionBy(*by, "a_idx").orderBy("value", "b_idx")
     ranked = part.withColumn("rn", F.row_number().over(best)).where(F.col("rn") <= k)
     return ranked.withColumn("value", -F.col("value") if similarity else F.col("value"))

@@ -62,7 +62,8 @@ def dup_threshold(pool: DataFrame, quantile: float = DUP_QUANTILE, by: tuple[str
     Exact for any pool: blocks count rounded similarities, of which there are at most two million.
     """
     side = pool.select(*by, "image_idx", "feat")
-    counts = block_scan(side, side, _histogram, "value long, n long", by=by).groupBy(*by, "value").agg(F.sum("n").alias("n"))
+    add = lambda found: found.groupby("value", as_index=False)["n"].sum()
+    counts = block_scan(side, side, _histogram, "value long, n long", by=by, fold=add).groupBy(*by, "value").agg(F.sum("n").alias("n"))
     return counts.groupBy(*by).agg(F.round(F.percentile(F.col("value") / F.lit(float(_SCALE)), F.lit(quantile), F.col("n")), digits).alias("dup_tau"))
 
 
