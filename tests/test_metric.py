@@ -81,6 +81,29 @@ def test_average_precision_by_hand(spark):
         assert abs(got.loc[i, "ap"] - np.mean(np.arange(1, len(ranks) + 1) / ranks)) < 1e-6
 
 
+@pytest.mark.parametrize("distance", ["cosine", "sqeuclidean"])
+def test_hits_counted_over_many_blocks(spark, uncoalesced, monkeypatch, distance):
+    """Ranks by parts of the queries, of the hits and of the gallery, with ties and long distances, against one sorted list a query; no row is shuffled for a hit."""
+    monkeypatch.setattr(retrieval, "MOST_ROWS", 9)
+    monkeypatch.setattr(retrieval, "LEAST_ASKED", 4)
+    frame, _ = vectors(spark, 90)
+    frame.loc[40:60, "feat"] = pd.Series([frame["feat"][0]] * 21, index=range(40, 61))
+    if distance == "sqeuclidean":
+        frame["feat"] = [[v * 3e7 for v in x] if n % 11 == 0 else x for n, x in enumerate(frame["feat"])]
+    df = spark.createDataFrame(frame)
+    q, g = df.where("image_idx < 25"), df.where("image_idx >= 25")
+    expected = []
+    for _, row in frame[:25].iterrows():
+        kept = frame[25:][~((frame["pid"][25:] == row["pid"]) & (frame["camid"][25:] == row["camid"]))]
+        x, a = np.stack(kept["feat"]), np.array(row["feat"])
+        d = np.round(1 - x @ a if distance == "cosine" else (x * x).sum(1) + (a * a).sum() - 2 * x @ a, 6)
+        order = np.lexsort((kept["image_idx"], d))
+        hit = (kept["pid"].to_numpy() == row["pid"])[order]
+        expected += [(row["image_idx"], int(i), int(r) + 1, n) for n, (i, r) in enumerate(zip(kept["image_idx"].to_numpy()[order][hit], np.flatnonzero(hit), strict=True), 1)]
+    assert sorted(map(tuple, retrieval.hit_ranks(q, g, distance).collect())) == sorted(expected)
+    assert retrieval._counted(q, g, distance, ()).groupBy("q_idx", "hits").count().count() < len(expected)
+
+
 def test_transport_plan_prefers_equal_sets():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(6, 5))
