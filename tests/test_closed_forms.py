@@ -124,3 +124,13 @@ def test_folds_of_long_lists_look_at_sets_of_flags(spark):
             expected.append((plan, pos, option))
     got = fold_options(spark.createDataFrame(options, "plan long, pos long, option string"), "plan")
     assert sorted(map(tuple, got.collect())) == sorted(expected)
+
+
+def test_pairs_of_an_identity_spread_over_tasks(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from vistrel.plans.retrievals import retrieval_euclidean_hits
+
+    found = retrieval_euclidean_hits(spark, sf_dir)
+    assert found.select(F.spark_partition_id()).distinct().count() > 1
+    assert "lambda" not in found._jdf.queryExecution().optimizedPlan().toString()
