@@ -91,6 +91,17 @@ def test_small_parts(spark, monkeypatch):
     assert got(spark, rows, top=3, least=12) == plain(rows, top=3, least=12)
 
 
+def test_one_scan_however_large_the_dictionary(spark, monkeypatch):
+    """Texts are scanned once, not once for each part of the dictionary; stretches of one chunk count the same."""
+    scans, scan = [], c._scan
+    monkeypatch.setattr(c, "DICTIONARY_ROWS", 20)
+    monkeypatch.setattr(c, "CHUNK", 3000)
+    monkeypatch.setattr(c, "_scan", lambda *given: scans.append(1) or scan(*given))
+    rows = invented(4, 24)
+    assert got(spark, rows, least=12) == plain(rows, least=12)
+    assert len(scans) == 1
+
+
 @pytest.mark.parametrize("size", [1, 7, 40, 1000])
 def test_chunks_count_each_place_once(monkeypatch, size):
     import pyarrow as pa

@@ -3,14 +3,16 @@
 1. Scan tasks add hashes of words, then of two to four words all of which may be frequent, to a count-min sketch of two rows. A task sends
    its non-empty cells in packed pieces; pieces of a shard of cells are added up, in two steps where there are many (saturating, as only
    "at least the threshold" matters), and leave a bit a cell. Counts of a sketch are upper bounds, so no frequent phrase is lost.
-2. The phrases whose own cells and those of all their parts pass are the candidates; with their words they form the dictionary.
-3. The dictionary, in shards of bounded size, is compiled into Aho-Corasick automata, one for each language. Phrases are guarded by a space
-   on either side, in texts whose words stand between single spaces and whose pieces are parted by a line feed, so matches are whole
-   words within a piece. Scan shards of the text count all matches, overlapping ones included, and counts are summed.
+2. The phrases and words whose own cells and those of all their parts pass are the candidates. A scan takes its texts in stretches; the
+   candidates of a stretch are its dictionary, of bounded size.
+3. A dictionary is compiled into Aho-Corasick automata, one for each language. Phrases are guarded by a space on either side, in texts whose
+   words stand between single spaces and whose pieces are parted by a line feed, so matches are whole words within a piece. The
+   automata count all matches in their stretch, overlapping ones included; counts are summed by phrase. A text is scanned once, however
+   many phrases are frequent, and no dictionary leaves its task.
 4. Thresholds, scores and the rule about longer phrases are joins over the counted phrases.
 
-The sketch's width follows the input up to MOST_CELLS (its bits go to every task); beyond that it lets more phrases pass and the dictionary
-has more shards, each another scan: slower, with the same result.
+The sketch's width follows the input up to MOST_CELLS (its bits go to every task); beyond that it lets more phrases pass and stretches get
+shorter: slower, with the same result.
 
 A null language is ``und``, a null text empty; repeated rows count each. Other columns play no part. An empty table has no phrases.
 """
@@ -20,7 +22,6 @@ from __future__ import annotations
 import math
 import re
 import string
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -39,13 +40,13 @@ from vistrel.llm.common import bounded_batches, materialise
 #: Occurrences from which a phrase is a candidate, words of a phrase at most, and the percentage of a phrase's occurrences inside a longer one that drops it.
 LEAST, MOST_WORDS, INSIDE = 30, 4, 80
 #: Cells of a row of the sketch: at least and at most, and occurrences for each; cells that are added up together.
-LEAST_CELLS, MOST_CELLS, PER_CELL, SHARD_CELLS = 1 << 18, 1 << 26, 4, 1 << 16
+LEAST_CELLS, MOST_CELLS, PER_CELL, SHARD_CELLS = 1 << 18, 1 << 28, 4, 1 << 16
 #: Counters stop here. Occurrences a cell that are added up in one place (beyond, in two steps), and hashes that a task collects before it sends them.
 FULL, ADDED, HELD = 255, 64, 4_000_000
-#: Bytes and phrases of a shard of the dictionary; 400 000 phrases take a task some 150 MB.
-DICTIONARY_BYTES, DICTIONARY_ROWS = 12 << 20, 400_000
-#: Words of the corpus for each list that candidates are dealt to by hash, and such lists at most.
-BUCKET_WORDS, MOST_BUCKETS = 200_000, 1 << 16
+#: Bytes and phrases of a dictionary, and bytes of text that it is for at most; 400 000 phrases take a task some 150 MB.
+DICTIONARY_BYTES, DICTIONARY_ROWS, STRETCH = 12 << 20, 400_000, 32 << 20
+#: Words of the corpus for each list that counts are dealt to by hash, and such lists at most.
+BUCKET_WORDS, MOST_BUCKETS = 500_000, 1 << 16
 #: Bytes of text that are worked on together, and bytes of a word that its hash looks at.
 CHUNK, HASHED = 1 << 20, 1024
 
@@ -267,7 +268,7 @@ def _sketch(texts: DataFrame, expected: int, sizes: tuple[int, ...], sketches: l
     pieces = added.where("row >= 0")
     if salts > 1:
         pieces = pieces.withColumn("salt", F.lit(0)).repartition("row", "shard").sortWithinPartitions("row", "shard").mapInArrow(_added, _PIECES)
-    found = pieces.select("row", "shard", "piece").mapInArrow(_bits(least), "row int, shard int, bits binary").toArrow()  # a bit a cell: at most 16 MB
+    found = pieces.select("row", "shard", "piece").mapInArrow(_bits(least), "row int, shard int, bits binary").toArrow()  # a bit a cell: at most 64 MB
     bits = [np.zeros(cells // 8, np.uint8) for _ in range(2)]
     for row, shard, packed in zip(*(c.to_pylist() for c in found.columns), strict=True):
         bits[row][shard * SHARD_CELLS // 8 : (shard + 1) * SHARD_CELLS // 8] = np.frombuffer(packed, np.uint8)
@@ -275,150 +276,91 @@ def _sketch(texts: DataFrame, expected: int, sizes: tuple[int, ...], sketches: l
     return texts.sparkSession.sparkContext.broadcast(Sketch(cells, bits)), totals
 
 
-_LISTS = "lang string, bucket int, phrases binary"
-_LISTS_ARROW = pa.schema([("lang", pa.string()), ("bucket", pa.int32()), ("phrases", pa.binary())])
+_LISTS = "lang string, bucket int, counts binary"
+_LISTS_ARROW = pa.schema([("lang", pa.string()), ("bucket", pa.int32()), ("counts", pa.binary())])
 
 
-def _candidates(sketches: list[Broadcast], most: int, buckets: int):
-    """Rows (lang, text) -> the phrases of two words and more that no sketch rules out, as packed lists by a hash; each once in a while of a task."""
+def _matches(phrases: list[bytes], texts: list[tuple[bytes, int]]) -> np.ndarray:
+    """How often each phrase begins in the texts (text, limit) before their limits, overlapping matches included."""
+    automaton = ahocorasick.Automaton()
+    for n, p in enumerate(phrases):
+        automaton.add_word(f" {p.decode('latin-1')} ", n)
+    automaton.make_automaton()
+    lengths, counts = np.array([len(p) + 2 for p in phrases]), np.zeros(len(phrases), np.int64)
+    for text, limit in texts:
+        found = np.fromiter(automaton.iter(text.decode("latin-1")), "i8,i8")
+        ends, which = found["f0"], found["f1"]
+        counts += np.bincount(which[ends - lengths[which] + 1 < limit], minlength=len(phrases))
+    return counts
 
-    def packed(held: dict[str, set[bytes]]) -> Iterator[pa.RecordBatch]:
-        for lang, phrases in held.items():
-            lists: dict[int, list[bytes]] = {}
-            for p in sorted(phrases):
-                lists.setdefault(zlib.crc32(p) % buckets, []).append(p)
-            packs = [zstandard.compress(b"\n".join(listed), 1) for listed in lists.values()]
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(packs), pa.string()), pa.array(list(lists), pa.int32()), pa.array(packs, pa.binary())], schema=_LISTS_ARROW)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, set[bytes]] = {}
-        for lang, text, limit in _chunks(batches):
-            words, phrases = _Words(lang, text, limit), held.setdefault(lang, set())
-            for m, _, may in _frequent(words, sketches, most):
-                if m > 1:
-                    at = np.flatnonzero(may & words.own[: len(may)])
-                    phrases.update(text[s:e] for s, e in zip(words.start[at].tolist(), words.end[at + m - 1].tolist(), strict=True))
-            if sum(map(len, held.values())) > 400_000:
-                yield from packed(held)
-                held = {}
-        yield from packed(held)
-
-    return run
-
-
-def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lists in the order of their keys (lang, bucket) -> each phrase once."""
-    key, phrases = None, set()
-
-    def rows() -> Iterator[pa.RecordBatch]:
-        listed = list(phrases)
-        for at in range(0, len(listed), 20_000):
-            part = listed[at : at + 20_000]
-            yield pa.RecordBatch.from_arrays([pa.array([key[0]] * len(part), pa.string()), pa.array(part, pa.binary()).cast(pa.string())], names=["lang", "phrase"])
-
-    for b in batches:
-        for *k, packed in zip(*(b.column(n).to_pylist() for n in range(3)), strict=True):
-            if k != key:
-                yield from rows()
-                key, phrases = k, set()
-            phrases.update(zstandard.decompress(packed).split(b"\n"))
-    yield from rows()
+def _scan(sketches: list[Broadcast], most: int, buckets: int):
+    """Rows (lang, text) -> counts of the phrases that no sketch rules out, as packed lists by a hash, for one stretch of a task's texts after another."""
 
+    def sent(lang: str, phrases: list[bytes], counts: np.ndarray) -> pa.RecordBatch:
+        lists: dict[int, list[int]] = {}
+        for n, p in enumerate(phrases):
+            lists.setdefault(zlib.crc32(p) % buckets, []).append(n)
+        # phrases hold no line feed, so the first two in a row end them
+        packs = [zstandard.compress(b"\n".join([phrases[n] for n in at]) + b"\n\n" + counts[at].astype("<u4").tobytes(), 1) for at in lists.values()]
+        return pa.RecordBatch.from_arrays([pa.array([lang] * len(packs), pa.string()), pa.array(list(lists), pa.int32()), pa.array(packs, pa.binary())], schema=_LISTS_ARROW)
 
-_compiled: dict[int, dict[str, tuple]] = {}
-
-
-def _automata(dictionary: Broadcast) -> dict[str, tuple]:
-    """(automaton, ids, lengths) by language; a worker keeps those of the dictionary that it used last."""
-    if (key := dictionary.value["key"]) not in _compiled:
-        _compiled.clear()
-        made = {}
-        for lang, (phrases, ids) in dictionary.value["phrases"].items():
-            automaton = ahocorasick.Automaton()
-            guarded = [f" {p.decode('latin-1')} " for p in phrases]
-            for n, p in enumerate(guarded):
-                automaton.add_word(p, n)
-            automaton.make_automaton()
-            made[lang] = automaton, ids, np.array([len(p) for p in guarded])
-        _compiled[key] = made
-    return _compiled[key]
-
-
-#: Phrases of a dictionary whose counts are sent together.
-COUNTED = 4096
-_COUNTS = "lang string, part int, counts binary"
-
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, tuple[set[bytes], list[tuple[bytes, int]]]] = {}
+        rows = size = stretch = 0
 
-def _scan(dictionary: Broadcast):
-    """Rows (lang, text) -> counts of the matches of the dictionary's phrases, overlapping ones included, by parts of it."""
+        def counted() -> Iterator[pa.RecordBatch]:
+            for lang in list(held):
+                found, texts = held.pop(lang)
+                if found:
+                    phrases = sorted(found)
+                    yield sent(lang, phrases, _matches(phrases, texts))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[str, np.ndarray] = {}
         for lang, text, limit in _chunks(batches):
-            if lang not in (automata := _automata(dictionary)):
-                continue
-            automaton, _, lengths = automata[lang]
-            found = np.fromiter(automaton.iter(text.decode("latin-1")), "i8,i8")
-            ends, which = found["f0"], found["f1"]
-            own = ends - lengths[which] + 1 < limit
-            counts[lang] = counts.get(lang, 0) + np.bincount(which[own], minlength=len(lengths))
-        for lang, n in counts.items():
-            parts = [(at // COUNTED, zstandard.compress(n[at : at + COUNTED].astype("<i8").tobytes(), 1)) for at in range(0, len(n), COUNTED) if n[at : at + COUNTED].any()]
-            if parts:
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(parts), pa.string()), pa.array([p[0] for p in parts], pa.int32()), pa.array([p[1] for p in parts], pa.binary())], names=["lang", "part", "counts"])
+            words, (phrases, texts) = _Words(lang, text, limit), held.setdefault(lang, (set(), []))
+            texts.append((text, limit))
+            stretch += len(text)
+            for m, _, may in _frequent(words, sketches, most):
+                at = np.flatnonzero(may & words.own[: len(may)])
+                new = {text[s:e] for s, e in zip(words.start[at].tolist(), words.end[at + m - 1].tolist(), strict=True)} - phrases
+                phrases |= new
+                rows, size = rows + len(new), size + sum(map(len, new))
+            if rows > DICTIONARY_ROWS or size > DICTIONARY_BYTES or stretch > STRETCH:
+                yield from counted()
+                rows = size = stretch = 0
+        yield from counted()
 
     return run
 
 
-def _summed(dictionary: Broadcast):
-    """Counts in the order of their keys (lang, part) -> (id, f) of the phrases that occur."""
+def _summed(least: int):
+    """Lists in the order of their keys (lang, bucket) -> (lang, phrase, f) of the phrases that occur ``least`` times."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, total = None, np.zeros(0, np.int64)
+        key, counts = None, {}
 
-        def rows() -> pa.RecordBatch:
-            ids = dictionary.value["phrases"][key[0]][1][key[1] * COUNTED :][: len(total)] if key else np.zeros(0, np.int64)
-            some = np.flatnonzero(total)
-            return pa.RecordBatch.from_arrays([pa.array(ids[some], pa.int64()), pa.array(total[some], pa.int64())], names=["id", "f"])
+        def rows() -> Iterator[pa.RecordBatch]:
+            listed = [(p, f) for p, f in counts.items() if f >= least]
+            for at in range(0, len(listed), 20_000):
+                part = listed[at : at + 20_000]
+                yield pa.RecordBatch.from_arrays([pa.array([key[0]] * len(part), pa.string()), pa.array([p for p, _ in part], pa.binary()).cast(pa.string()), pa.array([f for _, f in part], pa.int64())], names=["lang", "phrase", "f"])
 
         for b in batches:
             for *k, packed in zip(*(b.column(n).to_pylist() for n in range(3)), strict=True):
                 if k != key:
-                    yield rows()
-                    key, total = k, 0
-                total = total + np.frombuffer(zstandard.decompress(packed), "<i8")
-        yield rows()
+                    yield from rows()
+                    key, counts = k, {}
+                phrases, _, numbers = zstandard.decompress(packed).partition(b"\n\n")
+                for p, n in zip(phrases.split(b"\n"), np.frombuffer(numbers, "<u4").tolist(), strict=True):
+                    counts[p] = counts.get(p, 0) + n
+        yield from rows()
 
     return run
 
 
-def _counted(texts: DataFrame, phrases: DataFrame) -> DataFrame:
-    """(lang, phrase, f) of the phrases (lang, phrase) that occur."""
-    spark = texts.sparkSession
-    listed = materialise(phrases.withColumn("id", F.monotonically_increasing_id()), "phrase-dictionary")
-    size = listed.agg(F.count("*"), F.sum(F.octet_length("phrase"))).first()
-    shards = max(1, -(-size[0] // DICTIONARY_ROWS), -(-(size[1] or 0) // DICTIONARY_BYTES))
-    sharded = listed.withColumn("shard", F.pmod(F.xxhash64("lang", "phrase"), F.lit(shards)))
-    counts = []
-    for shard in range(shards):
-        table = sharded.where(F.col("shard") == shard).select("lang", F.col("phrase").cast("binary"), "id").toArrow()  # bounded by the shards' size
-        by: dict[str, tuple[list[bytes], list[int]]] = {}
-        for lang, phrase, i in zip(*(c.to_pylist() for c in table.columns), strict=True):
-            held = by.setdefault(lang, ([], []))
-            held[0].append(phrase), held[1].append(i)
-        sent = spark.sparkContext.broadcast({"key": uuid.uuid4().hex, "phrases": {k: (p, np.array(i)) for k, (p, i) in by.items()}})
-        part = texts.mapInArrow(_scan(sent), _COUNTS).repartition("lang", "part").sortWithinPartitions("lang", "part").mapInArrow(_summed(sent), "id long, f long")
-        counts.append(materialise(part, "phrase-counts"))
-        sent.unpersist()
-    found = counts[0]
-    for more in counts[1:]:
-        found = found.unionByName(more)
-    return materialise(listed.join(found, "id").select("lang", "phrase", "f"), "phrase-frequencies")
-
-
 def phrase_frequencies(docs: DataFrame, least: int = LEAST, most_words: int = MOST_WORDS) -> tuple[DataFrame, DataFrame]:
-    """(lang, phrase, f), exact, of at least all phrases of up to ``most_words`` words that occur ``least`` times in a language and of
-    their words, and (lang, n) of all words."""
+    """(lang, phrase, f), exact, of all phrases of up to ``most_words`` words, single ones too, that occur ``least`` times in a language, and
+    (lang, n) of all words."""
     if not 2 <= most_words <= MOST_WORDS:
         raise ValueError(f"phrases have 2 to {MOST_WORDS} words")
     bounded_batches(docs.sparkSession)
@@ -428,10 +370,8 @@ def phrase_frequencies(docs: DataFrame, least: int = LEAST, most_words: int = MO
     n = totals.agg(F.sum("n")).first()[0] or 0
     phrases, _ = _sketch(texts, n, tuple(range(2, most_words + 1)), [words], least)
     buckets = min(MOST_BUCKETS, max(16, n // BUCKET_WORDS))
-    lists = texts.mapInArrow(_candidates([words, phrases], most_words, buckets), _LISTS).repartition("lang", "bucket").sortWithinPartitions("lang", "bucket")
-    found = materialise(lists.mapInArrow(_distinct, "lang string, phrase string"), "phrase-candidates")
-    single = found.select("lang", F.explode(F.split("phrase", " ")).alias("phrase")).distinct()
-    return _counted(texts, found.unionByName(single)), totals
+    lists = texts.mapInArrow(_scan([words, phrases], most_words, buckets), _LISTS).repartition("lang", "bucket").sortWithinPartitions("lang", "bucket")
+    return materialise(lists.mapInArrow(_summed(least), "lang string, phrase string, f long"), "phrase-frequencies"), totals
 
 
 def collocations(docs: DataFrame, top: int | None, least: int = LEAST, most_words: int = MOST_WORDS) -> DataFrame:
