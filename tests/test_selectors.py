@@ -262,3 +262,31 @@ def test_rest_follows_the_picks(spark):
     picked = spark.createDataFrame([(0, "a", 1, 3), (0, "a", 2, 1), (1, "a", 1, 2)], "batch long, selector string, pos long, image_idx long")
     got = samples.with_rest(pool, picked, ["batch"]).orderBy("batch", "pos").collect()
     assert [(r["batch"], r["image_idx"], r["chosen"]) for r in got] == [(0, 3, True), (0, 1, True), (0, 0, False), (0, 2, False), (0, 4, False), (1, 2, True), (1, 0, False), (1, 1, False)]
+
+
+@pytest.mark.parametrize("name", ["facility", "facility_camera"])
+def test_facility_covers_every_row_of_a_large_pool(spark, name):
+    """More rows than were once drawn for it, against the rule written out over the whole matrix."""
+    rng = np.random.default_rng(5)
+    n, k = 4300, 4
+    x = rng.normal(size=(n, 6)) + np.repeat(rng.normal(size=(43, 6)), 100, axis=0)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    cams = np.arange(n) % 4
+    pool = spark.createDataFrame(pd.DataFrame({"domain": "d", "image_idx": np.arange(n), "camid": cams.astype("int32"), "feat": x.tolist()}))
+    got = selectors.select(pool, ["domain"], [name], k, SEED).orderBy("pos").toPandas()["image_idx"].to_list()
+    u = np.rint(x @ x.T * 10**6).astype(np.int64)
+    tau = np.quantile(u[np.triu_indices(n, 1)], 0.99)
+    far = np.where(cams[:, None] == cams[None], -(10**9), u)
+    best = far.argmax(1)
+    open_, cover, out = np.ones(n, bool), np.zeros(n, np.int64), []
+    for _ in range(k):
+        gain = np.array([np.maximum(r - cover, 0).sum() for r in u])
+        score = gain / gain[open_].max() + (selectors.CAMERA_BONUS * ~np.isin(cams, cams[out]) if name == "facility_camera" else 0)
+        pick = int(np.where(open_, score, -1).argmax())
+        out.append(pick)
+        cover = np.maximum(cover, u[pick])
+        open_ &= u[pick] <= tau
+        open_[pick] = False
+        if best[best[pick]] == pick:
+            open_[best[pick]] = False
+    assert got == out

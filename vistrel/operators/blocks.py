@@ -34,16 +34,18 @@ def block_scan(
     key: str = "image_idx",
     by: tuple[str, ...] = (),
     fold: Callable[[pd.DataFrame], pd.DataFrame] | None = None,
+    largest: tuple[int, int] | None = None,
 ) -> DataFrame:
     """fn over each pair of a left and a right tile; both sides have the column ``key``. With ``by`` only rows that agree in these
-    columns meet, which the result begins with. ``fold`` makes one result of those of a left tile within a block."""
+    columns meet, which the result begins with. ``fold`` makes one result of those of a left tile within a block. ``largest`` gives
+    the rows of the largest left and right group, where they are known."""
 
-    def blocks(df: DataFrame) -> int:
-        largest = df.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
-        rows = block_rows or min(MOST_ROWS, max(BLOCK_ROWS, -(-largest // GRID)))
-        return max(1, -(-largest // rows))
+    def blocks(df: DataFrame, known: int | None) -> int:
+        most = known if known is not None else df.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+        rows = block_rows or min(MOST_ROWS, max(BLOCK_ROWS, -(-most // GRID)))
+        return max(1, -(-most // rows))
 
-    n_left, n_right = blocks(left), blocks(right)
+    n_left, n_right = (blocks(df, n) for df, n in zip((left, right), largest or (None, None), strict=True))
 
     def dealt(df: DataFrame, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
         fresh = df.toDF(*df.columns)  # both sides may come from one table, whose columns would then be ambiguous

@@ -3,7 +3,7 @@
 A rule (of nine) is written once, as a dialogue: it asks for the first rows by some order among those that nothing chosen rules out, takes
 some of the rows that come back and asks again. All pools and rules go on together, a Spark job a round: tasks get the rows
 chosen so far (pools x k vectors), compute the order of their own rows from them and send the first ones, of which each pool's
-first reach the driver. No state is kept in the tasks, so a lost executor costs its part of a round. Pools whose size is bounded, as training
+first reach the driver. Facility location, whose order needs all rows for each, meets them in blocks and adds up their whole-number gains. No state is kept in the tasks, so a lost executor costs its part of a round. Pools whose size is bounded, as training
 batches are, take the same rules as a grouped function (select_within).
 """
 
@@ -21,14 +21,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from vistrel.functions.draw import draw_key
-from vistrel.operators.blocks import DIGITS, matrix
+from vistrel.operators.blocks import DIGITS, block_scan, matrix
 from vistrel.operators.clusters import kmeans
 from vistrel.operators.identity import numbered, numbered_within
 from vistrel.operators.pool import DUP_QUANTILE, LEAST_DISTANCE, NEIGHBOURS, best_matches, dup_threshold, mutual_partners, typicality
 from vistrel.session import written
 
-#: Rows that facility location covers at most, and rows that it may pick; drawn where the pool has more.
-EVALUATED, CANDIDATES = 4000, 8000
 #: Rows of an order that a rule looks at together, and pools that go on together.
 LOOK, LOT = 256, 32
 #: What a camera not seen yet adds to a normalised gain.
@@ -131,14 +129,19 @@ class Known:
         covered = state.covered if ask.order == "cover" else None
         return Known(number(state.taken), number(r.partner for r in state.rows if r.partner is not None), feats, number(r.camid for r in state.rows), state.tau, covered)
 
+    def left_out(self, idx: np.ndarray, sims: np.ndarray | None, skip: str) -> np.ndarray:
+        """Which rows, of these similarities to the chosen ones, are taken or, where asked, ruled out."""
+        out = np.isin(idx, self.taken)
+        if skip == "barred" and sims is not None:
+            out |= np.isin(idx, self.partners) | (sims.max(1) > self.tau)
+        return out
+
 
 def answer(rows: pd.DataFrame, x: np.ndarray, known: Known, ask: Ask, evaluated: np.ndarray | None) -> pd.DataFrame:
     """The first rows of these that the rule asks for, with ``num``, ``text`` and ``kind``."""
     idx = rows["image_idx"].to_numpy()
-    out = np.isin(idx, known.taken)
     sims = None if known.feats is None else micro(x, known.feats)
-    if ask.skip == "barred" and sims is not None:
-        out |= np.isin(idx, known.partners) | (sims.max(1) > known.tau)
+    out = known.left_out(idx, sims, ask.skip)
     if ask.cluster:
         out |= rows[ask.cluster[0]].to_numpy() != ask.cluster[1]
     num, kind = np.zeros(len(idx)), np.zeros(len(idx), int)
@@ -292,7 +295,7 @@ def _first_by(rows: DataFrame, by: list[str], key: str, n: int) -> DataFrame:
     return rows.withColumn("_place", place).where(F.col("_place") <= n).drop("_place")
 
 
-def _table(pools: DataFrame, by: list[str], names: list[str], k: int, seed: int, has_cameras: bool, most: int, n_cand: int) -> DataFrame:
+def _table(pools: DataFrame, by: list[str], names: list[str], k: int, seed: int, has_cameras: bool, most: int, n_eval: int | None, n_cand: int | None) -> DataFrame:
     """The pools' rows with the columns that the rules order by."""
     rows = pools.select(*by, "image_idx", "camid", "feat", *(["style"] if "style_cover" in names else []))
     drawn = rows.withColumn("_fill", draw_key(f"{seed}:fill", "image_idx"))
@@ -315,18 +318,20 @@ def _table(pools: DataFrame, by: list[str], names: list[str], k: int, seed: int,
     if "style_cover" in names:
         found = kmeans(rows.select(*key, F.col("style").alias("x")), by, k, seed)
         drawn = drawn.join(found.select(*key, F.col("label").alias("_look"), F.round("gap", 9).alias("_look_gap")), key)
-    if _COVERING & set(names) and most > n_cand:
-        drawn = drawn.join(_first_by(rows.select(*key), by, f"{seed}:cand", n_cand).withColumn("_candidate", F.lit(True)), key, "left").fillna({"_candidate": False})
-    else:
-        drawn = drawn.withColumn("_candidate", F.lit(True))
+    for column, draw, n in (("_evaluated", "eval", n_eval), ("_candidate", "cand", n_cand)):
+        if _COVERING & set(names) and n is not None and most > n:
+            drawn = drawn.join(_first_by(rows.select(*key), by, f"{seed}:{draw}", n).withColumn(column, F.lit(True)), key, "left").fillna({column: False})
+        else:
+            drawn = drawn.withColumn(column, F.lit(True))
     return drawn.drop("style")
 
 
 def select(
-    pools: DataFrame, by: list[str], names: Iterable[str], k: int, seed: int, has_cameras: bool = True, n_eval: int = EVALUATED, n_cand: int = CANDIDATES
+    pools: DataFrame, by: list[str], names: Iterable[str], k: int, seed: int, has_cameras: bool = True, n_eval: int | None = None, n_cand: int | None = None
 ) -> DataFrame:
     """(by.., selector, pos, image_idx): k images of each pool for each named selector. ``pools`` must not show identities.
 
+    Facility location covers all rows of a pool and may pick any; ``n_eval`` and ``n_cand`` are for fewer, drawn ones.
     style_cover clusters the column ``style``, the vector of an image's appearance statistics, and needs it. The rounds run when
     this is called; the result are pools x selectors x k rows.
     """
@@ -339,23 +344,19 @@ def select(
     for at in range(0, len(keys), LOT):
         some = keys[at : at + LOT]
         part = pools if len(keys) <= LOT else pools.join(F.broadcast(spark.createDataFrame(some, ", ".join(f"{c} {kinds[c]}" for c in by))), by)
-        table = written(_table(part, by, names, k, seed, has_cameras, max(sizes[p] for p in some), n_cand), "pool")
-        states = _begun(table, by, names, k, seed, has_cameras, {p: sizes[p] for p in some}, n_eval)
+        table = written(_table(part, by, names, k, seed, has_cameras, max(sizes[p] for p in some), n_eval, n_cand), "pool")
+        states = _begun(table, by, names, k, has_cameras, {p: sizes[p] for p in some})
         _go_on(table, by, states)
         out += [(*pool, name, n, row.image_idx) for (pool, name), s in states.items() for n, row in enumerate(s.rows, 1)]
     return spark.createDataFrame(out, schema)
 
 
-def _begun(table: DataFrame, by: list[str], names: list[str], k: int, seed: int, has_cameras: bool, sizes: dict[tuple, int], n_eval: int) -> dict[tuple, State]:
+def _begun(table: DataFrame, by: list[str], names: list[str], k: int, has_cameras: bool, sizes: dict[tuple, int]) -> dict[tuple, State]:
     at = len(by)
     taus = {p: 0 for p in sizes}
     if _BARRING & set(names):
         taus |= {tuple(r[:at]): _units(r["dup_tau"]) for r in dup_threshold(table, by=tuple(by), digits=15).collect()}  # a row for each pool
-    evaluated: dict[tuple, list] = {p: [] for p in sizes}
-    if _COVERING & set(names):
-        for r in _first_by(table.select(*by, "image_idx", "feat"), by, f"{seed}:eval", n_eval).orderBy("image_idx").collect():  # n_eval rows a pool
-            evaluated[tuple(r[:at])].append(r["feat"])
-    return {(p, name): State(k, n, taus[p], has_cameras, np.array(evaluated[p]) if name in _COVERING else None) for p, n in sizes.items() for name in names}
+    return {(p, name): State(k, n, taus[p], has_cameras) for p, n in sizes.items() for name in names}
 
 
 def _units(tau: float) -> int:
@@ -365,33 +366,68 @@ def _units(tau: float) -> int:
 
 def _go_on(table: DataFrame, by: list[str], states: dict[tuple, State]) -> None:
     """Asks and answers in rounds until every rule has ended."""
-    spark = table.sparkSession
-    evaluated = spark.sparkContext.broadcast({p: s.evaluated for (p, _), s in states.items() if s.evaluated is not None})
     rules = {key: SELECTORS[key[1]](s) for key, s in states.items()}
     asks = {key: ask for key, rule in rules.items() if (ask := next(rule, None))}
-    kinds = dict(table.dtypes)
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in by), "selector string, image_idx long, camid long, _partner long, feat array<double>, num double, text string, kind long"])
     while asks:
-        sent: dict[tuple, list] = {}
-        for (pool, name), ask in asks.items():
-            sent.setdefault(pool, []).append((name, Known.of(states[pool, name], ask), ask))
-
-        def run(frames: Iterator[pd.DataFrame], sent: dict = sent) -> Iterator[pd.DataFrame]:
-            for f in frames:
-                for key, rows in f.groupby(by, sort=False, dropna=False):
-                    x = matrix(rows["feat"])
-                    for name, known, ask in sent.get(key, ()):
-                        found = answer(rows, x, known, ask, evaluated.value.get(key))
-                        if len(found):
-                            yield found.assign(selector=name, **{c: rows[c].iloc[0] for c in by})[[*by, "selector", "image_idx", "camid", "_partner", "feat", "num", "text", "kind"]]
-
-        first = W.Window.partitionBy(*by, "selector", "kind").orderBy("num", "text", "image_idx")
-        best = table.mapInPandas(run, schema).withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= max(a.n for a in asks.values()))
         rows: dict[tuple, list] = {key: [] for key in asks}
-        for r in sorted(best.collect(), key=lambda r: r["_n"]):  # LOOK rows at most for each pool and selector
-            rows[tuple(r[: len(by)]), r["selector"]].append(Row(r["image_idx"], r["camid"], r["_partner"], np.array(r["feat"]), r["num"], r["kind"]))
+        for of in (_covering, _ordered):
+            some = {key: ask for key, ask in asks.items() if (ask.order == "cover") == (of is _covering)}
+            best = of(table, by, {key: states[key] for key in some}, some).collect() if some else []  # LOOK rows at most for each pool and selector
+            for r in sorted(best, key=lambda r: r["_n"]):
+                rows[tuple(r[: len(by)]), r["selector"]].append(Row(r["image_idx"], r["camid"], r["_partner"], np.array(r["feat"]), r["num"], r["kind"]))
         asks = _next(rules, asks, rows)
-    evaluated.unpersist()
+
+
+def _sent(states: dict[tuple, State], asks: dict[tuple, Ask]) -> dict[tuple, list[tuple[str, Known, Ask]]]:
+    """What the tasks get for each pool."""
+    sent: dict[tuple, list] = {}
+    for (pool, name), ask in asks.items():
+        sent.setdefault(pool, []).append((name, Known.of(states[pool, name], ask), ask))
+    return sent
+
+
+def _ordered(table: DataFrame, by: list[str], states: dict[tuple, State], asks: dict[tuple, Ask]) -> DataFrame:
+    """The first rows, numbered ``_n``, by orders that need no other rows than the chosen ones."""
+    kinds, sent = dict(table.dtypes), _sent(states, asks)
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in by), "selector string, image_idx long, camid long, _partner long, feat array<double>, num double, text string, kind long"])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for key, rows in f.groupby(by, sort=False, dropna=False):
+                x = matrix(rows["feat"])
+                for name, known, ask in sent.get(key, ()):
+                    found = answer(rows, x, known, ask, None)
+                    if len(found):
+                        yield found.assign(selector=name, **{c: rows[c].iloc[0] for c in by})[[*by, "selector", "image_idx", "camid", "_partner", "feat", "num", "text", "kind"]]
+
+    first = W.Window.partitionBy(*by, "selector", "kind").orderBy("num", "text", "image_idx")
+    return table.mapInPandas(run, schema).withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= max(a.n for a in asks.values()))
+
+
+def _covering(table: DataFrame, by: list[str], states: dict[tuple, State], asks: dict[tuple, Ask]) -> DataFrame:
+    """The same by what a candidate adds to the cover: candidates meet evaluated rows in blocks, of which only sums of gains are sent."""
+    sent, of, most = _sent(states, asks), ["selector", "kind", "image_idx"], max(s.size for s in states.values())
+
+    def gains(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        a, b, found = matrix(x["feat"]), matrix(y["feat"]), []
+        near = np.rint(a @ b.T * UNIT)  # whole numbers, whose sums within a tile are exact
+        for name, known, ask in sent.get(tuple(x[by].iloc[0]), ()):
+            left = np.flatnonzero(~known.left_out(x["image_idx"].to_numpy(), None if known.feats is None else micro(a, known.feats), ask.skip))
+            gain = near[left]
+            if known.feats is not None:
+                gain -= np.clip(micro(b, known.feats).max(1), 0, None)
+            gain = np.maximum(gain, 0, out=gain).sum(1).astype(np.int64)
+            kind = np.isin(x["camid"].to_numpy()[left], known.cameras).astype(int) if ask.kinds else 0
+            found.append(pd.DataFrame({"selector": name, "kind": kind, "image_idx": x["image_idx"].to_numpy()[left], "gain": gain}))
+        return pd.concat(found, ignore_index=True) if found else pd.DataFrame(columns=[*of, "gain"])
+
+    candidates, evaluated = table.where("_candidate").select(*by, "image_idx", "camid", "feat"), table.where("_evaluated").select(*by, "image_idx", "feat")
+    add = lambda found: found.groupby(of, as_index=False)["gain"].sum()
+    part = block_scan(candidates, evaluated, gains, "selector string, kind long, image_idx long, gain long", by=tuple(by), fold=add, largest=(most, most))
+    first = W.Window.partitionBy(*by, "selector", "kind").orderBy("num", "image_idx")
+    summed = part.groupBy(*by, *of).agg((-F.sum("gain")).cast("double").alias("num"))
+    best = summed.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= max(a.n for a in asks.values()))
+    return table.select(*by, "image_idx", "camid", "_partner", "feat").join(F.broadcast(best), [*by, "image_idx"]).select(*by, "selector", "image_idx", "camid", "_partner", "feat", "num", "kind", "_n")
 
 
 def _next(rules: dict, asks: dict[tuple, Ask], rows: dict[tuple, list[Row]]) -> dict[tuple, Ask]:
