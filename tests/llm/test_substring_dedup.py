@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 
+from vistrel.llm import substring_dedup
 from vistrel.llm.queries import QUERIES
 from vistrel.llm.substring_dedup import MIN_WORDS, repeated_passages, sentences, shingles, units
 
@@ -206,3 +207,17 @@ def test_passages_in_text_without_sentence_ends(documents):
     rows += [(100 + k, " ".join(words(250))) for k in range(20)]
     got = {r["doc_id"] for r in repeated_passages(documents(rows)).collect()}
     assert len(got & set(range(40))) >= 38 and not got & set(range(100, 120))
+
+
+def test_units_carry_the_buckets_of_new_long_sentences():
+    """One parse gives units and bands: a task's first sight of a long sentence has them, and near sentences share one."""
+    import pyarrow as pa
+
+    words = [f"w{k}" for k in range(30)]
+    texts = [" ".join(words) + ". Short one.", " ".join(words) + ".", " ".join([*words[:-1], "other"]) + ".", " ".join(f"v{k}" for k in range(30)) + ".", "Verse of\nfew words\nin a\nline and\nanother one", None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(range(len(texts))), pa.array(texts)], names=["row", "doc_id", "text"])
+    rows = pa.Table.from_batches(substring_dedup._units(iter([batch]))).to_pylist()
+    first, again, near, apart = (next(r["buckets"] for r in rows if r["row"] == k) for k in range(4))
+    assert again == [] and len(first) == len(near) == len(apart) == substring_dedup.BANDS
+    assert set(first) & set(near) and not set(first) & set(apart)
+    assert all(r["buckets"] == [] for r in rows if r["row"] == 4)

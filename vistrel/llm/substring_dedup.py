@@ -7,7 +7,7 @@ LONG words without a sentence end are cut where their own words say so: after a
 before and after it. Equal passages are cut equally wherever they stand, but for the words at their edges.
 
 1. A scan lists the units of every text with a key, the hash of the normalised words.
-2. Distinct long sentences of a task are banded: BANDS bands of ROWS MinHash values, which miss a pair of similarity 0.8 with
+2. In the same scan distinct long sentences of a task are banded: BANDS bands of ROWS MinHash values, which miss a pair of similarity 0.8 with
    probability (1 - 0.8^2)^5 = 0.6 %. A bucket's least key leads, each other key is paired with it; copies share their
    key and cost a row per task. The pairs are verified by exact Jaccard on the shingle sets of both sentences.
 3. A bucket's further keys are searched for links as well: where they lie in several components, blocks of those outside the
@@ -57,7 +57,8 @@ CACHE_WORDS, CACHE_KEYS, CACHE_SHINGLES = 200_000, 100_000, 200_000
 BLOCK_OUT, BLOCK_ALL = 256, 2048
 #: Words of a sentence beyond which it is cut, and words on either side that decide on a cut. No shorter sentence holds a passage of 50 words.
 LONG, CUT_WINDOW = 40, 4
-_END = re.compile(r"(?<=[.!?])\s+|\n+")
+#: Literal beginnings, which the search leaps to; a mark belongs to the sentence that it ends.
+_END = re.compile(r"\.\s+|!\s+|\?\s+|\n\n*")
 #: Characters of scripts without spaces between words (Thai to Khmer, kana, Han), and sentence ends where such stand.
 _UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 _TOKEN = re.compile(r"\S+")
@@ -104,9 +105,12 @@ def sentences(text: str | None) -> Iterator[tuple[int, int, list[str]]]:
     split = (lambda s: _UNSPACED.sub(r" \g<0> ", s).split()) if unspaced else str.split
     token = _WIDE_TOKEN if unspaced else _TOKEN
     for gap in (_WIDE_END if unspaced else _END).finditer(text):
-        if words := split(lower[at : gap.start()]):
-            yield from _pieces(lower, at, gap.start(), words, token)
-        at = gap.end()
+        end, after = gap.span()
+        if not unspaced and text[end] != "\n":
+            end += 1
+        if words := split(lower[at:end]):
+            yield from _pieces(lower, at, end, words, token)
+        at = after
     if words := split(lower[at:]):
         yield from _pieces(lower, at, len(text), words, token)
 
@@ -150,11 +154,66 @@ def _weight(words: int) -> int:
     return words if words < MIN_WORDS else PASSAGE_WORDS
 
 
+class _Bands:
+    """The buckets of long sentences, those of a key once in a while of a task."""
+
+    def __init__(self):
+        self.known: dict[str, int] = {}
+        self.seen: set[int] = set()
+        self.flat: list[str] = []
+        self.sizes: list[int] = []
+
+    def add(self, key: int, words: list[str]) -> bool:
+        """Whether this sentence gets buckets."""
+        if len(words) < MIN_WORDS or key in self.seen:
+            return False
+        if len(self.seen) >= CACHE_KEYS:
+            self.seen.clear()
+        self.seen.add(key)
+        self.flat += words
+        self.sizes.append(len(words))
+        return True
+
+    def buckets(self) -> np.ndarray:
+        """A row of buckets for each sentence that was added since."""
+        flat, sizes, known = self.flat, self.sizes, self.known
+        self.flat, self.sizes = [], []
+        if not sizes:
+            return np.zeros((0, BANDS), np.int64)
+        if len(known) > CACHE_WORDS:
+            known.clear()
+        for w in set(flat).difference(known):
+            known[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
+        h = np.fromiter(map(known.__getitem__, flat), np.uint64, len(flat))
+        total = sum(h[k : len(h) - SHINGLE + 1 + k] * _WEIGHTS[k] for k in range(SHINGLE))
+        total ^= total >> np.uint64(29)
+        total *= np.uint64(0xBF58476D1CE4E5B9)
+        total ^= total >> np.uint64(32)
+        ends = np.cumsum(sizes)
+        starts = ends - sizes
+        # alternate starts and last shingles, so that no shingle across two sentences counts
+        edges = np.stack([starts, ends - SHINGLE + 1], 1).reshape(-1)
+        out = np.empty((len(sizes), BANDS), np.uint64)
+        for band in range(BANDS):
+            mixed = np.full(len(sizes), band + 1, np.uint64)
+            for row in range(band * ROWS, band * ROWS + ROWS):
+                value = (total * _MULTIPLY[row] + _ADD[row]) >> np.uint64(32)
+                least = np.minimum.reduceat(np.append(value, np.uint64(2**63)), edges)[::2]
+                mixed = (mixed ^ least) * np.uint64(0x9E3779B97F4A7C15)
+                mixed ^= mixed >> np.uint64(31)
+            out[:, band] = mixed
+        return out.view(np.int64)
+
+
+_UNIT = ["row", "doc_id", "start", "end", "low", "high", "light", "heavy", "key"]
+
+
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row per unit: its place, the words of the text before it and up to its end, the weight of the same, its key."""
-    names = ["row", "doc_id", "start", "end", "low", "high", "light", "heavy", "key"]
+    """A row per unit: its place, the words of the text before it and up to its end, the weight of the same, its key, and the
+    buckets of a long sentence where a task meets it first."""
+    bands = _Bands()
     for b in batches:
-        columns = [[] for _ in names]
+        columns, has = [[] for _ in _UNIT], []
         row, ids, start, end, low, high, light, heavy, key = columns
         for r, i, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
             found = list(sentences(text))
@@ -163,6 +222,7 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 count.append(count[-1] + len(words))
                 weight.append(weight[-1] + _weight(len(words)))
             for first, last, words in units(found):
+                k = _key(words)
                 row.append(r)
                 ids.append(i)
                 start.append(found[first][0])
@@ -171,50 +231,11 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 high.append(count[last + 1])
                 light.append(weight[first])
                 heavy.append(weight[last + 1])
-                key.append(_key(words))
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
-
-
-def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known: dict[str, int] = {}
-    seen: set[int] = set()
-    for b in batches:
-        keys, flat, sizes = [], [], []
-        for text in b.column(0).to_pylist():
-            for _, _, words in sentences(text):
-                if len(words) < MIN_WORDS or (k := _key(words)) in seen:
-                    continue
-                if len(seen) >= CACHE_KEYS:
-                    seen.clear()
-                seen.add(k)
-                keys.append(k)
-                flat += words
-                sizes.append(len(words))
-        if not keys:
-            continue
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        for w in set(flat).difference(known):
-            known[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
-        h = np.fromiter(map(known.__getitem__, flat), np.uint64, len(flat))
-        total = sum(h[k : len(h) - SHINGLE + 1 + k] * _WEIGHTS[k] for k in range(SHINGLE))
-        total ^= total >> np.uint64(29)
-        total *= np.uint64(0xBF58476D1CE4E5B9)
-        total ^= total >> np.uint64(32)
-        ends = np.cumsum(sizes)
-        starts = ends - sizes
-        buckets = []
-        for band in range(BANDS):
-            mixed = np.full(len(keys), band + 1, np.uint64)
-            for row in range(band * ROWS, band * ROWS + ROWS):
-                value = (total * _MULTIPLY[row] + _ADD[row]) >> np.uint64(32)
-                # alternate starts and last shingles, so that no shingle across two sentences counts
-                edges = np.stack([starts, ends - SHINGLE + 1], 1).reshape(-1)
-                least = np.minimum.reduceat(np.append(value, np.uint64(2**63)), edges)[::2]
-                mixed = (mixed ^ least) * np.uint64(0x9E3779B97F4A7C15)
-                mixed ^= mixed >> np.uint64(31)
-            buckets.append(mixed)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(buckets).view(np.int64)), pa.array(np.tile(np.array(keys, np.int64), BANDS))], names=["bucket", "key"])
+                key.append(k)
+                has.append(first == last and bands.add(k, words))
+        upto = np.concatenate([[0], np.cumsum(has)]) * BANDS
+        listed = pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(bands.buckets().reshape(-1)))
+        yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), listed], names=[*_UNIT, "buckets"])
 
 
 def _leads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -363,9 +384,9 @@ def repeated_passages(docs: DataFrame, passage_words: int = PASSAGE_WORDS) -> Da
     doc_id, start, end (code points), words, removed, removals as (start, end, component, owner_doc_id)."""
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    listed = materialise(rows.mapInArrow(_units, "row long, doc_id long, start long, end long, low long, high long, light long, heavy long, key long"), "units")
-    texts = docs.select("text")
-    banded = texts.mapInArrow(_banded, "bucket long, key long").repartition("bucket").sortWithinPartitions("bucket", "key")
+    scanned = materialise(rows.mapInArrow(_units, ", ".join([*(f"{c} long" for c in _UNIT), "buckets array<long>"])), "units")
+    listed, texts = scanned.select(_UNIT), docs.select("text")
+    banded = scanned.select(F.explode("buckets").alias("bucket"), "key").repartition("bucket").sortWithinPartitions("bucket", "key")
     led = materialise(banded.mapInArrow(_leads, "bucket long, a long, b long").distinct(), "unit-buckets")
     near = materialise(led.select("a", "b").distinct(), "unit-pairs")
     wanted = near.select(F.col("a").alias("key")).unionByName(near.select(F.col("b").alias("key"))).distinct()
