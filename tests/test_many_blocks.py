@@ -38,6 +38,7 @@ def uncoalesced(spark):
 #: Queries that met their rows in blocks whose numbers had two types.
 MET_IN_BLOCKS = [
     "mutual_partner",
+    "nearest_neighbours",
 ]
 
 
