@@ -39,6 +39,7 @@ def uncoalesced(spark):
 MET_IN_BLOCKS = [
     "mutual_partner",
     "nearest_neighbours",
+    "pool_statistics",
 ]
 
 
