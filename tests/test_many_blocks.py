@@ -40,6 +40,7 @@ MET_IN_BLOCKS = [
     "mutual_partner",
     "nearest_neighbours",
     "pool_statistics",
+    "retrieval_cmc_map",
 ]
 
 
