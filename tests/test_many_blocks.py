@@ -41,6 +41,7 @@ MET_IN_BLOCKS = [
     "nearest_neighbours",
     "pool_statistics",
     "retrieval_cmc_map",
+    "retrieval_euclidean_map",
 ]
 
 
