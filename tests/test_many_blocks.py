@@ -42,6 +42,7 @@ MET_IN_BLOCKS = [
     "pool_statistics",
     "retrieval_cmc_map",
     "retrieval_euclidean_map",
+    "retrieval_hit_ranks",
 ]
 
 
