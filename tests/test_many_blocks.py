@@ -43,6 +43,7 @@ MET_IN_BLOCKS = [
     "retrieval_cmc_map",
     "retrieval_euclidean_map",
     "retrieval_hit_ranks",
+    "retrieval_per_query_ap",
 ]
 
 
