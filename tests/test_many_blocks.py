@@ -44,6 +44,7 @@ MET_IN_BLOCKS = [
     "retrieval_euclidean_map",
     "retrieval_hit_ranks",
     "retrieval_per_query_ap",
+    "retrieval_topk",
 ]
 
 
