@@ -45,6 +45,7 @@ MET_IN_BLOCKS = [
     "retrieval_hit_ranks",
     "retrieval_per_query_ap",
     "retrieval_topk",
+    "select_camera_balanced",
 ]
 
 
