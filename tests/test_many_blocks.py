@@ -46,6 +46,7 @@ MET_IN_BLOCKS = [
     "retrieval_per_query_ap",
     "retrieval_topk",
     "select_camera_balanced",
+    "select_dedup",
 ]
 
 
