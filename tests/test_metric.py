@@ -227,3 +227,20 @@ def test_large_plans_are_never_held(spark, monkeypatch):
     metric.transport_cost_by_rows(wide, wide[:1500], iterations=2)
     assert tracemalloc.get_traced_memory()[1] < 60_000_000  # a plan of these has 24 MB, and several were held
     tracemalloc.stop()
+
+
+def test_spaces_share_one_shuffle_and_hits_are_not_shuffled(spark, uncoalesced, monkeypatch):
+    """Scores in each space equal those of images moved there beforehand; a query's hits come as one row, whatever the gallery's parts."""
+    monkeypatch.setattr(retrieval, "MOST_ROWS", 9)
+    monkeypatch.setattr(retrieval, "LEAST_ASKED", 4)
+    rng = np.random.default_rng(3)
+    spaces = [metric.Space("raw", None, np.eye(8), np.zeros(8)), metric.Space("turned", 0.1, rng.normal(size=(8, 5)), rng.normal(size=8))]
+    _, df = vectors(spark, 90)
+    q, g = df.where("image_idx < 25"), df.where("image_idx >= 25")
+    pieces = retrieval._counted(q, g, "sqeuclidean", ())
+    assert pieces.count() == pieces.select("q_idx").distinct().count()
+    moved = metric.in_spaces(df, spaces)
+    expected = retrieval.per_query(moved.where("image_idx < 25"), moved.where("image_idx >= 25"), "sqeuclidean", by=("space",))
+    got = retrieval.per_query(q, g, "sqeuclidean", spaces=spaces)
+    assert sorted(map(tuple, got.select(*expected.columns).collect())) == sorted(map(tuple, expected.collect())) and got.count() > 30
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
