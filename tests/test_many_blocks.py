@@ -53,3 +53,14 @@ MET_IN_BLOCKS = [
 @pytest.mark.parametrize("name", MET_IN_BLOCKS)
 def test_oracle_over_many_blocks(spark, uncoalesced, many, name):
     assert_same(QUERIES[name](spark, many).toPandas(), connect(many).execute(ORACLES[name]).df())
+
+
+#: Queries that rank all hits.
+RANKING = ["retrieval_euclidean_map"]
+
+
+@pytest.mark.parametrize("name", RANKING)
+def test_no_hit_is_shuffled(spark, uncoalesced, many, name):
+    """Vectors are shuffled once, to the parts that rank them; after that only one row of sums a task, where there are sums."""
+    plan = QUERIES[name](spark, many)._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("MapInArrow") == 1 and not any(word in plan for word in ("FlatMapGroupsInPandas", "FlatMapCoGroupsInPandas"))
