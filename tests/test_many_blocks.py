@@ -56,7 +56,7 @@ def test_oracle_over_many_blocks(spark, uncoalesced, many, name):
 
 
 #: Queries that rank all hits.
-RANKING = ["retrieval_euclidean_map"]
+RANKING = ["retrieval_euclidean_map", "retrieval_hit_ranks"]
 
 
 @pytest.mark.parametrize("name", RANKING)
