@@ -56,7 +56,7 @@ def test_oracle_over_many_blocks(spark, uncoalesced, many, name):
 
 
 #: Queries that rank all hits.
-RANKING = ["retrieval_euclidean_map", "retrieval_hit_ranks", "retrieval_per_query_ap"]
+RANKING = ["retrieval_cmc_map", "retrieval_euclidean_map", "retrieval_hit_ranks", "retrieval_per_query_ap"]
 
 
 @pytest.mark.parametrize("name", RANKING)
