@@ -290,3 +290,28 @@ def test_facility_covers_every_row_of_a_large_pool(spark, name):
         if best[best[pick]] == pick:
             open_[best[pick]] = False
     assert got == out
+
+
+@pytest.mark.parametrize("name", ["facility"])
+def test_few_candidates_are_summed_in_whole_numbers(people, picked, monkeypatch, name):
+    """Single-precision bounds leave few candidates a round, and the rows are those of the rule written out."""
+    scanned, scan = [], selectors.block_scan
+
+    def recorded(*args, **kwargs):
+        scanned.append(kwargs["largest"])
+        return scan(*args, **kwargs)
+
+    monkeypatch.setattr(selectors, "block_scan", recorded)
+    got = selectors.select(people.drop("pid"), ["domain"], [name], K, SEED).orderBy("pos").toPandas()["image_idx"].to_list()
+    assert got == picked[picked["selector"] == name].sort_values("pos")["image_idx"].to_list()
+    assert len(scanned) == 2 * K and max(n for n, _ in scanned[1::2]) <= 60
+
+
+def test_rough_gains_bound_the_whole_numbers():
+    rng = np.random.default_rng(6)
+    for scale in (1.0, 30.0, 1e-3):
+        a, b = scale * rng.normal(size=(300, 64)), rng.normal(size=(900, 64)) / 8
+        cover = np.clip(selectors.micro(b, a[:5]).max(1), 0, None)
+        gain = np.maximum(selectors.micro(a, b) - cover, 0).sum(1)
+        low, high = selectors._rough_gains(a, b, cover)
+        assert (low <= gain).all() and (gain <= high).all() and (high - low < 0.01 * gain.max() + 900 * 1.1).all()

@@ -35,10 +35,11 @@ def block_scan(
     by: tuple[str, ...] = (),
     fold: Callable[[pd.DataFrame], pd.DataFrame] | None = None,
     largest: tuple[int, int] | None = None,
+    whole: bool = False,
 ) -> DataFrame:
     """fn over each pair of a left and a right tile; both sides have the column ``key``. With ``by`` only rows that agree in these
-    columns meet, which the result begins with. ``fold`` makes one result of those of a left tile within a block. ``largest`` gives
-    the rows of the largest left and right group, where they are known."""
+    columns meet, which the result begins with. ``fold`` makes one result of those of a left tile within a block, or with ``whole``
+    of all of a block's. ``largest`` gives the rows of the largest left and right group, where they are known."""
 
     def blocks(df: DataFrame, known: int | None) -> int:
         most = known if known is not None else df.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
@@ -63,6 +64,8 @@ def block_scan(
             tile = x[i : i + TILE_ROWS].reset_index(drop=True)
             found = [fn(tile, y[j : j + TILE_ROWS].reset_index(drop=True)) for j in range(0, len(y), TILE_ROWS)]
             parts.append(fold(pd.concat(found, ignore_index=True)) if fold and len(found) > 1 else pd.concat(found, ignore_index=True))
+            if whole and fold and len(parts) > 1:
+                parts = [fold(pd.concat(parts, ignore_index=True))]
         out = pd.concat(parts, ignore_index=True)
         for n, c in enumerate(by):
             out.insert(n, c, x[c].iloc[0])
@@ -82,12 +85,14 @@ def nearest(left: DataFrame, right: DataFrame, k: int, differs: str | None = Non
 
     def block(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         d = np.round(matrix(x["feat"]) @ matrix(y["feat"]).T, DIGITS)
-        d = np.round(-d if similarity else 1 - d, DIGITS)
+        d = -d if similarity else np.round(1 - d, DIGITS)
         if differs:
             d[x[differs].to_numpy()[:, None] == y[differs].to_numpy()[None, :]] = np.inf
         if same_set:
             d[x["image_idx"].to_numpy()[:, None] == y["image_idx"].to_numpy()[None, :]] = np.inf
-        near = np.argsort(d, axis=1, kind="stable")[:, :k]
+        if k == 1:  # no need to sort
+            d[np.isnan(d)] = np.inf
+        near = d.argmin(1)[:, None] if k == 1 else np.argsort(d, axis=1, kind="stable")[:, :k]
         rows = np.repeat(np.arange(len(x)), near.shape[1])
         out = pd.DataFrame({"a_idx": x["image_idx"].to_numpy()[rows], "b_idx": y["image_idx"].to_numpy()[near.ravel()], "value": np.take_along_axis(d, near, 1).ravel()})
         return out[np.isfinite(out["value"])]

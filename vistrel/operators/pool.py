@@ -49,11 +49,25 @@ def mutual_partners(statistics: DataFrame, by: tuple[str, ...] = ()) -> DataFram
 _SCALE = 10**DIGITS
 
 
+#: Span of values up to which they are counted in an array, without being sorted.
+_SPAN = 2**22
+
+
+def _tally(value: np.ndarray, n: np.ndarray | None = None) -> pd.DataFrame:
+    """How often each value occurs, or the sum of its n, which is below 2^53."""
+    if len(value) and (low := int(value.min())) + _SPAN > int(value.max()):
+        counts = np.bincount(value - low, n)
+        found = np.flatnonzero(counts)
+        return pd.DataFrame({"value": found + low, "n": counts[found].astype(np.int64)})
+    if n is None:
+        value, n = np.unique(value, return_counts=True)
+    return pd.DataFrame({"value": value, "n": n}).groupby("value", as_index=False)["n"].sum()
+
+
 def _histogram(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
     s = matrix(x["feat"]) @ matrix(y["feat"]).T
     upper = x["image_idx"].to_numpy()[:, None] < y["image_idx"].to_numpy()[None, :]
-    value, n = np.unique(np.round(s[upper] * _SCALE).astype(np.int64), return_counts=True)
-    return pd.DataFrame({"value": value, "n": n})
+    return _tally(np.round(s[upper] * _SCALE).astype(np.int64))
 
 
 def dup_threshold(pool: DataFrame, quantile: float = DUP_QUANTILE, by: tuple[str, ...] = (), digits: int = DIGITS) -> DataFrame:
@@ -62,8 +76,8 @@ def dup_threshold(pool: DataFrame, quantile: float = DUP_QUANTILE, by: tuple[str
     Exact for any pool: blocks count rounded similarities, of which there are at most two million.
     """
     side = pool.select(*by, "image_idx", "feat")
-    add = lambda found: found.groupby("value", as_index=False)["n"].sum()
-    counts = block_scan(side, side, _histogram, "value long, n long", by=by, fold=add).groupBy(*by, "value").agg(F.sum("n").alias("n"))
+    add = lambda found: _tally(found["value"].to_numpy(), found["n"].to_numpy())
+    counts = block_scan(side, side, _histogram, "value long, n long", by=by, fold=add, whole=True).groupBy(*by, "value").agg(F.sum("n").alias("n"))
     return counts.groupBy(*by).agg(F.round(F.percentile(F.col("value") / F.lit(float(_SCALE)), F.lit(quantile), F.col("n")), digits).alias("dup_tau"))
 
 

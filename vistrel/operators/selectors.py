@@ -3,7 +3,8 @@
 A rule (of nine) is written once, as a dialogue: it asks for the first rows by some order among those that nothing chosen rules out, takes
 some of the rows that come back and asks again. All pools and rules go on together, a Spark job a round: tasks get the rows
 chosen so far (pools x k vectors), compute the order of their own rows from them and send the first ones, of which each pool's
-first reach the driver. Facility location, whose order needs all rows for each, meets them in blocks and adds up their whole-number gains. No state is kept in the tasks, so a lost executor costs its part of a round. Pools whose size is bounded, as training
+first reach the driver. Facility location, whose order needs all rows for each, meets them in blocks, bounds all gains and adds up those
+in question in whole numbers. No state is kept in the tasks, so a lost executor costs its part of a round. Pools whose size is bounded, as training
 batches are, take the same rules as a grouped function (select_within).
 """
 
@@ -404,30 +405,64 @@ def _ordered(table: DataFrame, by: list[str], states: dict[tuple, State], asks:
     return table.mapInPandas(run, schema).withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= max(a.n for a in asks.values()))
 
 
+#: Candidates of a tile whose rough gains are computed together, and the relative error of a single-precision operation.
+ROUGH_ROWS, ROUGH = 256, 2.0**-24
+
+
+def _rough_gains(a: np.ndarray, b: np.ndarray, cover: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds from below and above of the whole-number gains of candidates a over rows b that are covered so far: computed in single
+    precision, with the most that its errors (of vectors, products, cover and sums) and the rounding of similarities can come to."""
+    flat = np.ascontiguousarray(np.hstack([b, -cover[:, None] / UNIT]).astype(np.float32).T)
+    left, gain = np.hstack([a, np.ones((len(a), 1))]).astype(np.float32), np.empty(len(a))
+    for at in range(0, len(a), ROUGH_ROWS):
+        near = left[at : at + ROUGH_ROWS] @ flat
+        gain[at : at + ROUGH_ROWS] = np.maximum(near, 0, out=near).sum(1)
+    each = (a.shape[1] + 8) * ROUGH * (np.linalg.norm(a, axis=1) * np.linalg.norm(b, axis=1).max(initial=0) + cover.max(initial=0) / UNIT) + 0.51 / UNIT
+    error = (each * len(b) + 64 * ROUGH * gain) * UNIT + 1
+    low, high = np.maximum(gain * UNIT - error, 0), gain * UNIT + error
+    known = np.isfinite(low) & np.isfinite(high)
+    return np.where(known, low, 0.0), np.where(known, high, np.inf)
+
+
 def _covering(table: DataFrame, by: list[str], states: dict[tuple, State], asks: dict[tuple, Ask]) -> DataFrame:
-    """The same by what a candidate adds to the cover: candidates meet evaluated rows in blocks, of which only sums of gains are sent."""
+    """The first row by what a candidate adds to the cover: candidates meet evaluated rows in blocks, of which only sums are sent.
+
+    Sums are bounded for all candidates in single precision; those whose upper bound reaches the greatest lower one are then computed as
+    whole numbers, so that the answer is that of whole numbers for all.
+    """
     sent, of, most = _sent(states, asks), ["selector", "kind", "image_idx"], max(s.size for s in states.values())
 
-    def gains(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        a, b, found = matrix(x["feat"]), matrix(y["feat"]), []
-        near = np.rint(a @ b.T * UNIT)  # whole numbers, whose sums within a tile are exact
-        for name, known, ask in sent.get(tuple(x[by].iloc[0]), ()):
-            left = np.flatnonzero(~known.left_out(x["image_idx"].to_numpy(), None if known.feats is None else micro(a, known.feats), ask.skip))
-            gain = near[left]
-            if known.feats is not None:
-                gain -= np.clip(micro(b, known.feats).max(1), 0, None)
-            gain = np.maximum(gain, 0, out=gain).sum(1).astype(np.int64)
-            kind = np.isin(x["camid"].to_numpy()[left], known.cameras).astype(int) if ask.kinds else 0
-            found.append(pd.DataFrame({"selector": name, "kind": kind, "image_idx": x["image_idx"].to_numpy()[left], "gain": gain}))
-        return pd.concat(found, ignore_index=True) if found else pd.DataFrame(columns=[*of, "gain"])
+    def scan(single: bool) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+        def gains(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+            a, b, found = matrix(x["feat"]), matrix(y["feat"]), []
+            near = None if single else np.rint(a @ b.T * UNIT)  # whole numbers, whose sums within a tile are exact
+            for name, known, ask in sent.get(tuple(x[by].iloc[0]), ()):
+                left = np.flatnonzero(~known.left_out(x["image_idx"].to_numpy(), None if known.feats is None else micro(a, known.feats), ask.skip))
+                cover = np.zeros(len(b)) if known.feats is None else np.clip(micro(b, known.feats).max(1), 0, None)
+                low, high = _rough_gains(a[left], b, cover) if single else [np.maximum(near[left] - cover, 0).sum(1)] * 2
+                kind = np.isin(x["camid"].to_numpy()[left], known.cameras).astype(int) if ask.kinds else 0
+                found.append(pd.DataFrame({"selector": name, "kind": kind, "image_idx": x["image_idx"].to_numpy()[left], "low": low, "high": high}))
+            return pd.concat(found, ignore_index=True) if found else pd.DataFrame(columns=[*of, "low", "high"])
+
+        return gains
+
+    def met(some: DataFrame, n: int, single: bool) -> DataFrame:
+        add = lambda found: found.groupby(of, as_index=False)[["low", "high"]].sum()
+        part = block_scan(some, evaluated, scan(single), "selector string, kind long, image_idx long, low double, high double", by=tuple(by), fold=add, largest=(n, most))
+        if single:
+            return part.groupBy(*by, *of).agg(F.sum("low").alias("low"), F.sum("high").alias("high"))
+        return part.groupBy(*by, *of).agg(F.sum(F.col("low").cast("long")).alias("gain"))
 
     candidates, evaluated = table.where("_candidate").select(*by, "image_idx", "camid", "feat"), table.where("_evaluated").select(*by, "image_idx", "feat")
-    add = lambda found: found.groupby(of, as_index=False)["gain"].sum()
-    part = block_scan(candidates, evaluated, gains, "selector string, kind long, image_idx long, gain long", by=tuple(by), fold=add, largest=(most, most))
+    rough = written(met(candidates, most, True), "gains")
+    best = rough.groupBy(*by, "selector", "kind").agg(F.max("low").alias("best")).toDF(*(f"_{c}" for c in [*by, "selector", "kind", "best"]))  # a row for each pool, selector and kind
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in [*by, "selector", "kind"]]
+    near = written(rough.join(F.broadcast(best), [*same, F.col("high") >= F.col("_best")]).select(*by, "image_idx").distinct(), "near")
+    n = near.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
     first = W.Window.partitionBy(*by, "selector", "kind").orderBy("num", "image_idx")
-    summed = part.groupBy(*by, *of).agg((-F.sum("gain")).cast("double").alias("num"))
-    best = summed.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= max(a.n for a in asks.values()))
-    return table.select(*by, "image_idx", "camid", "_partner", "feat").join(F.broadcast(best), [*by, "image_idx"]).select(*by, "selector", "image_idx", "camid", "_partner", "feat", "num", "kind", "_n")
+    exact = met(candidates.join(near, [*by, "image_idx"]), n, False).withColumn("num", -F.col("gain").cast("double")).drop("gain")
+    ordered = exact.withColumn("_n", F.row_number().over(first)).where("_n = 1")
+    return table.select(*by, "image_idx", "camid", "_partner", "feat").join(F.broadcast(ordered), [*by, "image_idx"]).select(*by, "selector", "image_idx", "camid", "_partner", "feat", "num", "kind", "_n")
 
 
 def _next(rules: dict, asks: dict[tuple, Ask], rows: dict[tuple, list[Row]]) -> dict[tuple, Ask]:
